@@ -26,7 +26,7 @@ from ._text import column
 
 SPACE = "▁"
 #: Stretches remembered at once by a worker, and pairs of tokens.
-SEEN, PAIRS = 200_000, 1_000_000
+SEEN, PAIRS = 300_000, 600_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -54,8 +54,7 @@ class PrefixTable:
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.now: dict[str, str] = {}
-        self.past: dict[str, str] = {}
+        self.seen = _Seen(self)
 
     def _grow(self, piece: str) -> bool:
         """Merges a piece from its characters and notes what stood at its two ends, from when on. False if
@@ -128,42 +127,43 @@ class PrefixTable:
                 end -= 1
         return out[::-1]
 
-    def _listed(self, stretch: str) -> str:
-        """Ids of a stretch as decimals joined by commas."""
-        found = self.past.get(stretch)
-        if found is None:
-            if "\n" in stretch and len(stretch) > 1 and "\n" not in self.ids:
-                found = ",".join(self.listed(x) for x in re.split("(\n)", stretch) if x)
-            else:
-                found = ",".join(map(str, self._stretch(stretch)))
-        if len(self.now) >= SEEN:
-            self.past, self.now = self.now, {}
-        self.now[stretch] = found
-        return found
-
-    def listed(self, stretch: str) -> str:
-        found = self.now.get(stretch)
-        return self._listed(stretch) if found is None else found
+    def _listed(self, stretch: str) -> tuple[str, str]:
+        """Ids of a stretch as decimals joined by commas, and what they decode to, its first space left out."""
+        stretch = SPACE + stretch
+        if "\n" in stretch and "\n" not in self.ids and self.byte_ids:
+            ids = [i for x in re.split("(\n)", stretch) if x for i in self._stretch(x)]
+        else:
+            ids = self._stretch(stretch)
+        return ",".join(map(str, ids)), self._marked(ids)[1:]
 
-    def encode_listed(self, text: str) -> str:
-        """Ids of a text as decimals joined by commas."""
+    def stretches(self, text: str) -> list[str]:
+        """A text with one more space in front, cut before the first of each run of spaces; that space is
+        left out of the stretches. No token reaches across a cut."""
         if not text:
-            return ""
-        marked = SPACE + text.replace(" ", SPACE)
+            return []
         if self.crossing:
-            return ",".join(map(str, self._stretch(marked)))
-        if SPACE * 2 in marked or marked[-1] == SPACE:
-            stretches = re.findall(f"{SPACE}+[^{SPACE}]*", marked)
-        else:
-            stretches = [SPACE + x for x in marked[1:].split(SPACE)]
-        return ",".join(map(self.listed, stretches))
+            return [text.replace(" ", SPACE)]
+        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return [x[1:] for x in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
+
+    def listed_and_decoded(self, text: str) -> tuple[str, str]:
+        """Ids of a text as decimals joined by commas, and the text that these ids decode to."""
+        cut = self.stretches(text)
+        listed = ",".join(map(self.seen.__getitem__, cut))
+        odd = self.seen.odd
+        if odd:
+            cut = [odd.get(x, x) for x in cut]
+        return listed, SPACE.join(cut).replace(SPACE, " ")
+
+    def encode_listed(self, text: str) -> str:
+        return ",".join(map(self.seen.__getitem__, self.stretches(text)))
 
     def encode(self, text: str) -> list[int]:
         listed = self.encode_listed(text)
         return list(map(int, listed.split(","))) if listed else []
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids: space marks become spaces, the first is dropped, bytes are read as UTF-8."""
+    def _marked(self, ids: Iterable[int]) -> str:
         out: list[str] = []
         run = bytearray()
         texts, as_bytes = self.texts, self.bytes
@@ -180,10 +180,33 @@ class PrefixTable:
                 out.append(texts[i])
         if run:
             out.append(_utf8(run))
-        text = "".join(out)
-        if text[:1] == SPACE:
-            text = text[1:]
-        return text.replace(SPACE, " ")
+        return "".join(out)
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids: space marks become spaces, the first is dropped, bytes are read as UTF-8."""
+        text = self._marked(ids)
+        return (text[1:] if text[:1] == SPACE else text).replace(SPACE, " ")
+
+
+class _Seen(dict):
+    """Stretch -> its ids as text. Once full, all but the last generation is forgotten. ``odd`` has the
+    stretches that decode to something else than themselves."""
+
+    def __init__(self, table: PrefixTable):
+        super().__init__()
+        self.table, self.past, self.odd = table, {}, {}
+
+    def __missing__(self, stretch: str) -> str:
+        listed = self.past.get(stretch)
+        if listed is None:
+            listed, decoded = self.table._listed(stretch)
+            if decoded != stretch:
+                self.odd[stretch] = decoded
+        if len(self) >= SEEN:
+            self.past = dict(self)
+            self.clear()
+        self[stretch] = listed
+        return listed
 
 
 def _utf8(run: bytes) -> str:
@@ -231,17 +254,17 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Like encode_documents, with the digests of both results in place of them: (doc_id, n_tokens,
     ids_sha256 of the decimals joined by commas, decoded_sha256 of the UTF-8), so that the ids of a corpus
-    need not leave the tasks. The decoded text is made from the ids, stretch by stretch."""
+    need not leave the tasks. Stretches are decoded from their ids, once for each stretch remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model(path)
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in column(batch, "text").to_pylist():
-                listed = table.encode_listed(text or "")
+                listed, back = table.listed_and_decoded(text or "")
                 n.append(listed.count(",") + 1 if listed else 0)
                 ids.append(hashlib.sha256(listed.encode()).hexdigest())
-                decoded.append(hashlib.sha256(table.decode(map(int, listed.split(",")) if listed else ()).encode()).hexdigest())
+                decoded.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
