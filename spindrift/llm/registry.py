@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentencepiece_bpe
+from . import fingerprints, media, mixing, sentencepiece_bpe
 
 #: Where the public tokenizers lie; None: where the package public_tokenizers has them.
 TOKENIZERS: str | None = None
@@ -33,10 +33,21 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.inspect_media(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.edit_probe(docs, fingerprints.lexicon(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op4_mixing": op4_mixing,
+        "op8_media": op8_media,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
