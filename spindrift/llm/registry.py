@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, sentencepiece_bpe
+from . import fingerprints, lm_score, media, mixing, sentencepiece_bpe
 
 #: Where the public tokenizers lie; None: where the package public_tokenizers has them.
 TOKENIZERS: str | None = None
@@ -33,6 +34,16 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def id_remainder(by: int) -> Column:
+    """crc32 of the doc_id as text, mod by; null ids count as remainder null."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(id_remainder(7) == 2, F.lit(False))
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspect_media(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -46,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op4_mixing": op4_mixing,
+        "op6_lm_score": op6_lm_score,
         "op8_media": op8_media,
         "op10_fingerprints": op10_fingerprints,
     }
