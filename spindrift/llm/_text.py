@@ -14,6 +14,8 @@ import pyarrow as pa
 U64 = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Another table of blanks: all of ASCII but letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -72,14 +74,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def words(column: pa.Array) -> Words:
-    """All words of a column of texts."""
+def words(column: pa.Array, blank: np.ndarray = _BLANK) -> Words:
+    """All words of a column of texts; ``blank`` marks the bytes that are part of no word."""
     data, texts = raw(column)
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(data, texts, none, none, np.zeros(0, U64), np.zeros(len(texts), np.int64))
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     cut = texts[(texts > 0) & (texts < n)]
     before = np.empty(n, bool)
     before[0] = False

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lm_score, media, mixing, sentencepiece_bpe
+from . import fingerprints, langid, lm_score, media, mixing, sentencepiece_bpe, toxicity
 
 #: Where the public tokenizers lie; None: where the package public_tokenizers has them.
 TOKENIZERS: str | None = None
@@ -39,11 +39,23 @@ def id_remainder(by: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"), id_remainder(3) == 1)
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(id_remainder(7) == 2, F.lit(False))
     return lm_score.score_documents(table(spark, sf_dir, "documents"), held_out)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_remainder(5) != 0)
+    scored = toxicity.score_documents(docs, model)
+    held_out = F.coalesce(id_remainder(5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspect_media(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -57,7 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op4_mixing": op4_mixing,
+        "op5_language_id": op5_language_id,
         "op6_lm_score": op6_lm_score,
+        "op7_toxicity": op7_toxicity,
         "op8_media": op8_media,
         "op10_fingerprints": op10_fingerprints,
     }
