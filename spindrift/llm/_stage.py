@@ -19,5 +19,5 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder; a lost executor then costs no recomputing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spindrift-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,12 +25,15 @@ from ._text import U64, column, mix, pieces, words
 
 PARTS, LEVELS = 16, 8
 LOWER, UPPER = 1e-4, 0.05
+#: A term outside the lexicon is taken for one inside with probability (size of the lexicon) / 2**TERM_BITS.
+TERM_BITS = 40
 FLUSH = 1 << 22
 _HALF = U64(0xFFFFFFFF)
 
 
 def distinct_terms(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each text, and the number of the text of each."""
+    """Sorted distinct terms of each text, told apart by TERM_BITS bits, and the number of the text of each."""
+    hashes = hashes >> U64(64 - TERM_BITS)
     found = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     return (np.concatenate(found) if found else np.zeros(0, U64)), np.repeat(np.arange(len(found)), sizes)
