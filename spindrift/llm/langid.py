@@ -22,7 +22,7 @@ TRIGRAMS, WORDS = 1 << 16, 1 << 17
 #: Labelled documents that the tables are counted from, about, at most; languages at most.
 SAMPLE, MAX_LANGUAGES = 20_000, 64
 SWITCH, FLOOR = 12.0, 6.0
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, PIECE_BYTES = 8 << 20, 1 << 19
 #: Where the code points of a script begin (public Unicode block ranges); "-" has no letters of one script.
 SCRIPTS = [
     (0x0, "-"), (0x41, "Latin"), (0x5B, "-"), (0x61, "Latin"), (0x7B, "-"), (0xAA, "Latin"), (0xAB, "-"), (0xB5, "Latin"), (0xB6, "-"), (0xC0, "Latin"), (0xD7, "-"), (0xD8, "Latin"), (0xF7, "-"), (0xF8, "Latin"),
@@ -104,7 +104,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=PIECE_BYTES):
                 w = words(column(piece, "text"), PUNCTUATION)
                 tri, first, word, script = _features(w)
                 langs = np.array([place.get(x, -1) for x in column(piece, "lang").to_pylist()])
@@ -149,14 +149,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     operations. Ties keep the language, else the first in order.
     """
     n, languages = scores.shape
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     begin, length = first[:-1][order], length[order]
     if n == 0 or languages == 1:
         return out
     best = np.zeros((len(order), languages), np.float32)
-    came = np.zeros(n, np.int8)
+    came = np.zeros(n, np.int8)  # MAX_LANGUAGES fits
     stayed = np.zeros((n, languages), bool)
     alive = len(order) - np.searchsorted(length[::-1], np.arange(length[0]), "right")
     for t in range(length[0]):
@@ -180,15 +180,25 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     return out
 
 
-def label(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
-    """Language, score and spans (first byte, last byte + 1, language) of each text."""
-    w = words(texts, PUNCTUATION)
-    n = len(w.first) - 1
+def label(model: Model, batch: pa.RecordBatch, switch: float = SWITCH) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
+    """Language, score and spans (first byte, last byte + 1, language) of each text of a batch. Scores are
+    made for a piece of the batch at a time; only they are held for all of it."""
+    n = batch.num_rows
     if not model.languages:
         return ["und"] * n, np.zeros(n), [[] for _ in range(n)]
-    scores, size = word_scores(model, w)
-    path = viterbi(scores, w.first, switch)
-    owner, languages = w.owners(), len(model.languages)
+    parts, words_in, begins, ends = [], [0], [], []
+    for piece in pieces(batch, size=PIECE_BYTES):
+        w = words(column(piece, "text"), PUNCTUATION)
+        parts.append(word_scores(model, w))
+        base = w.texts[w.owners()]
+        begins.append((w.starts - base).astype(np.int32))
+        ends.append((w.ends - base).astype(np.int32))
+        words_in += np.diff(w.first).tolist()
+    scores, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    begin, end, first = np.concatenate(begins), np.concatenate(ends), np.cumsum(words_in)
+    del parts, begins, ends
+    path = viterbi(scores, first, switch)
+    owner, languages = np.repeat(np.arange(n), np.diff(first)), len(model.languages)
     letters = np.bincount(owner * languages + path, size, n * languages).reshape(n, languages)
     top = letters.argmax(1)
     total = letters.sum(1)
@@ -198,6 +208,7 @@ def label(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[s
     sure = 1 / np.exp(np.clip(sums - sums[np.arange(n), top][:, None], -50, 50)).sum(1)
     share = letters[np.arange(n), top] / np.maximum(total, 1)
     names = [model.languages[k] if t else "und" for k, t in zip(top, total, strict=True)]
+    texts = column(batch, "text")
     for i in np.flatnonzero(total == 0):
         # Letters outside the table of scripts still make a text one of some language: the commonest.
         if any(c.isalpha() for c in texts[int(i)].as_py() or ""):
@@ -205,8 +216,7 @@ def label(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[s
     turn = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])]) if len(path) else np.zeros(0, int)
     spans: list[list[tuple[int, int, str]]] = [[] for _ in range(n)]
     for a, b in zip(turn, np.append(turn[1:], len(path)), strict=True):
-        base = w.texts[owner[a]]
-        spans[owner[a]].append((int(w.starts[a] - base), int(w.ends[b - 1] - base), model.languages[path[a]]))
+        spans[owner[a]].append((int(begin[a]), int(end[b - 1]), model.languages[path[a]]))
     score = np.where([x == "und" for x in names], 0.0, np.clip(share * np.minimum(sure, 1.0), 0, 1))
     return names, score, spans
 
@@ -232,7 +242,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, keep: list[s
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             for piece in pieces(batch, size=SLICE_BYTES):
-                names, score, spans = label(shared.value, column(piece, "text"), switch)
+                names, score, spans = label(shared.value, piece, switch)
                 rows = pa.array([[{"begin": a, "end": b, "lang": x} for a, b, x in s] for s in spans], kind)
                 yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), pa.array(names, pa.string()), pa.array(score), rows, *(column(piece, x) for x in others)], ["doc_id", "lang_pred", "score", "spans", *others])
 
