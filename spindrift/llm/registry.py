@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, lm_score, media, mixing, ngram_join, sentencepiece_bpe, toxicity
+from . import fingerprints, langid, lm_score, media, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
 
 #: Where the public tokenizers lie; None: where the package public_tokenizers has them.
 TOKENIZERS: str | None = None
@@ -64,6 +64,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspect_media(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("masked")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fingerprints.edit_probe(docs, fingerprints.lexicon(docs))
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_lm_score": op6_lm_score,
         "op7_toxicity": op7_toxicity,
         "op8_media": op8_media,
+        "op9_secrets": op9_secrets,
         "op10_fingerprints": op10_fingerprints,
     }
 
