@@ -93,6 +93,20 @@ def mix_sources(docs: DataFrame, seed: str = "mix", max_repeats: int = 3, cycle:
     ).withColumns({"copies": F.greatest("copies", F.lit(0)), "taken": F.col("size") * F.greatest("copies", F.lit(0))})
 
 
+def mixed(docs: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
+    """The documents of the mix, with all their columns, each as often as mix_sources takes it.
+
+    Rows are matched by id, source and size, in which equal rows are taken equally often: by broadcast if
+    there are at most ``few`` of these, else by a shuffle.
+    """
+    taken = mix_sources(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies").distinct()
+    taken = written(taken.withColumnRenamed("copies", "__copies"))
+    taken = F.broadcast(taken) if taken.count() <= few else taken
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (word_count(F.col("text")) == F.col("__size"))
+    times = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__turn")
+    return docs.join(taken, same).select(*docs.columns, times).drop("__turn")
+
+
 def _cut(run: DataFrame) -> DataFrame:
     """One row: the last turn (finish, rank, number) that the budget, the sum of all sizes, still holds."""
     turns = run.select("size", F.explode("turns").alias("turn"))

@@ -386,10 +386,10 @@ def similar_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = S
     # Rows with one id and several texts stay, so that each text is seen.
     copies = copies.where("x = y and x <> doc_id").select(F.col("doc_id").alias("id"))
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    alone = _matching(texts, copies, "left_anti")
+    alone = matching(texts, copies, "left_anti")
     parts = _signed(alone, n, similar, buckets)
     groups = written(parts.groupBy("bucket").applyInArrow(_shared, "grp long, id long").distinct())
-    involved = written(_contents(_matching(texts, groups.select("id").distinct(), "left_semi"), n))
+    involved = written(_contents(matching(texts, groups.select("id").distinct(), "left_semi"), n))
     sketches = involved.select("id", "sketch")
     tried = written(_pivot_pairs(groups, PIVOTS))
     found = written(_verified(_passing(tried, sketches, similar), involved, similar))
@@ -408,7 +408,21 @@ def similar_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = S
     return linked.union(rest)
 
 
-def _matching(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def matching(texts: DataFrame, ids: DataFrame, how: str, on: str = "id") -> DataFrame:
     """Texts whose id is (or is not) among ids: by broadcast if there are at most FEW, else by a shuffle."""
     ids = written(ids)
-    return texts.join(F.broadcast(ids) if ids.count() <= FEW else ids, "id", how)
+    return texts.join(F.broadcast(ids) if ids.count() <= FEW else ids, on, how)
+
+
+def one_of_each(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The documents without those that are similar to one with a smaller id, through links of others too.
+
+    All columns stay. Of rows with one id the one with the least text stays; null ids are kept.
+    """
+    found = written(similar_components(docs, n, similar).where("doc_id is not null"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    single = matching(docs, gone.union(repeated).distinct(), "left_anti", "doc_id")
+    rows = matching(docs, repeated.join(gone, "doc_id", "left_anti"), "left_semi", "doc_id")
+    kept = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rows.columns), F.struct("text", F.xxhash64(*rows.columns))).alias("row")).select("row.*")
+    return single.unionByName(kept)

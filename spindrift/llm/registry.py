@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, lm_score, media, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
+from . import fingerprints, html_extract, langid, lm_score, media, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
 
 #: Where the public tokenizers lie; None: where the package public_tokenizers has them.
 TOKENIZERS: str | None = None
@@ -38,6 +38,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    extracted = html_extract.extract_pages(pages, html_extract.train(pages))
+    return extracted.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def id_remainder(by: int) -> Column:
     """crc32 of the doc_id as text, mod by; null ids count as remainder null."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_html_extract": op3_html_extract,
         "op4_mixing": op4_mixing,
         "op5_language_id": op5_language_id,
         "op6_lm_score": op6_lm_score,
