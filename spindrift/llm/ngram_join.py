@@ -12,16 +12,15 @@ deletion: 2) add up to more than H, at least one option holds. So each set is
 
 Candidates are then verified exactly on the sets themselves. Equal sets are joined first and count once.
 
-Links are needed for components only, so groups of many similar sets are not paired out: each group of sets
-with one signature is tried against a few of its members; only groups that still fall into several
-components afterwards are searched on, in blocks, for pairs across components.
+Links are needed for components only, so groups of many similar sets are not paired out: in each of a few
+turns every group of sets with one signature is tried against one of its members; only groups that still
+fall into several components afterwards are searched on, in blocks, for pairs across components.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,8 @@ EACH = 24
 SPARE = 0.08
 BUCKET_BYTES = 24_000_000
 SKETCH = 64
-PIVOTS = 2
+#: Turns in which groups are tried against one member each.
+PIVOTS = 3
 BLOCK = 1000
 #: A signature that so many sets of one task share leaves that task as rows instead of in its bucket.
 HOT = 200
@@ -328,13 +328,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
-def _pivot_pairs(groups: DataFrame, pivots: int) -> DataFrame:
-    """Each member of a group with a few members drawn from it by hash: (a, b), a < b, distinct."""
-    pairs = []
-    for k in range(pivots):
-        pivot = groups.groupBy("grp").agg(F.min_by("id", F.xxhash64("id", F.col("grp"), F.lit(k))).alias("p")) if k else groups.groupBy("grp").agg(F.min("id").alias("p"))
-        pairs.append(groups.join(pivot, "grp").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
-    return reduce(DataFrame.union, pairs).distinct()
+def _named(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(grp, id, component) of the groups that fall into several components."""
+    named = groups.join(labels, "id")
+    split = named.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("grp")
+    return named.join(split, "grp")
+
+
+def _pivot_pairs(named: DataFrame, turn: int) -> DataFrame:
+    """Each member of a group with one pivot in another component: (a, b), a < b, distinct. The pivot is the
+    member that comes first in an order of all ids, the same for all groups, so that similar groups have the
+    same pivot and a member meets few of them; each turn has another order."""
+    order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+    pivot = named.groupBy("grp").agg(F.min_by(F.struct("id", "component"), order).alias("p"))
+    pairs = named.join(pivot, "grp").where("component <> p.component")
+    return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (id, component) after joining components over edges (a, b) of ids."""
+    left = labels.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    right = labels.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    between = edges.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    renamed = components(between).withColumnRenamed("component", "joined").withColumnRenamed("id", "component")
+    return written(labels.join(renamed, "component", "left").select("id", F.coalesce("joined", "component").alias("component")))
 
 
 def _across(groups: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -391,18 +408,22 @@ def similar_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = S
     groups = written(parts.groupBy("bucket").applyInArrow(_shared, "grp long, id long").distinct())
     involved = written(_contents(matching(texts, groups.select("id").distinct(), "left_semi"), n))
     sketches = involved.select("id", "sketch")
-    tried = written(_pivot_pairs(groups, PIVOTS))
-    found = written(_verified(_passing(tried, sketches, similar), involved, similar))
-    joined = components(found)
-    named = groups.join(joined, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component"))
-    split = named.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
-    split = split.where("x <> y and members > 2").select("grp", "members")
-    more = _across(named.join(split, "grp").join(sketches, "id"), similar).join(tried, ["a", "b"], "left_anti")
-    more = written(_verified(more, involved, similar))
+    labels = written(involved.select("id", F.col("id").alias("component")).distinct())
+    tried = None
+    for turn in range(PIVOTS):
+        pairs = _pivot_pairs(_named(groups, labels), turn)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        labels = _merged(labels, written(_verified(_passing(pairs, sketches, similar), involved, similar)))
+    named = _named(groups, labels)
+    members = groups.join(named.select("grp").distinct(), "grp").groupBy("grp").agg(F.count("*").alias("members")).where("members > 2")
+    more = _across(named.join(members, "grp").join(sketches, "id"), similar).join(tried, ["a", "b"], "left_anti")
+    labels = _merged(labels, written(_verified(more, involved, similar)))
     # Sets that rows of one id have.
     together = placed.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("y")).where("a <> y").select("doc_id", "a")
     together = placed.join(together, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
-    final = components(found.union(more).union(together))
+    labels = placed.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    final = _merged(labels, together)
     linked = placed.select("doc_id", "size", "id").join(final, "id", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     rest = sets.where("size = 0 or doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(rest)
