@@ -13,6 +13,7 @@ strongest thinning at which most parts still hold a term.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import written
 from ._text import U64, column, mix, pieces, words
 
 PARTS, LEVELS = 16, 8
@@ -28,6 +28,8 @@ LOWER, UPPER = 1e-4, 0.05
 #: A term outside the lexicon is taken for one inside with probability (size of the lexicon) / 2**TERM_BITS.
 TERM_BITS = 40
 FLUSH = 1 << 22
+#: Characters of a range of documents that are walked in order, and cells that the ids are cut into at most.
+PLACE_CHARS, CELLS = 4_000_000, 1 << 17
 _HALF = U64(0xFFFFFFFF)
 
 
@@ -128,7 +130,6 @@ def _texts(found: np.ndarray) -> list[str]:
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_OPEN = ", place int, side int, text string"
 
 
 def fingerprint(docs: DataFrame, lex: np.ndarray) -> DataFrame:
@@ -164,57 +165,60 @@ def _compare(ids: list, texts: list[str], after: list[str], lex: np.ndarray) ->
     ]
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Adds ``place``: consecutive ranges of doc_id with about PLACE_CHARS characters each; null ids come first.
+
+    The ids' span is cut into equal cells, and cells are joined to places by their running sums, so ids need
+    not be evenly spread. At most CELLS cells are broadcast."""
+    size = F.coalesce(F.length("text"), F.lit(0)) + 1
+    seen = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.coalesce(F.sum(size), F.lit(0)).alias("chars")).first()
+    lo, hi = seen["lo"] or 0, seen["hi"] or 0
+    places = max(1, min(CELLS // 16, math.ceil(seen["chars"] / PLACE_CHARS)))
+    width = max(1, math.ceil((hi - lo + 1) / (16 * places)))
+    rows = docs.select("doc_id", "text", F.coalesce(F.expr(f"cast((doc_id - {lo}L) div {width}L as int)"), F.lit(-1)).alias("cell"))
+    along = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("cell").agg(F.sum(size).alias("chars"))
+    cells = cells.select("cell", F.floor(F.coalesce(F.sum("chars").over(along), F.lit(0)) / max(1.0, seen["chars"] / places)).cast("int").alias("place"))
+    return rows.join(F.broadcast(cells), "cell").drop("cell")
+
+
 def edit_probe(docs: DataFrame, lex: np.ndarray) -> DataFrame:
     """How well fingerprints stand an edit: SCHEMA, one row per row of docs (doc_id, text).
 
     The next document is the next in ascending doc_id, after the last the first; null ids come first, equal
     ids in the order of their texts. Null text is empty. A single document follows itself.
 
-    Documents are put in ranges of doc_id and walked in order inside each; a range's last document finds its
-    next at the head of the following range. Only first and last documents of ranges travel for that.
+    Documents are put in consecutive ranges of doc_id and walked in order inside each. The last document of a
+    range meets the first of the next one apart from these: only first and last documents of ranges, found by
+    an aggregate, travel for that.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lex)
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        place = TaskContext.get().partitionId()
-        names = [*(x.split()[0] for x in SCHEMA.split(", ")), "place", "side", "text"]
-        nothing = [pa.nulls(1, pa.string()) for _ in range(3)]
-
-        def loose(doc_id, text: str, side: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([doc_id], pa.int64()), pa.nulls(1, pa.int64()), *nothing, pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), pa.array([place], pa.int32()), pa.array([side], pa.int32()), pa.array([text], pa.string())], names)
-
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             for piece in pieces(batch):
-                ids, texts = column(piece, "doc_id").to_pylist(), [t or "" for t in column(piece, "text").to_pylist()]
-                if held is None:
-                    yield loose(ids[0], texts[0], 0)
-                else:
-                    ids, texts = [held[0], *ids], [held[1], *texts]
-                held = ids[-1], texts[-1]
-                if len(ids) > 1:
-                    done = _compare(ids[:-1], texts[:-1], texts[1:], shared.value)
-                    n = len(ids) - 1
-                    yield pa.RecordBatch.from_arrays([*done, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
-        if held is not None:
-            yield loose(*held, 1)
-
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    walked = written(ranged.mapInArrow(run, SCHEMA + _OPEN))
-    # Two rows per range of documents.
-    loose = walked.where("side is not null").select("doc_id", "text", "place", "side")
-    in_order = Window.partitionBy(F.lit(0)).orderBy("place", "side")
-    first = F.first("text").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ends = loose.withColumn("after", F.coalesce(F.lead("text").over(in_order), first)).where("side = 1")
+                ids, texts, places = column(piece, "doc_id").to_pylist(), [t or "" for t in column(piece, "text").to_pylist()], column(piece, "place").to_pylist()
+                if held is not None:
+                    ids, texts, places = [held[0], *ids], [held[1], *texts], [held[2], *places]
+                held = ids[-1], texts[-1], places[-1]
+                inner = [k for k in range(len(ids) - 1) if places[k] == places[k + 1]]
+                if inner:
+                    yield pa.RecordBatch.from_arrays(_compare([ids[k] for k in inner], [texts[k] for k in inner], [texts[k + 1] for k in inner], shared.value), names)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(_compare(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), column(batch, "after").to_pylist(), shared.value), names)
-
-    done = walked.where("side is null").select(*(x.split()[0] for x in SCHEMA.split(", ")))
-    return done.unionByName(ends.select("doc_id", "text", "after").mapInArrow(close, SCHEMA))
+            for piece in pieces(batch):
+                yield pa.RecordBatch.from_arrays(_compare(column(piece, "doc_id").to_pylist(), column(piece, "text").to_pylist(), column(piece, "after").to_pylist(), shared.value), names)
+
+    placed = _placed(docs)
+    in_order = [F.col("place"), F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")).asc()]
+    inner = placed.repartitionByRange("place").sortWithinPartitions(*in_order).mapInArrow(walk, SCHEMA)
+    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    ends = placed.groupBy("place").agg(F.min(key).alias("first"), F.max(F.struct(key.alias("k"), "doc_id")).alias("last"))
+    # One row per range.
+    along = Window.partitionBy(F.lit(0)).orderBy("place")
+    start = F.first("first.t").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = ends.select(F.col("last.doc_id").alias("doc_id"), F.col("last.k.t").alias("text"), F.coalesce(F.lead("first.t").over(along), start).alias("after"))
+    return inner.unionByName(last.mapInArrow(close, SCHEMA))
