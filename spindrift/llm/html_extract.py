@@ -306,7 +306,12 @@ def train_on(pages: list[str], layouts: int = LAYOUTS) -> Trees:
 
 def train(pages: DataFrame, sample: int = SAMPLE, longest: int = 50_000) -> Trees:
     """Trees from about ``sample`` pages, drawn by a hash of the html, of at most ``longest`` characters each."""
-    fit = pages.where(F.length("html").between(1, longest)).select("html", F.xxhash64("html").alias("draw")).orderBy("draw").limit(sample)
+    fit = pages.where(F.length("html").between(1, longest)).select("html", F.xxhash64("html").alias("draw"))
+    total = fit.count()
+    if total > 2 * sample:
+        # About twice as many as needed are put in order, however many there are.
+        fit = fit.where(F.pmod("draw", F.lit(1 << 40)) < int(2 * sample / total * (1 << 40)))
+    fit = fit.orderBy("draw").limit(sample)
     return train_on([r["html"] for r in fit.collect()])
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._text import PUNCTUATION, U64, Words, column, pieces, words
 
 BUCKETS = 1 << 20
-#: Labelled documents to learn from at most, the first by a hash of the id.
+#: Labelled documents to learn from, about, at most; kept by a hash of the id.
 SAMPLE = 50_000
 PRIOR, CLEAR, CAP = 200.0, 3.0, 8.0
 #: A segment counts as significant if clean texts of its length have one as high with this probability.
@@ -139,12 +139,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     """Model from documents (doc_id, text) and labels (doc_id, toxic 0 or 1) of ids for which ``learn`` holds.
 
     Null labels, ids and texts are not used; of several labels of an id the highest counts. Three quarters of
-    at most ``sample`` labelled documents give the token scores, the rest the calibration. Without labels of
+    about ``sample`` labelled documents at most give the token scores, the rest the calibration. Without labels of
     both kinds every score is that of a clean text.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw").limit(sample)
-    # At most ``sample`` small rows are broadcast.
+    known = known.withColumn("draw", F.xxhash64("doc_id"))
+    total = known.count()
+    if total > sample:
+        known = known.where(F.pmod("draw", F.lit(1 << 40)) < int(sample / total * (1 << 40)))
+    # About ``sample`` small rows are broadcast.
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
     fit = F.pmod("draw", F.lit(4)) != 0
     model = Model(log_odds(_counts(rows.where(fit).dropDuplicates(["text"]))))
