@@ -24,9 +24,9 @@ def _first(column: str, marks: list[str]) -> str:
     return "case " + " ".join(f"when contains({column}, '{m}') then '{m}'" for m in marks) + " end"
 
 
-@query("select source_name, external_id, title, employer, location, cast(published_at as date) as day from listing")
+@query("select source_name, external_id, title, employer, location, strftime(published_at, '%Y-%m-%d') as day from listing")
 def scan_listings(t: Tables) -> DataFrame:
-    return t.listing.select("source_name", "external_id", "title", "employer", "location", F.col("published_at").cast("date").alias("day"))
+    return t.listing.select("source_name", "external_id", "title", "employer", "location", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
 
 
 @query("select page_id, url, length(html) as n from pages where html like '%<article%'")
@@ -261,3 +261,363 @@ def lane_quota_rank(t: Tables) -> DataFrame:
     # Only transferable_duty (6) and then exploration (2) hold rows here, and both hold the same ones.
     scored = scoring.match_scores(scoring.term_matches(t.job, _keywords(t)))
     return scoring.lane_quota_order(scored)
+
+
+@query("""with keyed as (select *, concat_ws('|', """ + ", ".join(_NORM.format(c) for c in ("title", "employer", "location")) + """, strftime(published_at, '%Y-%m-%d')) as k from job),
+  pairs as (select a.job_id, min(b.job_id) as twin from keyed a join keyed b on a.k = b.k and a.source_id <> b.source_id and b.status = 'active' group by a.job_id)
+  select job_id, twin from pairs""")
+def cross_source_dedupe(t: Tables) -> DataFrame:
+    keyed = t.job.withColumn("k", state.dedupe_key(t.job, T.normalized)).select("job_id", "source_id", "status", "k")
+    others = keyed.where("status = 'active'").select("k", F.col("job_id").alias("twin"), F.col("source_id").alias("of"))
+    # Two least ids of different sources per key answer for every source, so copies are not paired out.
+    least = others.groupBy("k", "of").agg(F.min("twin").alias("twin")).groupBy("k").agg(F.min(F.struct("twin", "of")).alias("one"), F.collect_list(F.struct("twin", "of")).alias("all"))
+    second = F.array_min(F.filter("all", lambda x: x["of"] != F.col("one.of")))
+    least = least.select("k", "one", second.alias("two"))
+    twin = F.when(F.col("source_id") != F.col("one.of"), F.col("one.twin")).otherwise(F.col("two.twin"))
+    return keyed.join(least, "k").select("job_id", twin.alias("twin")).where("twin is not null")
+
+
+@query("""with g as (select n_chars % 200 as k, title, employer, location from listing)
+  select k, arg_min(trim(title), (-length(trim(title)), trim(title))) as title, arg_min(trim(employer), (-length(trim(employer)), trim(employer))) as employer,
+    arg_min(trim(location), (-length(trim(location)), trim(location))) as location from g group by k""")
+def canonical_merge(t: Tables) -> DataFrame:
+    return state.canonical(t.listing.withColumn("k", F.col("n_chars") % 200), "k", "title", "employer", "location")
+
+
+@query("select job_id, r.source_name, count(*) as n from job r join source_dim s using (source_id) where s.enabled group by all")
+def job_occurrences(t: Tables) -> DataFrame:
+    return t.job.join(t.source_dim.where("enabled").select("source_id"), "source_id").groupBy("job_id", "source_name").agg(F.count("*").alias("n"))
+
+
+@query("select r.rec_id, j.title, f.rating from rec r join job j using (job_id) left join (select job_id, profile_id, max(rating) as rating from feedback group by all) f on f.job_id = r.job_id and f.profile_id = r.profile_id")
+def recs_with_reviews(t: Tables) -> DataFrame:
+    given = t.feedback.groupBy("job_id", "profile_id").agg(F.max("rating").alias("rating"))
+    return t.rec.join(t.job.select("job_id", "title"), "job_id").join(given, ["job_id", "profile_id"], "left").select("rec_id", "title", "rating")
+
+
+@query("select job_id from job j where status = 'active' and exists (select 1 from source_dim s where s.source_id = j.source_id and s.enabled)")
+def visible_jobs(t: Tables) -> DataFrame:
+    return t.job.where("status = 'active'").join(t.source_dim.where("enabled"), "source_id", "left_semi").select("job_id")
+
+
+@query("select job_id from job j where not exists (select 1 from feedback f where f.job_id = j.job_id and f.rating <= 1)")
+def unretrieved_jobs(t: Tables) -> DataFrame:
+    return t.job.join(t.feedback.where("rating <= 1").select("job_id"), "job_id", "left_anti").select("job_id")
+
+
+@query("""with e as (select title, source_name, doc_id, published_at from listing) select title, string_agg(distinct source_name, ',' order by source_name) as sources, arg_max(doc_id, published_at) as latest
+  from (select title, source_name, doc_id, published_at + to_microseconds(doc_id) as published_at from e) group by title""")
+def display_source(t: Tables) -> DataFrame:
+    return t.listing.groupBy("title").agg(F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("sources"), F.max_by("doc_id", F.struct("published_at", "doc_id")).alias("latest"))
+
+
+@query("select c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as last_order, count(*) as n from customer join orders on c_custkey = o_custkey group by c_custkey")
+def latest_per_group(t: Tables) -> DataFrame:
+    last = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"), F.count("*").alias("n"))
+    return t.customer.select("c_custkey").join(last, "c_custkey")
+
+
+@query("""with q as (select list(x order by i) as v from (select i, avg(x) as x from (select unnest(range(64)) as i, unnest(embedding) as x from embeddings where label = 0) group by i)),
+  s as (select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * v[i])) / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) * list_sum(list_transform(v, lambda x: x * x))), 4) as sim from embeddings, q)
+  select * from s order by sim desc, vec_id limit 25""")
+def semantic_topk(t: Tables) -> DataFrame:
+    q = scoring.centroids(t.embeddings.where("label = 0").withColumn("one", F.lit(1)), "one").select(F.col("centroid").alias("q"))
+    # One row: the query vector.
+    sim = F.round(scoring.cosine(F.col("embedding"), F.col("q")), 4)
+    return t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", sim.alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(25)
+
+
+@query("""with c as (select label, unnest(range(64)) as i, unnest(embedding)::double as x from embeddings), m as (select label, i, avg(x) as x, count(*) as n from c group by all)
+  select label, max(n) as n, round(sum(x), 4) as total, round(sum(x * i), 4) as moment from m group by label having max(n) >= 3""")
+def centroids(t: Tables) -> DataFrame:
+    made = scoring.centroids(t.embeddings, "label")
+    cells = made.select("label", "n", F.posexplode("centroid").alias("i", "x"))
+    return cells.groupBy("label").agg(F.max("n").alias("n"), F.round(F.sum("x"), 4).alias("total"), F.round(F.sum(F.col("x") * F.col("i")), 4).alias("moment"))
+
+
+@query("select job_id from job where job_id not in (select vec_id from embeddings)")
+def missing_vectors(t: Tables) -> DataFrame:
+    return t.job.join(t.embeddings.select(F.col("vec_id").alias("job_id")), "job_id", "left_anti").select("job_id")
+
+
+_ORDER = "order by case action when 'apply' then 0 when 'consider' then 1 else 2 end, review_score desc nulls last, machine_score desc, rec_id"
+
+
+@query(f"""select rec_id, row_number() over (partition by profile_id {_ORDER})::int as nationwide,
+  case when commutable then row_number() over (partition by profile_id, commutable {_ORDER})::int end as commute,
+  case when commutable or remote then row_number() over (partition by profile_id, commutable or remote {_ORDER})::int end as commute_or_remote from rec""")
+def rank_trio(t: Tables) -> DataFrame:
+    action = F.when(F.col("action") == "apply", 0).when(F.col("action") == "consider", 1).otherwise(2)
+    flags = {"nationwide": F.lit(True), "commute": F.col("commutable"), "commute_or_remote": F.col("commutable") | F.col("remote")}
+    ranked = state.ranks_within(t.rec, "profile_id", flags, action, F.desc_nulls_last("review_score"), F.desc("machine_score"), F.col("rec_id"))
+    return ranked.select("rec_id", *flags)
+
+
+@query("select rec_id, profile_id from rec where action <> 'skip' and machine_score >= 40 and not hard_rejected and review_score is not null")
+def publication_gate(t: Tables) -> DataFrame:
+    return t.rec.where("action <> 'skip' and machine_score >= 40 and not hard_rejected and review_score is not null").select("rec_id", "profile_id")
+
+
+@query("""select r.rec_id from rec r join job j using (job_id) where not r.hard_rejected and j.status = 'active' and exists (select 1 from source_dim s where s.source_id = j.source_id and s.enabled)
+  and not exists (select 1 from feedback f where f.job_id = r.job_id and f.profile_id = r.profile_id and f.rating <= 1) and (j.expires_at is null or j.expires_at >= timestamp '2024-03-20')""")
+def structural_eligibility(t: Tables) -> DataFrame:
+    open_ = t.job.where((F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") >= AS_OF))).join(t.source_dim.where("enabled"), "source_id", "left_semi")
+    hidden = t.feedback.where("rating <= 1").select("job_id", "profile_id")
+    return t.rec.where("not hard_rejected").join(open_.select("job_id"), "job_id", "left_semi").join(hidden, ["job_id", "profile_id"], "left_anti").select("rec_id")
+
+
+@query("select profile_id, count(*) as total, count(*) filter (where commutable) as commutable, greatest(0, count(*) filter (where commutable or remote) - count(*) filter (where commutable)) as remote_only, greatest(0, count(*) - count(*) filter (where commutable or remote)) as elsewhere from rec group by profile_id")
+def scope_counts(t: Tables) -> DataFrame:
+    near, either = F.count_if("commutable"), F.count_if(F.col("commutable") | F.col("remote"))
+    zero = F.lit(0)
+    return t.rec.groupBy("profile_id").agg(F.count("*").alias("total"), near.alias("commutable"), F.greatest(zero, either - near).alias("remote_only"), F.greatest(zero, F.count("*") - either).alias("elsewhere"))
+
+
+@query(f"select rec_id, place from (select rec_id, row_number() over (partition by profile_id {_ORDER})::int as place from rec where commutable or remote) where place between 11 and 30")
+def scope_lists(t: Tables) -> DataFrame:
+    action = F.when(F.col("action") == "apply", 0).when(F.col("action") == "consider", 1).otherwise(2)
+    order = Window.partitionBy("profile_id").orderBy(action, F.desc_nulls_last("review_score"), F.desc("machine_score"), "rec_id")
+    return t.rec.where("commutable or remote").select("rec_id", F.row_number().over(order).alias("place")).where("place between 11 and 30")
+
+
+@query("select status, count(*) as n from job group by status")
+def status_counts(t: Tables) -> DataFrame:
+    return t.job.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""select s.source_id, count(j.job_id) as listings, count(j.job_id) filter (where j.expires_at is null) as no_deadline, count(distinct j.employer) filter (where j.status = 'active') as employers
+  from source_dim s left join (select * from job where n_chars % 3 = 0) j using (source_id) group by s.source_id""")
+def source_inventory(t: Tables) -> DataFrame:
+    rows = t.source_dim.select("source_id").join(t.job.where("n_chars % 3 = 0"), "source_id", "left")
+    return rows.groupBy("source_id").agg(F.count("job_id").alias("listings"), F.count_if(F.col("job_id").isNotNull() & F.col("expires_at").isNull()).alias("no_deadline"), F.count_distinct(F.when(F.col("status") == "active", F.col("employer"))).alias("employers"))
+
+
+@query("select user_id as source_id, count(*) filter (where upper(event_type) = 'ERROR') as errors, count(*) filter (where upper(event_type) = 'CLICK') as warnings from events where ts >= timestamp '2024-01-15' - interval 7 day and ts < timestamp '2024-01-15' group by user_id")
+def event_window_counts(t: Tables) -> DataFrame:
+    end = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    rows = t.events.where((F.col("ts") >= end - F.expr("make_dt_interval(7)")) & (F.col("ts") < end))
+    level = F.upper("event_type")
+    return rows.groupBy(F.col("user_id").alias("source_id")).agg(F.count_if(level == "ERROR").alias("errors"), F.count_if(level == "CLICK").alias("warnings"))
+
+
+@query("select count(*) as n, count(*) filter (where trim(coalesce(title, '')) = '') as no_title, count(*) filter (where length(description) < 200) as short, count(*) filter (where location like '%Etä%') as remote, count(*) filter (where expires_at is null) as no_deadline from job")
+def catalog_audit(t: Tables) -> DataFrame:
+    return t.job.agg(
+        F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("title", F.lit(""))) == "").alias("no_title"), F.count_if(F.length("description") < 200).alias("short"),
+        F.count_if(F.contains("location", F.lit("Etä"))).alias("remote"), F.count_if(F.col("expires_at").isNull()).alias("no_deadline"))
+
+
+@query("select role, count(*) as calls, cast(coalesce(sum(length(text)), 0) as bigint) as chars, count(*) filter (where text is not null) as with_text from conversations group by role")
+def usage_totals(t: Tables) -> DataFrame:
+    return t.conversations.groupBy("role").agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"), F.count("text").alias("with_text"))
+
+
+_WEIGHT = """(case when applied then 1.5 when rating >= 4 then 1.0 when rating = 3 then 0.25 else -1.0 end)::double
+  * power(0.5::double, (case when applied then 0.5 else 1 end) * greatest(0.0, date_diff('microsecond', created_at, timestamp '2024-04-01') / 86400000000.0) / 60.0)"""
+
+
+@query(f"""with w as (select f.job_id, {_WEIGHT} as weight, j.employer from feedback f join job j using (job_id))
+  select employer, round(sum(weight), 4) as net, count(distinct job_id) as jobs from w group by employer""")
+def decayed_terms(t: Tables) -> DataFrame:
+    weighed = scoring.decayed_weights(t.feedback, F.lit("2024-04-01 00:00:00").cast("timestamp_ntz"))
+    rows = weighed.join(t.job.select("job_id", "employer"), "job_id")
+    return rows.groupBy("employer").agg(F.round(F.sum("weight"), 4).alias("net"), F.count_distinct("job_id").alias("jobs"))
+
+
+@query("select employer, n from (select j.employer, count(distinct f.feedback_id) as n, (select count(*) from feedback) as total from feedback f join job j using (job_id) group by j.employer) where n * 1.0 / total <= 0.03")
+def df_cap(t: Tables) -> DataFrame:
+    total = t.feedback.agg(F.count("*").alias("total"))
+    n = t.feedback.join(t.job.select("job_id", "employer"), "job_id").groupBy("employer").agg(F.count_distinct("feedback_id").alias("n"))
+    return n.crossJoin(F.broadcast(total)).where("n / total <= 0.03").select("employer", "n")
+
+
+_WILSON = "round(greatest(0.0, (k * 1.0 / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k * 1.0 / n * (1 - k * 1.0 / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 3)"
+
+
+@query(f"with c as (select d.lang as stratum, count(*) filter (where l.quality = 1) as k, count(*) as n from labels l join documents d using (doc_id) group by d.lang) select stratum, k, n, {_WILSON} as lo, {_WILSON.replace('greatest(0.0', 'least(1.0').replace('- 1.96 * sqrt', '+ 1.96 * sqrt')} as hi from c")
+def wilson_interval(t: Tables) -> DataFrame:
+    counts = t.labels.join(t.documents.select("doc_id", F.col("lang").alias("stratum")), "doc_id").groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count("*").alias("n"))
+    return counts.withColumn("w", scoring.wilson(F.col("k"), F.col("n"))).select("stratum", "k", "n", "w.lo", "w.hi")
+
+
+@query("""with s as (select d.lang as stratum, l.quality = 1 as relevant, r.rec_id is not null as retrieved, coalesce(not r.hard_rejected, false) as eligible, coalesce(r.review_score is not null, false) as reviewed, coalesce(r.action <> 'skip' and r.machine_score >= 40, false) as published
+    from labels l join documents d using (doc_id) left join rec r on r.job_id = l.doc_id),
+  x as (select stratum, relevant, unnest(['retrieved', 'eligible', 'reviewed', 'published']) as stage, unnest([retrieved, eligible, reviewed, published]) as hit from s)
+  select stratum, stage, count(*) filter (where relevant) as positives, count(*) filter (where relevant and hit) as found, round(count(*) filter (where relevant and hit) * 1.0 / nullif(count(*) filter (where relevant), 0), 3) as recall from x group by all""")
+def labelled_metrics(t: Tables) -> DataFrame:
+    rows = t.labels.join(t.documents.select("doc_id", F.col("lang").alias("stratum")), "doc_id").join(t.rec, F.col("job_id") == F.col("doc_id"), "left")
+    rows = rows.select("stratum", (F.col("quality") == 1).alias("relevant"), F.col("rec_id").isNotNull().alias("retrieved"), (~F.col("hard_rejected")).alias("eligible"), (F.col("rec_id").isNotNull() & F.col("review_score").isNotNull()).alias("reviewed"),
+                       ((F.col("action") != "skip") & (F.col("machine_score") >= 40)).alias("published"))
+    long = rows.unpivot(["stratum", "relevant"], ["retrieved", "eligible", "reviewed", "published"], "stage", "hit")
+    positives, found = F.count_if("relevant"), F.count_if(F.col("relevant") & F.coalesce("hit", F.lit(False)))
+    return long.groupBy("stratum", "stage").agg(positives.alias("positives"), found.alias("found"), F.round(F.try_divide(found, positives), 3).alias("recall"))
+
+
+@query("""select profile_id, round(count(*) filter (where rating >= 4 and rank <= 30) * 1.0 / nullif(count(*) filter (where rating >= 4), 0), 3) as recall_30, round(count(*) filter (where rating <= 2 and rank <= 30) * 1.0 / nullif(count(*) filter (where rank <= 30), 0), 3) as negative_30
+  from (select profile_id, rating, row_number() over (partition by profile_id order by created_at, feedback_id) as rank from feedback) group by profile_id""")
+def feedback_benchmark(t: Tables) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("profile_id").orderBy("created_at", "feedback_id"))
+    rows = t.feedback.withColumn("rank", rank)
+    good, top = F.col("rating") >= 4, F.col("rank") <= 30
+    return rows.groupBy("profile_id").agg(F.round(F.try_divide(F.count_if(good & top), F.count_if(good)), 3).alias("recall_30"), F.round(F.try_divide(F.count_if((F.col("rating") <= 2) & top), F.count_if(top)), 3).alias("negative_30"))
+
+
+@query("select rec_id, sum(case when commutable then 1 else 0 end) over (partition by profile_id order by machine_score desc, rec_id rows unbounded preceding)::bigint as place from rec where commutable")
+def running_ranks(t: Tables) -> DataFrame:
+    along = Window.partitionBy("profile_id").orderBy(F.desc("machine_score"), "rec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.rec.where("commutable").select("rec_id", F.sum(F.col("commutable").cast("int")).over(along).alias("place"))
+
+
+@query("select title, source_id, doc_id from (select title, source_id, doc_id, row_number() over (partition by title order by source_id % 5, published_at desc, doc_id) as r from listing) where r = 1")
+def distinct_on(t: Tables) -> DataFrame:
+    best = t.listing.groupBy("title").agg(F.min_by(F.struct("source_id", "doc_id"), F.struct(F.col("source_id") % 5, -F.unix_micros(F.col("published_at").cast("timestamp")), "doc_id")).alias("b"))
+    return best.select("title", "b.source_id", "b.doc_id")
+
+
+@query("""with i as (select *, sum(case when outcome = 'classified' then 1 else 0 end) over (partition by source_id order by ts, event_id rows unbounded preceding) as island from scan),
+  m as (select *, sum(case when outcome = 'missing' then 1 else 0 end) over (partition by source_id, island order by ts, event_id rows unbounded preceding)::bigint as misses from i)
+  select event_id, source_id, misses, case when misses >= 3 then 'closed' when outcome = 'classified' then 'classified' else 'pending' end as state from m""")
+def scan_state_batch(t: Tables) -> DataFrame:
+    return state.miss_runs(t.scan).select("event_id", "source_id", "misses", "state")
+
+
+@query("select source_id, count(*) as frontier, count(*) filter (where outcome = 'classified') as classified, count(*) filter (where outcome <> 'classified') as pending, bool_and(outcome = 'classified') as drained from scan group by source_id")
+def scan_progress(t: Tables) -> DataFrame:
+    done = F.col("outcome") == "classified"
+    return t.scan.groupBy("source_id").agg(F.count("*").alias("frontier"), F.count_if(done).alias("classified"), F.count_if(~done).alias("pending"), F.bool_and(done).alias("drained"))
+
+
+@query("select count(*) as n, count(*) filter (where outcome <> 'classified') as open, round(date_diff('microsecond', min(ts) filter (where outcome <> 'classified'), timestamp '2024-04-01') / 3600000000.0, 1) as oldest_hours from scan")
+def scan_backlog(t: Tables) -> DataFrame:
+    open_ = F.col("outcome") != "classified"
+    hours = F.timestamp_diff("MICROSECOND", F.min(F.when(open_, F.col("ts"))), F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")) / 3_600_000_000.0
+    return t.scan.agg(F.count("*").alias("n"), F.count_if(open_).alias("open"), F.round(hours, 1).alias("oldest_hours"))
+
+
+@query("select event_id from (select event_id, row_number() over (partition by source_id order by ts desc nulls last, event_id) as r from scan where outcome <> 'classified') where r <= 3")
+def scan_claim(t: Tables) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc_nulls_last("ts"), "event_id"))
+    return t.scan.where("outcome <> 'classified'").withColumn("r", place).where("r <= 3").select("event_id")
+
+
+@query("""with m as (select url as external_id, page_id % 50 as lastmod, case page_id % 4 when 0 then 'closed' when 1 then 'classified' when 2 then 'absent' else 'pending' end as state from pages where page_id % 3 <> 0 and page_id < 10000000),
+  e as (select url as external_id, page_id % 50 + (page_id % 2) as lastmod from pages where page_id % 5 <> 0)
+  select coalesce(e.external_id, m.external_id) as external_id, coalesce(e.lastmod, m.lastmod) as lastmod,
+    case when e.external_id is null then 'absent' when m.state is null or m.state in ('closed', 'absent') or m.lastmod is distinct from e.lastmod then 'pending' else m.state end as state
+  from (select distinct on (external_id) * from m order by external_id, lastmod, state) m full join (select external_id, max(lastmod) as lastmod from e group by 1) e on e.external_id = m.external_id""")
+def frontier_sync(t: Tables) -> DataFrame:
+    kind = F.when(F.col("page_id") % 4 == 0, "closed").when(F.col("page_id") % 4 == 1, "classified").when(F.col("page_id") % 4 == 2, "absent").otherwise("pending")
+    members = t.pages.where("page_id % 3 <> 0").select(F.col("url").alias("external_id"), (F.col("page_id") % 50).alias("lastmod"), kind.alias("state"))
+    members = members.groupBy("external_id").agg(F.min(F.struct("lastmod", "state")).alias("m")).select("external_id", "m.*")
+    entries = t.pages.where("page_id % 5 <> 0").groupBy(F.col("url").alias("external_id")).agg(F.max(F.col("page_id") % 50 + F.col("page_id") % 2).alias("lastmod"))
+    return state.frontier_changes(entries, members)
+
+
+@query("""with m as (select url, page_id % 7 as lastmod, page_id from pages) select regexp_extract(url, '/(\\d+)', 1) as external_id, max(lastmod) as lastmod, arg_max(url, (lastmod, url)) as url from m group by 1""")
+def frontier_merge(t: Tables) -> DataFrame:
+    rows = t.pages.select(F.regexp_extract("url", r"/(\d+)", 1).alias("external_id"), (F.col("page_id") % 7).alias("lastmod"), "url")
+    return rows.groupBy("external_id").agg(F.max("lastmod").alias("lastmod"), F.max_by("url", F.struct("lastmod", "url")).alias("url"))
+
+
+@query("""with s as (select *, sha256(concat_ws('|', title, employer, location)) as hash, concat_ws('|', """ + ", ".join(_NORM.format(c) for c in ("title", "employer", "location")) + """, strftime(published_at, '%Y-%m-%d')) as k from job),
+  old as (select * from s where job_id % 2 = 0), inc as (select source_id, external_id, k, case when job_id % 10 = 4 then 'changed' else hash end as hash from s where job_id % 5 <> 0),
+  first as (select k, min(job_id) as j, min(source_id) as lo, max(source_id) as hi from old group by k)
+  select i.source_id, i.external_id, case when o.job_id is not null then (case when o.hash = i.hash then 'unchanged' else 'updated' end) when f.k is not null and (f.lo <> i.source_id or f.hi <> i.source_id) then 'deduplicated' else 'inserted' end as outcome,
+    coalesce(o.job_id, case when f.lo <> i.source_id or f.hi <> i.source_id then f.j end) as job_id
+  from inc i left join old o on o.source_id = i.source_id and o.external_id = i.external_id left join first f on f.k = i.k""")
+def upsert_outcomes(t: Tables) -> DataFrame:
+    rows = t.job.withColumns({"hash": F.sha2(F.concat_ws("|", "title", "employer", "location"), 256), "dedupe_key": state.dedupe_key(t.job, T.normalized)})
+    old = rows.where("job_id % 2 = 0").select("source_id", "external_id", "hash", "dedupe_key", "job_id")
+    new = rows.where("job_id % 5 <> 0").select("source_id", "external_id", "dedupe_key", F.when(F.col("job_id") % 10 == 4, "changed").otherwise(F.col("hash")).alias("hash"))
+    return state.upsert_outcomes(new, old).select("source_id", "external_id", "outcome", "job_id")
+
+
+@query("select job_id, published_at from job order by published_at desc nulls last, job_id limit 100")
+def recent_jobs(t: Tables) -> DataFrame:
+    return t.job.select("job_id", "published_at").orderBy(F.desc_nulls_last("published_at"), "job_id").limit(100)
+
+
+@query("select job_id, title from job order by published_at desc nulls last, job_id limit 25 offset 50")
+def catalog_page(t: Tables) -> DataFrame:
+    return t.job.orderBy(F.desc_nulls_last("published_at"), "job_id").offset(50).limit(25).select("job_id", "title")
+
+
+@query("""with recent as (select job_id, 0 as pool from (select job_id from job order by published_at desc nulls last, job_id limit 200)), near as (select job_id, 1 from job where location like '%Oulu%'), far as (select job_id, 2 from job where location like '%Etä%')
+  select job_id, cast(min(pool) as int) as pool from (select * from recent union all select * from near union all select * from far) group by job_id""")
+def candidate_pool(t: Tables) -> DataFrame:
+    recent = t.job.orderBy(F.desc_nulls_last("published_at"), "job_id").limit(200).select("job_id", F.lit(0).alias("pool"))
+    near = t.job.where(F.contains("location", F.lit("Oulu"))).select("job_id", F.lit(1).alias("pool"))
+    far = t.job.where(F.contains("location", F.lit("Etä"))).select("job_id", F.lit(2).alias("pool"))
+    return recent.unionByName(near).unionByName(far).groupBy("job_id").agg(F.min("pool").alias("pool"))
+
+
+@query("select job_id, lang as stratum from (select job_id, lang, row_number() over (partition by lang order by md5(concat(job_id, 'seed-1'))) as r from job) where r <= 5")
+def seeded_sample(t: Tables) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.concat(F.col("job_id").cast("string"), F.lit("seed-1")))))
+    return t.job.withColumn("r", place).where("r <= 5").select("job_id", F.col("lang").alias("stratum"))
+
+
+@query("select job_id, length(description) as n from job where length(description) >= 500 order by n desc, job_id limit 20")
+def longest_docs(t: Tables) -> DataFrame:
+    return t.job.select("job_id", F.length("description").cast("long").alias("n")).where("n >= 500").orderBy(F.desc("n"), "job_id").limit(20)
+
+
+@query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k, coalesce(json_extract_string(props, '$.missing'), 'none') as other from events")
+def json_extract(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("other"))
+
+
+@query("select feedback_id, case when applied then 'applied' when rating >= 4 then 'like' when rating = 3 then 'neutral' else 'hide' end as action from feedback")
+def rating_map(t: Tables) -> DataFrame:
+    action = F.when(F.col("applied"), "applied").when(F.col("rating") >= 4, "like").when(F.col("rating") == 3, "neutral").otherwise("hide")
+    return t.feedback.select("feedback_id", action.alias("action"))
+
+
+@query("""with d as (select page_id, url, case when url not like 'http%' then 'scheme' when regexp_matches(url, '@') then 'credentials' when regexp_matches(url, 'spam') then 'host' when length(url) > 60 then 'too_long' else 'ok' end as reason from pages) select page_id, reason from d""")
+def url_policy(t: Tables) -> DataFrame:
+    reason = F.when(~F.col("url").startswith("http"), "scheme").when(F.contains("url", F.lit("@")), "credentials").when(F.contains("url", F.lit("spam")), "host").when(F.length("url") > 60, "too_long").otherwise("ok")
+    return t.pages.select("page_id", reason.alias("reason"))
+
+
+@query("select source_id, enabled and (last is null or date_diff('microsecond', last, timestamp '2024-02-01') / 3600000000.0 > 48) as stale from source_dim left join (select user_id as sid, max(ts) as last from events where event_type <> 'error' group by user_id) e on e.sid = source_id")
+def source_status(t: Tables) -> DataFrame:
+    last = t.events.where("event_type <> 'error'").groupBy(F.col("user_id").alias("source_id")).agg(F.max("ts").alias("last"))
+    age = F.timestamp_diff("MICROSECOND", "last", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")) / 3_600_000_000.0
+    return t.source_dim.join(last, "source_id", "left").select("source_id", (F.col("enabled") & (F.col("last").isNull() | (age > 48))).alias("stale"))
+
+
+@query("select profile_id, feedback_id from (select profile_id, feedback_id, row_number() over (partition by profile_id, rating >= 4 order by created_at desc, feedback_id) as r, rating from feedback where rating >= 4 or rating <= 2) where r <= case when rating >= 4 then 3 else 2 end")
+def few_shot(t: Tables) -> DataFrame:
+    good = F.col("rating") >= 4
+    place = F.row_number().over(Window.partitionBy("profile_id", good).orderBy(F.desc("created_at"), "feedback_id"))
+    return t.feedback.where(good | (F.col("rating") <= 2)).withColumn("r", place).where(F.col("r") <= F.when(good, 3).otherwise(2)).select("profile_id", "feedback_id")
+
+
+@query("select job_id, min(rec_id) as keep, count(*) as n from (select rec_id, job_id % 100 as job_id from rec) group by job_id")
+def survivor_remap(t: Tables) -> DataFrame:
+    return t.rec.groupBy((F.col("job_id") % 100).alias("job_id")).agg(F.min("rec_id").alias("keep"), F.count("*").alias("n"))
+
+
+@query("""with picks as (select rec_id, case when commutable then 0 when remote then 1 else 2 end as bucket, row_number() over (partition by case when commutable then 0 when remote then 1 else 2 end order by (review_score is not null), machine_score desc, rec_id) as r from rec where not hard_rejected)
+  select rec_id, cast(bucket as int) as bucket, cast(r as int) as place from picks where r <= case bucket when 0 then 40 when 1 then 20 else 40 end""")
+def review_buckets(t: Tables) -> DataFrame:
+    bucket = F.when(F.col("commutable"), 0).when(F.col("remote"), 1).otherwise(2)
+    rows = t.rec.where("not hard_rejected").withColumn("bucket", bucket)
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("review_score").isNotNull(), F.desc("machine_score"), "rec_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= F.when(F.col("bucket") == 1, 20).otherwise(40)).select("rec_id", "bucket", "place")
+
+
+@query("select j.job_id from job j where j.job_id % 2 = 0 and not exists (select 1 from rec r where r.job_id = j.job_id and r.job_id % 3 = 0) and not exists (select 1 from job o where o.title = j.title and o.source_id <> j.source_id)")
+def mark_removed(t: Tables) -> DataFrame:
+    seen = t.rec.where("job_id % 3 = 0").select("job_id")
+    # A title with listings of several sources is live elsewhere.
+    elsewhere = t.job.groupBy("title").agg(F.min("source_id").alias("x"), F.max("source_id").alias("y")).where("x <> y").select("title")
+    return t.job.where("job_id % 2 = 0").join(seen, "job_id", "left_anti").join(elsewhere, "title", "left_anti").select("job_id")
+
+
+@query("""with r as (select user_id as source_id, max(ts) as newest, bool_or(event_type = 'error') as partial from events where ts < timestamp '2024-01-20' group by user_id), o as (select user_id as source_id, max(ts) as cursor from events where ts < timestamp '2024-01-10' group by user_id)
+  select source_id, case when partial then cursor else greatest(coalesce(cursor, newest), newest) end as cursor from r left join o using (source_id)""")
+def watermark_advance(t: Tables) -> DataFrame:
+    run = t.events.where("ts < timestamp_ntz'2024-01-20 00:00:00'").groupBy(F.col("user_id").alias("source_id")).agg(F.max("ts").alias("newest"), F.bool_or(F.col("event_type") == "error").alias("partial"))
+    old = t.events.where("ts < timestamp_ntz'2024-01-10 00:00:00'").groupBy(F.col("user_id").alias("source_id")).agg(F.max("ts").alias("cursor"))
+    return run.join(old, "source_id", "left").select("source_id", F.when(F.col("partial"), F.col("cursor")).otherwise(F.greatest("cursor", "newest")).alias("cursor"))
