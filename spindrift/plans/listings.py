@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text as T
-from ..operators import gates, scoring, state
+from ..operators import gates, ranking, scoring, state
+from . import flagship
 from .binding import Tables
 from .registry import query
 
@@ -621,3 +622,44 @@ def watermark_advance(t: Tables) -> DataFrame:
     run = t.events.where("ts < timestamp_ntz'2024-01-20 00:00:00'").groupBy(F.col("user_id").alias("source_id")).agg(F.max("ts").alias("newest"), F.bool_or(F.col("event_type") == "error").alias("partial"))
     old = t.events.where("ts < timestamp_ntz'2024-01-10 00:00:00'").groupBy(F.col("user_id").alias("source_id")).agg(F.max("ts").alias("cursor"))
     return run.join(old, "source_id", "left").select("source_id", F.when(F.col("partial"), F.col("cursor")).otherwise(F.greatest("cursor", "newest")).alias("cursor"))
+
+
+_DEST = """list_distinct(list_transform(list_filter(list_transform(string_split(regexp_replace(coalesce(location, ''), '(?i)\\s*/\\s*(etä|hybridi).*$', ''), ','), lambda x: trim(x)),
+  lambda x: x <> '' and lower(x) not in ('suomi', 'finland', 'etä', 'useita', 'koko suomi')), lambda x: x || ', Finland'))"""
+_ROUTES = "(values ('Oulu, Finland', 600, 8.0), ('Ylivieska, Finland', 5400, 130.0), ('Kuopio, Finland', 14400, 290.0), ('Helsinki, Finland', 21600, 610.0)) as r(destination, duration_s, km)"
+
+
+@query(f"select job_id, array_to_string(list_sort({_DEST}), '|') as places from job")
+def destinations(t: Tables) -> DataFrame:
+    return t.job.select("job_id", F.array_join(F.array_sort(ranking.destinations(F.col("location"))), "|").alias("places"))
+
+
+@query(f"select job_id, arg_min(destination, duration_s) as destination, min(duration_s)::bigint as duration_s from (select job_id, unnest({_DEST}) as destination from job) join {_ROUTES} using (destination) group by job_id")
+def best_route(t: Tables) -> DataFrame:
+    return ranking.best_routes(t.job, flagship.routes(t)).select("job_id", "destination", "duration_s")
+
+
+@query(f"""with d as (select job_id, lower(location) as low, {_DEST} as places from job), b as (select job_id, min(duration_s) as s from (select job_id, unnest(places) as destination from d) join {_ROUTES} using (destination) group by job_id),
+  k as (select d.job_id, case when trim(split_part(split_part(low, '/', 1), ',', 1)) = 'oulu' and len(places) = 1 then 'home' when list_contains(places, 'Oulu, Finland') then 'contains_home' when low like '%/ etä%' then 'full_remote'
+    when len(places) = 0 then 'vague' when s is null then 'unknown' when s / 7200.0 <= 0.5 then 'near' when s / 7200.0 <= 0.75 then 'within' when s / 7200.0 <= 1 then 'edge' when low like '%hybridi%' then 'hybrid_far' else 'far' end as travel from d left join b using (job_id))
+  select job_id, travel, case travel when 'home' then 12 when 'contains_home' then 12 when 'full_remote' then 15 when 'vague' then -5 when 'unknown' then -5 when 'near' then 10 when 'within' then 6 when 'edge' then 3 when 'hybrid_far' then -8 else -15 end as points from k""")
+def travel_assessment(t: Tables) -> DataFrame:
+    return ranking.travel_scores(t.job, flagship.routes(t), "Oulu")
+
+
+@query("""with q as (select list(x order by i) as v from (select i, avg(x) as x from (select unnest(range(64)) as i, unnest(embedding) as x from embeddings where label = 0) group by i)),
+  s as (select vec_id as job_id, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * v[i])) / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) * list_sum(list_transform(v, lambda x: x * x))) as v0 from embeddings, q),
+  c as (select r.job_id, r.profile_id, r.machine_score, greatest(0.0, least(1.0, v0)) as v from rec r left join s using (job_id))
+  select job_id, profile_id, case when v is null then machine_score::double else greatest(machine_score::double, round(15 + v * 20, 2)) end as score, coalesce(v >= 0.56, false) as semantic from c""")
+def semantic_merge(t: Tables) -> DataFrame:
+    q = scoring.centroids(t.embeddings.where("label = 0").withColumn("one", F.lit(1)), "one").select("centroid")
+    near = t.embeddings.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("job_id"), scoring.cosine(F.col("embedding"), F.col("centroid")).alias("vector"))
+    none = F.lit(None).cast("double")
+    scored = t.rec.select("job_id", "profile_id", F.lit(0).alias("title_n"), F.col("machine_score").alias("score"), F.array().cast("array<string>").alias("lanes"), F.lit(True).alias("passes"), F.lit(True).alias("hard_eligible"))
+    similar = t.rec.select("job_id", "profile_id").join(near, "job_id").withColumns({"preference": none, "anti": none})
+    return ranking.semantic_merge(scored, similar).select("job_id", "profile_id", "score", F.array_contains("lanes", "semantic_similarity").alias("semantic"))
+
+
+@query()
+def match_pipeline(t: Tables) -> DataFrame:
+    return flagship.recommendations(t)
