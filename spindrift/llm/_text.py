@@ -22,7 +22,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
 #: Texts are taken in pieces of about so many bytes; one text is never cut.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _grow(n: int) -> None:
     global _powers, _inverses
     if len(_powers) < n:
-        n = max(n, 1 << 21)
+        n = max(n, (1 << 19) + 1)
         with np.errstate(over="ignore"):
             _powers = np.cumprod(np.r_[U64(1), np.full(n - 1, _BASE, U64)])
             _inverses = np.cumprod(np.r_[U64(1), np.full(n - 1, pow(_BASE, -1, 1 << 64), U64)])

@@ -26,7 +26,7 @@ from ._text import column
 
 SPACE = "▁"
 #: Stretches remembered at once by a worker, and pairs of tokens.
-SEEN, PAIRS = 300_000, 600_000
+SEEN, PAIRS = 200_000, 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
