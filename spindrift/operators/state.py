@@ -67,3 +67,38 @@ def ranks_within(rows: DataFrame, by: str, flags: dict[str, Column], *order: Col
         place = F.row_number().over(Window.partitionBy(by, flag).orderBy(*order))
         rows = rows.withColumn(name, F.when(flag, place))
     return rows
+
+
+def enrichment_outcomes(now: DataFrame, results: DataFrame, short: int) -> DataFrame:
+    """(job_id, outcome) of enrichment results: a result counts if it was made for the present input; it
+    replaces text shorter than ``short`` and enriched text of no higher confidence."""
+    rows = now.join(results, "job_id", "left")
+    outcome = (
+        F.when(F.col("result_hash").isNull(), "none").when(F.col("result_hash") != F.col("hash"), "stale").when(F.col("enriched") & (F.col("confidence") < F.col("old_confidence")), "kept")
+        .when(~F.col("enriched") & (F.col("length") >= short), "kept").otherwise("applied"))
+    return rows.select("job_id", outcome.alias("outcome"))
+
+
+def queue_transitions(queue: DataFrame, stale_before: Column, most: int = 3) -> DataFrame:
+    """Next status of queue rows (id, status, attempts, ts, inactive): inactive ones are cancelled, running
+    ones that are too old wait again, those tried ``most`` times fail."""
+    status = F.when(F.col("inactive"), "cancelled").when((F.col("status") == "running") & (F.col("ts") < stale_before), "pending")
+    return queue.withColumn("status", status.when((F.col("status") == "retry") & (F.col("attempts") >= most), "failed").otherwise(F.col("status")))
+
+
+def within_budget(rows: DataFrame, by: str, budget: int, *order: Column) -> DataFrame:
+    """Adds status to rows with a flag ``hit``: ``hit``, ``evaluate`` for the first ``budget`` others in the
+    given order, ``deferred`` for the rest."""
+    along = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    needed = F.sum((~F.col("hit")).cast("int")).over(along)
+    return rows.withColumn("status", F.when(F.col("hit"), "hit").when(needed <= budget, "evaluate").otherwise("deferred"))
+
+
+def learned_verdicts(net: DataFrame, enter: float = -2.0, leave: float = -1.0, boost: float = 1.5, jobs: int = 2) -> DataFrame:
+    """Adds verdict to (net, jobs, was_excluded): terms are excluded from ``enter`` on and stay so until they
+    rise above ``leave``; boosts and new exclusions need ``jobs`` jobs."""
+    enough = F.col("jobs") >= jobs
+    verdict = (
+        F.when((F.col("net") <= enter) & enough, "exclude").when(F.col("net") > leave, F.when((F.col("net") >= boost) & enough, "boost").otherwise("none"))
+        .otherwise(F.when(F.col("was_excluded"), "exclude").otherwise("none")))
+    return net.withColumn("verdict", verdict)

@@ -663,3 +663,210 @@ def semantic_merge(t: Tables) -> DataFrame:
 @query()
 def match_pipeline(t: Tables) -> DataFrame:
     return flagship.recommendations(t)
+
+
+@query("""with r as (select job_id, 'x' || (n_chars % 40) as h, n_chars % 9 as confidence from job where job_id % 3 = 1), s as (select job_id, 'x' || ((n_chars + case when job_id % 7 = 0 then 1 else 0 end) % 40) as h, length(description) as n, job_id % 5 = 0 as enriched, n_chars % 5 as old from job)
+  select s.job_id, case when r.job_id is null then 'none' when r.h <> s.h then 'stale' when enriched and confidence < old then 'kept' when not enriched and n >= 1000 then 'kept' else 'applied' end as outcome from s left join r using (job_id)""")
+def apply_enrichment(t: Tables) -> DataFrame:
+    results = t.job.where("job_id % 3 = 1").select("job_id", F.concat(F.lit("x"), (F.col("n_chars") % 40).cast("string")).alias("result_hash"), (F.col("n_chars") % 9).alias("confidence"))
+    stale = F.when(F.col("job_id") % 7 == 0, 1).otherwise(0)
+    now = t.job.select("job_id", F.concat(F.lit("x"), ((F.col("n_chars") + stale) % 40).cast("string")).alias("hash"), F.length("description").alias("length"), (F.col("job_id") % 5 == 0).alias("enriched"), (F.col("n_chars") % 5).alias("old_confidence"))
+    return state.enrichment_outcomes(now, results, 1000)
+
+
+@query("""with o as (select doc_id, n_chars % 50 as job_id, description as text, source_id % 4 = 0 as enriched from listing)
+  select job_id, arg_min(doc_id, (case when enriched then 0 else 1 end, -length(trim(text)), trim(text), doc_id)) as kept, count(*) as n from o group by job_id""")
+def description_precedence(t: Tables) -> DataFrame:
+    rows = t.listing.select("doc_id", (F.col("n_chars") % 50).alias("job_id"), F.col("description").alias("text"), (F.col("source_id") % 4 == 0).alias("enriched"))
+    order = F.struct(F.when(F.col("enriched"), 0).otherwise(1), -F.length(F.trim("text")), F.trim("text"), F.col("doc_id"))
+    return rows.groupBy("job_id").agg(F.min_by("doc_id", order).alias("kept"), F.count("*").alias("n"))
+
+
+@query("""select j.job_id from job j where length(description) < 1500 and not exists (select 1 from feedback f where f.job_id = j.job_id and f.rating = 5) and not exists (select 1 from rec r where r.job_id = j.job_id and r.action = 'skip')""")
+def enrich_candidates(t: Tables) -> DataFrame:
+    done = t.feedback.where("rating = 5").select("job_id")
+    queued = t.rec.where("action = 'skip'").select("job_id")
+    return t.job.where(F.length("description") < 1500).join(done, "job_id", "left_anti").join(queued, "job_id", "left_anti").select("job_id")
+
+
+@query("""with q as (select event_id as id, case event_type when 'error' then 'running' when 'view' then 'pending' else 'retry' end as status, event_id % 5 as attempts, ts, user_id % 9 = 0 as inactive from events)
+  select id, case when inactive then 'cancelled' when status = 'running' and ts < timestamp '2024-01-10' then 'pending' when status = 'retry' and attempts >= 3 then 'failed' else status end as status from q""")
+def queue_transitions(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "running").when(F.col("event_type") == "view", "pending").otherwise("retry")
+    q = t.events.select(F.col("event_id").alias("id"), kind.alias("status"), (F.col("event_id") % 5).alias("attempts"), "ts", (F.col("user_id") % 9 == 0).alias("inactive"))
+    return state.queue_transitions(q, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")).select("id", "status")
+
+
+@query("select count(*) filter (where kind = 'running') as running, count(*) filter (where kind = 'running' and ts < timestamp '2024-01-10') as stale, count(*) filter (where kind = 'pending') as pending, min(ts) filter (where kind = 'pending') as oldest_due from (select ts, case event_type when 'error' then 'running' when 'view' then 'pending' else 'done' end as kind from events)")
+def queue_health(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "running").when(F.col("event_type") == "view", "pending").otherwise("done")
+    rows = t.events.select("ts", kind.alias("kind"))
+    running, pending = F.col("kind") == "running", F.col("kind") == "pending"
+    old = F.col("ts") < F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    return rows.agg(F.count_if(running).alias("running"), F.count_if(running & old).alias("stale"), F.count_if(pending).alias("pending"), F.min(F.when(pending, F.col("ts"))).alias("oldest_due"))
+
+
+@query("select event_id from (select event_id, row_number() over (partition by user_id order by event_id % 3, ts, event_id) as r from events where event_type = 'view' and ts <= timestamp '2024-01-20') where r <= 2")
+def queue_claim(t: Tables) -> DataFrame:
+    due = t.events.where("event_type = 'view' and ts <= timestamp_ntz'2024-01-20 00:00:00'")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_id") % 3, "ts", "event_id"))
+    return due.withColumn("r", place).where("r <= 2").select("event_id")
+
+
+@query("select event_id from events where value is null or ts <= timestamp '2024-01-15'")
+def due_items(t: Tables) -> DataFrame:
+    return t.events.where("value is null or ts <= timestamp_ntz'2024-01-15 00:00:00'").select("event_id")
+
+
+@query("select user_id as source_id, bool_and(event_type <> 'error') and count(*) > 2 as allowed from events where ts < timestamp '2024-01-10' group by user_id")
+def removal_allowed(t: Tables) -> DataFrame:
+    run = t.events.where("ts < timestamp_ntz'2024-01-10 00:00:00'").groupBy(F.col("user_id").alias("source_id"))
+    return run.agg((F.bool_and(F.col("event_type") != "error") & (F.count("*") > 2)).alias("allowed"))
+
+
+@query("""with plan as (select r.rec_id, r.profile_id, r.review_score is not null as hit, row_number() over (partition by r.profile_id order by r.machine_score desc, r.rec_id) as pos from rec r),
+  n as (select *, sum(case when hit then 0 else 1 end) over (partition by profile_id order by pos rows unbounded preceding) as needed from plan) select rec_id, case when hit then 'hit' when needed <= 20 then 'evaluate' else 'deferred' end as status from n""")
+def review_plan(t: Tables) -> DataFrame:
+    rows = t.rec.select("rec_id", "profile_id", F.col("review_score").isNotNull().alias("hit"), "machine_score")
+    return state.within_budget(rows, "profile_id", 20, F.desc("machine_score"), F.col("rec_id")).select("rec_id", "status")
+
+
+@query(f"""with d as (select distinct unnest({_DEST}) as destination from job), p as (select d.destination, r.destination is not null as hit, row_number() over (order by d.destination) as pos from d left join (select * from {_ROUTES} where duration_s < 10000) r using (destination))
+  select destination, case when hit then 'hit' when sum(case when hit then 0 else 1 end) over (order by pos rows unbounded preceding) <= 1 then 'evaluate' else 'deferred' end as status from p""")
+def lookup_plan(t: Tables) -> DataFrame:
+    wanted = t.job.select(F.explode(ranking.destinations(F.col("location"))).alias("destination")).distinct()
+    known = flagship.routes(t).where("duration_s < 10000").select("destination", F.lit(True).alias("known"))
+    rows = wanted.join(known, "destination", "left").select("destination", F.coalesce("known", F.lit(False)).alias("hit"), F.lit(0).alias("all"))
+    return state.within_budget(rows, "all", 1, F.col("destination")).select("destination", "status")
+
+
+@query("""with s as (select event_id % 300 as rec_id, max(event_id) as last from events group by 1), f as (select event_id, event_id % 300 as rec_id, event_type, value from events), n as (select f.* from f join s on f.event_id = s.last),
+  o as (select event_id % 300 as rec_id, arg_max(event_type, event_id) as old_type from events where event_id < 5000 group by 1)
+  select n.rec_id, n.event_type as rating, case when o.rec_id is null then 'new' when o.old_type = n.event_type then 'kept' else 'reset' end as outcome from n left join o using (rec_id)""")
+def feedback_upsert(t: Tables) -> DataFrame:
+    rows = t.events.select((F.col("event_id") % 300).alias("rec_id"), "event_id", F.col("event_type").alias("rating"))
+    new = state.latest(rows, ["rec_id"], "event_id")
+    old = state.latest(rows.where("event_id < 5000"), ["rec_id"], "event_id").select("rec_id", F.col("rating").alias("old"), F.lit(True).alias("known"))
+    outcome = F.when(F.col("known").isNull(), "new").when(F.col("old").eqNullSafe(F.col("rating")), "kept").otherwise("reset")
+    return new.join(old, "rec_id", "left").select("rec_id", "rating", outcome.alias("outcome"))
+
+
+@query("select r.rec_id, coalesce(f.worst > 1, true) and not r.hard_rejected as active from rec r left join (select job_id, profile_id, arg_max(rating, (created_at, feedback_id)) as worst from feedback group by all) f on f.job_id = r.job_id and f.profile_id = r.profile_id")
+def feedback_visibility(t: Tables) -> DataFrame:
+    last = state.latest(t.feedback.select("job_id", "profile_id", "created_at", "feedback_id", "rating"), ["job_id", "profile_id"], "created_at", "feedback_id")
+    rows = t.rec.join(last.select("job_id", "profile_id", F.col("rating").alias("last")), ["job_id", "profile_id"], "left")
+    return rows.select("rec_id", (F.coalesce(F.col("last") > 1, F.lit(True)) & ~F.col("hard_rejected")).alias("active"))
+
+
+@query("""with n as (select job_id, profile_id, machine_score from rec where job_id % 4 <> 0), o as (select job_id, profile_id, machine_score + 1 as old_score, job_id % 6 = 0 as reviewed from rec where job_id % 3 <> 0)
+  select coalesce(n.job_id, o.job_id) as job_id, coalesce(n.machine_score, old_score) as score, case when o.job_id is null then 'inserted' when n.job_id is null then 'left' when reviewed then 'kept_rationale' else 'updated' end as outcome
+  from n full join o on n.job_id = o.job_id and n.profile_id = o.profile_id""")
+def recommendation_upsert(t: Tables) -> DataFrame:
+    new = t.rec.where("job_id % 4 <> 0").select("job_id", "profile_id", F.col("machine_score").alias("new_score"))
+    old = t.rec.where("job_id % 3 <> 0").select("job_id", "profile_id", (F.col("machine_score") + 1).alias("old_score"), (F.col("job_id") % 6 == 0).alias("reviewed"))
+    outcome = F.when(F.col("old_score").isNull(), "inserted").when(F.col("new_score").isNull(), "left").when(F.col("reviewed"), "kept_rationale").otherwise("updated")
+    return new.join(old, ["job_id", "profile_id"], "full").select("job_id", F.coalesce("new_score", "old_score").alias("score"), outcome.alias("outcome"))
+
+
+@query("""with e as (select vec_id as job_id, 'h' || (label % 3) as old from embeddings), j as (select job_id, 'h' || (n_chars % 3) as hash from job) select j.job_id, case when e.job_id is null then 'missing' else 'stale' end as why from j left join e using (job_id) where e.job_id is null or e.old <> j.hash""")
+def stale_embeddings(t: Tables) -> DataFrame:
+    old = t.embeddings.select(F.col("vec_id").alias("job_id"), F.concat(F.lit("h"), (F.col("label") % 3).cast("string")).alias("old"))
+    now = t.job.select("job_id", F.concat(F.lit("h"), (F.col("n_chars") % 3).cast("string")).alias("hash"))
+    return now.join(old, "job_id", "left").where("old is null or old <> hash").select("job_id", F.when(F.col("old").isNull(), "missing").otherwise("stale").alias("why"))
+
+
+@query("select user_id as run_id, case when max(ts) < timestamp '2024-01-25' then 'failed' when bool_or(event_type = 'purchase') then 'finished' else 'running' end as status from events group by user_id")
+def run_reconcile(t: Tables) -> DataFrame:
+    late = F.max("ts") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    status = F.when(late, "failed").when(F.bool_or(F.col("event_type") == "purchase"), "finished").otherwise("running")
+    return t.events.groupBy(F.col("user_id").alias("run_id")).agg(status.alias("status"))
+
+
+@query("select event_type as kind, arg_max(event_id, (ts, event_id)) as last_run, max(ts) as started from events group by event_type")
+def latest_runs(t: Tables) -> DataFrame:
+    return t.events.groupBy(F.col("event_type").alias("kind")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_run"), F.max("ts").alias("started"))
+
+
+@query("select page_id, url, 'https://listings.example.org/id/' || page_id as repaired from pages where url like 'http://%' or url like '%spam%'")
+def url_repair(t: Tables) -> DataFrame:
+    broken = t.pages.where(F.col("url").startswith("http://") | F.contains("url", F.lit("spam")))
+    return broken.select("page_id", "url", F.concat(F.lit("https://listings.example.org/id/"), F.col("page_id").cast("string")).alias("repaired"))
+
+
+@query("select count(*) filter (where url like 'http://%') as plain, count(*) filter (where url not like 'http%') as odd, count(*) filter (where url like '%#%') as fragment from pages")
+def broken_urls(t: Tables) -> DataFrame:
+    return t.pages.agg(F.count_if(F.col("url").startswith("http://")).alias("plain"), F.count_if(~F.col("url").startswith("http")).alias("odd"), F.count_if(F.contains("url", F.lit("#"))).alias("fragment"))
+
+
+@query("select page_id, nullif(rtrim(regexp_replace(url, '[?#].*$', ''), '/'), '') as link from pages")
+def link_normalize(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.nullif(F.rtrim(F.regexp_replace("url", "[?#].*$", ""), F.lit("/")), F.lit("")).alias("link"))
+
+
+@query("select 'events' as tbl, count(*) filter (where ts < timestamp '2024-01-11') as old, count(*) as n from events union all select 'orders', count(*) filter (where o_orderdate < timestamp '1995-01-01'), count(*) from orders")
+def retention_report(t: Tables) -> DataFrame:
+    def part(table: DataFrame, name: str, at: str, cut: str) -> DataFrame:
+        return table.agg(F.lit(name).alias("tbl"), F.count_if(F.col(at) < F.lit(cut).cast("timestamp_ntz")).alias("old"), F.count("*").alias("n"))
+
+    return part(t.events, "events", "ts", "2024-01-11 00:00:00").unionByName(part(t.orders, "orders", "o_orderdate", "1995-01-01 00:00:00"))
+
+
+@query("""with p as (select conv_id, sum(length(text)) filter (where role = 'user') as a, sum(length(text)) filter (where role = 'assistant') as b from conversations group by conv_id)
+  select count(*) as pairs, case when count(a) = count(*) then sum(a)::bigint end as a_total, case when count(b) = count(*) then sum(b)::bigint end as b_total, round(avg(abs(a - b)), 3) as gap from p""")
+def paired_comparison(t: Tables) -> DataFrame:
+    side = lambda role: F.sum(F.when(F.col("role") == role, F.length("text")))
+    pairs = t.conversations.groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"))
+    total = lambda c: F.when(F.count(c) == F.count("*"), F.sum(c))
+    return pairs.agg(F.count("*").alias("pairs"), total("a").alias("a_total"), total("b").alias("b_total"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 3).alias("gap"))
+
+
+@query("select profile_id, case when commutable then 'commutable' when remote then 'remote' else 'elsewhere' end as scope, count(*) as n, sha256(string_agg(rec_id::varchar, ',' order by rec_id)) as identity from rec where review_score is null group by all")
+def backlog_inventory(t: Tables) -> DataFrame:
+    scope = F.when(F.col("commutable"), "commutable").when(F.col("remote"), "remote").otherwise("elsewhere")
+    ids = F.transform(F.array_sort(F.collect_list("rec_id")), lambda x: x.cast("string"))
+    return t.rec.where("review_score is null").groupBy("profile_id", scope.alias("scope")).agg(F.count("*").alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("identity"))
+
+
+@query(f"""with w as (select f.profile_id, j.employer, sum({_WEIGHT}) as net, count(distinct f.job_id) as jobs from feedback f join job j using (job_id) group by all)
+  select profile_id, employer, round(net, 4) as net, case when net <= -2 and jobs >= 2 then 'exclude' when net > -1 then (case when net >= 1.5 and jobs >= 2 then 'boost' else 'none' end) else (case when length(employer) % 2 = 0 then 'exclude' else 'none' end) end as verdict from w""")
+def learned_state(t: Tables) -> DataFrame:
+    weighed = scoring.decayed_weights(t.feedback, F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")).join(t.job.select("job_id", "employer"), "job_id")
+    net = weighed.groupBy("profile_id", "employer").agg(F.sum("weight").alias("net"), F.count_distinct("job_id").alias("jobs"))
+    before = net.select("profile_id", "employer", (F.length("employer") % 2 == 0).alias("was_excluded"))
+    return state.learned_verdicts(net.join(before, ["profile_id", "employer"], "left")).select("profile_id", "employer", F.round("net", 4).alias("net"), "verdict")
+
+
+@query(f"""with w as (select f.profile_id, j.employer, sum({_WEIGHT}) as net from feedback f join job j using (job_id) group by all),
+  r as (select *, row_number() over (partition by profile_id order by round(net, 6) desc, employer) as up, row_number() over (partition by profile_id order by round(net, 6), employer) as down from w)
+  select profile_id, employer, case when up <= 5 then 'boost' else 'exclude' end as list from r where up <= 5 or down <= 3""")
+def learned_lists(t: Tables) -> DataFrame:
+    weighed = scoring.decayed_weights(t.feedback, F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")).join(t.job.select("job_id", "employer"), "job_id")
+    net = weighed.groupBy("profile_id", "employer").agg(F.round(F.sum("weight"), 6).alias("net"))
+    per = Window.partitionBy("profile_id")
+    ranked = net.withColumns({"up": F.row_number().over(per.orderBy(F.desc("net"), "employer")), "down": F.row_number().over(per.orderBy("net", "employer"))})
+    return ranked.where("up <= 5 or down <= 3").select("profile_id", "employer", F.when(F.col("up") <= 5, "boost").otherwise("exclude").alias("list"))
+
+
+@query(f"""with x as (select j.job_id, r.profile_id, {_NORM.format("concat_ws(' ', j.title, j.employer)")} as txt from job j join rec r using (job_id)),
+  terms as (select unnest([0, 0, 1, 2]) as profile_id, unnest(['the', 'emp1', 'of the', 'emp2']) as term)
+  select x.job_id, x.profile_id, count(*) * 8 as penalty, string_agg(term, ',' order by term) as matches from x join terms t on t.profile_id = x.profile_id and contains(' ' || txt || ' ', ' ' || term || ' ') group by all""")
+def exclusion_penalty(t: Tables) -> DataFrame:
+    terms = t.spark.createDataFrame([(0, "the"), (0, "emp1"), (1, "of the"), (2, "emp2")], "profile_id long, term string")
+    rows = t.job.join(t.rec.select("job_id", "profile_id"), "job_id").select("job_id", "profile_id", T.normalized(F.concat_ws(" ", "title", "employer")).alias("txt"))
+    hits = rows.join(terms, "profile_id").where(T.has_phrase(F.col("txt"), F.col("term")))
+    return hits.groupBy("job_id", "profile_id").agg((F.count("*") * 8).alias("penalty"), F.array_join(F.array_sort(F.collect_list("term")), ",").alias("matches"))
+
+
+@query("""select o.k as job_id, string_agg(o.doc_id::varchar, ',' order by o.published_at desc, o.doc_id) as occurrences, count(*) as n from (select n_chars % 150 as k, doc_id, published_at from listing) o group by o.k""")
+def job_detail_nested(t: Tables) -> DataFrame:
+    rows = t.listing.select((F.col("n_chars") % 150).alias("job_id"), "doc_id", "published_at")
+    newest = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("at"), "doc_id")))
+    return rows.groupBy("job_id").agg(F.array_join(F.transform(newest, lambda x: x["doc_id"].cast("string")), ",").alias("occurrences"), F.count("*").alias("n"))
+
+
+@query("select l.doc_id as job_id, l.quality = 1 as relevant, r.rec_id is not null as has_row, coalesce(r.action <> 'skip', false) as published, coalesce(f.n > 0, false) as rated from labels l left join rec r on r.job_id = l.doc_id left join (select job_id, count(*) as n from feedback group by job_id) f on f.job_id = l.doc_id")
+def stage_states(t: Tables) -> DataFrame:
+    rated = t.feedback.groupBy("job_id").agg(F.lit(True).alias("rated"))
+    rows = t.labels.select(F.col("doc_id").alias("job_id"), (F.col("quality") == 1).alias("relevant")).join(t.rec, "job_id", "left").join(rated, "job_id", "left")
+    no = F.lit(False)
+    return rows.select("job_id", "relevant", F.col("rec_id").isNotNull().alias("has_row"), F.coalesce(F.col("action") != "skip", no).alias("published"), F.coalesce("rated", no).alias("rated"))
