@@ -15,9 +15,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables written by this process.
+_paths: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that written() has made in this process, once no result that reads them is needed
+    any more; returns how many."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_paths)
+    while _paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder; a lost executor then costs no recomputing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spindrift-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
