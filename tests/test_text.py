@@ -67,3 +67,23 @@ def test_misses_close(spark):
     rows = [(1, k, k, o) for k, o in enumerate(["missing", "invalid", "missing", "classified", "missing", "missing", "missing"])]
     got = state.miss_runs(spark.createDataFrame(rows, "source_id long, ts long, event_id long, outcome string")).orderBy("ts").collect()
     assert [r.misses for r in got] == [1, 1, 2, 0, 1, 2, 3] and got[-1].state == "closed"
+
+
+def test_excerpt_against_a_loop(spark):
+    import random
+    import re
+
+    from spindrift.functions import listing as L
+
+    r = random.Random(1)
+    for _ in range(25):
+        text = " ".join(r.choice(["We need the skill.", "Nothing here.", "Und so weiter!", "A longer sentence without any mark?"]) for _ in range(r.randint(1, 14)))
+        want = text
+        if len(text) > 120:
+            kept, used = [], 0
+            for s in reversed([x for x in re.split(r"(?<=[.!?])\s+", text[60:]) if "the " in x.lower() or "und " in x.lower()]):
+                if used + len(s) + 1 <= 60:
+                    kept.insert(0, s)
+                    used += len(s) + 1
+            want = " ".join([text[:60], *kept])
+        assert one(spark, L.excerpt(F.col("t"), 120, ["the ", "und "]), t=text) == want
