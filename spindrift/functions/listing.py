@@ -20,7 +20,7 @@ def stem(token: Column, least: int = 4) -> Column:
 def stemmed(text: Column) -> Column:
     """Stems of all tokens in order, joined by spaces."""
     tokens = F.filter(F.split(T.normalized(text), " "), lambda x: x != "")
-    return F.array_join(F.transform(tokens, stem), " ")
+    return F.array_join(F.transform(tokens, lambda x: stem(x)), " ")
 
 
 def excerpt(text: Column, limit: int, marks: list[str]) -> Column:
@@ -76,3 +76,35 @@ def url_problem(url: Column, longest: int = 2000) -> Column:
     return (
         F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "missing").when(F.length(url) > longest, "too_long").when(F.rlike(url, F.lit(r"[\x00-\x20\x7f]")), "control")
         .when(~F.rlike(url, F.lit(r"^(?i)https?://")), "scheme").when(F.rlike(url, F.lit(r"^[a-zA-Z]+://[^/]*@")), "credentials").when(host == "", "malformed").when(private, "private_host"))
+
+
+def utc(value: Column, ends: bool = False, zone: str = "Europe/Helsinki") -> Column:
+    """Struct (at, date_only, malformed) of a date in text: a mere date is the zone's day, its beginning or,
+    with ``ends``, its end; a time without offset is the zone's."""
+    plain = F.nullif(F.trim(value), F.lit(""))
+    date_only = F.rlike(plain, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
+    offset = F.rlike(plain, F.lit(r"(Z|[+-]\d{2}:?\d{2})$"))
+    parsed = F.try_to_timestamp(plain)
+    day = F.to_utc_timestamp(F.date_add(parsed.cast("date"), 1 if ends else 0).cast("timestamp"), zone)
+    at = F.when(date_only, day).when(offset, parsed).otherwise(F.to_utc_timestamp(parsed, zone))
+    return F.struct(at.alias("at"), F.coalesce(date_only & parsed.isNotNull(), F.lit(False)).alias("date_only"), (plain.isNotNull() & parsed.isNull()).alias("malformed"))
+
+
+def without_names(text: Column, allowed: Column) -> Column:
+    """Capitalised words that are not among the allowed (folded) ones are replaced, wherever they stand."""
+    words = F.split(text, " ")
+    bare = lambda w: F.regexp_replace(w, r"[^\p{L}'-]+", "")
+    named = lambda w: F.rlike(bare(w), F.lit(r"^[A-ZÅÄÖ][a-zåäö]+$")) & ~F.array_contains(allowed, F.lower(bare(w)))
+    return F.array_join(F.transform(words, lambda w: F.when(named(w), F.lit("[name]")).otherwise(w)), " ")
+
+
+def model_input(fields: dict[str, Column], chars: int = 4000) -> Column:
+    """One JSON text of fields in the order of their names, long ones cut, personal data replaced."""
+    clean = [T.without_personal_data(F.substring(c, 1, chars)).alias(k) for k, c in sorted(fields.items())]
+    return F.to_json(F.struct(*clean))
+
+
+def allowed_fields(payload: Column, allowed: list[str]) -> Column:
+    """A JSON object with only the allowed keys, compared in lower case without marks, as a map of texts."""
+    keys = F.array(*map(F.lit, allowed))
+    return F.map_filter(F.from_json(payload, "map<string,string>"), lambda k, v: F.array_contains(keys, F.regexp_replace(F.lower(k), "[^a-z0-9]", "")))

@@ -79,3 +79,36 @@ def missing_qualifications(text: Column) -> Column:
     hits = [F.when(F.rlike(text, F.lit("|".join(p))), F.lit(label)) for label, p in fixed.QUALIFICATION_PATTERNS.items()]
     hits += [F.when(T.has_phrase(T.normalized(text), F.lit(p)), F.lit(p)) for p in fixed.QUALIFICATION_PHRASES]
     return F.array_sort(F.array_compact(F.array(*hits)))
+
+
+#: Marks that soften a demand in the sentence around it.
+SOFTENED = ["ei ole vaatimus", "ei vaadita", "ei edellytä", "ei edellytetä", "ei tarvitse", "ei ole pakollinen", "ei kuulu", "not required", "eduksi", "toivottava", "toivomme", "arvostamme", "optional", "nice to have", "etuna", "plussaa"]
+
+
+def softened(text: Column, phrase: Column) -> Column:
+    """Whether the first sentence that holds a phrase is negated or optional; false if none holds it."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[.!?\n]")
+    first = F.get(F.filter(parts, lambda s: F.contains(s, F.lower(phrase))), F.lit(0))
+    return F.coalesce(T.has_any(first, SOFTENED), F.lit(False))
+
+
+def qualification_gate(jobs: DataFrame, checks: DataFrame) -> DataFrame:
+    """(job_id, name, verdict): ``reject`` or ``caution`` of each named check that has something to say.
+
+    checks: name, title_or_text, reject, adjacent (arrays of phrases, never null). A phrase of title_or_text in
+    the title rejects; in the text it rejects unless softened, else cautions. Then a phrase of ``reject`` in
+    the text rejects unless softened; a title with an adjacent role makes that a caution. Phrases match as
+    stems. The checks are a few rows, so the join is with a small side."""
+    from ..functions.listing import stemmed
+
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    rows = jobs.select("job_id", pad(stemmed(F.coalesce("title", F.lit("")))).alias("_t"), pad(stemmed(F.concat_ws(". ", "title", "description"))).alias("_x"), F.concat_ws(". ", "title", "description").alias("_raw"))
+    rows = rows.crossJoin(F.broadcast(checks))
+    within = lambda where, phrases: F.filter(phrases, lambda p: F.contains(F.col(where), pad(stemmed(p))))
+    titled, told, named, near = within("_t", F.col("title_or_text")), within("_x", F.col("title_or_text")), within("_x", F.col("reject")), within("_t", F.col("adjacent"))
+    first_soft = softened(F.col("_raw"), F.get(told, F.lit(0)))
+    hard = F.filter(named, lambda p: ~softened(F.col("_raw"), p))
+    verdict = (
+        F.when(F.size(titled) > 0, "reject").when(F.size(told) > 0, F.when(first_soft, "caution").otherwise("reject"))
+        .when(F.size(hard) > 0, F.when(F.size(near) > 0, "caution").otherwise("reject")).when(F.size(named) > 0, "caution"))
+    return rows.select("job_id", "name", verdict.alias("verdict")).where("verdict is not null")

@@ -93,3 +93,34 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     p = k / n
     middle, spread, scale = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
     return F.when(n > 0, F.struct(F.round(F.greatest(F.lit(0.0), (middle - spread) / scale), 3).alias("lo"), F.round(F.least(F.lit(1.0), (middle + spread) / scale), 3).alias("hi")))
+
+
+#: Clusters in the order in which they claim terms, with the most terms of each that count.
+CLUSTERS = [("direct_title", 5), ("application_history_title", 4), ("learned_title", 4), ("keywords", 8), ("application_history_keyword", 6), ("learned_keyword", 6), ("sector", 3), ("location", 3)]
+
+
+def cluster_contributions(matches: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(job_id, profile_id, cluster, contribution): a term counts once, in the first cluster that has room for
+    it; a term left out for lack of room stays open to later ones. matches: job_id, profile_id, cluster, term.
+
+    Which terms are taken depends on the order, so the clusters of a job are folded one after another."""
+    none = F.array().cast("array<string>")
+    lists = matches.groupBy("job_id", "profile_id", "cluster").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    lists = lists.groupBy("job_id", "profile_id").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "terms"))).alias("by"))
+    steps = F.array(*(F.struct(F.lit(c).alias("cluster"), F.lit(n).alias("room"), F.lit(float(weights.get(c, 0.0))).alias("weight")) for c, n in CLUSTERS))
+    start = F.struct(none.alias("claimed"), F.array().cast("array<struct<cluster:string,contribution:double>>").alias("out"))
+
+    def step(got: Column, s: Column) -> Column:
+        counted = F.slice(F.array_except(F.coalesce(F.try_element_at("by", s["cluster"]), none), got["claimed"]), F.lit(1), s["room"])
+        made = F.struct(s["cluster"].alias("cluster"), F.round(F.size(counted) * s["weight"], 2).alias("contribution"))
+        return F.struct(F.concat(got["claimed"], counted).alias("claimed"), F.array_append(got["out"], made).alias("out"))
+
+    folded = F.aggregate(steps, start, step, lambda got: got["out"])
+    return lists.select("job_id", "profile_id", F.explode(folded).alias("c")).select("job_id", "profile_id", "c.cluster", "c.contribution")
+
+
+def grounded(suggestions: DataFrame, texts: DataFrame) -> DataFrame:
+    """The suggestions (id, term) of which a variant stands in the text of the same id. texts: id, text."""
+    wanted = suggestions.select("id", "term", F.explode(T.expanded_tokens(F.col("term"))).alias("variant"))
+    there = texts.select("id", F.explode(T.expanded_tokens(F.col("text"))).alias("variant")).distinct()
+    return wanted.join(there, ["id", "variant"], "left_semi").select("id", "term").distinct()

@@ -87,3 +87,9 @@ def test_excerpt_against_a_loop(spark):
                     used += len(s) + 1
             want = " ".join([text[:60], *kept])
         assert one(spark, L.excerpt(F.col("t"), 120, ["the ", "und "]), t=text) == want
+
+
+def test_stems_do_not_depend_on_their_place(spark):
+    from spindrift.functions import listing as L
+
+    assert one(spark, L.stemmed(F.col("t")), t="a b c d e f opettajan") == "a b c d e f opettaja"
