@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gates, ranking, scoring
 from .binding import Tables
 
-AS_OF = F.lit("2024-03-20 00:00:00").cast("timestamp_ntz")
+
+
+def as_of() -> Column:
+    """The moment that stands for now."""
+    return F.lit("2024-03-20 00:00:00").cast("timestamp_ntz")
+
 
 
 def routes(t: Tables) -> DataFrame:
@@ -21,7 +26,7 @@ def recommendations(t: Tables, per_profile: int = 50) -> DataFrame:
 
     One shuffle by (job, profile) for the matches and one by profile for the ranks; listings are scored before
     the gates are joined, so the text is tokenised once."""
-    jobs = gates.freshness(t.job.where("status = 'active'"), AS_OF).where("eligible")
+    jobs = gates.freshness(t.job.where("status = 'active'"), as_of()).where("eligible")
     matches = scoring.term_matches(jobs, t.profile_term.select("profile_id", F.lit("keyword").alias("field"), "term"))
     scored = scoring.match_scores(matches).withColumns({"hard_eligible": F.lit(True), "passes": F.col("score") >= 15})
     vectors = t.embeddings.select(F.col("vec_id").alias("job_id"), "embedding")

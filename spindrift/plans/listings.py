@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text as T
@@ -11,7 +11,12 @@ from . import flagship
 from .binding import Tables
 from .registry import query
 
-AS_OF = F.lit("2024-03-20 00:00:00").cast("timestamp_ntz")
+
+
+def as_of() -> Column:
+    """The moment that stands for now."""
+    return F.lit("2024-03-20 00:00:00").cast("timestamp_ntz")
+
 _AS_OF = "timestamp '2024-03-20 00:00:00'"
 _NORM = "trim(regexp_replace(lower(coalesce({}, '')), '[^0-9a-zåäö]+', ' ', 'g'))"
 _TOKENS = "list_distinct(regexp_extract_all(replace(lower(coalesce({}, '')), 'ß', 'ss'), '[0-9a-zåäö]+'))"
@@ -179,7 +184,7 @@ def catalog_search(t: Tables) -> DataFrame:
   r as (select *, case when passed then 'deadline_passed' when age is null then 'no_date' when age < -0.25 then 'future_date' when age > 30 then 'too_old' else 'fresh' end as reason from a)
   select job_id, round(age, 4) as age_days, passed as deadline_passed, reason, reason not in ('deadline_passed', 'too_old') as eligible, reason in ('no_date', 'future_date') as review from r""")
 def freshness_gate(t: Tables) -> DataFrame:
-    return gates.freshness(t.job, AS_OF).select("job_id", "age_days", "deadline_passed", "reason", "eligible", "review")
+    return gates.freshness(t.job, as_of()).select("job_id", "age_days", "deadline_passed", "reason", "eligible", "review")
 
 
 @query("select job_id from job where regexp_matches(location, '(?i)(^|[\\s,/])(oulu|ylivieska)([\\s,/]|$)')")
@@ -362,7 +367,7 @@ def publication_gate(t: Tables) -> DataFrame:
 @query("""select r.rec_id from rec r join job j using (job_id) where not r.hard_rejected and j.status = 'active' and exists (select 1 from source_dim s where s.source_id = j.source_id and s.enabled)
   and not exists (select 1 from feedback f where f.job_id = r.job_id and f.profile_id = r.profile_id and f.rating <= 1) and (j.expires_at is null or j.expires_at >= timestamp '2024-03-20')""")
 def structural_eligibility(t: Tables) -> DataFrame:
-    open_ = t.job.where((F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") >= AS_OF))).join(t.source_dim.where("enabled"), "source_id", "left_semi")
+    open_ = t.job.where((F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") >= as_of()))).join(t.source_dim.where("enabled"), "source_id", "left_semi")
     hidden = t.feedback.where("rating <= 1").select("job_id", "profile_id")
     return t.rec.where("not hard_rejected").join(open_.select("job_id"), "job_id", "left_semi").join(hidden, ["job_id", "profile_id"], "left_anti").select("rec_id")
 

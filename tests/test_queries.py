@@ -41,3 +41,12 @@ def test_entry(spark):
     got = __spark_entry__.entry(spark)
     assert got.columns == ["profile_id", "job_id", "score", "travel", "place"] and got.count() > 0
     assert set(Q.queries()) <= set(__spark_entry__.queries())
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=100)
+    assert said.returncode == 0, said.stderr
