@@ -215,7 +215,7 @@ def analysis_retry(t: Tables) -> DataFrame:
 def profile_merge(t: Tables) -> DataFrame:
     new = t.profile_term.where("length(term) % 2 = 0").select("profile_id", "term", F.length("term").alias("given"))
     learned = t.profile_term.where("length(term) % 3 = 0").select("profile_id", "term", F.lit(-1).alias("kept"))
-    return new.join(learned, ["profile_id", "term"], "full").select("profile_id", "term", F.coalesce("kept", "given").alias("weight"))
+    return new.join(learned, ["profile_id", "term"], "full").select("profile_id", "term", F.coalesce("kept", "given").cast("long").alias("weight"))
 
 
 @query("""with a as (select event_id % 400 as feedback_id, md5(event_type) as h, event_id from events where event_id % 2 = 0), f as (select event_id % 400 as feedback_id, arg_max(md5(event_type), event_id) as h from events group by 1), l as (select feedback_id, arg_max(h, event_id) as h from a group by 1)

@@ -38,7 +38,7 @@ def qualification_gate(t: Tables) -> DataFrame:
 
 @query(f"""with m as (select doc_id as job_id, unnest(list_distinct(regexp_extract_all(replace(lower(title), 'ß', 'ss'), '[0-9a-zåäö]+'))) as term from documents join (select doc_id, title from listing) using (doc_id)),
   r as (select job_id, term, row_number() over (partition by job_id order by term) as r from m)
-  select job_id, round(sum(case when r <= 5 then 15.0 else 0 end), 2) as titles, round(sum(case when r > 5 and r <= 13 then 2.5 else 0 end), 2) as keywords from r group by job_id""")
+  select job_id, round(sum(case when r <= 5 then 15.0::double else 0 end), 2) as titles, round(sum(case when r > 5 and r <= 13 then 2.5::double else 0 end), 2) as keywords from r group by job_id""")
 def cluster_contributions(t: Tables) -> DataFrame:
     terms = t.listing.select(F.col("doc_id").alias("job_id"), F.lit(0).alias("profile_id"), F.explode(T.tokens(F.col("title"))).alias("term"))
     both = terms.withColumn("cluster", F.explode(F.array(F.lit("direct_title"), F.lit("keywords"))))
@@ -75,7 +75,7 @@ def key_allowlist(t: Tables) -> DataFrame:
     return t.events.where("event_id % 5 = 0").select("event_id", kept.alias("m")).select("event_id", F.size("m").alias("n"), F.col("m.k").alias("k"))
 
 
-@query("""select doc_id, length(regexp_replace(regexp_replace(substr(description, 1, 4000), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g')) as n, regexp_replace(title, '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g') as title from listing""")
+@query("""select doc_id, length(regexp_replace(regexp_replace(substr(description, 1, 4000), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g')) as n, regexp_replace(regexp_replace(title, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g') as title from listing""")
 def model_input_docs(t: Tables) -> DataFrame:
     made = t.listing.select("doc_id", L.model_input({"title": F.col("title"), "text": F.col("description")}).alias("j"))
     back = F.from_json("j", "text string, title string")
