@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, mixing, ngram_join, secrets, sentencepiece_bpe
-from spindrift.llm._stage import shared_folder
+from spindrift.llm._stage import shared_folder, text_batches
 from spindrift.llm.registry import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in some language: those labelled ``und`` (no text, no letter) go. Missing values of
     lang are filled in."""
+    text_batches(spark)
     labelled = langid.identify(docs, langid.train(docs), keep=docs.columns)
     known = labelled.where("lang_pred <> 'und'")
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -26,11 +27,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of similar ones."""
+    text_batches(spark)
     return ngram_join.one_of_each(docs).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked; n_chars follows the text."""
+    text_batches(spark)
     scanned = secrets.scan(docs, keep=docs.columns)
     text = F.coalesce("masked", "text")
     chars = F.when(F.col("masked").isNull(), F.col("n_chars")).otherwise(F.length("masked").cast("long"))
@@ -44,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, as digests, and of the text they decode to."""
+    text_batches(spark)
     return sentencepiece_bpe.encode_digests(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

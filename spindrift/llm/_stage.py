@@ -15,6 +15,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch for whole texts; Spark's default of 10,000 is meant for short rows, and several
+#: copies of a batch are held at once, inside and outside the heap.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Smaller Arrow batches for this session, unless their size was set on purpose."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 #: Tables written by this process.
 _paths: list[str] = []
 

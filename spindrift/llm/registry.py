@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, html_extract, langid, lm_score, media, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
+from ._stage import text_batches
 
 #: Where the public tokenizers lie; None: where the package public_tokenizers has them.
 TOKENIZERS: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
