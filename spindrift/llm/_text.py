@@ -22,7 +22,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
 #: Texts are taken in pieces of about so many bytes; one text is never cut.
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

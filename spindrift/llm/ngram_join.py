@@ -35,7 +35,7 @@ N, SIMILAR = 5, (80, 100)
 EACH = 24
 #: Segments more than needed, as a share, so that poor ones can be skipped.
 SPARE = 0.08
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 6_000_000
 SKETCH = 64
 #: Turns in which groups are tried against one member each.
 PIVOTS = 3
@@ -215,7 +215,7 @@ def _signed(reps: DataFrame, n: int, similar: tuple[int, int], buckets: int) ->
                         # The lowest bit of the owner says whether the signature is probed.
                         held.append((sig, np.int64(ids[i]) * 2 + probed))
                         total += len(sig)
-                if total > 1_000_000:
+                if total > 400_000:
                     yield from packed()
                     total = 0
         if held:
