@@ -5,13 +5,11 @@ the levels 1 to 1 + floor(log2 c). Whoever holds the filter asks for level 1, 2,
 and takes the middle of the last level's range as the count. A pair that was never seen is found with the
 filter's error rate, and a level too high with the square of it.
 
-Pairs reach the filter by a shuffle on hash segments: a segment of the filter is filled by the task that
-has counted that segment's pairs. The filter grows with the number of pairs up to MAX_BITS; beyond that,
-pairs below the smallest count that still fits are left out, so what is broadcast is bounded.
-
-Exact word counts do not fit into a broadcast for a large corpus. Documents are dealt to batches; the
-distinct words of each batch are counted up across batches in a shuffle on word hashes, and each batch gets
-back just the counts of its own words.
+Neither word counts nor the filter fit into a broadcast for a large corpus. Documents are dealt to batches; the
+distinct words and pairs of each batch are counted up across batches in a shuffle on hashes, and each batch
+gets back just what it asked for: the counts of its own words, the levels of its own pairs. The filter lies in
+segments, as many as the batches need. The task that has counted a segment's pairs fills that segment, sized to
+hold them all, and probes it for every batch, so no pair is left out, and no task ever holds more than a segment.
 """
 
 from __future__ import annotations
@@ -32,8 +30,7 @@ from ._text import U64, column, mix, pieces, words
 END = U64(0x2545F4914F6CDD1D)
 #: The filter has 2**SEGMENT_BITS segments at least, and more for a corpus of more than so many batches.
 SEGMENT_BITS = 8
-BITS_PER_PAIR = 8
-MAX_BITS = 1 << 29
+BITS_PER_PAIR = 10
 PROBES = 2
 #: Weight of the pair's share against the word's own.
 PAIR_WEIGHT = 0.4
@@ -68,23 +65,39 @@ def _places(short: np.ndarray, level: int, span: int) -> list[np.ndarray]:
 
 def probed_levels(found: Filter, pairs: np.ndarray) -> np.ndarray:
     """Level of each pair: how many levels in a row the filter holds."""
-    pairs = _short(pairs, found.segment_bits)
-    out = np.zeros(len(pairs), np.int64)
-    open_ = np.arange(len(pairs))
+    short = _short(pairs, found.segment_bits)
+    return _probed(found.bits, found.span, short, (short >> U64(32)) * U64(found.span))
+
+
+def _probed(bits: np.ndarray, span: int, short: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Levels of pairs whose segments begin at the bits ``base``."""
+    out = np.zeros(len(short), np.int64)
+    open_ = np.arange(len(short))
     level = 1
     while len(open_) and level < 50:
-        asked = pairs[open_]
-        base = (asked >> U64(32)) * U64(found.span)
         there = np.ones(len(open_), bool)
-        for place in _places(asked, level, found.span):
-            at = base + place
-            there &= (found.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+        for place in _places(short[open_], level, span):
+            at = base[open_] + place
+            there &= (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
         open_ = open_[there]
         out[open_] = level
         level += 1
     return out
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+
+
+def _filled(short: np.ndarray, top: np.ndarray, span: int) -> np.ndarray:
+    """The bits of a segment that holds each pair with the levels 1 to ``top``."""
+    bits = np.zeros(span, bool)
+    for level in range(1, int(top.max(initial=0)) + 1):
+        for place in _places(short[top >= level], level, span):
+            bits[place.astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def level_counts(levels: np.ndarray) -> np.ndarray:
     """Counts that levels stand for: 0, 1, then the geometric middle of 2**(k-1) to 2**k."""
     return np.where(levels < 2, levels, 2.0 ** (levels - 0.5))
@@ -162,16 +175,17 @@ def _counted_pairs(parts: Iterator[tuple[bytes, bytes, bytes]]) -> tuple[np.ndar
     return unique, np.bincount(at, np.concatenate(counts), len(unique)).astype(np.int64)
 
 
-def build_filter(docs: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = SEGMENT_BITS) -> Filter:
+def build_filter(docs: DataFrame, max_bits: int | None = None, segment_bits: int = SEGMENT_BITS) -> Filter:
     """The filter of all pairs of the rows with ``train``. docs: text, train. No rows: an empty filter.
 
+    It is gathered in the driver, so it is for tables whose filter fits there; score_documents does without.
     The counted pairs of a segment are written once as a table; from how many pairs reach each level follow
-    the filter's size and, if it would pass ``max_bits``, the least count that goes in.
+    the filter's size and, if ``max_bits`` is given and it would pass that, the least count that goes in.
     """
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         pairs, n = _counted_pairs(zip(*(table.column(c).to_pylist() for c in ("once", "more", "counts")), strict=True))
-        levels = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
+        levels = _levels(n)
         # For each least level the bits' worth of entries: pairs at or above it, with all their levels.
         entries = [int(levels[levels >= k].sum()) for k in range(1, 41)]
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "pairs": pa.array([pairs.tobytes()], pa.binary()), "levels": pa.array([levels.astype(np.uint8).tobytes()], pa.binary()), "entries": pa.array([entries], pa.list_(pa.int64()))})
@@ -180,20 +194,17 @@ def build_filter(docs: DataFrame, max_bits: int = MAX_BITS, segment_bits: int =
     counted = written(parts.groupBy("segment").applyInArrow(count, "segment int, pairs binary, levels binary, entries array<long>"))
     totals = counted.select(F.posexplode("entries").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
     wanted = [max(1, r["n"]) * BITS_PER_PAIR for r in totals] or [8]
-    least = next((k for k, bits in enumerate(wanted) if bits <= max_bits), len(wanted) - 1)
-    span = max(64, math.ceil(min(wanted[least], max_bits) / (1 << segment_bits) / 8) * 8)
+    most = max(wanted) if max_bits is None else max_bits
+    least = next((k for k, bits in enumerate(wanted) if bits <= most), len(wanted) - 1)
+    span = max(64, math.ceil(min(wanted[least], most) / (1 << segment_bits) / 8) * 8)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for segment, keys, levels in zip(*(column(batch, c).to_pylist() for c in ("segment", "pairs", "levels")), strict=True):
                 pairs = np.frombuffer(keys, np.uint32).astype(U64) | U64(segment) << U64(32)
                 top = np.frombuffer(levels, np.uint8)
-                pairs, top = pairs[top > least], top[top > least]
-                bits = np.zeros(span, bool)
-                for level in range(1, int(top.max(initial=0)) + 1):
-                    for place in _places(pairs[top >= level], level, span):
-                        bits[place.astype(np.int64)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+                bits = _filled(pairs[top > least], top[top > least], span)
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["segment", "bits"])
 
     out = np.zeros((1 << segment_bits) * span // 8, np.uint8)
     for row in counted.select("segment", "pairs", "levels").mapInArrow(fill, "segment int, bits binary").toLocalIterator():
@@ -205,42 +216,76 @@ def build_filter(docs: DataFrame, max_bits: int = MAX_BITS, segment_bits: int =
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _batch_words(key: tuple, table: pa.Table) -> pa.Table:
-    """The distinct tokens of a batch of documents and their counts in its training documents, by bucket."""
-    unique, n = np.zeros(0, U64), np.zeros(0, np.int64)
-    for batch in table.combine_chunks().to_batches():
-        for piece in pieces(batch):
+#: What a batch asks for. Of words: hashes and counts in its training documents. Of pairs, by segment and in 32
+#: bits each: those in no training document of the batch (tokens), in one place (once), in more, with counts.
+ASKED = "batch long, pairs boolean, bucket int, tokens binary, once binary, more binary, counts binary"
+#: Counts of words as int64, in the order asked; levels of pairs as uint8, in the order of the pairs.
+REPLIED = "batch long, pairs boolean, bucket int, tokens binary, counts binary, `all` long, `distinct` long"
+_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [x.split() for x in schema.replace("`", "").split(", ")]
+    return pa.table([pa.array([r[k] for r in rows], _KINDS[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    unique, at = np.unique(np.concatenate([np.zeros(0, U64), *keys]), return_inverse=True)
+    return unique, np.bincount(at, np.concatenate([np.zeros(0, np.int64), *counts]), len(unique)).astype(np.int64)
+
+
+def _batch_asks(batch: int, table: pa.Table, buckets: int, segment_bits: int) -> pa.Table:
+    """The distinct tokens and pairs of a batch of documents and their counts in its training documents."""
+    words_, pairs_ = ([], []), ([], [])
+    for part in table.combine_chunks().to_batches():
+        for piece in pieces(part):
             found, first = tokens(column(piece, "text"))
-            own, at = np.unique(found, return_inverse=True)
             train = np.repeat(column(piece, "train").to_numpy(zero_copy_only=False), np.diff(first))
-            both, at = np.unique(np.concatenate([unique, own]), return_inverse=True), np.bincount(at, train, len(own)).astype(np.int64)
-            unique, n = both[0], np.bincount(both[1], np.concatenate([n, at]), len(both[0])).astype(np.int64)
-    buckets = key[1].as_py()
+            for keys, (held, counts) in ((found, words_), (_short(pairs_of(found, first), segment_bits), pairs_)):
+                unique, n = _summed([keys], [train])
+                held.append(unique)
+                counts.append(n)
+    unique, n = _summed(*words_)
     bucket = (unique >> U64(40)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = [(b, unique[order[cut[b] : cut[b + 1]]], n[order[cut[b] : cut[b + 1]]]) for b in range(buckets)]
-    return pa.table({
-        "batch": pa.array([key[0].as_py()] * buckets, pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()),
-        "tokens": pa.array([r[1].tobytes() for r in rows], pa.binary()), "counts": pa.array([r[2].astype(np.uint32).tobytes() for r in rows], pa.binary()),
-    })
-
-
-def _count_bucket(table: pa.Table) -> pa.Table:
-    """Counts over all batches of a bucket's tokens, dealt back to the batches that asked."""
-    asked = [np.frombuffer(x, U64) for x in table.column("tokens").to_pylist()]
-    n = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+    unique, n = unique[order], n[order].astype(np.uint32)
+    rows = [(batch, False, k, unique[a:b].tobytes(), None, None, n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+    unique, n = _summed(*pairs_)
+    there, at = np.unique((unique >> U64(32)).astype(np.int64), return_index=True)
+    short, n = (unique & U64(0xFFFFFFFF)).astype(np.uint32), n.astype(np.uint32)
+    for segment, a, b in zip(there.tolist(), at, [*at[1:], len(unique)], strict=True):
+        keys, c = short[a:b], n[a:b]
+        rows.append((batch, True, segment, keys[c == 0].tobytes(), keys[c == 1].tobytes(), keys[c > 1].tobytes(), c[c > 1].tobytes()))
+    return _table(rows, ASKED)
+
+
+def _reply(pairs: bool, bucket: int, table: pa.Table) -> pa.Table:
+    """Counts over all batches of a bucket's words, or levels of a segment's pairs, for the batches that asked."""
+    get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    batches, n = table.column("batch").to_pylist(), get("counts", np.uint32)
+    if pairs:
+        none, once, more = (get(c, np.uint32) for c in ("tokens", "once", "more"))
+        base = U64(bucket) << U64(32)
+        short, count = _summed([x.astype(U64) | base for x in [*once, *more]], [*(np.ones(len(x), np.int64) for x in once), *n])
+        top = _levels(count)
+        span = max(64, math.ceil(int(top.sum()) * BITS_PER_PAIR / 64) * 64)
+        bits = _filled(short, top, span)
+        rows = []
+        for batch, *parts in zip(batches, none, once, more, strict=True):
+            asked = np.sort(np.concatenate(parts)).astype(U64) | base
+            rows.append((batch, True, bucket, None, _probed(bits, span, asked, np.zeros(len(asked), U64)).astype(np.uint8).tobytes(), 0, 0))
+        return _table(rows, REPLIED)
+    asked = get("tokens", U64)
     unique, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, np.concatenate(n), len(unique)).astype(np.int64)
     cut = np.cumsum([0, *map(len, asked)])
-    replies = [total[at[a:b]].astype(np.int64).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table({
-        "batch": table.column("batch").combine_chunks(), "tokens": table.column("tokens").combine_chunks(), "counts": pa.array(replies, pa.binary()),
-        "bucket": table.column("bucket").combine_chunks(), "all": pa.array([int(total.sum())] * len(asked), pa.int64()), "distinct": pa.array([int(np.count_nonzero(total))] * len(asked), pa.int64()),
-    })
+    replies = [total[at[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    every, distinct = int(total.sum()), int(np.count_nonzero(total))
+    return _table([(batch, False, bucket, x.tobytes(), r, every, distinct) for batch, x, r in zip(batches, asked, replies, strict=True)], REPLIED)
 
 
-def score_documents(docs: DataFrame, held_out: Column, max_bits: int = MAX_BITS, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
     """SCHEMA for every whole text. docs: doc_id, text; other columns are ignored.
 
     held_out: a boolean of the documents not to learn from, null counts as false. Null text is empty and has one token, the end.
@@ -254,22 +299,29 @@ def score_documents(docs: DataFrame, held_out: Column, max_bits: int = MAX_BITS,
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("n")).first()
     batches = max(1, math.ceil(size["chars"] / BATCH_CHARS))
     buckets = max(4, batches)
-    found = build_filter(rows, max_bits, max(SEGMENT_BITS, math.ceil(math.log2(2 * batches))))
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    segment_bits = max(SEGMENT_BITS, math.ceil(math.log2(2 * batches)))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)))
-    asked = dealt.withColumn("buckets", F.lit(buckets)).groupBy("batch", "buckets").applyInArrow(_batch_words, "batch long, bucket int, tokens binary, counts binary")
-    replies = written(asked.groupBy("bucket").applyInArrow(_count_bucket, "batch long, tokens binary, counts binary, bucket int, `all` long, `distinct` long"))
-    per = replies.groupBy("bucket").agg(F.max("all").alias("n"), F.max("distinct").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    asked = dealt.groupBy("batch").applyInArrow(lambda key, table: _batch_asks(key[0].as_py(), table, buckets, segment_bits), ASKED)
+    replies = written(asked.groupBy("pairs", "bucket").applyInArrow(lambda key, table: _reply(key[0].as_py(), key[1].as_py(), table), REPLIED))
+    per = replies.where("not pairs").groupBy("bucket").agg(F.max("all").alias("n"), F.max("distinct").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, distinct = per["n"] or 0, per["v"] or 0
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in right.column("tokens").to_pylist())])
-        n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right.column("counts").to_pylist())])
+        replied = list(zip(*(right.column(c).to_pylist() for c in ("pairs", "bucket", "tokens", "counts")), strict=True))
+        known = np.concatenate([np.zeros(0, U64), *(np.frombuffer(t, U64) for pairs, _, t, _ in replied if not pairs)])
+        n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.int64) for pairs, _, _, c in replied if not pairs)])
+        # Segments in order, and each one's pairs in order: the order of the batch's distinct pairs.
+        levels = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(c, np.uint8) for _, c in sorted((k, c) for pairs, k, _, c in replied if pairs))])
+        parts = left.combine_chunks().to_batches()
+        each = [np.unique(_short(pairs_of(*tokens(column(piece, "text"))), segment_bits)) for part in parts for piece in pieces(part)]
+        distinct_pairs = np.unique(np.concatenate([np.zeros(0, U64), *each]))
+        if len(distinct_pairs) != len(levels):
+            raise ValueError("a batch's texts changed between two reads")
         order = np.argsort(known)
         known, n = known[order], n[order]
         end_count = int(n[np.searchsorted(known, END)]) if len(known) else 0
         out = []
-        for batch in left.combine_chunks().to_batches():
+        for batch in parts:
             for piece in pieces(batch):
                 found_, first = tokens(column(piece, "text"))
                 own, at = np.unique(found_, return_inverse=True)
@@ -277,7 +329,7 @@ def score_documents(docs: DataFrame, held_out: Column, max_bits: int = MAX_BITS,
                 before = np.empty_like(c)
                 before[1:] = c[:-1]
                 before[first[:-1]] = end_count
-                pairs = level_counts(probed_levels(shared.value, pairs_of(found_, first)))
+                pairs = level_counts(levels[np.searchsorted(distinct_pairs, _short(pairs_of(found_, first), segment_bits))].astype(np.int64))
                 word = (c + 1) / (total + distinct + 1)
                 share = np.minimum(1.0, pairs / np.maximum(before, 1))
                 p = np.where(before > 0, pair_weight * share + (1 - pair_weight) * word, word)
@@ -290,4 +342,4 @@ def score_documents(docs: DataFrame, held_out: Column, max_bits: int = MAX_BITS,
         return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
 
     texts = dealt.select("batch", "doc_id", "text", "held_out")
-    return texts.groupBy("batch").cogroup(replies.select("batch", "tokens", "counts").groupBy("batch")).applyInArrow(score, SCHEMA)
+    return texts.groupBy("batch").cogroup(replies.select("batch", "pairs", "bucket", "tokens", "counts").groupBy("batch")).applyInArrow(score, SCHEMA)

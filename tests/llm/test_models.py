@@ -61,6 +61,34 @@ def test_lm_base_score_by_hand(spark):
     assert gain > 0
 
 
+def test_lm_score_knows_every_pair(spark, monkeypatch):
+    def gathered(*_, **__):
+        raise AssertionError("the whole filter was gathered, so its size is bounded")
+
+    monkeypatch.setattr(lm_score, "build_filter", gathered)
+    monkeypatch.setattr(lm_score, "BATCH_CHARS", 20_000)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows, held = table.collect(), F.col("doc_id") % 5 == 2
+    got = {r.doc_id: r for r in lm_score.score_documents(table, held).collect()}
+    tok = lambda t: [*(t or "").encode().lower().split(), None]
+    c, two = collections.Counter(), collections.Counter()
+    for r in rows:
+        if r.doc_id % 5 != 2:
+            c.update(tok(r.text))
+            two.update(zip([None, *tok(r.text)], tok(r.text), strict=False))
+    n, v, off, total = sum(c.values()), len(c), 0.0, 0
+    weight = lambda k: 0 if k == 0 else 1 if k == 1 else 2.0 ** (math.floor(math.log2(k)) + 0.5)
+    for r in rows:
+        want = 0.0
+        for before, x in zip([None, *tok(r.text)], tok(r.text), strict=False):
+            word = (c[x] + 1) / (n + v + 1)
+            want += math.log10(0.4 * min(1, weight(two[before, x]) / c[before]) + 0.6 * word if c[before] else word)
+        # The filter may err upwards only, and seldom.
+        assert got[r.doc_id].score >= want - 1e-6
+        off, total = off + got[r.doc_id].score - want, total + len(tok(r.text))
+    assert len(got) == len(rows) and min(two.values()) == 1 and off / total < 0.05
+
+
 def test_lm_edges(docs):
     got = lm_score.score_documents(docs([(1, "a b a b"), (2, None), (None, "a"), (1, "zz")]), F.col("doc_id") == 1).collect()
     assert len(got) == 4 and {r.train_tokens for r in got} <= {1, 2, 3}
