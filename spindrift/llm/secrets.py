@@ -39,8 +39,8 @@ COMMON = ["the", "ing", "ion", "ent", "and", "tion", "ter", "est", "ers", "ati",
 _CUE = "|".join(map(re.escape, CUES))
 CANDIDATE = re.compile(
     "|".join(f"(?P<{n}>{p})" for n, p in FORMS)
-    + rf"|(?i:(?:{_CUE})[\"']?\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}[\"']?)(?P<assigned>[^\s\"'<>,;]{{6,512}})"
-    + r"|(?<![0-9A-Za-z+/_=-])(?P<random>(?=[0-9A-Za-z+/_=-]*[0-9])(?=[0-9A-Za-z+/_=-]*[A-Za-z])[0-9A-Za-z+/_=-]{20,512})(?![0-9A-Za-z+/_=-])")
+    + rf"|(?i:(?:{_CUE})[\"']?\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}[\"']?)(?P<assigned>[^\s\"'<>,;]{{6,}}+)"
+    + r"|(?<![0-9A-Za-z+/_=-])(?P<random>(?=[0-9A-Za-z+/_=-]*[0-9])(?=[0-9A-Za-z+/_=-]*[A-Za-z])[0-9A-Za-z+/_=-]{20,}+)")
 #: Quick test of a text: nothing can be found without a word of so many characters and a digit, or one of these.
 LONG = 15
 _DIGIT = re.compile("[0-9]")

@@ -152,3 +152,14 @@ def test_secrets_in_texts(docs):
     s = got[1].secrets[0]
     assert rows[0][1][s.begin : s.end] == key
     assert all(got[k].n_secrets == 0 for k in (2, 3, None, 4, 5)) and got[5].masked is None
+
+
+def test_long_secrets_are_masked_whole(docs):
+    rng = np.random.default_rng(3)
+    wide = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    value = {n: "".join(rng.choice(wide, n)) for n in (512, 513, 600, 5000)}
+    rows = [(n, f'before token = "{v}" after') for n, v in value.items()] + [(-n, f"before {v} after") for n, v in value.items()]
+    got = {r.doc_id: r for r in secrets.scan(docs(rows)).collect()}
+    for n in value:
+        assert got[n].masked == 'before token = "[assigned]" after' and got[-n].masked == "before [random] after", n
+    assert [s[2] for s in secrets.candidates("a" * 200_000 + "1")] == ["random"] and secrets.candidates("a" * 200_000) == []
