@@ -41,10 +41,12 @@ CANDIDATE = re.compile(
     "|".join(f"(?P<{n}>{p})" for n, p in FORMS)
     + rf"|(?i:(?:{_CUE})[\"']?\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}[\"']?)(?P<assigned>[^\s\"'<>,;]{{6,}}+)"
     + r"|(?<![0-9A-Za-z+/_=-])(?P<random>(?=[0-9A-Za-z+/_=-]*[0-9])(?=[0-9A-Za-z+/_=-]*[A-Za-z])[0-9A-Za-z+/_=-]{20,}+)")
-#: Quick test of a text: nothing can be found without a word of so many characters and a digit, or one of these.
+#: Quick test of a text: nothing can be found without a word of so many characters and a digit, one of the stems
+#: that all cues and private keys hold, or a start of a known form, which may have no digit.
 LONG = 15
 _DIGIT = re.compile("[0-9]")
 STEMS = ("token", "secret", "passw", "pwd", "key", "auth", "credential", "bearer")
+STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "eyJ", "-----BEGIN")
 KINDS = [n for n, _ in FORMS] + ["assigned", "random"]
 _COMMON = re.compile("|".join(sorted(COMMON, key=len, reverse=True)))
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z", re.I)
@@ -52,8 +54,9 @@ _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z", re.I)
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of all candidates, in order, none inside another."""
-    low = text.lower()
-    if not any(x in low for x in STEMS) and not _DIGIT.search(" ".join([w for w in text.split() if len(w) >= LONG])):
+    # Folded, as the search without regard to case takes a long s for an s.
+    low = text.casefold()
+    if not any(x in low for x in STEMS) and not any(x in text for x in STARTS) and not _DIGIT.search(" ".join([w for w in text.split() if len(w) >= LONG])):
         return []
     return [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup) for m in CANDIDATE.finditer(text)]
 

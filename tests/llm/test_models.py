@@ -163,3 +163,18 @@ def test_long_secrets_are_masked_whole(docs):
     for n in value:
         assert got[n].masked == 'before token = "[assigned]" after' and got[-n].masked == "before [random] after", n
     assert [s[2] for s in secrets.candidates("a" * 200_000 + "1")] == ["random"] and secrets.candidates("a" * 200_000) == []
+
+
+def test_quick_test_of_secrets_loses_nothing():
+    rng = np.random.default_rng(5)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    upper, wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    forms = ["AKIA" + pick(upper, 16), "ASIA" + pick(upper, 16), *(f"gh{c}_" + pick(wide, 36) for c in "pousr"), *(f"xox{c}-" + pick(wide, 10) for c in "abprs"),
+             "AIza" + pick(wide, 35), f"eyJ{pick(wide, 30)}.eyJ{pick(wide, 40)}.{pick(wide, 43)}", f"-----BEGIN PRIVATE KEY-----{pick(wide, 40)}-----END PRIVATE KEY-----"]
+    named = [f"{c.upper()}: {pick(wide, 8)}" for c in secrets.CUES] + ["pa\u017f\u017fword=abcdefgh", "to\u212aen=abcdefgh"]
+    loose = [pick(wide, 19) + "1", pick("ab1/+=_-", 24), "a" * 30, "1" * 30, "plain"]
+    for value in forms + named + loose:
+        for text in (value, f"plain words {value} and more", f"({value})", f"von,{value}\n"):
+            want = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup) for m in secrets.CANDIDATE.finditer(text)]
+            assert secrets.candidates(text) == want, text
+        assert value in loose or secrets.candidates(f"plain words {value} and more"), value
