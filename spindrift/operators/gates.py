@@ -57,6 +57,17 @@ def discovery_terms(terms: DataFrame, keep: int = 80, least: int = 5) -> DataFra
     return first.withColumn("place", place).where(F.col("place") <= keep)
 
 
+def discovery_pool(jobs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(job_id, profile_id): jobs that hold a term of a profile (profile_id, term) as whole tokens in title or
+    description. Token n-grams, as long as any term is, meet the terms in an equi join."""
+    phrases = terms.select("profile_id", T.normalized(F.col("term")).alias("phrase")).where("phrase <> ''").distinct()
+    lengths = phrases.agg(F.collect_set(F.size(F.split("phrase", " "))).alias("_lengths"))
+    rows = jobs.select("job_id", F.split(T.normalized(F.concat_ws(" ", "title", "description")), " ").alias("_w")).crossJoin(F.broadcast(lengths))
+    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    grams = rows.select("job_id", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", runs)))).alias("phrase"))
+    return grams.join(phrases, "phrase").select("job_id", "profile_id").distinct()
+
+
 def language_gate(jobs: DataFrame, languages: DataFrame, text: str = "description") -> DataFrame:
     """(job_id, code, verdict, pos): the first sentence that decides on a language, of languages (code,
     above_b2): ``fail``, ``caution`` or ``pass``; jobs without a deciding sentence give no row.

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, listing as L, text as T
-from ..operators import scoring, state
+from ..operators import gates, scoring, state
 from . import flagship
 from .binding import Tables
-from .listings import _DEST, _NORM, _ROUTES, _any
+from .listings import _DEST, _NORM, _ROUTES, _any, discovery_terms
 from .registry import query
 
 _MARKS = ["the ", "and "]
@@ -113,6 +113,12 @@ def pool_discovery(t: Tables) -> DataFrame:
     return jobs.join(terms, T.has_phrase(F.col("x"), F.col("phrase"))).select("job_id", "profile_id").distinct()
 
 
+@query()
+def pool_discovery_terms(t: Tables) -> DataFrame:
+    """The whole pool: every profile, its own terms."""
+    return gates.discovery_pool(t.job, discovery_terms(t))
+
+
 @query(f"select job_id, array_to_string(list_sort(list_filter([case when contains(' ' || {_NORM.format('title')} || ' ', ' the ') then 'the' end, case when contains({_NORM.format('description')}, 'worthless') then 'worthless' end, case when contains({_NORM.format('description')}, 'stupid') then 'stupid' end], lambda x: x is not null)), ',') as matches from job")
 def negative_matches(t: Tables) -> DataFrame:
     text, title = T.normalized(F.col("description")), T.normalized(F.col("title"))
