@@ -8,6 +8,7 @@ language, so a span of several foreign words is labelled as foreign and a stray
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 from ._text import PUNCTUATION, U64, Words, column, mix, pieces, words
 
 TRIGRAMS, WORDS = 1 << 16, 1 << 17
-#: Labelled documents that the tables are counted from, about, at most; languages at most.
-SAMPLE, MAX_LANGUAGES = 20_000, 64
+#: Labelled documents that the tables are counted from, about, at most, and as many of each language as of any
+#: other as far as it has them; LEAST of each, however many languages there are.
+SAMPLE, LEAST = 20_000, 50
+#: Tables of more languages than this hold only what was seen.
+DENSE = 64
 SWITCH, FLOOR = 12.0, 6.0
 SLICE_BYTES, PIECE_BYTES = 4 << 20, 1 << 18
 #: Where the code points of a script begin (public Unicode block ranges); "-" has no letters of one script.
@@ -35,15 +39,53 @@ _BEGINS = np.array([b for b, _ in SCRIPTS])
 _CODES = np.array([_NAMES.index(s) if s != "-" else -1 for _, s in SCRIPTS])
 
 
+@dataclass
+class Table:
+    """Log-likelihoods of features by language: of one never seen (base), and what seen ones have more, in the order
+    of features, those of feature f at begin[f]:begin[f+1]; or all of them as rows[feature, language]."""
+
+    base: np.ndarray
+    begin: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
+    rows: np.ndarray | None = None
+
+    def sums(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """[k, language]: sums over the features first[k]:first[k+1], of which there is at least one."""
+        if self.rows is not None:
+            return np.add.reduceat(self.rows[features], first[:-1], 0)
+        n, languages, size = len(first) - 1, len(self.base), np.diff(first)
+        there = self.begin[features + 1] - self.begin[features]
+        at = np.repeat(self.begin[features] - (np.cumsum(there) - there), there) + np.arange(there.sum())
+        owner = np.repeat(np.repeat(np.arange(n), size), there)
+        seen = np.bincount(owner * languages + self.language[at], self.gain[at], n * languages).reshape(n, languages)
+        return (seen + size[:, None] * self.base).astype(np.float32)
+
+
+def make_table(feature: np.ndarray, language: np.ndarray, n: np.ndarray, features: int, languages: int, add: float, dense: bool) -> Table:
+    """From counts n of (feature, language), each pair once; ``add`` is added to every count."""
+    total = np.bincount(language, n, languages) + add * features
+    base = np.log(add / total)
+    order = np.argsort(feature, kind="stable")
+    begin = np.searchsorted(feature[order], np.arange(features + 1))
+    table = Table(base, begin, language[order], np.log((n[order] + add) / add).astype(np.float32))
+    if dense:
+        counts = np.zeros((features, languages))
+        counts[feature, language] = n
+        table = Table(base, begin[:1], language[:0], table.gain[:0], np.log((counts + add) / total).astype(np.float32))
+    return table
+
+
 @dataclass
 class Model:
-    """languages in code-point order; trigrams[bucket, language] and words[bucket, language]: log-likelihoods;
-    scripts[script, language]: whether a language may have words in a script."""
+    """languages in code-point order; trigrams and words: log-likelihoods by bucket and language;
+    scripts[script, language]: whether a language may have words in a script; commonest: the one with most texts."""
 
     languages: list[str]
-    trigrams: np.ndarray
-    words: np.ndarray
+    trigrams: Table
+    words: Table
     scripts: np.ndarray
+    commonest: int
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -86,44 +128,73 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return tri, first, word, per_word
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Tables from labelled texts; rows with a null in either are not used.
+def _sampled(rows: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """About ``sample`` of the rows, kept by a hash of the text: all of rare languages, an equal number of others."""
+    left, least = sample, LEAST
+    for k, n in enumerate(sorted(counts.values())):
+        least = max(LEAST, left // (len(counts) - k))
+        if n > least:
+            break
+        left -= n
+    shares = [(x, math.ceil(min(1.0, least / n) * (1 << 30))) for x, n in counts.items()]
+    shares_ = rows.sparkSession.createDataFrame(shares, "lang string, _share long")
+    kept = rows.join(F.broadcast(shares_), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("_share"))
+    return kept.select("text", "lang")
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    """Tables of all languages of labelled texts; rows with a null in either are not used.
 
-    Counted from whole texts, from about ``sample`` of them if there are more, kept by a hash of the text.
-    Of more than ``max_languages`` languages the commonest are kept. No rows: no language.
+    Counted from whole texts, from about ``sample`` of them if there are more. No rows: no language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    total = rows.count()
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in common)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(counts.values()) > sample:
+        rows = _sampled(rows, counts, sample)
+    languages = sorted(counts)
     place = {x: i for i, x in enumerate(languages)}
     width = TRIGRAMS + WORDS + len(_NAMES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([x[1] for x in held]), len(keys)).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            keys, n = merged()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), pa.array(keys % width), pa.array(n)], ["language", "feature", "n"])
+
         for batch in batches:
             for piece in pieces(batch, size=PIECE_BYTES):
                 w = words(column(piece, "text"), PUNCTUATION)
                 tri, first, word, script = _features(w)
-                langs = np.array([place.get(x, -1) for x in column(piece, "lang").to_pylist()])
-                of_word = langs[w.owners()]
-                of_tri = np.repeat(of_word, np.diff(first))
-                for i in set(langs.tolist()) - {-1}:
-                    add = np.concatenate([np.bincount(tri[of_tri == i], minlength=TRIGRAMS), np.bincount(word[of_word == i], minlength=WORDS), np.bincount(script[(of_word == i) & (script >= 0)], minlength=len(_NAMES))])
-                    held[i] = held.get(i, 0) + add
-        for i, n in held.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(n[at])], ["language", "feature", "n"])
+                of_word = np.array([place[x] for x in column(piece, "lang").to_pylist()], np.int64)[w.owners()] * width
+                lettered = script >= 0
+                found = [np.repeat(of_word, np.diff(first)) + tri, of_word + TRIGRAMS + word, (of_word + TRIGRAMS + WORDS + script)[lettered]]
+                held.append(np.unique(np.concatenate(found), return_counts=True))
+                if sum(len(x[0]) for x in held) > 2_000_000:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > 1_000_000:
+                        yield out()
+        if held:
+            yield out()
 
     counted = rows.mapInArrow(count, "language int, feature long, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros((width, max(1, len(languages))))
-    n[counted.column("feature").to_numpy(), counted.column("language").to_numpy()] = counted.column("n").to_numpy()
-    tri, word, script = n[:TRIGRAMS], n[TRIGRAMS : TRIGRAMS + WORDS], n[TRIGRAMS + WORDS :]
-    log = lambda x, add: np.log((x + add) / (x.sum(0) + add * len(x))).astype(np.float32)
+    feature, language, n = (counted.column(c).to_numpy() for c in ("feature", "language", "n"))
+    many = max(1, len(languages))
+
+    def part(begin: int, size: int, add: float) -> Table:
+        own = (feature >= begin) & (feature < begin + size)
+        return make_table(feature[own] - begin, language[own], n[own], size, many, add, many <= DENSE)
+
+    script, own = np.zeros((len(_NAMES), many)), feature >= TRIGRAMS + WORDS
+    script[feature[own] - TRIGRAMS - WORDS, language[own]] = n[own]
     share = script / np.maximum(script.sum(0), 1)
-    return Model(languages, log(tri, 0.05), log(word, 0.02), share >= 0.002)
+    commonest = max(range(len(languages)), key=lambda k: counts[languages[k]], default=0)
+    return Model(languages, part(0, TRIGRAMS, 0.05), part(TRIGRAMS, WORDS, 0.02), share >= 0.002, commonest)
 
 
 def word_scores(model: Model, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +204,7 @@ def word_scores(model: Model, w: Words) -> tuple[np.ndarray, np.ndarray]:
     n, languages = len(word), len(model.languages)
     if n == 0:
         return np.zeros((0, languages), np.float32), np.zeros(0, np.int64)
-    scores = np.add.reduceat(model.trigrams[tri], first[:-1], 0) * np.float32(0.5) + model.words[word] * np.float32(0.7)
+    scores = model.trigrams.sums(tri, first) * np.float32(0.5) + model.words.sums(word, np.arange(n + 1)) * np.float32(0.7)
     allowed = model.scripts[script] & (script >= 0)[:, None]
     some = allowed.any(1)
     scores[~allowed] = -np.inf
@@ -156,7 +227,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     if n == 0 or languages == 1:
         return out
     best = np.zeros((len(order), languages), np.float32)
-    came = np.zeros(n, np.int8)  # MAX_LANGUAGES fits
+    came = np.zeros(n, np.int32)
     stayed = np.zeros((n, languages), bool)
     alive = len(order) - np.searchsorted(length[::-1], np.arange(length[0]), "right")
     for t in range(length[0]):
@@ -212,7 +283,7 @@ def label(model: Model, batch: pa.RecordBatch, switch: float = SWITCH) -> tuple[
     for i in np.flatnonzero(total == 0):
         # Letters outside the table of scripts still make a text one of some language: the commonest.
         if any(c.isalpha() for c in texts[int(i)].as_py() or ""):
-            names[i], sure[i], share[i] = model.languages[int(model.words.sum(0).argmin())], 1 / languages, 1.0
+            names[i], sure[i], share[i] = model.languages[model.commonest], 1 / languages, 1.0
     turn = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])]) if len(path) else np.zeros(0, int)
     spans: list[list[tuple[int, int, str]]] = [[] for _ in range(n)]
     for a, b in zip(turn, np.append(turn[1:], len(path)), strict=True):
@@ -241,7 +312,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, keep: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            for piece in pieces(batch, size=SLICE_BYTES):
+            # Scores are dense, so slices are smaller with many languages.
+            for piece in pieces(batch, size=SLICE_BYTES * DENSE // max(DENSE, len(shared.value.languages))):
                 names, score, spans = label(shared.value, piece, switch)
                 rows = pa.array([[{"begin": a, "end": b, "lang": x} for a, b, x in s] for s in spans], kind)
                 yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), pa.array(names, pa.string()), pa.array(score), rows, *(column(piece, x) for x in others)], ["doc_id", "lang_pred", "score", "spans", *others])

@@ -178,3 +178,33 @@ def test_quick_test_of_secrets_loses_nothing():
             want = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup) for m in secrets.CANDIDATE.finditer(text)]
             assert secrets.candidates(text) == want, text
         assert value in loose or secrets.candidates(f"plain words {value} and more"), value
+
+
+def test_language_of_more_than_64(docs):
+    rng = np.random.default_rng(8)
+    names = [f"l{k:02d}" for k in range(90)]
+    vocabulary = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for x in names}
+    text = lambda x: " ".join(rng.choice(vocabulary[x], 15))
+    # A common language, and rare ones at the end of the order.
+    table = [(k, text(names[0]), names[0]) for k in range(400)] + [(1000 + 10 * i + k, text(x), x) for i, x in enumerate(names[1:]) for k in range(4)]
+    wanted = {9000 + i: x for i, x in enumerate(names)}
+    for sample in (langid.SAMPLE, 300):
+        model = langid.train(docs(table), sample=sample)
+        assert model.languages == names and model.trigrams.rows is None
+        got = {r.doc_id: r.lang_pred for r in langid.identify(docs([(k, text(x)) for k, x in wanted.items()]), model).collect()}
+        assert got == wanted
+
+
+def test_sparse_tables_equal_dense_ones():
+    rng = np.random.default_rng(9)
+    keys = rng.choice(40 * 5, 60, replace=False)
+    n = rng.integers(1, 9, 60)
+    dense, sparse = (langid.make_table(keys // 5, keys % 5, n, 40, 5, 0.05, d) for d in (True, False))
+    features, first = rng.integers(0, 40, 30), np.array([0, 1, 4, 20, 30])
+    assert np.allclose(dense.sums(features, first), sparse.sums(features, first), atol=1e-4)
+
+
+def test_viterbi_of_many_languages():
+    scores = np.full((2, 300), -50.0, np.float32)
+    scores[0, 299] = scores[1, 1] = 0
+    assert langid.viterbi(scores, np.array([0, 2]), 2.0).tolist() == [299, 1]
