@@ -79,9 +79,18 @@ def category_case(t: Tables) -> DataFrame:
 
 @query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) + 1 as k, user_id as owner from events where event_id % 7 = 0")
 def json_merge(t: Tables) -> DataFrame:
+    return _merged(t.events.where("event_id % 7 = 0"))
+
+
+@query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) + 1 as k, user_id as owner from events")
+def json_merge_all(t: Tables) -> DataFrame:
+    return _merged(t.events)
+
+
+def _merged(events: DataFrame) -> DataFrame:
     old = F.from_json("props", "map<string,bigint>")
     made = F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,bigint>")), lambda k, v: k != "k"), F.create_map(F.lit("k"), F.coalesce(F.try_element_at(old, F.lit("k")), F.lit(0)) + 1, F.lit("owner"), F.col("user_id")))
-    return t.events.where("event_id % 7 = 0").select("event_id", made.alias("m")).select("event_id", F.col("m.k").alias("k"), F.col("m.owner").alias("owner"))
+    return events.select("event_id", made.alias("m")).select("event_id", F.col("m.k").alias("k"), F.col("m.owner").alias("owner"))
 
 
 @query("select conv_id, turn, case when role = 'user' then length(text) end as input_tokens, case when role = 'assistant' then length(text) end as output_tokens, role in ('user', 'assistant') as usage_present from conversations")

@@ -58,9 +58,19 @@ def grounded_terms(t: Tables) -> DataFrame:
 @query("""with v as (select event_id, ts, case event_id % 4 when 0 then strftime(ts, '%Y-%m-%d') when 1 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') when 2 then 'odd' end as s from events where ts < timestamp '2024-03-25')
   select event_id, case event_id % 4 when 0 then date_trunc('day', ts)::timestamp - to_hours(2) when 1 then date_trunc('second', ts) end as at, event_id % 4 = 0 as date_only, event_id % 4 = 2 as malformed from v""")
 def date_coerce(t: Tables) -> DataFrame:
+    return _coerced(t.events.where("ts < timestamp_ntz'2024-03-25 00:00:00'"))
+
+
+@query()
+def date_coerce_all(t: Tables) -> DataFrame:
+    """Of all events, in summer time too."""
+    return _coerced(t.events)
+
+
+def _coerced(events: DataFrame) -> DataFrame:
     kind = F.col("event_id") % 4
     text = F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd")).when(kind == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == 2, "odd")
-    rows = t.events.where("ts < timestamp_ntz'2024-03-25 00:00:00'").select("event_id", L.utc(text).alias("d"))
+    rows = events.select("event_id", L.utc(text).alias("d"))
     return rows.select("event_id", F.col("d.at").cast("timestamp_ntz").alias("at"), "d.date_only", "d.malformed")
 
 
@@ -71,8 +81,17 @@ def comment_sanitize(t: Tables) -> DataFrame:
 
 @query("select event_id, case when json_extract_string(props, '$.k') is not null then 1 else 0 end as n, json_extract_string(props, '$.k') as k from events where event_id % 5 = 0")
 def key_allowlist(t: Tables) -> DataFrame:
+    return _allowed(t.events.where("event_id % 5 = 0"))
+
+
+@query("select event_id, case when json_extract_string(props, '$.k') is not null then 1 else 0 end as n, json_extract_string(props, '$.k') as k from events")
+def key_allowlist_all(t: Tables) -> DataFrame:
+    return _allowed(t.events)
+
+
+def _allowed(events: DataFrame) -> DataFrame:
     kept = L.allowed_fields(F.concat(F.lit('{"Secret-Key": "x", '), F.substring("props", 2, 1 << 20)), ["k"])
-    return t.events.where("event_id % 5 = 0").select("event_id", kept.alias("m")).select("event_id", F.size("m").alias("n"), F.col("m.k").alias("k"))
+    return events.select("event_id", kept.alias("m")).select("event_id", F.size("m").alias("n"), F.col("m.k").alias("k"))
 
 
 @query("""select doc_id, length(regexp_replace(regexp_replace(substr(description, 1, 4000), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g')) as n, regexp_replace(regexp_replace(title, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g') as title from listing""")
