@@ -10,11 +10,14 @@ deletion: 2) add up to more than H, at least one option holds. So each set is
 - probed in its own band and the next larger one: it buys just H + 1 from the segments where agreement by
   chance is least likely, that is, it skips empty and nearly empty segments, which half of a band shares.
 
-Candidates are then verified exactly on the sets themselves. Equal sets are joined first and count once.
-
-Links are needed for components only, so groups of many similar sets are not paired out: in each of a few
-turns every group of sets with one signature is tried against one of its members; only groups that still
-fall into several components afterwards are searched on, in blocks, for pairs across components.
+Equal sets are joined first and count once. Sets that share a signature are a group; all groups with the same
+least id meet in one task, with their sets, which verifies them and puts out a spanning forest of the links it
+finds, never the pairs. Groups too large for a task are first tried against that least id alone; what then
+still falls into several components is cut into blocks, and a task takes two of them. Number of links: a link
+lies inside a component, so each component's sets are compared in blocks, and a task puts out a count per set.
+
+Tokens are 64-bit hashes of n-grams. Two sets of a and b tokens get a wrong intersection with odds of
+a * b / 2 ** 64: one in 10 ** 13 for sets of 1,000 tokens.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._compare import linked, overlap, spanning
 from ._stage import written
 from ._text import U64, Words, column, mix, pieces, words
 
@@ -36,10 +40,8 @@ EACH = 24
 #: Segments more than needed, as a share, so that poor ones can be skipped.
 SPARE = 0.08
 BUCKET_BYTES = 6_000_000
-SKETCH = 64
-#: Turns in which groups are tried against one member each.
-PIVOTS = 3
-BLOCK = 1000
+#: Bytes of sets, and sets, in one block of a large group; a task holds two blocks.
+BLOCK_BYTES, BLOCK = 4_000_000, 4000
 #: A signature that so many sets of one task share leaves that task as rows instead of in its bucket.
 HOT = 200
 #: Ids broadcast at most; beyond that they are joined by a shuffle.
@@ -142,14 +144,6 @@ def signatures(tokens: np.ndarray, similar: tuple[int, int] = SIMILAR) -> tuple[
     return np.concatenate(found), np.concatenate(probed)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if not len(a) or not len(b):
-        return 0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int(np.count_nonzero(b[at] == a))
-
-
 def links(a: np.ndarray, b: np.ndarray, similar: tuple[int, int] = SIMILAR) -> bool:
     both = overlap(a, b) if len(a) <= len(b) else overlap(b, a)
     return both > 0 and similar[1] * both >= similar[0] * (len(a) + len(b) - both)
@@ -258,54 +252,102 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"grp": pa.array(np.repeat(name, size)[rows].view(np.int64)), "id": pa.array(ident[rows])})
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((tokens & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 65535).astype(np.uint16)
-
-
-def _contents(reps: DataFrame, n: int) -> DataFrame:
-    """(id, tokens, sketch): sorted sets, and how many of their tokens fall into each of SKETCH classes."""
+def _contents(texts: DataFrame, n: int) -> DataFrame:
+    """(id, key1, key2, size, tokens): the sorted sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 tokens, first = shingles(words(column(piece, "text")), n)
                 parts = [tokens[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([column(piece, "id"), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([_sketch(x).tobytes() for x in parts], pa.binary())], ["id", "tokens", "sketch"])
-
-    return reps.select("id", "text").mapInArrow(run, "id long, tokens binary, sketch binary")
-
-
-def _near(a: np.ndarray, b: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
-    """Which rows of sketches may belong to similar sets: class counts differ by no more than sets may."""
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    return np.abs(a - b).sum(-1) <= most_apart(a.sum(-1) + b.sum(-1), similar)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link, of which sketches have already said that they may."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [links(np.frombuffer(x, U64), np.frombuffer(y, U64), similar) for x, y in zip(column(batch, "left").to_pylist(), column(batch, "right").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(found, pa.bool_())).select(["a", "b"])
+                keys = [set_key(x) for x in parts]
+                yield pa.RecordBatch.from_arrays([column(piece, "id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(np.diff(first)), pa.array([x.tobytes() for x in parts], pa.binary())], ["id", "key1", "key2", "size", "tokens"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, key1 long, key2 long, size long, tokens binary")
+
+
+def _cut(members: DataFrame) -> DataFrame:
+    """members (grp, id, key1, key2, size, ...) with ``parts``, the blocks of the group, and ``block``, the member's own."""
+    full = F.greatest(F.ceil(F.sum("size") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK))
+    large = written(members.groupBy("grp").agg(full.alias("parts")).where("parts > 1"))
+    cut = members.join(large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return cut.withColumn("block", F.pmod(F.xxhash64("key1", "key2"), "parts"))
+
+
+def _met(cut: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
+    """Rows of tasks: (task, i, j, grp, left, right, ...) with the sets. Blocks i and j of a large group meet,
+    or, for a star, block i and the member that the group is named after; groups of one block are dealt in
+    bundles and meet as a whole."""
+    total = cut.where("parts = 1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bundles = F.lit(max(1, math.ceil(total * 8 / BLOCK_BYTES)))
+    small, every = F.col("parts") == 1, F.sequence(F.lit(0), F.col("parts") - 1)
+    own = F.array("block")
+    other = F.when(F.col("id") == F.col("grp"), every).otherwise(own) if star else every
+    rows = cut.withColumn("other", F.explode(F.when(small, own).otherwise(other)))
+    centre = (F.col("id") == F.col("grp")) & ~small if star else F.lit(False)
+    i = F.col("other") if star else F.least("block", "other")
+    j = F.col("other") if star else F.greatest("block", "other")
+    left = F.when(small, True).otherwise(centre if star else F.col("block") == i)
+    right = F.when(small, True).otherwise(~centre if star else F.col("block") == j)
+    rows = rows.select(F.when(small, F.pmod(F.xxhash64("grp"), bundles)).otherwise(F.col("grp")).alias("task"), F.when(small, -1).otherwise(i).alias("i"), F.when(small, -1).otherwise(j).alias("j"), left.alias("left"), right.alias("right"), *[c for c in cut.columns if c not in ("parts", "block")])
+    return rows.join(sets, ["id", "key1", "key2"])
+
+
+def _groups_of(table: pa.Table) -> Iterator[tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """The groups of a task: rows, sets, and which of them are left and right."""
+    grp = table.column("grp").to_numpy()
+    order = np.argsort(grp, kind="stable")
+    cut = np.flatnonzero(np.r_[True, grp[order][1:] != grp[order][:-1], True]) if len(grp) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        rows = table.take(pa.array(order[a:b]))
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in rows.column("tokens")]
+        left, right = (np.flatnonzero(rows.column(c).to_numpy()) for c in ("left", "right"))
+        yield rows, sets, left, right
+
+
+def _forest(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join the same ids as all links between sets that meet: fewer than there are members.
+    rows as of _met, with ``component``: what is joined already."""
 
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows, sets, left, right in _groups_of(table):
+            if len(left) and len(right):
+                ident, comp = (rows.column(c).to_numpy() for c in ("id", "component"))
+                x, y = spanning(sets, left, right, comp, similar)
+                a.append(ident[x])
+                b.append(ident[y])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
+    return rows.groupBy("task", "i", "j").applyInArrow(run, "a long, b long")
 
-def _passing(pairs: DataFrame, sketches: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs whose sketches allow a link."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint16).reshape(-1, SKETCH) for c in ("left", "right"))
-                yield batch.filter(pa.array(_near(x, y, similar))).select(["a", "b"])
+def _counted(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(key1, key2, n): documents with other sets that each set links with, a row for each task. rows as of
+    _met, with ``copies``: the documents that have the set."""
 
-    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("left"))
-    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for rows, sets, left, right in _groups_of(table):
+            key1, key2, copies = (rows.column(c).to_numpy() for c in ("key1", "key2", "copies"))
+            # A set that several rows of one id have stands for all of them once.
+            _, once = np.unique(np.stack([key1, key2]), axis=1, return_index=True)
+            left, right = np.intersect1d(left, once), np.intersect1d(right, once)
+            if not len(left) or not len(right):
+                continue
+            n = np.zeros(len(sets), np.int64)
+            for part, links in linked(sets, left, right, similar):
+                n[part] += links @ copies[right]
+                # A block against itself has each link twice, and each set with itself.
+                if np.array_equal(left, right):
+                    n[part] -= copies[part]
+                else:
+                    n[right] += copies[part] @ links
+            for k, v in enumerate((key1, key2, n)):
+                out[k].append(v[n > 0])
+        return pa.table({k: pa.array(np.concatenate(v)) for k, v in zip(("key1", "key2", "n"), out, strict=True)})
+
+    return rows.groupBy("task", "i", "j").applyInArrow(run, "key1 long, key2 long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -328,68 +370,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
-def _named(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(grp, id, component) of the groups that fall into several components."""
-    named = groups.join(labels, "id")
-    split = named.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("grp")
-    return named.join(split, "grp")
-
-
-def _pivot_pairs(named: DataFrame, turn: int) -> DataFrame:
-    """Each member of a group with one pivot in another component: (a, b), a < b, distinct. The pivot is the
-    member that comes first in an order of all ids, the same for all groups, so that similar groups have the
-    same pivot and a member meets few of them; each turn has another order."""
-    order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-    pivot = named.groupBy("grp").agg(F.min_by(F.struct("id", "component"), order).alias("p"))
-    pairs = named.join(pivot, "grp").where("component <> p.component")
-    return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-
-
-def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels (id, component) after joining components over edges (a, b) of ids."""
-    left = labels.select(F.col("id").alias("a"), F.col("component").alias("x"))
-    right = labels.select(F.col("id").alias("b"), F.col("component").alias("y"))
-    between = edges.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    renamed = components(between).withColumnRenamed("component", "joined").withColumnRenamed("id", "component")
-    return written(labels.join(renamed, "component", "left").select("id", F.coalesce("joined", "component").alias("component")))
-
-
-def _across(groups: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs of one group but different components whose sketches allow a link. A group is cut into blocks of
-    about BLOCK members; each task compares two blocks, so that no task holds a whole large group, and only
-    pairs that pass are put out. groups: grp, id, component, sketch, members."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    cut = groups.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    cut = cut.withColumn("other", F.explode(every)).select(
-        "grp", "id", "component", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ident, comp, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            # Each pair once: inside a block by id, between two blocks all.
-            y = right[(comp[right] != comp[x]) & ((ident[right] > ident[x]) if i == j else True)]
-            y = y[_near(sketch[x][None], sketch[y], similar)]
-            a.append(np.full(len(y), ident[x]))
-            b.append(ident[y])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return cut.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
-def similar_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+def similar_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document.
 
     docs: doc_id, text; other columns are ignored. Two documents link if ``similar[1]`` times the size of the
     intersection of their sets of word n-grams is at least ``similar[0]`` times that of their union;
-    component_id is the least doc_id reachable over links. Documents without words, null texts among them,
-    have no shingles and are their own component. Rows with the same doc_id are joined by it, and each comes
-    back; a null doc_id is kept and is its own component (null), never a link between others.
+    component_id is the least doc_id reachable over links; n_links is the number of other documents that the
+    document links with (left out unless ``count``). Documents without words, null texts among them, have no
+    shingles and no links and are their own component. Rows with the same doc_id are joined by it, and each
+    comes back with the links of its own text; a null doc_id is kept and is its own component (null), never a
+    link between others, and its n_links is null.
     """
     sets = written(_sets(docs, n))
     filled = sets.where("size > 0 and doc_id is not null")
@@ -397,8 +387,8 @@ def similar_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = S
     # Some words in two have a signature of 16 bytes with its owner.
     buckets = max(8, math.ceil(chars / 6 * 0.55 * 16 / BUCKET_BYTES))
     # One document stands for all with the same set.
-    first = filled.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"))
-    placed = written(filled.join(first, ["key1", "key2"]).select("doc_id", "size", "id"))
+    first = written(filled.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("size").alias("size")))
+    placed = written(filled.join(first.drop("size"), ["key1", "key2"]))
     copies = placed.groupBy("doc_id").agg(F.min("id").alias("x"), F.max("id").alias("y"))
     # Rows with one id and several texts stay, so that each text is seen.
     copies = copies.where("x = y and x <> doc_id").select(F.col("doc_id").alias("id"))
@@ -407,26 +397,36 @@ def similar_components(docs: DataFrame, n: int = N, similar: tuple[int, int] = S
     parts = _signed(alone, n, similar, buckets)
     groups = written(parts.groupBy("bucket").applyInArrow(_shared, "grp long, id long").distinct())
     involved = written(_contents(matching(texts, groups.select("id").distinct(), "left_semi"), n))
-    sketches = involved.select("id", "sketch")
-    labels = written(involved.select("id", F.col("id").alias("component")).distinct())
-    tried = None
-    for turn in range(PIVOTS):
-        pairs = _pivot_pairs(_named(groups, labels), turn)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = _merged(labels, written(_verified(_passing(pairs, sketches, similar), involved, similar)))
-    named = _named(groups, labels)
-    members = groups.join(named.select("grp").distinct(), "grp").groupBy("grp").agg(F.count("*").alias("members")).where("members > 2")
-    more = _across(named.join(members, "grp").join(sketches, "id"), similar).join(tried, ["a", "b"], "left_anti")
-    labels = _merged(labels, written(_verified(more, involved, similar)))
+    tokens, sizes = involved.select("id", "key1", "key2", "tokens"), involved.select("id", "key1", "key2", "size").distinct()
+    # Groups with the same least id are one.
+    named = groups.join(written(groups.groupBy("grp").agg(F.min("id").alias("leader"))), "grp")
+    members = written(named.select(F.col("leader").alias("grp"), "id").distinct().join(sizes, "id").withColumn("component", F.col("id")))
+    cut = written(_cut(members))
+    edges = written(_forest(_met(cut, tokens, star=True), similar))
+    large = cut.where("parts > 1").select(F.col("grp").alias("leader")).distinct()
+    if not large.isEmpty():
+        labels = components(edges)
+        rest = named.join(large, "leader", "left_semi").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = rest.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("grp")
+        rest = rest.join(split, "grp", "left_semi").select(F.col("leader").alias("grp"), "id", "component").distinct().join(sizes, "id")
+        edges = edges.union(written(_forest(_met(written(_cut(written(rest))), tokens, star=False), similar)))
     # Sets that rows of one id have.
     together = placed.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("y")).where("a <> y").select("doc_id", "a")
     together = placed.join(together, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
-    labels = placed.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    final = _merged(labels, together)
-    linked = placed.select("doc_id", "size", "id").join(final, "id", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    final = components(edges.union(together))
+    linked_rows = placed.join(final, "id", "left").select("doc_id", "size", "key1", "key2", "copies", F.coalesce("component", "id").alias("component_id"))
     rest = sets.where("size = 0 or doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.union(rest)
+    if not count:
+        return linked_rows.select("doc_id", F.col("size").alias("n_shingles"), "component_id").union(rest)
+    inside = first.join(final, "id").select(F.col("component").alias("grp"), "id", "key1", "key2", "size", "copies")
+    inside = written(inside)
+    several = inside.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    inside = written(inside.join(written(several), "grp", "left_semi"))
+    counted = written(_counted(_met(written(_cut(inside)), tokens, star=False), similar))
+    others = counted.groupBy("key1", "key2").agg(F.sum("n").alias("n"))
+    n_links = (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
+    linked_rows = written(linked_rows).join(written(others), ["key1", "key2"], "left").select("doc_id", F.col("size").alias("n_shingles"), "component_id", n_links)
+    return linked_rows.union(rest.withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.lit(0)).cast("long")))
 
 
 def matching(texts: DataFrame, ids: DataFrame, how: str, on: str = "id") -> DataFrame:

@@ -10,6 +10,10 @@ def shingled(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
+def similar(a, b):
+    return bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+
+
 def brute(rows):
     sets = [(i, shingled(t)) for i, t in rows if i is not None]
     root = {i: i for i, _ in sets}
@@ -21,17 +25,23 @@ def brute(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if similar(a, b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in sets}
 
 
+def links(rows):
+    sets = [(i, shingled(t)) for i, t in rows if i is not None]
+    return sorted((i, sum(similar(a, b) for _, b in sets) - bool(a)) for i, a in sets)
+
+
 def check(docs, rows):
     got = J.similar_components(docs(rows)).collect()
     assert len(got) == len(rows)
     want = brute(rows)
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert sorted((r.doc_id, r.n_links) for r in got if r.doc_id is not None) == links(rows)
     by_text = {}
     for i, t in rows:
         by_text.setdefault(i, set()).add(len(shingled(t)))
@@ -66,9 +76,10 @@ def test_chain_is_one_component(docs):
     check(docs, rows)
 
 
-def test_large_group_leaves_its_task(docs, monkeypatch):
+@pytest.mark.parametrize("block", [3, 7, 4000])
+def test_large_group_leaves_its_task(docs, monkeypatch, block):
     monkeypatch.setattr(J, "HOT", 4)
-    monkeypatch.setattr(J, "BLOCK", 5)
+    monkeypatch.setattr(J, "BLOCK", block)
     r = random.Random(2)
     base = [f"w{k}" for k in range(200)]
     rows = [(k, edited(r, base, 3)) for k in range(40)] + [(100 + k, "shared words of a common line " * 2 + f"own{k} text{k}") for k in range(30)]
@@ -77,8 +88,47 @@ def test_large_group_leaves_its_task(docs, monkeypatch):
 
 def test_nulls_empties_and_repeats(docs):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "a b c d e f"), (6, "x y z u v w q"), (7, "X y z u v w q"), (None, "a b c d e f"), (None, None), (8, "ä" * 5000 + " b c d e f g")]
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in J.similar_components(docs(rows)).collect()}
-    assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 2, 6), (6, 3, 6), (7, 3, 6), (None, 2, None), (None, 0, None), (8, 3, 8)}
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in J.similar_components(docs(rows)).collect()}
+    assert got == {(1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0), (4, 1, 4, 1), (5, 1, 4, 1), (6, 2, 6, 0), (6, 3, 6, 1), (7, 3, 6, 1), (None, 2, None, None), (None, 0, None, None), (8, 3, 8, 0)}
+
+
+def test_repeated_rows(docs):
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k % 7, edited(r, base, k % 4)) for k in range(30)]
+    check(docs, rows + rows[:12])
+
+
+@pytest.mark.parametrize("block", [30, 4000])
+def test_rows_put_out_grow_with_a_group(docs, monkeypatch, block):
+    """Sets just too far from each other: nearly all pairs are candidates, yet what tasks put out stays below
+    the number of sets."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    out = []
+    forest = J._forest
+    monkeypatch.setattr(J, "_forest", lambda *a: out.append(forest(*a)) or out[-1])
+    for n in (50, 100, 200):
+        r = random.Random(n)
+        base = [f"w{k}" for k in range(300)]
+        rows = [(k, edited(r, base, 7)) for k in range(n)]
+        out.clear()
+        check(docs, rows)
+        assert sum(x.count() for x in out) <= 2 * n
+
+
+def test_intersections():
+    import numpy as np
+
+    from spindrift.llm import _compare as C
+
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 6, 40, 90):
+        sets = [np.unique(rng.integers(0, 400, rng.integers(0, 120)).astype(np.uint64)) for _ in range(n)]
+        left, right = np.flatnonzero(rng.random(n) < 0.6), np.flatnonzero(rng.random(n) < 0.7)
+        for a, b in ((left, right), (np.arange(n), np.arange(n))):
+            if len(a) and len(b):
+                got = np.concatenate([m for _, m in C.intersections(sets, a, b)])
+                assert got.tolist() == [[len(set(sets[x].tolist()) & set(sets[y].tolist())) for y in b] for x in a]
 
 
 def test_empty_table(docs):
