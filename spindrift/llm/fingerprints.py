@@ -5,9 +5,10 @@ of all documents; at most (mean number of distinct terms of a document) / (lower
 lower share, so the lexicon is bounded however large the corpus is, and may be broadcast.
 
 The lexicon is dealt at random into PARTS parts, and thinned at random to 1/2, 1/4, ... of its terms. For
-each part at each thinning the distinct terms of a document, in order, are hashed. Equal texts have equal
+each part at each thinning the set of distinct terms of a document is hashed. Equal texts have equal
 hashes; each edit disturbs only the parts that its terms are in. Two fingerprints are compared at the
-strongest thinning at which most parts still hold a term.
+strongest thinning at which most parts still hold a term. The hash of a set is that of the sum of its terms' hashes:
+like the hash of the sorted list it depends on the distinct terms alone.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ LOWER, UPPER = 1e-4, 0.05
 #: A term outside the lexicon is taken for one inside with probability (size of the lexicon) / 2**TERM_BITS.
 TERM_BITS = 40
 FLUSH = 1 << 22
-#: Characters of a range of documents that are walked in order, and cells that the ids are cut into at most.
-PLACE_CHARS, CELLS = 4_000_000, 1 << 17
+#: Characters of a range of documents that are walked in order, such ranges at most, and documents drawn for each
+#: to find where they end.
+PLACE_CHARS, PLACES, DRAWS = 4_000_000, 50_000, 16
 _HALF = U64(0xFFFFFFFF)
 
 
@@ -74,9 +76,9 @@ def _frequencies(terms: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
 
 def lexicon(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> np.ndarray:
     """Sorted hashes of the terms whose share of all documents lies in [lower, upper]; see above for its bound.
-    In a corpus too small for the upper share, terms of at least two documents still count as middling."""
+    In a small corpus it may be empty; fingerprints then take all terms."""
     total = docs.count()
-    band = document_frequencies(docs).where(F.col("df").between(lower * total, max(upper * total, 2.0)))
+    band = document_frequencies(docs).where(F.col("df").between(lower * total, upper * total))
     terms = band.select("term").toArrow().column("term").to_numpy()
     return np.sort(terms.astype(np.int64).view(U64))
 
@@ -165,28 +167,43 @@ def _compare(ids: list, texts: list[str], after: list[str], lex: np.ndarray) ->
     ]
 
 
+def _keys(ids: pa.Array, ties: pa.Array) -> np.ndarray:
+    """Byte strings in the order of (doc_id, tie), null ids first."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = np.asarray(ids.is_valid())
+    for k, values in ((1, ids.fill_null(0)), (9, ties)):
+        out[:, k : k + 8] = (np.asarray(values).astype(np.int64).view(U64) ^ U64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    # A last byte that is never 0, as numpy takes zeros at the end for padding.
+    return np.ascontiguousarray(np.column_stack([out, np.ones(len(ids), np.uint8)])).view("S18").ravel()
+
+
 def _placed(docs: DataFrame) -> DataFrame:
-    """Adds ``place``: consecutive ranges of doc_id with about PLACE_CHARS characters each; null ids come first.
-
-    The ids' span is cut into equal cells, and cells are joined to places by their running sums, so ids need
-    not be evenly spread. At most CELLS cells are broadcast."""
-    size = F.coalesce(F.length("text"), F.lit(0)) + 1
-    seen = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.coalesce(F.sum(size), F.lit(0)).alias("chars")).first()
-    lo, hi = seen["lo"] or 0, seen["hi"] or 0
-    places = max(1, min(CELLS // 16, math.ceil(seen["chars"] / PLACE_CHARS)))
-    width = max(1, math.ceil((hi - lo + 1) / (16 * places)))
-    rows = docs.select("doc_id", "text", F.coalesce(F.expr(f"cast((doc_id - {lo}L) div {width}L as int)"), F.lit(-1)).alias("cell"))
-    along = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("cell").agg(F.sum(size).alias("chars"))
-    cells = cells.select("cell", F.floor(F.coalesce(F.sum("chars").over(along), F.lit(0)) / max(1.0, seen["chars"] / places)).cast("int").alias("place"))
-    return rows.join(F.broadcast(cells), "cell").drop("cell")
+    """(doc_id, text, tie, place): consecutive ranges in the order of doc_id and a hash of the text, null ids
+    first, with about PLACE_CHARS characters each (more if that made over PLACES ranges).
+
+    The ranges are cut at quantiles of a sample of (doc_id, tie), drawn by a hash with odds by size, DRAWS for
+    each range; so ids need not be evenly spread, and rows of one id, or without, are cut by their texts."""
+    size = F.length("text") + 1
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    chars = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    places = max(1, min(PLACES, math.ceil(chars / PLACE_CHARS)))
+    odds = size * (DRAWS * places / max(1, chars) * (1 << 40))
+    drawn = rows.where(F.pmod(F.xxhash64("tie", "doc_id", F.lit("draw")), F.lit(1 << 40)) < odds).select("doc_id", "tie").distinct().toArrow()
+    keys = np.sort(_keys(*(drawn.column(c).combine_chunks() for c in ("doc_id", "tie"))))
+    shared = docs.sparkSession.sparkContext.broadcast(keys[DRAWS // 2 :: DRAWS])
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(shared.value, _keys(ids, ties), "right").astype(np.int32))
+
+    return rows.withColumn("place", place("doc_id", "tie"))
 
 
 def edit_probe(docs: DataFrame, lex: np.ndarray) -> DataFrame:
     """How well fingerprints stand an edit: SCHEMA, one row per row of docs (doc_id, text).
 
     The next document is the next in ascending doc_id, after the last the first; null ids come first, equal
-    ids in the order of their texts. Null text is empty. A single document follows itself.
+    ids in the order of a hash of their texts. Null text is empty. A single document follows itself.
 
     Documents are put in consecutive ranges of doc_id and walked in order inside each. The last document of a
     range meets the first of the next one apart from these: only first and last documents of ranges, found by
@@ -213,12 +230,12 @@ def edit_probe(docs: DataFrame, lex: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(_compare(column(piece, "doc_id").to_pylist(), column(piece, "text").to_pylist(), column(piece, "after").to_pylist(), shared.value), names)
 
     placed = _placed(docs)
-    in_order = [F.col("place"), F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")).asc()]
+    in_order = [F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text")]
     inner = placed.repartitionByRange("place").sortWithinPartitions(*in_order).mapInArrow(walk, SCHEMA)
-    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    ends = placed.groupBy("place").agg(F.min(key).alias("first"), F.max(F.struct(key.alias("k"), "doc_id")).alias("last"))
+    key = F.struct("doc_id", "tie", "text")  # nulls come first
+    ends = placed.groupBy("place").agg(F.min(key).alias("first"), F.max(key).alias("last"))
     # One row per range.
     along = Window.partitionBy(F.lit(0)).orderBy("place")
-    start = F.first("first.t").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = ends.select(F.col("last.doc_id").alias("doc_id"), F.col("last.k.t").alias("text"), F.coalesce(F.lead("first.t").over(along), start).alias("after"))
+    start = F.first("first.text").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = ends.select(F.col("last.doc_id").alias("doc_id"), F.col("last.text").alias("text"), F.coalesce(F.lead("first.text").over(along), start).alias("after"))
     return inner.unionByName(last.mapInArrow(close, SCHEMA))

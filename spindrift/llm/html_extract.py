@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +28,14 @@ from ._trees import Trees, boosted_trees
 #: Pages sampled for training at most, and pages laid out from their blocks.
 SAMPLE, LAYOUTS = 100, 240
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
+RAW = frozenset("script style noscript template textarea title iframe select".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag ends an open element of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KINDS = {
     "root": "html body", "head": "head title meta link base", "article": "article", "main": "main", "section": "section div span td center figure blockquote details", "para": "p pre dd dt figcaption address",
-    "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl menu", "item": "li", "link": "a", "inline": "b i em strong u code sup sub small mark abbr cite q time font s label", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside dialog",
-    "form": "form input button textarea select fieldset", "code": "script style noscript template iframe object svg", "table": "table tbody thead tfoot tr th",
+    "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl menu", "item": "li", "link": "a", "inline": "b i em strong u code sup sub small mark abbr cite q time font s label math svg object var kbd samp ins del", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside dialog",
+    "form": "form input button textarea select fieldset", "code": "script style noscript template iframe", "table": "table tbody thead tfoot tr th",
 }
 _KIND = {t: k for k, (_, tags) in enumerate(KINDS.items()) for t in tags.split()}
 BAD_WORDS = [
@@ -44,12 +45,37 @@ BAD_WORDS = [
 ]
 GOOD_WORDS = "article content main post entry story text body articlebody maincontent prose page".split()
 _BAD = {w: k for k, (_, ws) in enumerate(BAD_WORDS) for w in ws.split()}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--|[!?])|(/?)([a-zA-Z][^\s/>]*+))")
+#: Up to the end of a tag or the value of an attribute; a value without quotes.
+_NAMES, _VALUE = re.compile(r"[^>=]*+"), re.compile(r"[^\s>]*+")
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LABEL = re.compile(r"data-label=\"(\d)\"")
 _WORD = re.compile(r"[a-z]+")
 
 
+def tag_end(page: str, pos: int) -> int:
+    """Where the tag ends whose name ends at ``pos``, -1 if it doesn't. A quote opens a value only behind an
+    equals sign, and only if it is closed; anywhere else it is a character like others."""
+    unclosed = set()
+    while True:
+        pos = _NAMES.match(page, pos).end()
+        if pos == len(page):
+            return -1
+        if page[pos] == ">":
+            return pos + 1
+        pos += 1
+        while pos < len(page) and page[pos] in " \t\r\n\f":
+            pos += 1
+        mark = page[pos : pos + 1]
+        if mark in ("'", '"') and mark not in unclosed:
+            end = page.find(mark, pos + 1)
+            if end >= 0:
+                pos = end + 1
+                continue
+            unclosed.add(mark)
+        pos = _VALUE.match(page, pos).end()
+
+
 class Tree:
     """Elements of a page in document order, and its text: pieces of (element, block number, text)."""
 
@@ -57,49 +83,59 @@ class Tree:
         self.tag, self.parent, self.flags, self.label = ["#"], [-1], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
         known: dict[tuple[str, str], tuple[int, int]] = {}
-        stack, block, at, raw = [0], 0, 0, None
+        stack, block, at = [0], 0, 0
         tags, parents, flags, labels = self.tag, self.parent, self.flags, self.label
+        is_open: Counter[str] = Counter()
+
+        def close(k: int) -> None:
+            is_open.subtract(tags[x] for x in stack[k:])
+            del stack[k:]
+
         pos = 0
         while True:
-            m = _TAG.search(page, pos)
+            m = _OPEN.search(page, pos)
             text = page[at : m.start() if m else len(page)]
-            if text and raw is None:
+            if text:
                 self.pieces.append((stack[-1], block, text))
             if m is None:
                 return
-            at = pos = m.end()
-            name = m[2]
-            if name is None:
-                continue
-            name = name.lower()
             if m[1]:
+                # A comment or declaration; without its end it takes the rest.
+                end = page.find("-->", m.end()) if m[1] == "!--" else page.find(">", m.end())
+                if end < 0:
+                    return
+                at = pos = end + (3 if m[1] == "!--" else 1)
+                continue
+            end = tag_end(page, m.end())
+            if end < 0:
+                return
+            at = pos = end
+            name, rest = m[3].lower(), page[m.end() : end - 1]
+            if m[2]:
                 if name in BLOCK:
                     block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if is_open[name]:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == name))
                 continue
             if name in BLOCK:
                 block += 1
                 if "p" in (tags[x] for x in stack[-4:]):
                     for k in range(len(stack) - 1, 0, -1):
                         if tags[stack[k]] == "p":
-                            del stack[k:]
+                            close(k)
                             break
                         if tags[stack[k]] in ("button", "td", "th", "table"):
                             break
                 if name in ENDS:
                     for k in range(len(stack) - 1, 0, -1):
                         if tags[stack[k]] in ENDS[name]:
-                            del stack[k:]
+                            close(k)
                             break
                         if tags[stack[k]] in ("ul", "ol", "dl", "table"):
                             break
             if name == "br":
                 self.pieces.append((stack[-1], block, " "))
                 continue
-            rest = m[3]
             key = (name, rest) if len(rest) < 60 else None
             mark = known.get(key) if key else None
             if mark is None:
@@ -113,10 +149,14 @@ class Tree:
             if name in VOID or rest.endswith("/") and name not in BLOCK:
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
-                at = pos = end.end() if end else len(page)
+                closing = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, pos)
+                end = tag_end(page, closing.end()) if closing else -1
+                if end < 0:
+                    return
+                at = pos = end
                 continue
             stack.append(len(tags) - 1)
+            is_open[name] += 1
 
 
 def _flags(rest: str) -> tuple[int, int]:
@@ -141,7 +181,8 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     base = np.concatenate([[0], np.cumsum(sizes)])
     page = np.repeat(np.arange(len(trees)), sizes)
     parent = np.concatenate([np.array(t.parent) + np.where(np.array(t.parent) >= 0, b, 0) for t, b in zip(trees, base, strict=False)])
-    kind = np.array([_KIND.get(x, len(KINDS)) for t in trees for x in t.tag])
+    # Unknown elements are taken for inline ones.
+    kind = np.array([len(KINDS) if x == "#" else _KIND.get(x, _KIND["b"]) for t in trees for x in t.tag])
     flags = np.array([x for t in trees for x in t.flags])
     n = len(kind)
     own = np.zeros(n)
@@ -276,6 +317,9 @@ def laid_out(blocks: list[str], n: int = LAYOUTS, seed: int = 3) -> list[str]:
                 parts.append(f'<p>{p[:cut]}<a href="x">{short()}</a>{p[cut:]}</p>')
             elif kind < 0.36:
                 parts.append(f"<pre>{sentence()}</pre>")
+            elif kind < 0.42:
+                cut = len(p) // 2
+                parts.append(f"<p>{p[:cut]}<em><i>{short()}</i> {r.choice('+-=')} <i>{short()}</i></em>{p[cut:]}</p>")
             else:
                 parts.append(f"<p>{p}</p>")
         for _ in range(r.choice([0, 0, 0, 1, 2])):

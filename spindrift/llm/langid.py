@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,18 @@ SCRIPTS = [
 _NAMES = sorted({s for _, s in SCRIPTS} - {"-"})
 _BEGINS = np.array([b for b, _ in SCRIPTS])
 _CODES = np.array([_NAMES.index(s) if s != "-" else -1 for _, s in SCRIPTS])
+#: Beyond this code point there are no letters.
+_LAST = 0x33480
+
+
+@lru_cache(maxsize=1)
+def _scripts() -> np.ndarray:
+    """Script of each code point that is a letter, by the script that its range has; -1 for all others, such as
+    digits, signs and pictures, also inside such a range."""
+    points = np.arange(_LAST)
+    script = _CODES[np.searchsorted(_BEGINS, points, "right") - 1]
+    script[[c for c in range(_LAST) if not chr(c).isalpha()]] = -1
+    return script
 
 
 @dataclass
@@ -119,8 +132,11 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     raw = w.data[at].astype(np.int64) if len(at) else middle
     next1 = np.append(raw[1:], 0)
     next2 = np.append(raw[2:], [0, 0]) if len(raw) > 1 else np.zeros_like(raw)
-    lead = np.where(raw < 0x80, raw, np.where(raw >= 0xF0, 0x10000, np.where(raw >= 0xE0, (raw & 15) << 12 | (next1 & 63) << 6 | next2 & 63, np.where(raw >= 0xC0, (raw & 31) << 6 | next1 & 63, 0))))
-    script = _CODES[np.searchsorted(_BEGINS, lead, "right") - 1]
+    next3 = np.append(raw[3:], [0, 0, 0]) if len(raw) > 2 else np.zeros_like(raw)
+    three = (raw & 15) << 12 | (next1 & 63) << 6 | next2 & 63
+    four = (raw & 7) << 18 | (next1 & 63) << 12 | (next2 & 63) << 6 | next3 & 63
+    lead = np.where(raw < 0x80, raw, np.where(raw >= 0xF0, four, np.where(raw >= 0xE0, three, np.where(raw >= 0xC0, (raw & 31) << 6 | next1 & 63, 0))))
+    script = _scripts()[np.minimum(lead, _LAST - 1)]
     letters = np.flatnonzero(script >= 0)
     own = np.searchsorted(first, letters, "right") - 1
     per_word = np.full(n, -1)

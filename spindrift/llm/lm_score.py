@@ -300,7 +300,7 @@ def score_documents(docs: DataFrame, held_out: Column, pair_weight: float = PAIR
     batches = max(1, math.ceil(size["chars"] / BATCH_CHARS))
     buckets = max(4, batches)
     segment_bits = max(SEGMENT_BITS, math.ceil(math.log2(2 * batches)))
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)))
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
     asked = dealt.groupBy("batch").applyInArrow(lambda key, table: _batch_asks(key[0].as_py(), table, buckets, segment_bits), ASKED)
     replies = written(asked.groupBy("pairs", "bucket").applyInArrow(lambda key, table: _reply(key[0].as_py(), key[1].as_py(), table), REPLIED))
     per = replies.where("not pairs").groupBy("bucket").agg(F.max("all").alias("n"), F.max("distinct").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()

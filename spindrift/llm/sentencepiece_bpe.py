@@ -26,7 +26,7 @@ from ._text import column
 
 SPACE = "▁"
 #: Stretches remembered at once by a worker, and pairs of tokens.
-SEEN, PAIRS = 200_000, 500_000
+SEEN, PAIRS = 80_000, 150_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -149,6 +149,7 @@ class PrefixTable:
 
     def listed_and_decoded(self, text: str) -> tuple[str, str]:
         """Ids of a text as decimals joined by commas, and the text that these ids decode to."""
+        self.seen.trim()
         cut = self.stretches(text)
         listed = ",".join(map(self.seen.__getitem__, cut))
         odd = self.seen.odd
@@ -196,6 +197,11 @@ class _Seen(dict):
         super().__init__()
         self.table, self.past, self.odd = table, {}, {}
 
+    def trim(self) -> None:
+        """Forgets odd stretches that are no longer remembered; between two texts only."""
+        if len(self.odd) > SEEN // 8:
+            self.odd = {k: v for k, v in self.odd.items() if k in self or k in self.past}
+
     def __missing__(self, stretch: str) -> str:
         listed = self.past.get(stretch)
         if listed is None:

@@ -15,6 +15,9 @@ CASES = [
     ("<html><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>Title</h1><p>One &amp; two\n three.</p><p>More <b>bo</b>ld.</p></article><footer>&copy; x</footer></body></html>", "Title One & two three. More bold."),
     ('<body><div class="sidebar"><p>Side words here</p></div><main><p>Main words are these and many more of them.</p><div class="comments"><div><p>A reader says so</p></div></div></main></body>', "Main words are these and many more of them."),
     ("<body><article><p><b>Open<br><p>next one<p>last</article><script>var t='</p>';</script>", "Open next one last"),
+    ("<article><p title=it's>Hello don't lose this text of the page.</p><p>x <math><mi>a</mi> = <mi>b</mi></math> y > z</p></article>", "Hello don't lose this text of the page. x a = b y > z"),
+    ("<article><p data-x='a > b' title = \"it's\">Quoted values may hold a &gt; sign.</p></article>", "Quoted values may hold a > sign."),
+    ("<article><p>Words before<!-- a > b --> and <!x>behind</p></article>", "Words before and behind"),
     ("", ""), ("no markup < at all", ""), ("<nav><a>only</a></nav>", ""),
 ]
 
@@ -24,6 +27,31 @@ def test_cases(model, page, text):
     assert H.extract([page], model) == [text]
 
 
+@pytest.mark.parametrize("part", ['<a "', "<a ='", "<!x", "<!-- ", "</x>", "<script>", "</script", "<div>", "<div></p>", "<a b=", "<p x='>", "<<", "<li><b>"])
+def test_scanning_is_linear(part):
+    import time
+
+    took = []
+    for n in (2_000, 32_000):
+        began = time.perf_counter()
+        H.Tree("<p>a<script>" * (part == "</script") + part * n)
+        took.append(time.perf_counter() - began)
+    # 16 times as much; a scan that starts anew for each would take 256 times as long.
+    assert took[1] < 0.5 or took[1] < 60 * took[0]
+
+
+def test_no_pages(spark, model):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert H.extract_pages(empty, model).collect() == [] and H.train(empty) is not None
+
+
+def test_repeated_and_long(spark, model):
+    long = "<article>" + "".join(f"<p>Part {k} of a very long text.</p>" for k in range(4000)) + "</article>"
+    rows = [(1, "u", long, "x"), (1, "u", long, "y")]
+    got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), model).collect()
+    assert [r.text for r in got] == [" ".join(f"Part {k} of a very long text." for k in range(4000))] * 2
+
+
 def test_unseen_layouts(model):
     pages = H.laid_out([f"Some {k} unseen words stand here for the {k}th text of all." for k in range(50)], 120, seed=77)
     trees = [H.Tree(p) for p in pages]

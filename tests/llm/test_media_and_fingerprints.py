@@ -40,8 +40,10 @@ def test_round_trip(docs):
     assert len({r.feature for r in got if texts[r.doc_id] == "Hellö"}) == 1
 
 
-def brute(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+def brute(table):
+    """Rows in the order of ids, equal ids in that of a hash of their texts."""
+    rows = table.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) tie").collect()
+    rows = [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie, r.text or ""))]
     out = []
     for k, (i, t) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
@@ -55,10 +57,45 @@ def test_edit_probe(docs, monkeypatch):
     rows = [(3 * k, " ".join(f"w{(k * 7 + j) % 90}" for j in range(k % 30))) for k in range(60)] + [(None, "null id"), (None, None), (9, "same id"), (500, "é" * 999), (-4, "")]
     table = docs(rows)
     got = fingerprints.edit_probe(table, fingerprints.lexicon(table)).collect()
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == brute(rows)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == brute(table)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def test_ranges_of_uneven_ids(docs, monkeypatch):
+    """One far id, the ends of the type, and many rows of one id or none still fall into ranges of like size."""
+    monkeypatch.setattr(fingerprints, "PLACE_CHARS", 1500)
+    text = lambda k: " ".join(f"w{(k * 7 + j) % 90}" for j in range(20))
+    rows = [(k, text(k)) for k in range(300)] + [(1 << 60, "far"), (-(1 << 63), "least"), ((1 << 63) - 1, "most")] + [(None, f"{text(k)} {k}") for k in range(150)] + [(7, f"{text(k)} {k}") for k in range(150)]
+    table = docs(rows)
+    sizes = [r["count"] for r in fingerprints._placed(table).groupBy("place").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < len(rows) / 8
+    got = fingerprints.edit_probe(table, fingerprints.lexicon(table)).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == brute(table)
+
+
+def test_fingerprint_by_hand(docs, monkeypatch):
+    """Two texts agree in a part if, and only if, they have the same terms of it."""
+    import re
+
+    rows = [(k, " ".join(f"w{(k * 5 + j * j) % 60}" for j in range(40))) for k in range(40)]
+    table = docs(rows)
+    lex = fingerprints.lexicon(table, 0.05, 0.9)
+    df = {}
+    for _, t in rows:
+        for x in set(t.split()):
+            df[x] = df.get(x, 0) + 1
+    middling = {x for x, n in df.items() if 0.05 * len(rows) <= n <= 0.9 * len(rows)}
+    assert len(lex) == len(middling) > 0
+    prints = {r.doc_id: re.findall("....", r.fingerprint) for r in fingerprints.fingerprint(table, lex).collect()}
+    terms = {i: frozenset(t.split()) & middling for i, t in rows}
+    one = {r.text: re.findall("....", r.fingerprint) for r in fingerprints.fingerprint(docs([(k, x) for k, x in enumerate(sorted(middling))]), lex).withColumnRenamed("doc_id", "k").collect() for r in [type("R", (), {"text": sorted(middling)[r.k], "fingerprint": r.fingerprint})]}
+    for i, have in terms.items():
+        for j, other in terms.items():
+            for place in range(fingerprints.PARTS * fingerprints.LEVELS):
+                own = lambda s: {x for x in s if one[x][place] != "0000"}  # noqa: B023, E731
+                assert (prints[i][place] == prints[j][place]) == (own(have) == own(other))
+
+
 def test_single_and_empty(docs):
     one = docs([(1, "just one document here")])
     lex = fingerprints.lexicon(one)
