@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (local runs, tests), a new one of its own."""
+    """The folder that spark.checkpoint.dir names; where it is unset, for a local master only, a new one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,15 +33,30 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
 _paths: list[str] = []
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables that written() has made in this process, once no result that reads them is needed
-    any more; returns how many."""
+def drop_written(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the tables that written() has made in this process, or those after the first ``since`` of them, once
+    no result that reads them is needed any more; returns how many."""
+    paths = _paths[since:]
+    del _paths[since:]
+    drop(spark, paths)
+    return len(paths)
+
+
+def count_written() -> int:
+    return len(_paths)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_paths)
-    while _paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+    for x in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
         path.getFileSystem(conf).delete(path, True)
-    return n
+
+
+def plain(docs: DataFrame, known: list[str]) -> DataFrame:
+    """docs with the columns not in ``known`` under new names by place, so that none can clash with a name that
+    an operator uses, in whatever case."""
+    return docs.toDF(*[c if c in known else f"_{k}_" for k, c in enumerate(docs.columns)])
 
 
 def written(df: DataFrame) -> DataFrame:
