@@ -5,8 +5,10 @@ A word is a run of bytes other than space and 0x09 to 0x0D; A to Z count as a to
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +102,24 @@ def words(column: pa.Array, blank: np.ndarray = _BLANK) -> Words:
     return Words(data, texts, starts, ends, hashes, np.searchsorted(starts, texts))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Gives memory that arrays no longer need back to the system: workers live on from stage to stage, and what they
+    keep is missing to the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``size`` bytes of text each."""
+    """Slices of a batch with about ``size`` bytes of text each; memory is released behind the last."""
     if batch.num_rows == 0:
         return
     _, at = raw(batch.column(batch.schema.get_field_index(text)))
@@ -110,6 +128,7 @@ def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES) -
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + size, "right")) - 1)
         yield batch.slice(begin, end - begin)
         begin = end
+    release()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -27,7 +27,7 @@ SAMPLE, LEAST = 20_000, 50
 #: Tables of more languages than this hold only what was seen.
 DENSE = 64
 SWITCH, FLOOR = 12.0, 6.0
-SLICE_BYTES, PIECE_BYTES = 4 << 20, 1 << 18
+SLICE_BYTES, PIECE_BYTES = 2 << 20, 1 << 18
 #: Where the code points of a script begin (public Unicode block ranges); "-" has no letters of one script.
 SCRIPTS = [
     (0x0, "-"), (0x41, "Latin"), (0x5B, "-"), (0x61, "Latin"), (0x7B, "-"), (0xAA, "Latin"), (0xAB, "-"), (0xB5, "Latin"), (0xB6, "-"), (0xC0, "Latin"), (0xD7, "-"), (0xD8, "Latin"), (0xF7, "-"), (0xF8, "Latin"),

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._compare import linked, overlap, spanning
 from ._stage import written
-from ._text import U64, Words, column, mix, pieces, words
+from ._text import U64, Words, column, mix, pieces, release, words
 
 N, SIMILAR = 5, (80, 100)
 #: Sizes below EACH have bands of their own; above, a band ends at a quarter more than its beginning.
@@ -317,6 +317,7 @@ def _forest(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 x, y = spanning(sets, left, right, comp, similar)
                 a.append(ident[x])
                 b.append(ident[y])
+        release()
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return rows.groupBy("task", "i", "j").applyInArrow(run, "a long, b long")

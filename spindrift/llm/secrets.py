@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import column
+from ._text import column, release
 from ._trees import Trees, random_forest
 
 FINDINGS = 6000
@@ -178,6 +178,7 @@ def scan(docs: DataFrame, model: Trees | None = None, level: float = 0.5, keep:
                  pa.array([[dict(zip(("begin", "end", "kind", "probability"), s, strict=True)) for s in found] for found in kept_], kind),
                  pa.array([masked(t, found) if found else None for t, found in zip(texts, kept_, strict=True)], pa.string()), *(column(batch, x) for x in others)],
                 ["doc_id", "n_candidates", "n_secrets", "secrets", "masked", *others])
+            release()
 
     sources = ["doc_id", *others, *(["text"] if "text" not in others else [])]
     return docs.select(*sources).mapInArrow(run, SCHEMA + kept)

@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import column
+from ._text import column, release
 
 SPACE = "▁"
 #: Stretches remembered at once by a worker, and pairs of tokens.
@@ -272,5 +272,6 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 ids.append(hashlib.sha256(listed.encode()).hexdigest())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
