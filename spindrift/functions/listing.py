@@ -7,13 +7,9 @@ from pyspark.sql import functions as F
 
 from . import fixed, text as T
 
-# Endings that are cut for the match of phrases, the first that fits.
-STEM_ENDINGS = fixed.SUFFIXES
-
-
 def stem(token: Column, least: int = 4) -> Column:
     """A token without the first of the endings that leaves ``least`` characters."""
-    fits = F.filter(F.array(*map(F.lit, STEM_ENDINGS)), lambda s: F.endswith(token, s) & (F.length(token) - F.length(s) >= least))
+    fits = F.filter(F.array(*map(F.lit, fixed.PHRASE_ENDINGS)), lambda s: F.endswith(token, s) & (F.length(token) - F.length(s) >= least))
     return F.coalesce(F.substr(token, F.lit(1), F.length(token) - F.length(F.get(fits, F.lit(0)))), token)
 
 
@@ -49,9 +45,55 @@ def precision(location: Column) -> Column:
     return F.when(low == "", 0).when(low.isin("suomi", "finland"), 1).when(F.contains(low, F.lit(" / ")), 3).otherwise(2)
 
 
-def identity(*fields: Column) -> Column:
-    """sha256 over fields in a fixed order, nulls as empty."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields)), 256)
+def identity(**fields: Column) -> Column:
+    """sha256 of the JSON object of fields in the order of their names; nulls count."""
+    return F.sha2(F.to_json(F.struct(*(c.alias(k) for k, c in sorted(fields.items()))), {"ignoreNullFields": "false"}), 256)
+
+
+def category(title: Column, employer: Column, titles: Column, keywords: Column, sectors: Column, hidden: Column) -> Column:
+    """Struct (category, hidden) by the first rung that holds: words of the title, then matched terms and words of
+    title and employer, topic by topic; titles, keywords and sectors are arrays of matched terms, null for none."""
+    none = F.array().cast("array<string>")
+    titles, keywords, sectors = (F.coalesce(x, none) for x in (titles, keywords, sectors))
+    low = F.lower(F.coalesce(title, F.lit("")))
+    shown = F.split(F.replace(F.lower(F.concat_ws(" ", title, employer)), F.lit("-"), F.lit(" ")), r"\s+")
+    every = F.concat(titles, keywords, sectors)
+    in_title = lambda terms: T.has_any(low, terms) | F.arrays_overlap(titles, F.array(*map(F.lit, terms)))
+    anywhere = lambda terms: F.arrays_overlap(F.concat(shown, every), F.array(*map(F.lit, terms)))
+    strong = [x for x in fixed.LEADERSHIP_TERMS if x != "koordinaattori"]
+    rungs = [
+        (in_title(fixed.LIBRARY_TERMS), "library"), (in_title(strong), "leadership"), (anywhere(fixed.MUSIC_TERMS), "music"), (anywhere(fixed.GUIDANCE_TERMS), "guidance"), (anywhere(fixed.CULTURE_TERMS), "culture"),
+        (anywhere(fixed.LEADERSHIP_TERMS), "leadership"), (anywhere(fixed.LIBRARY_TERMS), "library"), (hidden, "hidden"),
+    ]
+    named = F.coalesce(*(F.when(test, F.lit(fixed.CATEGORIES[k])) for test, k in rungs), F.lit(fixed.CATEGORIES["other"]))
+    return F.struct(named.alias("category"), hidden.alias("hidden"))
+
+
+def publication_mode(provider_ready: Column, hosted_allowed: Column, provider_name: Column) -> Column:
+    """``hosted`` with a provider; without, ``deterministic_only`` if that is on purpose, else ``unavailable``."""
+    on_purpose = ~F.coalesce(hosted_allowed, F.lit(True)) | (F.trim(F.coalesce(provider_name, F.lit(""))) == "")
+    return F.when(F.coalesce(provider_ready, F.lit(False)), "hosted").when(on_purpose, "deterministic_only").otherwise("unavailable")
+
+
+def token_usage(provider: Column, usage: Column) -> Column:
+    """Struct (input_tokens, output_tokens, cached_tokens, usage_present) of what a provider reports as JSON, in the
+    shape of ``gemini`` or of others; what is absent stays null."""
+    get = lambda path: F.get_json_object(usage, path).cast("long")
+    either = lambda a, b: F.when(provider == "gemini", get(a)).otherwise(get(b))
+    read, made, cached = either("$.promptTokenCount", "$.input_tokens"), either("$.candidatesTokenCount", "$.output_tokens"), either("$.cachedContentTokenCount", "$.input_tokens_details.cached_tokens")
+    return F.struct(read.alias("input_tokens"), made.alias("output_tokens"), cached.alias("cached_tokens"), (read.isNotNull() | made.isNotNull()).alias("usage_present"))
+
+
+def localized(values: Column, *languages: str) -> Column:
+    """The text in the first of the languages that has one, else the first of all; values: map of language to text."""
+    texts = [F.nullif(F.try_element_at(values, F.lit(x)), F.lit("")) for x in languages]
+    return F.coalesce(*texts, F.nullif(F.get(F.map_values(values), F.lit(0)), F.lit("")))
+
+
+def name_from_slug(slug: Column) -> Column:
+    """Words of a slug with capitals, also those of forms of companies."""
+    words = F.filter(F.split(slug, "-"), lambda w: w != "")
+    return F.nullif(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.lower(F.substr(w, F.lit(2), F.length(w))))), " "), F.lit(""))
 
 
 def next_weekday_morning(at: Column, zone: str = "Europe/Helsinki", hour: int = 8) -> Column:
@@ -68,16 +110,6 @@ def patched_concerns(concerns: Column, text: Column, good: Column) -> Column:
     return F.when(some, F.array_distinct(F.transform(concerns, lambda c: F.when(match(c), text).otherwise(c)))).when(good | F.array_contains(concerns, text), concerns).otherwise(F.array_append(concerns, text))
 
 
-def url_problem(url: Column, longest: int = 2000) -> Column:
-    """Why a URL may not be used, null if it may: missing, too long, control characters, scheme, credentials,
-    private host."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^@/]*@)?([^/:?#]*)", 1))
-    private = F.rlike(host, F.lit(r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.|0\.)|\.(local|internal)$"))
-    return (
-        F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "missing").when(F.length(url) > longest, "too_long").when(F.rlike(url, F.lit(r"[\x00-\x20\x7f]")), "control")
-        .when(~F.rlike(url, F.lit(r"^(?i)https?://")), "scheme").when(F.rlike(url, F.lit(r"^[a-zA-Z]+://[^/]*@")), "credentials").when(host == "", "malformed").when(private, "private_host"))
-
-
 def utc(value: Column, ends: bool = False, zone: str = "Europe/Helsinki") -> Column:
     """Struct (at, date_only, malformed) of a date in text: a mere date is the zone's day, its beginning or,
     with ``ends``, its end; a time without offset is the zone's."""

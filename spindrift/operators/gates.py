@@ -15,17 +15,28 @@ def age_days(at: Column, as_of: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", at, as_of) / F.lit(DAY)
 
 
-def freshness(jobs: DataFrame, as_of: Column, max_age: int = 30, slack_hours: int = 6) -> DataFrame:
-    """Adds eligible, reason, age_days (4 places), deadline_passed and review.
-
-    An age of exactly ``max_age`` days is fresh, a deadline equal to as_of has not passed. A date more than
-    ``slack_hours`` ahead and a missing date are kept for review. An age counts from published_at."""
-    age = age_days(F.col("published_at"), as_of)
-    passed = F.coalesce(F.col("expires_at") < as_of, F.lit(False))
-    reason = (
-        F.when(passed, "deadline_passed").when(age.isNull(), "no_date").when(age < -slack_hours / 24, "future_date").when(age > max_age, "too_old").otherwise("fresh"))
-    return jobs.withColumns({"age_days": F.round(age, 4), "deadline_passed": passed, "reason": reason}).withColumns({
-        "eligible": ~F.col("reason").isin("deadline_passed", "too_old"), "review": F.col("reason").isin("no_date", "future_date")})
+def freshness(jobs: DataFrame, as_of: Column, max_age: int | None = 30, slack_hours: int = 6, drop_past: bool = True) -> DataFrame:
+    """Adds eligible, reason, source, age_days (4 places), deadline_passed and review.
+
+    An age counts from published_at, without it from first_seen_at. One of exactly ``max_age`` days is fresh (None:
+    every age is), a deadline equal to as_of has not passed. A date more than ``slack_hours`` ahead and a missing
+    date are kept for review, so is a malformed one (``published_malformed``, ``first_seen_malformed``,
+    ``deadline_malformed``, false where the column is missing). A passed deadline counts unless ``drop_past`` is
+    off; a malformed one then stays unknown."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in jobs.columns else F.lit(False)
+    published = F.when(~flag("published_malformed"), F.col("published_at"))
+    seen = F.when(~flag("first_seen_malformed"), F.col("first_seen_at")) if "first_seen_at" in jobs.columns else F.lit(None).cast("timestamp_ntz")
+    effective = F.coalesce(published, seen)
+    age = age_days(effective, as_of)
+    ahead = F.timestamp_diff("MICROSECOND", as_of, effective) > slack_hours * 3_600_000_000
+    old = F.lit(False) if max_age is None else age > max_age
+    bad_deadline = flag("deadline_malformed") if drop_past else F.lit(False)
+    passed = F.when(bad_deadline, F.lit(None)).otherwise(F.col("expires_at") < as_of) if drop_past else F.lit(None).cast("boolean")
+    dated = F.when(effective.isNull(), "no_publication_date").when(ahead, "future_publication_date").when(old, "too_old").otherwise("fresh")
+    reason = F.when(F.coalesce(passed, F.lit(False)), "past_deadline").when(bad_deadline & (dated != "too_old"), "unknown_deadline").otherwise(dated)
+    review = dated.isin("no_publication_date", "future_publication_date") | flag("published_malformed") | flag("first_seen_malformed") | flag("deadline_malformed")
+    source = F.when(published.isNotNull(), "published_at").when(seen.isNotNull(), "first_seen").otherwise("unknown")
+    return jobs.withColumns({"age_days": F.round(age, 4), "deadline_passed": passed, "source": source, "eligible": ~F.coalesce(passed, F.lit(False)) & (dated != "too_old"), "reason": reason, "review": review})
 
 
 def prefix_until_known(rows: DataFrame, watermark: Column, by: str, *order: str) -> DataFrame:
@@ -69,20 +80,25 @@ def discovery_pool(jobs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def language_gate(jobs: DataFrame, languages: DataFrame, text: str = "description") -> DataFrame:
-    """(job_id, code, verdict, pos): the first sentence that decides on a language, of languages (code,
-    above_b2): ``fail``, ``caution`` or ``pass``; jobs without a deciding sentence give no row.
-
-    A sentence decides if it names the language and a skill, is not negated or optional, and demands it, or
-    asks for native or excellent command. With above_b2 only the latter fails; B2 or less passes."""
-    low = F.lower("sentence")
-    names = F.create_map(*(x for k, v in fixed.LANGUAGE_NAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    """(job_id, code, verdict, pos): the first sentence that decides on a language: ``fail``, ``caution`` or
+    ``pass``; jobs without a deciding sentence give no row.
+
+    languages: code, rule: ``pass`` (never asked for), ``reject`` (fails where it is demanded) or ``above_b2`` (fails
+    where native or excellent command is; B2 or less passes). A sentence decides if it names the language and a
+    skill, is not negated or optional, and demands it, or asks for native or excellent command; not if it offers
+    another language of rule ``pass`` or ``above_b2`` instead."""
+    low, names = F.col("_low"), fixed.LANGUAGE_NAMES
     top = T.has_any(low, fixed.NATIVE_MARKERS + fixed.EXCELLENT_MARKERS)
-    parts = jobs.select("job_id", F.posexplode(T.sentences(F.concat_ws(". ", F.coalesce("title", F.lit("")), text))).alias("pos", "sentence"))
+    parts = jobs.select("job_id", F.posexplode(T.sentences(F.concat_ws(". ", F.coalesce("title", F.lit("")), text))).alias("pos", "sentence")).select("job_id", "pos", F.lower("sentence").alias("_low"))
     # Sentences that can't decide go before they meet the languages.
-    parts = parts.where(T.has_any(low, fixed.LANGUAGE_CONTEXT) & ~T.has_any(low, fixed.NEGATION_MARKERS) & ~T.has_any(low, fixed.OPTIONAL_MARKERS) & (T.has_any(low, fixed.STRONG_MARKERS) | top))
-    hit = parts.join(languages, F.exists(F.try_element_at(names, F.col("code")), lambda n: F.contains(low, n)))
-    verdict = F.when(~F.col("above_b2") | top, "fail").when(T.has_any(low, fixed.AT_MOST_B2_MARKERS), "pass").otherwise("caution")
-    return hit.groupBy("job_id", "code").agg(F.min_by(verdict, "pos").alias("verdict"), F.min("pos").alias("pos"))
+    parts = parts.where(T.has_any(low, [n for x in names.values() for n in x]) & T.has_any(low, fixed.LANGUAGE_CONTEXT) & ~T.has_any(low, fixed.NEGATION_MARKERS) & ~T.has_any(low, fixed.OPTIONAL_MARKERS) & (T.has_any(low, fixed.STRONG_MARKERS) | top))
+    parts = parts.withColumn("_named", F.array_compact(F.array(*(F.when(T.has_any(low, n), F.lit(code)) for code, n in names.items()))))
+    # One row for each language of a profile.
+    able = languages.where("rule in ('pass', 'above_b2')").agg(F.collect_set("code").alias("_able"))
+    hit = parts.join(F.broadcast(languages.where("rule <> 'pass'")), F.array_contains("_named", F.col("code"))).crossJoin(F.broadcast(able))
+    instead = T.has_any(low, [" tai ", " or "]) & F.arrays_overlap(F.array_except("_named", F.array("code")), "_able")
+    verdict = F.when((F.col("rule") == "reject") | top, "fail").when(T.has_any(low, fixed.AT_MOST_B2_MARKERS), "pass").otherwise("caution")
+    return hit.where(~F.coalesce(instead, F.lit(False))).groupBy("job_id", "code").agg(F.min_by(verdict, "pos").alias("verdict"), F.min("pos").alias("pos"))
 
 
 def missing_qualifications(text: Column) -> Column:
@@ -92,34 +108,90 @@ def missing_qualifications(text: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 
-#: Marks that soften a demand in the sentence around it.
-SOFTENED = ["ei ole vaatimus", "ei vaadita", "ei edellytä", "ei edellytetä", "ei tarvitse", "ei ole pakollinen", "ei kuulu", "not required", "eduksi", "toivottava", "toivomme", "arvostamme", "optional", "nice to have", "etuna", "plussaa"]
-
-
 def softened(text: Column, phrase: Column) -> Column:
     """Whether the first sentence that holds a phrase is negated or optional; false if none holds it."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[.!?\n]")
     first = F.get(F.filter(parts, lambda s: F.contains(s, F.lower(phrase))), F.lit(0))
-    return F.coalesce(T.has_any(first, SOFTENED), F.lit(False))
+    return F.coalesce(T.has_any(first, fixed.DEMAND_NEGATED + fixed.DEMAND_OPTIONAL), F.lit(False))
 
 
 def qualification_gate(jobs: DataFrame, checks: DataFrame) -> DataFrame:
     """(job_id, name, verdict): ``reject`` or ``caution`` of each named check that has something to say.
 
-    checks: name, title_or_text, reject, adjacent (arrays of phrases, never null). A phrase of title_or_text in
-    the title rejects; in the text it rejects unless softened, else cautions. Then a phrase of ``reject`` in
-    the text rejects unless softened; a title with an adjacent role makes that a caution. Phrases match as
-    stems. The checks are a few rows, so the join is with a small side."""
+    checks: name, title_or_text, reject, adjacent, caution, required (arrays of phrases, never null) and
+    never_by_title. A phrase of title_or_text in the title rejects; in the text it rejects unless softened, else
+    cautions. Then phrases of ``reject`` in the text reject unless all are softened, which cautions; a title with an
+    adjacent role makes a rejection a caution. Then, with never_by_title, a phrase of ``caution`` cautions, and
+    without it one of ``required``. Phrases match as stems. The checks are a few rows, so the join is with a small
+    side."""
     from ..functions.listing import stemmed
 
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     rows = jobs.select("job_id", pad(stemmed(F.coalesce("title", F.lit("")))).alias("_t"), pad(stemmed(F.concat_ws(". ", "title", "description"))).alias("_x"), F.concat_ws(". ", "title", "description").alias("_raw"))
     rows = rows.crossJoin(F.broadcast(checks))
     within = lambda where, phrases: F.filter(phrases, lambda p: F.contains(F.col(where), pad(stemmed(p))))
-    titled, told, named, near = within("_t", F.col("title_or_text")), within("_x", F.col("title_or_text")), within("_x", F.col("reject")), within("_t", F.col("adjacent"))
-    first_soft = softened(F.col("_raw"), F.get(told, F.lit(0)))
-    hard = F.filter(named, lambda p: ~softened(F.col("_raw"), p))
+    rows = rows.select("job_id", "name", "never_by_title", "_raw", within("_t", F.col("title_or_text")).alias("titled"), within("_x", F.col("title_or_text")).alias("told"), within("_x", F.col("reject")).alias("named"), within("_t", F.col("adjacent")).alias("near"), within("_x", F.col("caution")).alias("careful"), within("_x", F.col("required")).alias("asked"))
+    some = lambda c: F.size(c) > 0
+    hard = F.filter("named", lambda p: ~softened(F.col("_raw"), p))
     verdict = (
-        F.when(F.size(titled) > 0, "reject").when(F.size(told) > 0, F.when(first_soft, "caution").otherwise("reject"))
-        .when(F.size(hard) > 0, F.when(F.size(near) > 0, "caution").otherwise("reject")).when(F.size(named) > 0, "caution"))
+        F.when(some("titled"), "reject").when(some("told"), F.when(softened(F.col("_raw"), F.get("told", F.lit(0))), "caution").otherwise("reject"))
+        .when(some(hard), F.when(some("near"), "caution").otherwise("reject")).when(some("named"), "caution")
+        .when(F.col("never_by_title"), F.when(some("careful"), "caution")).when(some("asked"), "caution"))
     return rows.select("job_id", "name", verdict.alias("verdict")).where("verdict is not null")
+
+
+def publishable(recs: DataFrame, deterministic_only: bool = False) -> DataFrame:
+    """The recommendations that may be shown: not skipped, not reviewed below 40, of a tier that fits, structurally
+    eligible, reviewed unless deterministic rows may be shown, not hidden by feedback. recs: action, review_score,
+    tier, hard_eligible, awaiting_refresh, compatible, evaluation_id, hidden; nulls speak for a row, but for
+    evaluation_id."""
+    yes = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    wrong = (
+        (yes("action", "") == "skip") | F.coalesce(F.col("review_score") < 40, F.lit(False)) | yes("tier", "").isin(fixed.UNFIT_TIERS) | ~yes("hard_eligible", True)
+        | (yes("awaiting_refresh", False) & ~yes("compatible", True)) | yes("hidden", False))
+    if not deterministic_only:
+        wrong = wrong | F.col("evaluation_id").isNull()
+    return recs.where(~wrong)
+
+
+def learned_discovery(scored: DataFrame, jobs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """scored (job_id, profile_id, pool, lanes) with the lane ``learned_discovery`` for rows that came only through the
+    discovery pool and hold one of the profile's learned phrases (profile_id, phrase) as whole tokens."""
+    lists = phrases.select("profile_id", T.normalized(F.col("phrase")).alias("p")).where("p <> ''").groupBy("profile_id").agg(F.collect_set("p").alias("_p"))
+    texts = jobs.select("job_id", T.normalized(F.concat_ws(" ", "title", "employer", "description")).alias("_x"))
+    found = scored.where("pool = 'discovery'").select("job_id", "profile_id").join(lists, "profile_id").join(texts, "job_id")
+    found = found.where(F.exists("_p", lambda p: T.has_phrase(F.col("_x"), p))).select("job_id", "profile_id", F.lit(True).alias("_found")).distinct()
+    rows = scored.join(found, ["job_id", "profile_id"], "left")
+    return rows.withColumn("lanes", F.when(F.col("_found") & ~F.array_contains("lanes", "learned_discovery"), F.array_append("lanes", F.lit("learned_discovery"))).otherwise(F.col("lanes"))).drop("_found")
+
+
+def passes_feedback(recs: DataFrame, level: float = 0.75) -> DataFrame:
+    """The rows that are worth a review: not those as like what was disliked as ``level`` that also meet a learned
+    exclusion. recs: anti, exclusion_matches (array), both null where unknown."""
+    return recs.where(~F.coalesce((F.col("anti") >= level) & (F.size("exclusion_matches") > 0), F.lit(False)))
+
+
+def removal_permitted(runs: DataFrame) -> Column:
+    """Whether a run may mark listings as removed: complete, without watermark, not stopped at one, not empty, not
+    cut by a number of URLs or pages. Columns: complete, watermark, fetched, stopped, max_urls, max_pages."""
+    cut = F.coalesce(F.col("fetched") >= F.col("max_urls"), F.lit(False)) | F.col("max_pages").isNotNull()
+    return F.col("complete") & F.col("watermark").isNull() & ~F.col("stopped") & (F.col("fetched") > 0) & ~cut
+
+
+def negative_matches(pairs: DataFrame, jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs (job_id, profile_id, ...) whose job meets what a profile rules out, with ``matches``, sorted. wanted:
+    profile_id, kind, value: of kind ``title`` phrases that stand in the title as whole tokens, of kind ``keyword``
+    texts of which any token of four characters and more is part of the whole text."""
+    phrases = wanted.where("kind = 'title'").select("profile_id", "kind", T.normalized(F.col("value")).alias("v")).where("v <> ''")
+    words = wanted.where("kind = 'keyword'").select("profile_id", "kind", F.explode(T.tokens(F.col("value"))).alias("v")).where(F.length("v") >= 4)
+    lists = phrases.union(words).groupBy("profile_id").agg(F.collect_set(F.when(F.col("kind") == "title", F.col("v"))).alias("_p"), F.collect_set(F.when(F.col("kind") == "keyword", F.col("v"))).alias("_w"))
+    texts = jobs.select("job_id", T.normalized(F.col("title")).alias("_t"), T.normalized(F.concat_ws(" ", "title", "employer", "description")).alias("_x"))
+    rows = pairs.join(lists, "profile_id").join(texts, "job_id")
+    found = F.array_union(F.filter("_p", lambda p: T.has_phrase(F.col("_t"), p)), F.filter("_w", lambda w: F.contains(F.col("_x"), w)))
+    return rows.withColumn("matches", F.array_sort(found)).where(F.size("matches") > 0).select(*pairs.columns, "matches")
+
+
+def region_subset(rows: DataFrame, codes: list[str], paths: list[str]) -> DataFrame:
+    """Rows of a region: any of their municipality codes (array, null for none) or their regional path is wanted."""
+    near = F.coalesce(F.arrays_overlap("codes", F.array(*map(F.lit, codes))), F.lit(False))
+    return rows.where(near | F.coalesce(F.col("path").isin(paths), F.lit(False)))

@@ -10,31 +10,42 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text as T
 
 
-def expanded(jobs: DataFrame) -> DataFrame:
-    """(job_id, variant, in_title): distinct token variants of a job's title and of its whole text."""
-    both = jobs.select("job_id", F.explode(T.expanded_tokens(F.concat_ws(" ", "title", "employer", "description"))).alias("variant"))
-    title = jobs.select("job_id", F.explode(T.expanded_tokens(F.col("title"))).alias("variant"), F.lit(True).alias("in_title"))
-    return both.join(title, ["job_id", "variant"], "left").withColumn("in_title", F.coalesce("in_title", F.lit(False)))
+#: Variants of terms broadcast at most; beyond that they are joined by a shuffle.
+FEW_VARIANTS = 1_000_000
+#: Fields of terms and the text of a job that they are matched with.
+PLACES = {"title": "title", "history_title": "title", "learned_title": "title", "history_location": "location", "learned_location": "location", "location": "location"}
 
 
 def term_matches(jobs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(job_id, profile_id, field, term): a term matches if any of its variants is among a job's; terms of the
-    field ``title`` against the title only. terms: profile_id, field, term. An equi join on the variant;
-    general terms are left out beforehand, so that no variant is in most jobs."""
-    wanted = terms.where(~F.col("term").isin(fixed.GENERIC_TERMS)).select("profile_id", "field", "term", F.explode(T.token_variants(F.col("term"))).alias("variant"))
-    hits = expanded(jobs).join(wanted, "variant").where((F.col("field") != "title") | F.col("in_title"))
-    return hits.select("job_id", "profile_id", "field", "term").distinct()
+    """(job_id, profile_id, field, term): a term matches if one of its variants is a variant of a token of the
+    title, the location or the whole text, as PLACES says of its field. terms: profile_id, field, term; general
+    terms match nothing.
+
+    A job's text is cut into distinct tokens once, each with what it stands in. The terms' variants, a table of
+    the profiles' size, are broadcast if they are few; so no variant that most jobs have is a hot key."""
+    own = T.tokens(F.concat_ws(" ", "title", "employer", "description"))
+    rows = jobs.select("job_id", own.alias("_all"), T.tokens(F.col("title")).alias("_title"), T.tokens(F.col("location")).alias("_location"))
+    tokens = rows.select("job_id", "_title", "_location", F.explode(F.array_union("_all", "_location")).alias("token"), "_all")
+    tokens = tokens.select("job_id", "token", F.array_contains("_title", F.col("token")).alias("in_title"), F.array_contains("_location", F.col("token")).alias("in_location"), F.array_contains("_all", F.col("token")).alias("in_text"))
+    wanted = terms.where(~F.col("term").isin(fixed.GENERIC_TERMS)).select("profile_id", "field", "term", F.explode(T.token_variants(F.col("term"))).alias("variant")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_VARIANTS else wanted
+    each = tokens.withColumn("variant", F.explode(T.token_variants(F.col("token")))).drop("token")
+    place = F.coalesce(*(F.when(F.col("field") == f, p) for f, p in PLACES.items()), F.lit("text"))
+    stands = F.when(place == "title", F.col("in_title")).when(place == "location", F.col("in_location")).otherwise(F.col("in_text"))
+    return each.join(wanted, "variant").where(stands).select("job_id", "profile_id", "field", "term").distinct()
 
 
 #: Field: most matches that count, points for each.
 POINTS = {"title": (5, 15), "keyword": (8, 5), "history_title": (4, 18), "history_keyword": (6, 5), "sector": (3, 4), "learned_title": (4, 18), "learned_keyword": (6, 5)}
+#: Fields that only say that a place matches.
+LOCATIONS = ["location", "history_location", "learned_location"]
 
 
 def match_scores(matches: DataFrame) -> DataFrame:
-    """(job_id, profile_id, title_n, keyword_n, sector_n, score, lanes): capped counts times points, at most
-    100, and the lanes that a job qualifies for."""
+    """(job_id, profile_id, <field>_n ..., score, lanes): matches of each field, capped counts times points, at most
+    100, and the lanes that a job qualifies for. What the job itself adds is in deterministic_scores."""
     count = lambda field: F.count_if(F.col("field") == field)
-    per = matches.groupBy("job_id", "profile_id").agg(*(count(f).alias(f"{f}_n") for f in POINTS))
+    per = matches.groupBy("job_id", "profile_id").agg(*(count(f).alias(f"{f}_n") for f in [*POINTS, *LOCATIONS]))
     score = reduce(Column.__add__, (F.least(F.col(f"{f}_n"), F.lit(most)) * points for f, (most, points) in POINTS.items()))
     history = (F.col("history_title_n") + F.col("history_keyword_n")) > 0
     sector = (F.col("sector_n") > 0) & (history | (F.col("keyword_n") > 0))
@@ -42,11 +53,59 @@ def match_scores(matches: DataFrame) -> DataFrame:
     hidden = (F.col("title_n") == 0) & (history | transferable | sector)
     lanes = F.array_compact(F.array(
         F.when(F.col("title_n") > 0, "direct_title"), F.when(history, "application_history"), F.when(transferable, "transferable_duty"), F.when(sector, "sector_context"), F.when(hidden, "exploration")))
-    return per.select("job_id", "profile_id", "title_n", "keyword_n", "sector_n", F.least(score, F.lit(100)).cast("long").alias("score"), lanes.alias("lanes"))
-
-
-def lane_quota_order(scored: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
-    """(profile_id, job_id, place): lanes in order take their quota of the best rows not yet taken; all other
+    return per.select("job_id", "profile_id", *(f"{f}_n" for f in [*POINTS, *LOCATIONS]), score.cast("long").alias("raw"), F.least(score, F.lit(100)).cast("long").alias("score"), lanes.alias("lanes"))
+
+
+def deterministic_scores(counted: DataFrame, facts: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """The whole score of jobs for profiles: (job_id, profile_id, title_n, negative_n, missing_n, score,
+    unpenalized, passes, hard_eligible, hard_reasons, concerns, lanes).
+
+    counted: match_scores(). facts: job_id, profile_id, has_location, negative_n, missing_n, caution_n,
+    exclusion_penalty, language_failed, language_review, qualification_reject, qualification_caution; a fact that is
+    null counts as 0 or false. clusters: job_id, profile_id, contribution of profiles with weights of their own; it
+    takes the place of points and of the location's 15 (3 if the job has none). History and learned places add 7
+    each, negative terms or a missing qualification take 40. The penalty counts only after the pass rule, 15 points
+    and nothing that rules the job out."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    rows = facts.join(counted, ["job_id", "profile_id"], "left")
+    rows = rows.join(clusters, ["job_id", "profile_id"], "left") if clusters is not None else rows.withColumn("contribution", F.lit(None).cast("double"))
+    placed, negative, missing = zero(F.col("location_n")) > 0, zero(F.col("negative_n")) > 0, zero(F.col("missing_n")) > 0
+    points = zero(F.col("raw")) + F.when(placed, 15).when(~F.col("has_location"), 3).otherwise(0)
+    whole = F.coalesce("contribution", points.cast("double")) + F.when(zero(F.col("history_location_n")) > 0, 7).otherwise(0) + F.when(zero(F.col("learned_location_n")) > 0, 7).otherwise(0) - F.when(negative | missing, 40).otherwise(0)
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
+    language, rejected = no(F.col("language_failed")), no(F.col("qualification_reject"))
+    said = {"negative": negative, "missing": missing, "caution": zero(F.col("caution_n")) > 0, "qualification": no(F.col("qualification_caution")), "language": no(F.col("language_review")), "location": F.col("has_location") & ~placed}
+    concerns = F.array_compact(F.array(*(F.when(test, F.lit(fixed.CONCERNS[k])) for k, test in said.items())))
+    reasons = F.array_compact(F.array(F.when(negative, "negative_match"), F.when(missing, "missing_qualification"), F.when(language, "language_requirement"), F.when(rejected, "qualification")))
+    passes = (clip(whole) >= 15) & ~negative & ~missing & ~language & ~rejected
+    return rows.select(
+        "job_id", "profile_id", zero(F.col("title_n")).alias("title_n"), zero(F.col("negative_n")).alias("negative_n"), zero(F.col("missing_n")).alias("missing_n"),
+        F.round(clip(whole - zero(F.col("exclusion_penalty"))), 2).alias("score"), F.round(clip(whole), 2).alias("unpenalized"), passes.alias("passes"), (F.size(reasons) == 0).alias("hard_eligible"), reasons.alias("hard_reasons"),
+        concerns.alias("concerns"), F.coalesce("lanes", F.array().cast("array<string>")).alias("lanes"))
+
+
+def exclusion_matches(pairs: DataFrame, jobs: DataFrame, exclusions: DataFrame, each: float = 8.0) -> DataFrame:
+    """(job_id, profile_id, exclusion_penalty, matches) of the pairs (job_id, profile_id) that meet what a profile has
+    learned to avoid. exclusions: profile_id, kind (term, employer, sector), value.
+
+    Tokens of four characters and more of a term count if they are part of the text or a variant of its tokens,
+    employers if they are part of the employer, sectors if they are part of the text. Each takes ``each`` points."""
+    tokens = exclusions.where("kind = 'term'").select("profile_id", F.explode(T.tokens(F.col("value"))).alias("v")).where(F.length("v") >= 4)
+    others = exclusions.where("kind <> 'term'").select("profile_id", "kind", F.lower("value").alias("v")).where("v <> ''")
+    lists = tokens.select("profile_id", F.lit("term").alias("kind"), "v").union(others).distinct().groupBy("profile_id", "kind").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    lists = lists.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "vs"))).alias("_by"))
+    of = lambda kind: F.coalesce(F.try_element_at("_by", F.lit(kind)), F.array().cast("array<string>"))
+    texts = jobs.select("job_id", F.lower(F.concat_ws(" ", "title", "employer", "description")).alias("_x"), F.lower(F.coalesce("employer", F.lit(""))).alias("_e"), T.expanded_tokens(F.concat_ws(" ", "title", "employer", "description")).alias("_v"))
+    rows = pairs.select("job_id", "profile_id").join(lists, "profile_id").join(texts, "job_id")
+    found = F.concat(
+        F.filter(of("term"), lambda v: F.contains(F.col("_x"), v) | F.array_contains("_v", v)), F.filter(of("employer"), lambda v: F.contains(F.col("_e"), v)), F.filter(of("sector"), lambda v: F.contains(F.col("_x"), v)))
+    rows = rows.select("job_id", "profile_id", found.alias("found")).where(F.size("found") > 0)
+    return rows.select("job_id", "profile_id", (F.size("found") * each).alias("exclusion_penalty"), F.array_sort(F.array_distinct("found")).alias("matches"))
+
+
+def lane_quota_order(scored: DataFrame, quotas: dict[str, int] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(profile_id, job_id, place) and the columns ``keep``: lanes in order take their quota of the best rows not yet taken; all other
     rows follow by score. scored: profile_id, job_id, score, lanes.
 
     Only the best sum-of-quotas rows of each lane can be taken by it, so these alone are folded per profile;
@@ -62,9 +121,10 @@ def lane_quota_order(scored: DataFrame, quotas: dict[str, int] | None = None) ->
     none = F.array().cast("array<bigint>")
     taken = F.aggregate(steps, none, lambda got, s: F.concat(got, F.slice(F.array_except(F.coalesce(F.try_element_at("by_lane", s["lane"]), none), got), F.lit(1), s["quota"])))
     first = lists.select("profile_id", F.posexplode(taken).alias("pos", "job_id"))
-    rows = scored.select("profile_id", "job_id", "score").join(first, ["profile_id", "job_id"], "left")
+    kept = keep or []
+    rows = scored.select("profile_id", "job_id", *dict.fromkeys(["score", *kept])).join(first, ["profile_id", "job_id"], "left")
     place = F.row_number().over(Window.partitionBy("profile_id").orderBy(F.col("pos").asc_nulls_last(), *by_score))
-    return rows.select("profile_id", "job_id", place.alias("place"))
+    return rows.select("profile_id", "job_id", *kept, place.alias("place"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -80,12 +140,28 @@ def centroids(vectors: DataFrame, by: str, least: int = 3) -> DataFrame:
 
 
 def decayed_weights(feedback: DataFrame, as_of: Column, half_life: float = 60.0) -> DataFrame:
-    """Adds weight: 1.5 applied, 1 for 4 and more, 0.25 for 3, -1 below, halved every ``half_life`` days of
-    age; what was applied for ages half as fast; ages are never below 0."""
+    """Adds weight: 1.5 applied for, else from -1 for a rating of 1 to 1 for 5, halved every ``half_life`` days (at
+    least 1) of age; what was applied for ages half as fast; ages are never below 0."""
     age = F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", "created_at", as_of) / F.lit(86_400_000_000.0))
     age = F.when(F.col("applied"), age / 2).otherwise(age)
-    base = F.when(F.col("applied"), 1.5).when(F.col("rating") >= 4, 1.0).when(F.col("rating") == 3, 0.25).otherwise(-1.0)
-    return feedback.withColumn("weight", base * F.pow(F.lit(0.5), age / half_life))
+    rated = F.coalesce(*(F.when(F.col("rating") == k, F.lit(w)) for k, w in fixed.RATING_WEIGHTS.items()))
+    base = F.when(F.col("applied"), F.lit(fixed.APPLIED_WEIGHT)).otherwise(rated)
+    return feedback.withColumn("weight", base * F.pow(F.lit(0.5), age / max(half_life, 1)))
+
+
+def rare_terms(terms: DataFrame, rows: int | Column, share: float = fixed.FREQUENT_SHARE) -> DataFrame:
+    """The terms (term, jobs) that at most ``share`` of all ``rows`` of feedback hold, general ones left out."""
+    return terms.where((F.col("jobs") / rows <= share) & ~F.col("term").isin(fixed.GENERIC_TERMS))
+
+
+def analysis_terms(analyses: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, term, delta): what analyses of feedback add to terms. analyses: id, term, weight, confidence (high, medium,
+    low; others count as low), sign (of the feedback). A suggestion counts if a variant stands in the text of its id
+    in known (id, text) and its weight has the feedback's sign; the weight is multiplied by the confidence."""
+    there = grounded(analyses.select("id", "term").distinct(), known)
+    sure = F.coalesce(*(F.when(F.col("confidence") == k, F.lit(v)) for k, v in fixed.CONFIDENCE.items()), F.lit(fixed.CONFIDENCE["low"]))
+    agreed = analyses.where(F.signum("weight") == F.signum("sign")).join(there, ["id", "term"], "left_semi")
+    return agreed.groupBy("id", "term").agg(F.sum(F.col("weight") * sure).alias("delta"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:

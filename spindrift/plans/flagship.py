@@ -16,27 +16,33 @@ def as_of() -> Column:
 
 
 
+ROUTES = [("Oulu, Finland", 600, 8.0), ("Ylivieska, Finland", 5400, 130.0), ("Kuopio, Finland", 14400, 290.0), ("Helsinki, Finland", 21600, 610.0), ("Kempele, Finland", 1500, 12.0), ("Kuopio, Suomi", 7200, 290.0)]
+
+
 def routes(t: Tables) -> DataFrame:
     """Known routes: a small table of destinations."""
-    return t.spark.createDataFrame([("Oulu, Finland", 600, 8.0), ("Ylivieska, Finland", 5400, 130.0), ("Kuopio, Finland", 14400, 290.0), ("Helsinki, Finland", 21600, 610.0)], "destination string, duration_s long, km double")
+    return t.spark.createDataFrame(ROUTES, "destination string, duration_s long, km double")
 
 
 def recommendations(t: Tables, per_profile: int = 50) -> DataFrame:
     """(profile_id, job_id, score, travel, place): the best listings of every profile.
 
-    One shuffle by (job, profile) for the matches and one by profile for the ranks; listings are scored before
-    the gates are joined, so the text is tokenised once."""
+    One shuffle by (job, profile) for the matches and one by profile for the ranks; gates are decided per job, before
+    they meet the matches, and the text is tokenised once."""
     jobs = gates.freshness(t.job.where("status = 'active'"), as_of()).where("eligible")
     matches = scoring.term_matches(jobs, t.profile_term.select("profile_id", F.lit("keyword").alias("field"), "term"))
-    scored = scoring.match_scores(matches).withColumns({"hard_eligible": F.lit(True), "passes": F.col("score") >= 15})
+    counted = scoring.match_scores(matches)
+    failed = gates.language_gate(jobs, t.spark.createDataFrame([("en", "reject"), ("fi", "pass")], "code string, rule string")).groupBy("job_id").agg(F.bool_or(F.col("verdict") == "fail").alias("language_failed"), F.bool_or(F.col("verdict") == "caution").alias("language_review"))
+    missing = jobs.select("job_id", F.col("location").isNotNull().alias("has_location"), F.size(gates.missing_qualifications(F.lower(F.concat_ws(" ", "title", "employer", "description")))).alias("missing_n"))
+    none = {"negative_n": F.lit(0), "caution_n": F.lit(0), "exclusion_penalty": F.lit(0), "qualification_reject": F.lit(False), "qualification_caution": F.lit(False)}
+    facts = counted.select("job_id", "profile_id").join(missing, "job_id").join(failed, "job_id", "left").withColumns(none)
+    scored = scoring.deterministic_scores(counted, facts)
     vectors = t.embeddings.select(F.col("vec_id").alias("job_id"), "embedding")
     # One row: what the first label's vectors have in common.
     wish = scoring.centroids(t.embeddings.where("label = 0").withColumn("one", F.lit(1)), "one").select("centroid")
     near = vectors.crossJoin(F.broadcast(wish)).select("job_id", scoring.cosine(F.col("embedding"), F.col("centroid")).alias("vector"))
     similar = scored.select("job_id", "profile_id").join(near, "job_id").withColumns({"preference": F.lit(None).cast("double"), "anti": F.lit(None).cast("double")})
     merged = ranking.semantic_merge(scored, similar).where("passes")
-    travel = ranking.travel_scores(jobs, routes(t), "Oulu")
-    final = merged.join(travel, "job_id").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") + F.col("points"))))
-    ordered = scoring.lane_quota_order(final)
-    best = ordered.where(F.col("place") <= per_profile)
-    return best.join(final.select("profile_id", "job_id", "score", "travel"), ["profile_id", "job_id"]).select("profile_id", "job_id", "score", "travel", "place")
+    travel = ranking.travel_scores(jobs, routes(t), "Oulu").select("job_id", F.col("status").alias("travel"), "adjustment")
+    final = merged.join(travel, "job_id").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") + F.col("adjustment"))))
+    return scoring.lane_quota_order(final, keep=["score", "travel"]).where(F.col("place") <= per_profile).select("profile_id", "job_id", "score", "travel", "place")

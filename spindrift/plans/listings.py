@@ -158,11 +158,6 @@ def html_strip(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(T.without_markup(F.col("html"))).alias("text"))
 
 
-@query("select doc_id, sha256(concat_ws('|', title, employer, location, description)) as hash from listing")
-def content_hash(t: Tables) -> DataFrame:
-    return t.listing.select("doc_id", F.sha2(F.concat_ws("|", "title", "employer", "location", "description"), 256).alias("hash"))
-
-
 @query("select doc_id from listing where published_at is null or published_at > timestamp '2024-03-01 00:00:00'")
 def watermark_filter(t: Tables) -> DataFrame:
     return t.listing.where("published_at is null or published_at > timestamp_ntz'2024-03-01 00:00:00'").select("doc_id")
@@ -180,13 +175,6 @@ def catalog_search(t: Tables) -> DataFrame:
     return rows.where("published_at >= timestamp_ntz'2024-02-01 00:00:00'").select("job_id", "title", "employer")
 
 
-@query(f"""with a as (select job_id, date_diff('microsecond', published_at, {_AS_OF}) / 86400000000.0 as age, coalesce(expires_at < {_AS_OF}, false) as passed from job),
-  r as (select *, case when passed then 'deadline_passed' when age is null then 'no_date' when age < -0.25 then 'future_date' when age > 30 then 'too_old' else 'fresh' end as reason from a)
-  select job_id, round(age, 4) as age_days, passed as deadline_passed, reason, reason not in ('deadline_passed', 'too_old') as eligible, reason in ('no_date', 'future_date') as review from r""")
-def freshness_gate(t: Tables) -> DataFrame:
-    return gates.freshness(t.job, as_of()).select("job_id", "age_days", "deadline_passed", "reason", "eligible", "review")
-
-
 @query("select job_id from job where regexp_matches(location, '(?i)(^|[\\s,/])(oulu|ylivieska)([\\s,/]|$)')")
 def pool_local(t: Tables) -> DataFrame:
     return gates.located_in(t.job, ["oulu", "ylivieska"]).select("job_id")
@@ -209,23 +197,6 @@ def discovery_terms(t: Tables) -> DataFrame:
     return gates.discovery_terms(terms).select("profile_id", "term", "place")
 
 
-@query("""with s as (select job_id, generate_subscripts(p, 1) - 1 as pos, lower(unnest(p)) as x from (select job_id, list_filter(list_transform(string_split_regex(coalesce(title, '') || '. ' || description ||
-    case n_chars % 5 when 0 then '. Englannin kielen taito vaaditaan. ' when 1 then '. Edellytämme erinomaista ruotsin kielen taitoa. ' when 2 then '. Saksan kielen taito katsotaan eduksi. ' when 3 then '. Vaaditaan sujuva ruotsin kielen taito. ' else '' end,
-    '[.!?\\n;]+'), lambda x: trim(x)), lambda x: x <> '') as p from job)),
-  l as (select unnest(['en', 'sv', 'de']) as code, unnest([false, true, false]) as above_b2),
-  h as (select s.*, l.code, l.above_b2, """ + _any("x", fixed.NATIVE_MARKERS + fixed.EXCELLENT_MARKERS) + """ as top from s join l on case l.code """
-       + " ".join(f"when '{c}' then {_any('x', n)}" for c, n in fixed.LANGUAGE_NAMES.items()) + " end where "
-       + f"{_any('x', fixed.LANGUAGE_CONTEXT)} and not {_any('x', fixed.NEGATION_MARKERS)} and not {_any('x', fixed.OPTIONAL_MARKERS)} and ({_any('x', fixed.STRONG_MARKERS)} or {_any('x', fixed.NATIVE_MARKERS + fixed.EXCELLENT_MARKERS)})),"
-       + f" v as (select *, case when not above_b2 or top then 'fail' when {_any('x', fixed.AT_MOST_B2_MARKERS)} then 'pass' else 'caution' end as verdict from h)"
-       + " select job_id, code, arg_min(verdict, pos) as verdict, cast(min(pos) as int) as pos from v group by all")
-def language_gate(t: Tables) -> DataFrame:
-    said = ["Englannin kielen taito vaaditaan", "Edellytämme erinomaista ruotsin kielen taitoa", "Saksan kielen taito katsotaan eduksi", "Vaaditaan sujuva ruotsin kielen taito"]
-    extra = F.coalesce(*(F.when(F.col("n_chars") % 5 == k, F.lit(f". {s}. ")) for k, s in enumerate(said)), F.lit(""))
-    jobs = t.job.withColumn("description", F.concat("description", extra))
-    languages = t.spark.createDataFrame([("en", False), ("sv", True), ("de", False)], "code string, above_b2 boolean")
-    return gates.language_gate(jobs, languages)
-
-
 @query("""with x as (select job_id, lower(concat(title, case n_chars % 4 when 0 then ' aineenopettaja' when 1 then ' CE-ajokortti' when 2 then ' henkilökohtainen avustaja' else '' end)) as t from job),
   h as (select job_id, list_filter([""" + ", ".join(f"case when regexp_matches(t, '{'|'.join(p)}') then '{k}' end" for k, p in fixed.QUALIFICATION_PATTERNS.items())
        + ", " + ", ".join(f"case when contains(' ' || {_NORM.format('t')} || ' ', ' {p} ') then '{p}' end" for p in fixed.QUALIFICATION_PHRASES) + """], lambda v: v is not null) as hits from x)
@@ -359,11 +330,6 @@ def rank_trio(t: Tables) -> DataFrame:
     return ranked.select("rec_id", *flags)
 
 
-@query("select rec_id, profile_id from rec where action <> 'skip' and machine_score >= 40 and not hard_rejected and review_score is not null")
-def publication_gate(t: Tables) -> DataFrame:
-    return t.rec.where("action <> 'skip' and machine_score >= 40 and not hard_rejected and review_score is not null").select("rec_id", "profile_id")
-
-
 @query("""select r.rec_id from rec r join job j using (job_id) where not r.hard_rejected and j.status = 'active' and exists (select 1 from source_dim s where s.source_id = j.source_id and s.enabled)
   and not exists (select 1 from feedback f where f.job_id = r.job_id and f.profile_id = r.profile_id and f.rating <= 1) and (j.expires_at is null or j.expires_at >= timestamp '2024-03-20')""")
 def structural_eligibility(t: Tables) -> DataFrame:
@@ -391,12 +357,6 @@ def status_counts(t: Tables) -> DataFrame:
     return t.job.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""select s.source_id, count(j.job_id) as listings, count(j.job_id) filter (where j.expires_at is null) as no_deadline, count(distinct j.employer) filter (where j.status = 'active') as employers
-  from source_dim s left join (select * from job where n_chars % 3 = 0) j using (source_id) group by s.source_id""")
-def source_inventory(t: Tables) -> DataFrame:
-    return _inventory(t, t.job.where("n_chars % 3 = 0"))
-
-
 @query("""select s.source_id, count(j.job_id) as listings, count(j.job_id) filter (where j.expires_at is null) as no_deadline, count(distinct j.employer) filter (where j.status = 'active') as employers
   from source_dim s left join job j using (source_id) group by s.source_id""")
 def source_inventory_all(t: Tables) -> DataFrame:
@@ -428,7 +388,7 @@ def usage_totals(t: Tables) -> DataFrame:
     return t.conversations.groupBy("role").agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"), F.count("text").alias("with_text"))
 
 
-_WEIGHT = """(case when applied then 1.5 when rating >= 4 then 1.0 when rating = 3 then 0.25 else -1.0 end)::double
+_WEIGHT = """(case when applied then 1.5 else ([-1.0, -0.5, 0.0, 0.5, 1.0])[rating] end)::double
   * power(0.5::double, (case when applied then 0.5 else 1 end) * greatest(0.0, date_diff('microsecond', created_at, timestamp '2024-04-01') / 86400000000.0) / 60.0)"""
 
 
@@ -440,13 +400,6 @@ def decayed_terms(t: Tables) -> DataFrame:
     return rows.groupBy("employer").agg(F.round(F.sum("weight"), 4).alias("net"), F.count_distinct("job_id").alias("jobs"))
 
 
-@query("select employer, n from (select j.employer, count(distinct f.feedback_id) as n, (select count(*) from feedback) as total from feedback f join job j using (job_id) group by j.employer) where n * 1.0 / total <= 0.03")
-def df_cap(t: Tables) -> DataFrame:
-    total = t.feedback.agg(F.count("*").alias("total"))
-    n = t.feedback.join(t.job.select("job_id", "employer"), "job_id").groupBy("employer").agg(F.count_distinct("feedback_id").alias("n"))
-    return n.crossJoin(F.broadcast(total)).where("n / total <= 0.03").select("employer", "n")
-
-
 _WILSON = "round(greatest(0.0, (k * 1.0 / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k * 1.0 / n * (1 - k * 1.0 / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 3)"
 
 
@@ -589,12 +542,6 @@ def rating_map(t: Tables) -> DataFrame:
     return t.feedback.select("feedback_id", action.alias("action"))
 
 
-@query("""with d as (select page_id, url, case when url not like 'http%' then 'scheme' when regexp_matches(url, '@') then 'credentials' when regexp_matches(url, 'spam') then 'host' when length(url) > 60 then 'too_long' else 'ok' end as reason from pages) select page_id, reason from d""")
-def url_policy(t: Tables) -> DataFrame:
-    reason = F.when(~F.col("url").startswith("http"), "scheme").when(F.contains("url", F.lit("@")), "credentials").when(F.contains("url", F.lit("spam")), "host").when(F.length("url") > 60, "too_long").otherwise("ok")
-    return t.pages.select("page_id", reason.alias("reason"))
-
-
 @query("select source_id, enabled and (last is null or date_diff('microsecond', last, timestamp '2024-02-01') / 3600000000.0 > 48) as stale from source_dim left join (select user_id as sid, max(ts) as last from events where event_type <> 'error' group by user_id) e on e.sid = source_id")
 def source_status(t: Tables) -> DataFrame:
     last = t.events.where("event_type <> 'error'").groupBy(F.col("user_id").alias("source_id")).agg(F.max("ts").alias("last"))
@@ -614,15 +561,6 @@ def survivor_remap(t: Tables) -> DataFrame:
     return t.rec.groupBy((F.col("job_id") % 100).alias("job_id")).agg(F.min("rec_id").alias("keep"), F.count("*").alias("n"))
 
 
-@query("""with picks as (select rec_id, case when commutable then 0 when remote then 1 else 2 end as bucket, row_number() over (partition by case when commutable then 0 when remote then 1 else 2 end order by (review_score is not null), machine_score desc, rec_id) as r from rec where not hard_rejected)
-  select rec_id, cast(bucket as int) as bucket, cast(r as int) as place from picks where r <= case bucket when 0 then 40 when 1 then 20 else 40 end""")
-def review_buckets(t: Tables) -> DataFrame:
-    bucket = F.when(F.col("commutable"), 0).when(F.col("remote"), 1).otherwise(2)
-    rows = t.rec.where("not hard_rejected").withColumn("bucket", bucket)
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("review_score").isNotNull(), F.desc("machine_score"), "rec_id"))
-    return rows.withColumn("place", place).where(F.col("place") <= F.when(F.col("bucket") == 1, 20).otherwise(40)).select("rec_id", "bucket", "place")
-
-
 @query("select j.job_id from job j where j.job_id % 2 = 0 and not exists (select 1 from rec r where r.job_id = j.job_id and r.job_id % 3 = 0) and not exists (select 1 from job o where o.title = j.title and o.source_id <> j.source_id)")
 def mark_removed(t: Tables) -> DataFrame:
     seen = t.rec.where("job_id % 3 = 0").select("job_id")
@@ -639,45 +577,6 @@ def watermark_advance(t: Tables) -> DataFrame:
     return run.join(old, "source_id", "left").select("source_id", F.when(F.col("partial"), F.col("cursor")).otherwise(F.greatest("cursor", "newest")).alias("cursor"))
 
 
-_DEST = """list_distinct(list_transform(list_filter(list_transform(string_split(regexp_replace(coalesce(location, ''), '(?i)\\s*/\\s*(etä|hybridi).*$', ''), ','), lambda x: trim(x)),
-  lambda x: x <> '' and lower(x) not in ('suomi', 'finland', 'etä', 'useita', 'koko suomi')), lambda x: x || ', Finland'))"""
-_ROUTES = "(values ('Oulu, Finland', 600, 8.0), ('Ylivieska, Finland', 5400, 130.0), ('Kuopio, Finland', 14400, 290.0), ('Helsinki, Finland', 21600, 610.0)) as r(destination, duration_s, km)"
-
-
-@query(f"select job_id, array_to_string(list_sort({_DEST}), '|') as places from job")
-def destinations(t: Tables) -> DataFrame:
-    return t.job.select("job_id", F.array_join(F.array_sort(ranking.destinations(F.col("location"))), "|").alias("places"))
-
-
-@query(f"select job_id, arg_min(destination, duration_s) as destination, min(duration_s)::bigint as duration_s from (select job_id, unnest({_DEST}) as destination from job) join {_ROUTES} using (destination) group by job_id")
-def best_route(t: Tables) -> DataFrame:
-    return ranking.best_routes(t.job, flagship.routes(t)).select("job_id", "destination", "duration_s")
-
-
-@query(f"""with d as (select job_id, lower(location) as low, {_DEST} as places from job), b as (select job_id, min(duration_s) as s from (select job_id, unnest(places) as destination from d) join {_ROUTES} using (destination) group by job_id),
-  k as (select d.job_id, case when trim(split_part(split_part(low, '/', 1), ',', 1)) = 'oulu' and len(places) = 1 then 'home' when list_contains(places, 'Oulu, Finland') then 'contains_home' when low like '%/ etä%' then 'full_remote'
-    when len(places) = 0 then 'vague' when s is null then 'unknown' when s / 7200.0 <= 0.5 then 'near' when s / 7200.0 <= 0.75 then 'within' when s / 7200.0 <= 1 then 'edge' when low like '%hybridi%' then 'hybrid_far' else 'far' end as travel from d left join b using (job_id))
-  select job_id, travel, case travel when 'home' then 12 when 'contains_home' then 12 when 'full_remote' then 15 when 'vague' then -5 when 'unknown' then -5 when 'near' then 10 when 'within' then 6 when 'edge' then 3 when 'hybrid_far' then -8 else -15 end as points from k""")
-def travel_assessment(t: Tables) -> DataFrame:
-    return ranking.travel_scores(t.job, flagship.routes(t), "Oulu")
-
-
-@query("""with q as (select list(x order by i) as v from (select i, avg(x) as x from (select unnest(range(64)) as i, unnest(embedding) as x from embeddings where label = 0) group by i)),
-  s as (select vec_id as job_id, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * v[i])) / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) * list_sum(list_transform(v, lambda x: x * x))) as v0 from embeddings, q),
-  c as (select r.job_id, r.profile_id, r.machine_score, greatest(0.0, least(1.0, v0)) as v from rec r left join s using (job_id))
-  select job_id, profile_id, case when v is null then machine_score::double else greatest(machine_score::double, round(15 + v * 20, 2)) end as score, coalesce(v >= 0.56, false) as semantic from c""")
-def semantic_merge(t: Tables) -> DataFrame:
-    q = scoring.centroids(t.embeddings.where("label = 0").withColumn("one", F.lit(1)), "one").select("centroid")
-    near = t.embeddings.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("job_id"), scoring.cosine(F.col("embedding"), F.col("centroid")).alias("vector"))
-    none = F.lit(None).cast("double")
-    scored = t.rec.select("job_id", "profile_id", F.lit(0).alias("title_n"), F.col("machine_score").alias("score"), F.array().cast("array<string>").alias("lanes"), F.lit(True).alias("passes"), F.lit(True).alias("hard_eligible"))
-    similar = t.rec.select("job_id", "profile_id").join(near, "job_id").withColumns({"preference": none, "anti": none})
-    return ranking.semantic_merge(scored, similar).select("job_id", "profile_id", "score", F.array_contains("lanes", "semantic_similarity").alias("semantic"))
-
-
-@query()
-def match_pipeline(t: Tables) -> DataFrame:
-    return flagship.recommendations(t)
 
 
 @query("""with r as (select job_id, 'x' || (n_chars % 40) as h, n_chars % 9 as confidence from job where job_id % 3 = 1), s as (select job_id, 'x' || ((n_chars + case when job_id % 7 = 0 then 1 else 0 end) % 40) as h, length(description) as n, job_id % 5 = 0 as enriched, n_chars % 5 as old from job)
@@ -733,12 +632,6 @@ def due_items(t: Tables) -> DataFrame:
     return t.events.where("value is null or ts <= timestamp_ntz'2024-01-15 00:00:00'").select("event_id")
 
 
-@query("select user_id as source_id, bool_and(event_type <> 'error') and count(*) > 2 as allowed from events where ts < timestamp '2024-01-10' group by user_id")
-def removal_allowed(t: Tables) -> DataFrame:
-    run = t.events.where("ts < timestamp_ntz'2024-01-10 00:00:00'").groupBy(F.col("user_id").alias("source_id"))
-    return run.agg((F.bool_and(F.col("event_type") != "error") & (F.count("*") > 2)).alias("allowed"))
-
-
 @query("""with plan as (select r.rec_id, r.profile_id, r.review_score is not null as hit, row_number() over (partition by r.profile_id order by r.machine_score desc, r.rec_id) as pos from rec r),
   n as (select *, sum(case when hit then 0 else 1 end) over (partition by profile_id order by pos rows unbounded preceding) as needed from plan) select rec_id, case when hit then 'hit' when needed <= 20 then 'evaluate' else 'deferred' end as status from n""")
 def review_plan(t: Tables) -> DataFrame:
@@ -746,15 +639,6 @@ def review_plan(t: Tables) -> DataFrame:
     return state.within_budget(rows, "profile_id", 20, F.desc("machine_score"), F.col("rec_id")).select("rec_id", "status")
 
 
-@query(f"""with d as (select distinct unnest({_DEST}) as destination from job), p as (select d.destination, r.destination is not null as hit, row_number() over (order by d.destination) as pos from d left join (select * from {_ROUTES} where duration_s < 10000) r using (destination))
-  select destination, case when hit then 'hit' when sum(case when hit then 0 else 1 end) over (order by pos rows unbounded preceding) <= 1 then 'evaluate' else 'deferred' end as status from p""")
-def lookup_plan(t: Tables) -> DataFrame:
-    wanted = t.job.select(F.explode(ranking.destinations(F.col("location"))).alias("destination")).distinct()
-    known = flagship.routes(t).where("duration_s < 10000").select("destination", F.lit(True).alias("known"))
-    rows = wanted.join(known, "destination", "left").select("destination", F.coalesce("known", F.lit(False)).alias("hit"), F.lit(0).alias("all"))
-    return state.within_budget(rows, "all", 1, F.col("destination")).select("destination", "status")
-
-
 @query("""with s as (select event_id % 300 as rec_id, max(event_id) as last from events group by 1), f as (select event_id, event_id % 300 as rec_id, event_type, value from events), n as (select f.* from f join s on f.event_id = s.last),
   o as (select event_id % 300 as rec_id, arg_max(event_type, event_id) as old_type from events where event_id < 5000 group by 1)
   select n.rec_id, n.event_type as rating, case when o.rec_id is null then 'new' when o.old_type = n.event_type then 'kept' else 'reset' end as outcome from n left join o using (rec_id)""")
@@ -790,34 +674,11 @@ def stale_embeddings(t: Tables) -> DataFrame:
     return now.join(old, "job_id", "left").where("old is null or old <> hash").select("job_id", F.when(F.col("old").isNull(), "missing").otherwise("stale").alias("why"))
 
 
-@query("select user_id as run_id, case when max(ts) < timestamp '2024-01-25' then 'failed' when bool_or(event_type = 'purchase') then 'finished' else 'running' end as status from events group by user_id")
-def run_reconcile(t: Tables) -> DataFrame:
-    late = F.max("ts") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
-    status = F.when(late, "failed").when(F.bool_or(F.col("event_type") == "purchase"), "finished").otherwise("running")
-    return t.events.groupBy(F.col("user_id").alias("run_id")).agg(status.alias("status"))
-
-
 @query("select event_type as kind, arg_max(event_id, (ts, event_id)) as last_run, max(ts) as started from events group by event_type")
 def latest_runs(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("kind")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_run"), F.max("ts").alias("started"))
 
 
-@query("select page_id, url, 'https://listings.example.org/id/' || page_id as repaired from pages where url like 'http://%' or url like '%spam%'")
-def url_repair(t: Tables) -> DataFrame:
-    broken = t.pages.where(F.col("url").startswith("http://") | F.contains("url", F.lit("spam")))
-    return broken.select("page_id", "url", F.concat(F.lit("https://listings.example.org/id/"), F.col("page_id").cast("string")).alias("repaired"))
-
-
-@query("select count(*) filter (where url like 'http://%') as plain, count(*) filter (where url not like 'http%') as odd, count(*) filter (where url like '%#%') as fragment from pages")
-def broken_urls(t: Tables) -> DataFrame:
-    return t.pages.agg(F.count_if(F.col("url").startswith("http://")).alias("plain"), F.count_if(~F.col("url").startswith("http")).alias("odd"), F.count_if(F.contains("url", F.lit("#"))).alias("fragment"))
-
-
-@query("select page_id, nullif(rtrim(regexp_replace(url, '[?#].*$', ''), '/'), '') as link from pages")
-def link_normalize(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.nullif(F.rtrim(F.regexp_replace("url", "[?#].*$", ""), F.lit("/")), F.lit("")).alias("link"))
-
-
 @query("select 'events' as tbl, count(*) filter (where ts < timestamp '2024-01-11') as old, count(*) as n from events union all select 'orders', count(*) filter (where o_orderdate < timestamp '1995-01-01'), count(*) from orders")
 def retention_report(t: Tables) -> DataFrame:
     def part(table: DataFrame, name: str, at: str, cut: str) -> DataFrame:
@@ -862,16 +723,6 @@ def learned_lists(t: Tables) -> DataFrame:
     return ranked.where("up <= 5 or down <= 3").select("profile_id", "employer", F.when(F.col("up") <= 5, "boost").otherwise("exclude").alias("list"))
 
 
-@query(f"""with x as (select j.job_id, r.profile_id, {_NORM.format("concat_ws(' ', j.title, j.employer)")} as txt from job j join rec r using (job_id)),
-  terms as (select unnest([0, 0, 1, 2]) as profile_id, unnest(['the', 'emp1', 'of the', 'emp2']) as term)
-  select x.job_id, x.profile_id, count(*) * 8 as penalty, string_agg(term, ',' order by term) as matches from x join terms t on t.profile_id = x.profile_id and contains(' ' || txt || ' ', ' ' || term || ' ') group by all""")
-def exclusion_penalty(t: Tables) -> DataFrame:
-    terms = t.spark.createDataFrame([(0, "the"), (0, "emp1"), (1, "of the"), (2, "emp2")], "profile_id long, term string")
-    rows = t.job.join(t.rec.select("job_id", "profile_id"), "job_id").select("job_id", "profile_id", T.normalized(F.concat_ws(" ", "title", "employer")).alias("txt"))
-    hits = rows.join(terms, "profile_id").where(T.has_phrase(F.col("txt"), F.col("term")))
-    return hits.groupBy("job_id", "profile_id").agg((F.count("*") * 8).alias("penalty"), F.array_join(F.array_sort(F.collect_list("term")), ",").alias("matches"))
-
-
 @query("""select o.k as job_id, string_agg(o.doc_id::varchar, ',' order by o.published_at desc, o.doc_id) as occurrences, count(*) as n from (select n_chars % 150 as k, doc_id, published_at from listing) o group by o.k""")
 def job_detail_nested(t: Tables) -> DataFrame:
     rows = t.listing.select((F.col("n_chars") % 150).alias("job_id"), "doc_id", "published_at")

@@ -79,21 +79,6 @@ def jsonld_normalize(t: Tables) -> DataFrame:
     return found.select("doc_id", get("$.title").alias("title"), get("$.hiringOrganization.name").alias("employer"))
 
 
-@query("""select event_id, (d + (case dayofweek(d) when 5 then 3 when 6 then 2 else 1 end)::int)::timestamp + to_hours(8) - to_hours(2) as leave from (select event_id, (ts + to_hours(2))::date as d from events where ts < timestamp '2024-03-25')""")
-def next_weekday_departure(t: Tables) -> DataFrame:
-    return _departures(t.events.where("ts < timestamp_ntz'2024-03-25 00:00:00'"))
-
-
-@query()
-def next_weekday_departure_all(t: Tables) -> DataFrame:
-    """Of all events, in summer time too."""
-    return _departures(t.events)
-
-
-def _departures(events: DataFrame) -> DataFrame:
-    return events.select("event_id", L.next_weekday_morning(F.col("ts")).cast("timestamp_ntz").alias("leave"))
-
-
 @query("""with p as (select doc_id, list_transform(regexp_extract_all(description, '[^.!?]+[.!?]'), lambda s: trim(s))[1:2] as s from listing), j as (select doc_id, array_to_string(s, ' ') as t from p)
   select doc_id, case when length(t) <= 120 then t else regexp_replace(substr(t, 1, 120), '\\s+\\S*$', '') || '.' end as short from j""")
 def sentence_prefix(t: Tables) -> DataFrame:

@@ -11,29 +11,6 @@ from .binding import Tables
 from .listings import _NORM, _any
 from .registry import query
 
-_EXTRA = "case n_chars % 4 when 0 then '. Kuorma tuli. Opettajan pätevyys vaaditaan' when 1 then '. Opettajan pätevyys katsotaan eduksi' else '' end"
-
-
-def _with_demands(t: Tables) -> DataFrame:
-    extra = F.when(F.col("n_chars") % 4 == 0, ". Kuorma tuli. Opettajan pätevyys vaaditaan").when(F.col("n_chars") % 4 == 1, ". Opettajan pätevyys katsotaan eduksi").otherwise("")
-    return t.job.withColumn("description", F.concat("description", extra))
-
-
-@query(f"""with x as (select job_id, lower(description || {_EXTRA}) as d from job), s as (select job_id, list_filter(string_split_regex(d, '[.!?\\n]'), lambda s: contains(s, 'opettajan pätevyys'))[1] as s from x)
-  select job_id, coalesce({_any('s', gates.SOFTENED)}, false) as softened from s""")
-def softened_requirement(t: Tables) -> DataFrame:
-    return _with_demands(t).select("job_id", gates.softened(F.col("description"), F.lit("opettajan pätevyys")).alias("softened"))
-
-
-@query("select job_id, 'teacher' as name, case when n_chars % 4 = 0 then case when lower(title) like 'the %' then 'caution' else 'reject' end else 'caution' end as verdict from job where n_chars % 4 in (0, 1)")
-def qualification_gate(t: Tables) -> DataFrame:
-    phrases = "name string, title_or_text array<string>, reject array<string>, adjacent array<string>"
-    checks = t.spark.createDataFrame([("teacher", ["hammaslääkäri"], ["opettajan pätevyys"], [])], phrases)
-    gated = gates.qualification_gate(_with_demands(t), checks)
-    # Titles that begin so count as an adjacent role here.
-    eased = t.job.where(F.lower("title").startswith("the ")).select("job_id", F.lit(True).alias("eased"))
-    rows = gated.join(eased, "job_id", "left")
-    return rows.select("job_id", "name", F.when(F.col("eased"), "caution").otherwise(F.col("verdict")).alias("verdict"))
 
 
 @query(f"""with m as (select doc_id as job_id, unnest(list_distinct(regexp_extract_all(replace(lower(title), 'ß', 'ss'), '[0-9a-zåäö]+'))) as term from documents join (select doc_id, title from listing) using (doc_id)),
@@ -55,35 +32,11 @@ def grounded_terms(t: Tables) -> DataFrame:
     return scoring.grounded(suggestions, t.listing.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "title", "employer").alias("text")))
 
 
-@query("""with v as (select event_id, ts, case event_id % 4 when 0 then strftime(ts, '%Y-%m-%d') when 1 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') when 2 then 'odd' end as s from events where ts < timestamp '2024-03-25')
-  select event_id, case event_id % 4 when 0 then date_trunc('day', ts)::timestamp - to_hours(2) when 1 then date_trunc('second', ts) end as at, event_id % 4 = 0 as date_only, event_id % 4 = 2 as malformed from v""")
-def date_coerce(t: Tables) -> DataFrame:
-    return _coerced(t.events.where("ts < timestamp_ntz'2024-03-25 00:00:00'"))
-
-
-@query()
-def date_coerce_all(t: Tables) -> DataFrame:
-    """Of all events, in summer time too."""
-    return _coerced(t.events)
-
-
-def _coerced(events: DataFrame) -> DataFrame:
-    kind = F.col("event_id") % 4
-    text = F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd")).when(kind == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == 2, "odd")
-    rows = events.select("event_id", L.utc(text).alias("d"))
-    return rows.select("event_id", F.col("d.at").cast("timestamp_ntz").alias("at"), "d.date_only", "d.malformed")
-
-
 @query("select doc_id, array_to_string(list_transform(string_split(title, ' '), lambda w: case when regexp_matches(regexp_replace(w, '[^\\p{L}''-]+', '', 'g'), '^[A-ZÅÄÖ][a-zåäö]+$') and lower(regexp_replace(w, '[^\\p{L}''-]+', '', 'g')) not in ('the', 'and', 'of') then '[name]' else w end), ' ') as clean from listing")
 def comment_sanitize(t: Tables) -> DataFrame:
     return t.listing.select("doc_id", L.without_names(F.col("title"), F.array(F.lit("the"), F.lit("and"), F.lit("of"))).alias("clean"))
 
 
-@query("select event_id, case when json_extract_string(props, '$.k') is not null then 1 else 0 end as n, json_extract_string(props, '$.k') as k from events where event_id % 5 = 0")
-def key_allowlist(t: Tables) -> DataFrame:
-    return _allowed(t.events.where("event_id % 5 = 0"))
-
-
 @query("select event_id, case when json_extract_string(props, '$.k') is not null then 1 else 0 end as n, json_extract_string(props, '$.k') as k from events")
 def key_allowlist_all(t: Tables) -> DataFrame:
     return _allowed(t.events)
@@ -108,10 +61,3 @@ def excerpt_coverage(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count_if(T.has_any(F.lower("s"), ["the ", "und "])).alias("decisive"), F.count_if(F.length(F.trim("s")) > 0).alias("sentences"))
 
 
-@query("""with e as (select rec_id, hard_rejected, sha256(concat_ws('|', cast(machine_score as varchar), action)) as stored, sha256(concat_ws('|', cast(case when rec_id % 9 = 0 then machine_score + 1 else machine_score end as varchar), action)) as expected from rec)
-  select rec_id, not hard_rejected and stored = expected as compatible, case when hard_rejected then 'hard_reject' when stored <> expected then 'changed' end as reason from e""")
-def reconcile_publication(t: Tables) -> DataFrame:
-    again = F.when(F.col("rec_id") % 9 == 0, F.col("machine_score") + 1).otherwise(F.col("machine_score"))
-    rows = t.rec.select("rec_id", "hard_rejected", L.identity(F.col("machine_score"), F.col("action")).alias("stored"), L.identity(again, F.col("action")).alias("expected"))
-    reason = F.when(F.col("hard_rejected"), "hard_reject").when(F.col("stored") != F.col("expected"), "changed")
-    return rows.select("rec_id", reason.isNull().alias("compatible"), reason.alias("reason"))

@@ -84,6 +84,32 @@ def deadline(payload: Column, keys: tuple[str, ...] = ("expires_at", "deadline",
     return F.coalesce(*(read(k) for k in keys))
 
 
-def content_hash(*fields: Column) -> Column:
-    """sha256 over fields in a fixed order."""
-    return F.sha2(F.concat_ws("|", *fields), 256)
+def entities_decoded(text: Column) -> Column:
+    """The common character references as characters, the ampersand last."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def rendered_listings(rows: DataFrame, regions: DataFrame, part: str = "avoimet-tyopaikat") -> DataFrame:
+    """(doc_id, title, employer, location) of rendered pages (doc_id, title, link, regions, city, mode).
+
+    Titles lose tags and references; the employer is the slug behind ``part`` in the link; the location is the city,
+    else the names of the first three region ids that have one (``Suomi`` for ten and more, and for none), with the
+    work mode behind it. regions: region, name; one row per region, so that it may be broadcast."""
+    from ..functions import listing as L
+
+    known = regions.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("region", "name"))).alias("_names"))
+    title = F.trim(entities_decoded(F.trim(F.regexp_replace("title", "<[^>]+>", " "))))
+    employer = L.name_from_slug(F.nullif(F.regexp_extract("link", rf"/{part}/([^/?#]+)", 1), F.lit("")))
+    named = F.array_compact(F.transform("regions", lambda x: F.try_element_at("_names", x)))
+    placed = F.when(F.size(named) >= 10, "Suomi").otherwise(F.nullif(F.array_join(F.array_distinct(F.slice(named, 1, 3)), ", "), F.lit("")))
+    location = F.coalesce("city", placed, F.lit("Suomi"))
+    return rows.crossJoin(F.broadcast(known)).select("doc_id", title.alias("title"), employer.alias("employer"), T.with_work_mode(location, F.col("mode")).alias("location"))
+
+
+def content_hash(**fields: Column) -> Column:
+    """sha256 of the JSON object of fields in the order of their names; nulls count."""
+    from ..functions import listing as L
+
+    return L.identity(**fields)

@@ -38,7 +38,7 @@ def test_city(spark):
     assert one(spark, T.city_of(F.col("t")), t="Vaasassa tai Turku") == "Turku"
 
 
-@pytest.mark.parametrize("days, reason", [(30, "fresh"), (31, "too_old"), (-1, "future_date")])
+@pytest.mark.parametrize("days, reason", [(30, "fresh"), (31, "too_old"), (-1, "future_publication_date")])
 def test_freshness(spark, days, reason):
     as_of = F.lit("2024-06-30 00:00:00").cast("timestamp_ntz")
     row = spark.range(1).select((as_of - F.expr(f"make_dt_interval({days})")).alias("published_at"), F.lit(None).cast("timestamp_ntz").alias("expires_at"))
