@@ -6,6 +6,13 @@ with their log-odds; all others with the small negative log-odds that is left fo
 time finds all maximal segments of a text. The score of a segment in n tokens of clean text follows an
 extreme-value law; with it, segments are made comparable between short and long texts, and the excess of
 all significant ones is calibrated to a probability on labelled documents that were not counted.
+
+The law has two parameters. Its scale needs no fit: scores are natural log-odds of two distributions, of the clear
+words and of all others as one class, and for such scores it is 1 (the sum of p(clean) * exp(score) over the
+classes is 1). A fit by moments was tried on the driver's labels at sf0.1: it found 0.19, drawn to clean texts
+with a toxic word, and held-out precision and recall fell from 1.00 and 0.85 to 0.87 and 0.73. Own negative
+log-odds for each of the other words made 0.61 and 0.29 of them, as rare words of clean texts outweigh short toxic
+passages. The other parameter, log_k, is fitted to clean documents.
 """
 
 from __future__ import annotations

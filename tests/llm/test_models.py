@@ -1,11 +1,13 @@
 """Language, language model, toxicity and secrets: held-out quality, brute force and edge cases."""
 
 import collections
+import itertools
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, lm_score, registry, secrets, toxicity
@@ -33,6 +35,54 @@ def test_language_spans_and_edges(docs):
     assert {r.lang_pred for r in langid.predict(docs([(1, "a b", None)]), F.lit(False)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text", ["\U0001f600 \U0001f600", "\u0661\u0662\u0663", "\u0967\u0968", "\u06d4", "\u061f", "\u055b", "12 ... 3", "\u2014 \u20ac", "\u0300", "\u00b7\u00d7"])
+def test_no_letter_no_language(docs, text):
+    model = langid.train(docs([(1, "the house of the king", "en"), (2, "der hund und die katze", "de")]))
+    got = langid.identify(docs([(1, text), (2, text + " \u03a9"), (3, text + " \U00010400")]), model).collect()
+    assert {r.doc_id: (r.lang_pred == "und", r.score == 0) for r in got} == {1: (True, True), 2: (False, False), 3: (False, False)}
+
+
+def test_language_tables_by_hand(docs):
+    """Every count of the tables, and what a document's label and score are made of, from loops over single words."""
+    texts = [("the house of the king was here", "en"), ("der hund und die katze", "de"), ("le chat et la maison", "fr"), ("the cat is with the king", "en")]
+    model = langid.train(docs([(k, t, x) for k, (t, x) in enumerate(texts)]))
+    assert model.languages == ["de", "en", "fr"]
+    tri, whole = collections.Counter(), collections.Counter()
+    for text, lang in texts:
+        for word in text.split():
+            t, _, b, _ = langid._features(langid.words(pa.array([word]), langid.PUNCTUATION))
+            tri.update((int(x), lang) for x in t)
+            whole[int(b[0]), lang] += 1
+    for counts, table, size, add in ((tri, model.trigrams, langid.TRIGRAMS, 0.05), (whole, model.words, langid.WORDS, 0.02)):
+        total = {x: sum(n for (_, y), n in counts.items() if x == y) + add * size for x in model.languages}
+        for f in {f for f, _ in counts} | {1, 77}:
+            want = [math.log((counts[f, x] + add) / total[x]) for x in model.languages]
+            assert np.allclose(table.rows[f], want, atol=1e-4)
+    for text in ("the katze of le chat", "maison katze", "king", "der the la"):
+        scores, size = langid.word_scores(model, langid.words(pa.array([text]), langid.PUNCTUATION))
+        value = lambda p: sum(float(scores[k, x]) for k, x in enumerate(p)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        best = max(itertools.product(range(3), repeat=len(size)), key=value)
+        held = [sum(int(n) for n, x in zip(size, best, strict=True) if x == k) for k in range(3)]
+        top = held.index(max(held))
+        sure = 1 / sum(math.exp(float(scores[:, k].sum() - scores[:, top].sum())) for k in range(3))
+        r = langid.identify(docs([(1, text)]), model).first()
+        assert r.lang_pred == model.languages[top] and math.isclose(r.score, held[top] / sum(held) * sure, rel_tol=1e-4)
+        assert [s.lang for s in r.spans] == [model.languages[k] for k, _ in itertools.groupby(best)]
+
+
+def test_equal_totals_go_to_the_first_by_name(docs):
+    model = langid.train(docs([(1, "aaa aaa", "xx"), (2, "bbb bbb", "aa")]))
+    got = langid.identify(docs([(1, "aaa aaa aaa bbb bbb bbb")]), model).first()
+    assert got.lang_pred == "aa" and len(got.spans) == 2
+
+
+def test_repeated_and_long_texts(docs):
+    model = langid.train(docs([(1, "the house of the king", "en"), (2, "der hund und die katze", "de")]))
+    long = "der hund und die katze " * 60_000
+    got = langid.identify(docs([(1, long), (1, long), (2, "the king")]), model).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in got) == [(1, "de"), (1, "de"), (2, "en")]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     for _ in range(50):
@@ -140,7 +190,7 @@ def test_toxicity_edges(spark, docs):
 def test_secrets_held_out():
     found = secrets.drawn_findings(3000)
     model = secrets.train(found[:2000])
-    p = model.probability(np.array([secrets.features(*f[:4]) for f in found[2000:]]))
+    p = model.trees.probability(np.array([secrets.features(*f[:4], model.words, model.near) for f in found[2000:]]))
     assert np.mean((p >= 0.5) == [f[4] for f in found[2000:]]) > 0.97
 
 
@@ -154,6 +204,57 @@ def test_secrets_in_texts(docs):
     assert all(got[k].n_secrets == 0 for k in (2, 3, None, 4, 5)) and got[5].masked is None
 
 
+def test_planted_secrets_are_found(spark):
+    """Keys in the driver's documents: named by a cue in front of 40 hexadecimal digits."""
+    import re
+
+    got = secrets.scan(spark.read.parquet(f"{SF}/documents.parquet"), keep=["text"]).collect()
+    planted = found = 0
+    for r in got:
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "", re.I):
+            planted += 1
+            found += any(s.begin <= m.start(1) and m.end(1) <= s.end for s in r.secrets)
+    assert planted > 8 and found >= 0.9 * planted
+    assert sum(r.n_secrets for r in got) <= 1.2 * planted + 2
+
+
+def test_passwords(docs):
+    model = secrets.train()
+    mask = lambda t: secrets.masked(t, secrets.found_in(t, model))
+    assert mask("password: hunter2secret! then") == "password: [assigned] then"
+    assert mask("postgres://user:S3cr3tX9@host/db") == "postgres://[url_password]@host/db"
+    for calm in ("password: required here", "see https://example.com/a@b", "token = your_token_here12", "the password: something", "sha256: 9fceb02d0ae598e95dc970b74767f19372d61af8"):
+        assert mask(calm) == calm
+
+
+def test_dictionary_by_hand(docs):
+    rows = [(1, "Alpha beta alpha BETA gamma"), (2, "alpha beta, of of of"), (3, None), (4, "\u00c4pfel \u00e4pfel \u00c4PFEL beta")]
+    assert secrets.learn_words(docs(rows)) == {"alpha", "beta", "\u00e4pfel"}
+    assert secrets.learn_words(docs(rows), 1) == {"beta"}
+    words = frozenset({"alpha", "beta", "alphabet"})
+    cover = lambda v: max((sum(map(len, cut)) for cut in cuts(v)), default=0)
+
+    def cuts(v):
+        # The longest word first from the left is what counts.
+        at, out = 0, []
+        while at < len(v):
+            w = next((x for x in sorted(words, key=len, reverse=True) if v.startswith(x, at)), None)
+            out += [w] if w else []
+            at += len(w) if w else 1
+        return [out]
+
+    for v in ("alphabeta", "xalphabetxbeta", "alpbet", "", "betabeta", "zzzz"):
+        assert secrets.worded(v, words) == cover(v)
+    assert secrets.worded("Alpha9BETA-zz", words) == 9
+
+
+def test_no_texts_for_models(docs, spark):
+    none = docs([(1, "a")]).where("doc_id > 1")
+    assert secrets.scan(none).collect() == [] and secrets.learn_words(none) == frozenset()
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score_documents(none, toxicity.train(none, labels, F.lit(True))).collect() == []
+
+
 def test_long_secrets_are_masked_whole(docs):
     rng = np.random.default_rng(3)
     wide = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")

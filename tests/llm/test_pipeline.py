@@ -18,7 +18,7 @@ def test_stages_follow_each_other(spark):
     assert {r.doc_id for r in single.collect()} == want
     clean = spark.createDataFrame(P.secret_scan(spark, single, SF).toPandas(), docs.schema)
     before = {r.doc_id: r.text for r in single.collect()}
-    model = secrets.default_model()
+    model = secrets.train(words=secrets.learn_words(single))
     for r in clean.collect():
         found = secrets.found_in(before[r.doc_id], model)
         assert r.text == secrets.masked(before[r.doc_id], found) and r.n_chars == len(r.text)
