@@ -40,9 +40,18 @@ def first_sentences(text: Column, most: int, chars: int) -> Column:
 
 
 def precision(location: Column) -> Column:
-    """0 for nothing, 1 for the whole country, 2 for a place, 3 for a place with a work mode."""
-    low = F.lower(F.trim(F.coalesce(location, F.lit(""))))
-    return F.when(low == "", 0).when(low.isin("suomi", "finland"), 1).when(F.contains(low, F.lit(" / ")), 3).otherwise(2)
+    """0 for nothing, 1 for the whole country or remote work alone, 2 for a region, 3 for a place."""
+    region = F.rlike(location, F.lit("|".join(fixed.REGION_MARKS)))
+    return F.when(F.coalesce(location, F.lit("")) == "", 0).when(location.isin("Suomi", "Etä"), 1).when(region, 2).otherwise(3)
+
+
+def chosen_location(current: Column, candidate: Column) -> Column:
+    """The candidate if it is at least as precise."""
+    return F.when(precision(candidate) >= precision(current), candidate).otherwise(current)
+
+
+def is_short(description: Column, threshold: int) -> Column:
+    return F.length(F.trim(F.coalesce(description, F.lit("")))) < threshold
 
 
 def identity(**fields: Column) -> Column:

@@ -94,10 +94,14 @@ def city_of(text: Column) -> Column:
     return F.coalesce(alias, city)
 
 
-def without_personal_data(text: Column) -> Column:
-    """E-mail addresses and phone numbers replaced."""
+def without_personal_data(text: Column, secrets: list[str] | None = None) -> Column:
+    """E-mail addresses, phone numbers and known secrets of four characters and more replaced."""
     mail = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    return F.regexp_replace(mail, r"\+?[0-9][0-9 ()-]{6,}[0-9]", "[phone]")
+    out = F.regexp_replace(mail, r"\+?[0-9][0-9 ()-]{6,}[0-9]", "[phone]")
+    for secret in secrets or []:
+        if len(secret) >= 4:
+            out = F.replace(out, F.lit(secret), F.lit("[secret]"))
+    return out
 
 
 def formatted_duration(seconds: Column) -> Column:

@@ -98,3 +98,138 @@ def repaired_links(rows: DataFrame, families: DataFrame) -> DataFrame:
     out = rows.join(F.broadcast(families), "source", "left")
     broken = F.expr("url like like_ and not (url like unlike)")
     return out.select(*rows.columns, F.when(broken, F.concat("prefix", "external_id")).alias("repaired"))
+
+
+def page_prefix(pages: DataFrame, full: int, max_pages: int | None = None, max_results: int | None = None) -> DataFrame:
+    """The pages (source_id, page from 1 on, n, last) that a capped fetch reads: up to the first empty page, not with it;
+    up to the first with fewer than ``full`` rows or the flag ``last``, and with it; at most ``max_pages``; and no
+    further page once ``max_results`` rows are there."""
+    per = Window.partitionBy("source_id")
+    before = per.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    rows = pages.withColumns({
+        "_empty": F.min(F.when(F.col("n") == 0, F.col("page"))).over(per), "_end": F.min(F.when((F.col("n") < full) | F.col("last"), F.col("page"))).over(per), "_had": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    keep = (F.col("_empty").isNull() | (F.col("page") < F.col("_empty"))) & (F.col("_end").isNull() | (F.col("page") <= F.col("_end")))
+    if max_pages is not None:
+        keep = keep & (F.col("page") <= max_pages)
+    if max_results is not None:
+        keep = keep & (F.col("_had") < max_results)
+    return rows.where(keep).select(*pages.columns)
+
+
+def fetch_outcomes(pages: DataFrame) -> DataFrame:
+    """(source_id, outcome, warnings) of fetches from their pages (source_id, status, warning, watermark): ``partial`` with
+    any page that failed (status 400 and above), else ``delta`` from a watermark on, else ``full_snapshot``; warnings
+    sorted, each once. Only the last may remove listings."""
+    outcome = F.when(F.bool_or(F.col("status") >= 400), "partial").when(F.bool_or(F.col("watermark").isNotNull()), "delta").otherwise("full_snapshot")
+    return pages.groupBy("source_id").agg(outcome.alias("outcome"), F.array_sort(F.collect_set("warning")).alias("warnings"))
+
+
+def search_union(base: DataFrame, searches: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of base pages and of searches, one per key: a later search replaces an earlier one and any page."""
+    from .state import latest
+
+    both = base.withColumn("_search", F.lit(0)).unionByName(searches.withColumn("_search", F.lit(1)))
+    return latest(both, [key], "_search", order).drop("_search")
+
+
+def candidate_pool(pools: list[DataFrame], caps: list[int | None], *order: Column) -> DataFrame:
+    """(job_id, pool) of pools of jobs in order, each cut to its cap in the given order of its rows; a job counts in the
+    first pool that has it. Caps are parameters of the match, as in a top-k report; None takes a pool whole."""
+    parts = [(p if cap is None else p.orderBy(*order).limit(cap)).select("job_id", F.lit(k).alias("pool")) for k, (p, cap) in enumerate(zip(pools, caps, strict=True))]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("job_id").agg(F.min("pool").alias("pool"))
+
+
+def recommendation_upsert(new: DataFrame, old: DataFrame, feedback: DataFrame, activate: bool = True) -> DataFrame:
+    """The table of recommendations after a match, with ``outcome``: inserted, updated or left.
+
+    new: profile_id, job_id, score, rank, rationale; old: the same with active, evaluation_id. Ranks of rows that
+    feedback (job_id, profile_id, rating, action) hides, by a rating of 1 or as not relevant, are null, and such rows
+    are inactive; a rationale that came from a review stays; rows of old alone stay as they are."""
+    hidden = feedback.where("rating <= 1 or action = 'not_relevant'").select("profile_id", "job_id", F.lit(True).alias("_hidden")).distinct()
+    a = new.select("profile_id", "job_id", F.struct("score", "rank", "rationale").alias("n"))
+    b = old.select("profile_id", "job_id", F.struct("score", "rank", "rationale", "active", "evaluation_id").alias("o"))
+    rows = a.join(b, ["profile_id", "job_id"], "full").join(hidden, ["profile_id", "job_id"], "left")
+    fresh, known, masked = F.col("n").isNotNull(), F.col("o").isNotNull(), F.coalesce("_hidden", F.lit(False))
+    rank = F.when(~fresh, F.col("o.rank")).when(known & masked, F.lit(None)).otherwise(F.col("n.rank"))
+    active = F.when(~fresh, F.col("o.active")).when(~known, F.lit(activate)).when(F.lit(activate), ~masked).otherwise(F.col("o.active"))
+    rationale = F.when(~fresh | F.col("o.evaluation_id").isNotNull(), F.col("o.rationale")).otherwise(F.col("n.rationale"))
+    outcome = F.when(~fresh, "left").when(known, "updated").otherwise("inserted")
+    return rows.select("profile_id", "job_id", F.when(fresh, F.col("n.score")).otherwise(F.col("o.score")).alias("score"), rank.alias("rank"), rationale.alias("rationale"), active.alias("active"), outcome.alias("outcome"))
+
+
+def feedback_upsert(given: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored feedback (key, rating, applied, comment, status, snapshot) after submissions (key, at, rating, applied,
+    comment, snapshot), of which the last of a key counts, with ``outcome``: new, kept or reset.
+
+    The same input, nulls equal to nulls, keeps row and snapshot, but an analysis that failed or was skipped waits again;
+    other input takes the new snapshot and waits for a new analysis."""
+    from .state import latest
+
+    own = stored.select("key", F.struct("rating", "applied", "comment", "status", "snapshot").alias("o"))
+    rows = latest(given, ["key"], "at").join(own, "key", "full")
+    left, same = F.col("at").isNull(), F.col("o").isNotNull()
+    for c in ("rating", "applied", "comment"):
+        same = same & F.col(c).eqNullSafe(F.col(f"o.{c}"))
+    pick = lambda c, cond: F.when(cond, F.col(f"o.{c}")).otherwise(F.col(c))
+    status = F.when(left, F.col("o.status")).when(same, F.when(F.col("o.status").isin("failed", "skipped"), "pending").otherwise(F.col("o.status"))).otherwise("pending")
+    outcome = F.when(left, "left").when(F.col("o").isNull(), "new").when(same, "kept").otherwise("reset")
+    return rows.select("key", *(pick(c, left).alias(c) for c in ("rating", "applied", "comment")), pick("snapshot", left | same).alias("snapshot"), status.alias("status"), outcome.alias("outcome"))
+
+
+def centroid_table(old: DataFrame, new: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """The table of centroids after new ones (key, n, centroid) of a run over all vectors: those of ``least`` vectors and
+    more replace what is there, all other keys go; with ``change``: inserted, updated or deleted."""
+    rows = old.select(key, F.lit(True).alias("_old")).join(new.where(F.col("n") >= least), key, "full")
+    change = F.when(F.col("n").isNull(), "deleted").when(F.col("_old"), "updated").otherwise("inserted")
+    return rows.select(key, "n", "centroid", change.alias("change"))
+
+
+def relinked(occurrences: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (occurrence, job_id) after moves (occurrence, to), and jobs (job_id) that are superseded: those that an
+    occurrence was moved away from and that have none left."""
+    rows = occurrences.join(moves, "occurrence", "left").withColumn("_moved", F.col("to").isNotNull() & (F.col("to") != F.col("job_id")))
+    after = rows.select("occurrence", F.coalesce("to", "job_id").alias("job_id"))
+    gone = rows.where("_moved").select("job_id").distinct().join(after.select("job_id").distinct(), "job_id", "left_anti")
+    return after, gone
+
+
+def enrichment_candidates(jobs: DataFrame, done: DataFrame, queued: DataFrame, threshold: int) -> DataFrame:
+    """jobs (job_id, enricher, description, hash) with a short description, blank or below ``threshold`` characters, that
+    were neither enriched nor queued with the same input. done, queued: job_id, enricher, hash."""
+    short = jobs.where(F.length(F.trim(F.coalesce("description", F.lit("")))) < threshold)
+    return short.join(done, ["job_id", "enricher", "hash"], "left_anti").join(queued, ["job_id", "enricher", "hash"], "left_anti")
+
+
+def feedback_benchmark(rows: DataFrame, *by: str) -> DataFrame:
+    """Measures of feedback (rating, applied, rank, lanes, anti, exclusion_matches): labels, recall of the liked among the
+    first 30, share of the disliked among the rated of these, shares of the liked that came by exploration and by
+    learned discovery, rows that the feedback filter would skip. Shares of nothing are null."""
+    liked = (F.col("rating") >= 4) | F.col("applied")
+    disliked = ~liked & (F.col("rating") <= 2)
+    first = F.coalesce(F.col("rank") <= 30, F.lit(False))
+    lane = lambda *names: F.coalesce(F.arrays_overlap("lanes", F.array(*map(F.lit, names))), F.lit(False))
+    skipped = F.coalesce((F.col("anti") >= 0.75) & (F.size("exclusion_matches") > 0), F.lit(False))
+    share = lambda part, whole: F.round(F.try_divide(F.count_if(part), F.count_if(whole)), 3)
+    return rows.groupBy(*by).agg(
+        F.count_if(liked).alias("positive"), F.count_if(disliked).alias("negative"), F.count_if(first).alias("rated_30"), share(liked & first, liked).alias("recall_30"), share(disliked & first, first).alias("negative_30"),
+        share(liked & lane("exploration"), liked).alias("exploration"), share(liked & lane("learned_discovery", "feedback_discovery"), liked).alias("learned_discovery"), F.count_if(skipped).alias("skips"))
+
+
+def profile_state(imported: DataFrame, stored: DataFrame, reset: bool = False) -> DataFrame:
+    """Profiles (profile_id, learned, boosts as maps) after an import: what was learned survives, key by key, unless the
+    import has the key; boosts survive unless the import has any; nothing does with ``reset``."""
+    rows = imported.join(stored.select("profile_id", F.col("learned").alias("_l"), F.col("boosts").alias("_b")), "profile_id", "left")
+    if reset:
+        return rows.select("profile_id", "learned", "boosts")
+    kept = F.map_filter("_l", lambda k, v: ~F.array_contains(F.map_keys("learned"), k))
+    learned = F.when(F.col("_l").isNull(), F.col("learned")).when(F.col("learned").isNull(), F.col("_l")).otherwise(F.map_concat("learned", kept))
+    return rows.select("profile_id", learned.alias("learned"), F.coalesce("boosts", "_b").alias("boosts"))
+
+
+def due(rows: DataFrame, now: Column, most: int) -> DataFrame:
+    """Rows (status, next_at, attempts) to be tried: waiting for a retry, tried fewer than ``most`` times, without a next
+    time or with one that has come."""
+    return rows.where((F.col("status") == "retry") & (F.col("attempts") < most) & (F.col("next_at").isNull() | (F.col("next_at") <= now)))

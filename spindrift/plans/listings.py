@@ -54,24 +54,6 @@ def two_pass_union(t: Tables) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by("title", F.struct("pass", "pos")).alias("title"), F.max("published_at").alias("newest"))
 
 
-@query("""with pages as (select source_id, doc_id // 100 as page, count(*) as n from listing group by all),
-  stop as (select source_id, min(page) as stop_page from pages where n < 5 group by source_id)
-  select p.source_id, p.page, p.n from pages p left join stop s using (source_id) where s.stop_page is null or p.page <= s.stop_page""")
-def page_prefix(t: Tables) -> DataFrame:
-    pages = t.listing.groupBy("source_id", F.expr("doc_id div 100").alias("page")).agg(F.count("*").alias("n"))
-    stop = F.min(F.when(F.col("n") < 5, F.col("page"))).over(Window.partitionBy("source_id"))
-    return pages.withColumn("stop", stop).where("stop is null or page <= stop").drop("stop")
-
-
-@query("""select user_id as source_id, case when bool_or(event_type = 'error') then 'partial' when bool_or(event_type = 'signup') then 'full_snapshot' else 'delta' end as outcome,
-  array_to_string(list_sort(list_distinct(list(event_type) filter (where event_type in ('error', 'view')))), ',') as warnings from events group by user_id""")
-def fetch_outcome(t: Tables) -> DataFrame:
-    kind = F.col("event_type")
-    outcome = F.when(F.bool_or(kind == "error"), "partial").when(F.bool_or(kind == "signup"), "full_snapshot").otherwise("delta")
-    warnings = F.array_sort(F.collect_set(F.when(kind.isin("error", "view"), kind)))
-    return t.events.groupBy(F.col("user_id").alias("source_id")).agg(outcome.alias("outcome"), F.nullif(F.array_join(warnings, ","), F.lit("")).alias("warnings"))
-
-
 @query("""select coalesce(o.source_name, n.source_name) as source_name, o.source_name is not null as known, coalesce(n.enabled, false) as enabled
   from (select source_name from source_dim where source_id % 3 <> 0) o full join (select source_name, enabled from source_dim where source_id % 4 <> 0) n on o.source_name = n.source_name""")
 def source_dim(t: Tables) -> DataFrame:
@@ -148,11 +130,6 @@ def infer_city(t: Tables) -> DataFrame:
     return t.listing.select("doc_id", T.city_of(F.col("location")).alias("city"))
 
 
-@query("""select doc_id, md5(regexp_replace(regexp_replace(description, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g')) as clean from listing""")
-def pii_redact(t: Tables) -> DataFrame:
-    return t.listing.select("doc_id", F.md5(T.without_personal_data(F.col("description"))).alias("clean"))
-
-
 @query("select page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) as text from pages")
 def html_strip(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(T.without_markup(F.col("html"))).alias("text"))
@@ -304,14 +281,6 @@ def semantic_topk(t: Tables) -> DataFrame:
     return t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", sim.alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(25)
 
 
-@query("""with c as (select label, unnest(range(64)) as i, unnest(embedding)::double as x from embeddings), m as (select label, i, avg(x) as x, count(*) as n from c group by all)
-  select label, max(n) as n, round(sum(x), 4) as total, round(sum(x * i), 4) as moment from m group by label having max(n) >= 3""")
-def centroids(t: Tables) -> DataFrame:
-    made = scoring.centroids(t.embeddings, "label")
-    cells = made.select("label", "n", F.posexplode("centroid").alias("i", "x"))
-    return cells.groupBy("label").agg(F.max("n").alias("n"), F.round(F.sum("x"), 4).alias("total"), F.round(F.sum(F.col("x") * F.col("i")), 4).alias("moment"))
-
-
 @query("select job_id from job where job_id not in (select vec_id from embeddings)")
 def missing_vectors(t: Tables) -> DataFrame:
     return t.job.join(t.embeddings.select(F.col("vec_id").alias("job_id")), "job_id", "left_anti").select("job_id")
@@ -422,15 +391,6 @@ def labelled_metrics(t: Tables) -> DataFrame:
     return long.groupBy("stratum", "stage").agg(positives.alias("positives"), found.alias("found"), F.round(F.try_divide(found, positives), 3).alias("recall"))
 
 
-@query("""select profile_id, round(count(*) filter (where rating >= 4 and rank <= 30) * 1.0 / nullif(count(*) filter (where rating >= 4), 0), 3) as recall_30, round(count(*) filter (where rating <= 2 and rank <= 30) * 1.0 / nullif(count(*) filter (where rank <= 30), 0), 3) as negative_30
-  from (select profile_id, rating, row_number() over (partition by profile_id order by created_at, feedback_id) as rank from feedback) group by profile_id""")
-def feedback_benchmark(t: Tables) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("profile_id").orderBy("created_at", "feedback_id"))
-    rows = t.feedback.withColumn("rank", rank)
-    good, top = F.col("rating") >= 4, F.col("rank") <= 30
-    return rows.groupBy("profile_id").agg(F.round(F.try_divide(F.count_if(good & top), F.count_if(good)), 3).alias("recall_30"), F.round(F.try_divide(F.count_if((F.col("rating") <= 2) & top), F.count_if(top)), 3).alias("negative_30"))
-
-
 @query("select rec_id, sum(case when commutable then 1 else 0 end) over (partition by profile_id order by machine_score desc, rec_id rows unbounded preceding)::bigint as place from rec where commutable")
 def running_ranks(t: Tables) -> DataFrame:
     along = Window.partitionBy("profile_id").orderBy(F.desc("machine_score"), "rec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -511,15 +471,6 @@ def catalog_page(t: Tables) -> DataFrame:
     return t.job.orderBy(F.desc_nulls_last("published_at"), "job_id").offset(50).limit(25).select("job_id", "title")
 
 
-@query("""with recent as (select job_id, 0 as pool from (select job_id from job order by published_at desc nulls last, job_id limit 200)), near as (select job_id, 1 from job where location like '%Oulu%'), far as (select job_id, 2 from job where location like '%Etä%')
-  select job_id, cast(min(pool) as int) as pool from (select * from recent union all select * from near union all select * from far) group by job_id""")
-def candidate_pool(t: Tables) -> DataFrame:
-    recent = t.job.orderBy(F.desc_nulls_last("published_at"), "job_id").limit(200).select("job_id", F.lit(0).alias("pool"))
-    near = t.job.where(F.contains("location", F.lit("Oulu"))).select("job_id", F.lit(1).alias("pool"))
-    far = t.job.where(F.contains("location", F.lit("Etä"))).select("job_id", F.lit(2).alias("pool"))
-    return recent.unionByName(near).unionByName(far).groupBy("job_id").agg(F.min("pool").alias("pool"))
-
-
 @query("select job_id, lang as stratum from (select job_id, lang, row_number() over (partition by lang order by md5(concat(job_id, 'seed-1'))) as r from job) where r <= 5")
 def seeded_sample(t: Tables) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.concat(F.col("job_id").cast("string"), F.lit("seed-1")))))
@@ -596,13 +547,6 @@ def description_precedence(t: Tables) -> DataFrame:
     return rows.groupBy("job_id").agg(F.min_by("doc_id", order).alias("kept"), F.count("*").alias("n"))
 
 
-@query("""select j.job_id from job j where length(description) < 1500 and not exists (select 1 from feedback f where f.job_id = j.job_id and f.rating = 5) and not exists (select 1 from rec r where r.job_id = j.job_id and r.action = 'skip')""")
-def enrich_candidates(t: Tables) -> DataFrame:
-    done = t.feedback.where("rating = 5").select("job_id")
-    queued = t.rec.where("action = 'skip'").select("job_id")
-    return t.job.where(F.length("description") < 1500).join(done, "job_id", "left_anti").join(queued, "job_id", "left_anti").select("job_id")
-
-
 @query("""with q as (select event_id as id, case event_type when 'error' then 'running' when 'view' then 'pending' else 'retry' end as status, event_id % 5 as attempts, ts, user_id % 9 = 0 as inactive from events)
   select id, case when inactive then 'cancelled' when status = 'running' and ts < timestamp '2024-01-10' then 'pending' when status = 'retry' and attempts >= 3 then 'failed' else status end as status from q""")
 def queue_transitions(t: Tables) -> DataFrame:
@@ -627,11 +571,6 @@ def queue_claim(t: Tables) -> DataFrame:
     return due.withColumn("r", place).where("r <= 2").select("event_id")
 
 
-@query("select event_id from events where value is null or ts <= timestamp '2024-01-15'")
-def due_items(t: Tables) -> DataFrame:
-    return t.events.where("value is null or ts <= timestamp_ntz'2024-01-15 00:00:00'").select("event_id")
-
-
 @query("""with plan as (select r.rec_id, r.profile_id, r.review_score is not null as hit, row_number() over (partition by r.profile_id order by r.machine_score desc, r.rec_id) as pos from rec r),
   n as (select *, sum(case when hit then 0 else 1 end) over (partition by profile_id order by pos rows unbounded preceding) as needed from plan) select rec_id, case when hit then 'hit' when needed <= 20 then 'evaluate' else 'deferred' end as status from n""")
 def review_plan(t: Tables) -> DataFrame:
@@ -639,17 +578,6 @@ def review_plan(t: Tables) -> DataFrame:
     return state.within_budget(rows, "profile_id", 20, F.desc("machine_score"), F.col("rec_id")).select("rec_id", "status")
 
 
-@query("""with s as (select event_id % 300 as rec_id, max(event_id) as last from events group by 1), f as (select event_id, event_id % 300 as rec_id, event_type, value from events), n as (select f.* from f join s on f.event_id = s.last),
-  o as (select event_id % 300 as rec_id, arg_max(event_type, event_id) as old_type from events where event_id < 5000 group by 1)
-  select n.rec_id, n.event_type as rating, case when o.rec_id is null then 'new' when o.old_type = n.event_type then 'kept' else 'reset' end as outcome from n left join o using (rec_id)""")
-def feedback_upsert(t: Tables) -> DataFrame:
-    rows = t.events.select((F.col("event_id") % 300).alias("rec_id"), "event_id", F.col("event_type").alias("rating"))
-    new = state.latest(rows, ["rec_id"], "event_id")
-    old = state.latest(rows.where("event_id < 5000"), ["rec_id"], "event_id").select("rec_id", F.col("rating").alias("old"), F.lit(True).alias("known"))
-    outcome = F.when(F.col("known").isNull(), "new").when(F.col("old").eqNullSafe(F.col("rating")), "kept").otherwise("reset")
-    return new.join(old, "rec_id", "left").select("rec_id", "rating", outcome.alias("outcome"))
-
-
 @query("select r.rec_id, coalesce(f.worst > 1, true) and not r.hard_rejected as active from rec r left join (select job_id, profile_id, arg_max(rating, (created_at, feedback_id)) as worst from feedback group by all) f on f.job_id = r.job_id and f.profile_id = r.profile_id")
 def feedback_visibility(t: Tables) -> DataFrame:
     last = state.latest(t.feedback.select("job_id", "profile_id", "created_at", "feedback_id", "rating"), ["job_id", "profile_id"], "created_at", "feedback_id")
@@ -657,16 +585,6 @@ def feedback_visibility(t: Tables) -> DataFrame:
     return rows.select("rec_id", (F.coalesce(F.col("last") > 1, F.lit(True)) & ~F.col("hard_rejected")).alias("active"))
 
 
-@query("""with n as (select job_id, profile_id, machine_score from rec where job_id % 4 <> 0), o as (select job_id, profile_id, machine_score + 1 as old_score, job_id % 6 = 0 as reviewed from rec where job_id % 3 <> 0)
-  select coalesce(n.job_id, o.job_id) as job_id, coalesce(n.machine_score, old_score) as score, case when o.job_id is null then 'inserted' when n.job_id is null then 'left' when reviewed then 'kept_rationale' else 'updated' end as outcome
-  from n full join o on n.job_id = o.job_id and n.profile_id = o.profile_id""")
-def recommendation_upsert(t: Tables) -> DataFrame:
-    new = t.rec.where("job_id % 4 <> 0").select("job_id", "profile_id", F.col("machine_score").alias("new_score"))
-    old = t.rec.where("job_id % 3 <> 0").select("job_id", "profile_id", (F.col("machine_score") + 1).alias("old_score"), (F.col("job_id") % 6 == 0).alias("reviewed"))
-    outcome = F.when(F.col("old_score").isNull(), "inserted").when(F.col("new_score").isNull(), "left").when(F.col("reviewed"), "kept_rationale").otherwise("updated")
-    return new.join(old, ["job_id", "profile_id"], "full").select("job_id", F.coalesce("new_score", "old_score").alias("score"), outcome.alias("outcome"))
-
-
 @query("""with e as (select vec_id as job_id, 'h' || (label % 3) as old from embeddings), j as (select job_id, 'h' || (n_chars % 3) as hash from job) select j.job_id, case when e.job_id is null then 'missing' else 'stale' end as why from j left join e using (job_id) where e.job_id is null or e.old <> j.hash""")
 def stale_embeddings(t: Tables) -> DataFrame:
     old = t.embeddings.select(F.col("vec_id").alias("job_id"), F.concat(F.lit("h"), (F.col("label") % 3).cast("string")).alias("old"))
@@ -696,13 +614,6 @@ def paired_comparison(t: Tables) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), total("a").alias("a_total"), total("b").alias("b_total"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 3).alias("gap"))
 
 
-@query("select profile_id, case when commutable then 'commutable' when remote then 'remote' else 'elsewhere' end as scope, count(*) as n, sha256(string_agg(rec_id::varchar, ',' order by rec_id)) as identity from rec where review_score is null group by all")
-def backlog_inventory(t: Tables) -> DataFrame:
-    scope = F.when(F.col("commutable"), "commutable").when(F.col("remote"), "remote").otherwise("elsewhere")
-    ids = F.transform(F.array_sort(F.collect_list("rec_id")), lambda x: x.cast("string"))
-    return t.rec.where("review_score is null").groupBy("profile_id", scope.alias("scope")).agg(F.count("*").alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("identity"))
-
-
 @query(f"""with w as (select f.profile_id, j.employer, sum({_WEIGHT}) as net, count(distinct f.job_id) as jobs from feedback f join job j using (job_id) group by all)
   select profile_id, employer, round(net, 4) as net, case when net <= -2 and jobs >= 2 then 'exclude' when net > -1 then (case when net >= 1.5 and jobs >= 2 then 'boost' else 'none' end) else (case when length(employer) % 2 = 0 then 'exclude' else 'none' end) end as verdict from w""")
 def learned_state(t: Tables) -> DataFrame:

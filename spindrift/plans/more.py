@@ -36,18 +36,6 @@ def external_id_valid(t: Tables) -> DataFrame:
     return t.pages.select("page_id", (F.rlike(ident, F.lit("^[A-Za-z0-9_-]+$")) & F.length(ident).between(1, 12)).alias("valid"))
 
 
-@query("select doc_id, case when lower(location) in ('suomi', 'finland') then 1 when contains(location, ' / ') then 3 else 2 end as precision from listing")
-def location_precision(t: Tables) -> DataFrame:
-    return t.listing.select("doc_id", L.precision(F.col("location")).alias("precision"))
-
-
-@query("""with o as (select n_chars % 80 as job_id, doc_id, location, case when lower(location) in ('suomi', 'finland') then 1 when contains(location, ' / ') then 3 else 2 end as p from listing)
-  select job_id, arg_max(location, (p, doc_id)) as location from o group by job_id""")
-def location_backfill(t: Tables) -> DataFrame:
-    rows = t.listing.select((F.col("n_chars") % 80).alias("job_id"), "doc_id", "location")
-    return rows.groupBy("job_id").agg(F.max_by("location", F.struct(L.precision(F.col("location")), F.col("doc_id"))).alias("location"))
-
-
 @query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) + 1 as k, user_id as owner from events")
 def json_merge_all(t: Tables) -> DataFrame:
     return _merged(t.events)
@@ -98,14 +86,6 @@ def eval_hints(t: Tables) -> DataFrame:
     return newest.withColumn("r", place).where("r <= 3").select("profile_id", F.col("rating").alias("hint"))
 
 
-@query("""with o as (select doc_id, n_chars % 120 as old_job, case when doc_id % 3 = 0 then n_chars % 60 else n_chars % 120 end as new_job from listing)
-  select j.job, case when exists (select 1 from o where o.new_job = j.job) then 'active' else 'superseded' end as status from (select distinct old_job as job from o) j""")
-def relink_supersede(t: Tables) -> DataFrame:
-    o = t.listing.select((F.col("n_chars") % 120).alias("old_job"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") % 60).otherwise(F.col("n_chars") % 120).alias("new_job"))
-    live = o.select(F.col("new_job").alias("job")).distinct().withColumn("live", F.lit(True))
-    return o.select(F.col("old_job").alias("job")).distinct().join(live, "job", "left").select("job", F.when(F.col("live"), "active").otherwise("superseded").alias("status"))
-
-
 @query("""with v as (select *, not hard_rejected and action <> 'skip' and machine_score >= 40 as valid from rec)
   select rec_id, valid as active, case when valid then row_number() over (partition by profile_id, valid order by machine_score desc, rec_id) end::int as rank, review_score is not null and n_of % 3 = 0 as stale from (select v.*, rec_id as n_of from v)""")
 def publication_refresh(t: Tables) -> DataFrame:
@@ -119,13 +99,6 @@ def occurrence_backfill(t: Tables) -> DataFrame:
     return t.listing.groupBy(F.col("n_chars").alias("job_id")).agg(F.min("doc_id").alias("occurrence"), F.count("*").alias("n")).where("n = 1").select("job_id", "occurrence")
 
 
-@query("""with n as (select profile_id, term, length(term) as weight from profile_term where length(term) % 2 = 0), o as (select profile_id, term, -1 as weight from profile_term where length(term) % 3 = 0) select coalesce(n.profile_id, o.profile_id) as profile_id, coalesce(n.term, o.term) as term, coalesce(o.weight, n.weight) as weight from n full join o on n.profile_id = o.profile_id and n.term = o.term""")
-def profile_merge(t: Tables) -> DataFrame:
-    new = t.profile_term.where("length(term) % 2 = 0").select("profile_id", "term", F.length("term").alias("given"))
-    learned = t.profile_term.where("length(term) % 3 = 0").select("profile_id", "term", F.lit(-1).alias("kept"))
-    return new.join(learned, ["profile_id", "term"], "full").select("profile_id", "term", F.coalesce("kept", "given").cast("long").alias("weight"))
-
-
 @query("""with a as (select event_id % 400 as feedback_id, md5(event_type) as h, event_id from events where event_id % 2 = 0), f as (select event_id % 400 as feedback_id, arg_max(md5(event_type), event_id) as h from events group by 1), l as (select feedback_id, arg_max(h, event_id) as h from a group by 1)
   select f.feedback_id, case when l.h is null then 'missing' when l.h = f.h then 'reused' else 'stale' end as status from f left join l using (feedback_id)""")
 def analysis_reuse(t: Tables) -> DataFrame:
@@ -140,5 +113,3 @@ def cohort_reset(t: Tables) -> DataFrame:
     cohort = t.rec.where("review_score is not null").orderBy(F.desc("machine_score"), "rec_id").limit(30).select("rec_id", F.lit(True).alias("picked"))
     rows = t.rec.join(cohort, "rec_id", "left")
     return rows.groupBy("profile_id").agg(F.count_if(F.col("review_score").isNotNull() & F.col("picked").isNull()).alias("remaining"), F.count_if("picked").alias("reset"))
-
-

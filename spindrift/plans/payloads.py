@@ -29,15 +29,6 @@ def html_list_items(t: Tables) -> DataFrame:
     return cards.groupBy("page_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("c.title")), "|").alias("titles"))
 
 
-@query("""select page_id, coalesce(case when length(d) >= 40 then d end, case when length(a) >= 40 then a end) as description from
-  (select page_id, nullif(regexp_extract(html, '(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1), '') as d, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1), '\\s+', ' ', 'g')), '') as a from pages)""")
-def html_description(t: Tables) -> DataFrame:
-    meta = F.regexp_extract("html", r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1)
-    block = T.without_markup(F.regexp_extract("html", r'(?is)<div class="ad">(.*?)</div>', 1))
-    long_ = lambda c: F.when(F.length(c) >= 40, c)
-    return t.pages.select("page_id", F.coalesce(long_(meta), long_(block)).alias("description"))
-
-
 def _payloads(t: Tables) -> DataFrame:
     """Listings as JSON payloads, to be read back."""
     title = F.create_map(F.when(F.col("doc_id") % 3 == 0, "fi").when(F.col("doc_id") % 3 == 1, "en").otherwise("de"), F.col("title"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import listings, more, payloads, rules, upkeep, verdicts  # noqa: F401
+from . import lifecycle, listings, more, payloads, rules, upkeep, verdicts  # noqa: F401
 from .binding import Tables
 from .registry import QUERIES, SQL
 

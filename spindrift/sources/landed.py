@@ -108,6 +108,44 @@ def rendered_listings(rows: DataFrame, regions: DataFrame, part: str = "avoimet-
     return rows.crossJoin(F.broadcast(known)).select("doc_id", title.alias("title"), employer.alias("employer"), T.with_work_mode(location, F.col("mode")).alias("location"))
 
 
+def static_description(html: Column, least: int = 40) -> Column:
+    """The first of these with ``least`` characters: the meta descriptions (plain, og, twitter), an element with
+    itemprop="description", a block of a description's class. References are decoded, tags are spaces."""
+
+    def meta(kind: str, name: str) -> Column:
+        ways = [rf"(?is)<meta[^>]+{kind}=[\"']{name}[\"'][^>]+content=[\"']([^\"']+)", rf"(?is)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+{kind}=[\"']{name}[\"']"]
+        return F.coalesce(*(F.nullif(entities_decoded(F.trim(F.regexp_extract(html, w, 1))), F.lit("")) for w in ways))
+
+    def inside(pattern: str) -> Column:
+        return entities_decoded(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(html, pattern, 1), "<[^>]+>", " "), r"\s+", " ")))
+
+    found = [
+        meta("name", "description"), meta("property", "og:description"), meta("property", "twitter:description"), inside(r"(?is)itemprop=[\"']description[\"'][^>]*>(.*?)</"),
+        inside(r"(?is)<(?:div|section)[^>]+class=[\"'][^\"']*(?:job-description|job__description|description)[^\"']*[\"'][^>]*>(.*?)</(?:div|section)>"),
+    ]
+    return F.coalesce(*(F.when(F.length(x) >= least, x) for x in found))
+
+
+def feed_listings(items: DataFrame, employer: str, location: str) -> DataFrame:
+    """(external_id, title, employer, location, published_at, url) of feed items with their details (job_id, title, link,
+    published_at, detail_title): all have one employer and place; the detail's title counts, if there is one."""
+    return items.select(F.col("job_id").alias("external_id"), F.coalesce(F.nullif(F.trim("detail_title"), F.lit("")), F.trim("title")).alias("title"), F.lit(employer).alias("employer"), F.lit(location).alias("location"), "published_at", F.col("link").alias("url"))
+
+
+def card_listings(cards: DataFrame) -> DataFrame:
+    """(external_id, title, employer, location, published_at, url) of rows of cards or partners (url, site, title, company,
+    locations, date in mail format). The id is the safe URL, else site, title and date joined by colons; blank texts
+    are null, dates that can't be read too."""
+    from ..functions import links
+
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    url = F.when(links.rejection(F.col("url")).isNull(), F.trim("url"))
+    ident = F.coalesce(url, F.concat_ws(":", *(F.coalesce(c, F.lit("")) for c in ("site", "title", "date"))))
+    plain = F.regexp_replace(F.col("date"), r"^\w+,\s*", "")
+    at = F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z"))
+    return cards.select(ident.alias("external_id"), F.coalesce(F.trim("title"), F.lit("")).alias("title"), text("company").alias("employer"), text("locations").alias("location"), at.alias("published_at"), url.alias("url"))
+
+
 def content_hash(**fields: Column) -> Column:
     """sha256 of the JSON object of fields in the order of their names; nulls count."""
     from ..functions import listing as L
