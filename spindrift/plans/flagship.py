@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gates, ranking, scoring
+from ..sources import tables
 from .binding import Tables
 
 
@@ -45,4 +46,6 @@ def recommendations(t: Tables, per_profile: int = 50) -> DataFrame:
     merged = ranking.semantic_merge(scored, similar).where("passes")
     travel = ranking.travel_scores(jobs, routes(t), "Oulu").select("job_id", F.col("status").alias("travel"), "adjustment")
     final = merged.join(travel, "job_id").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") + F.col("adjustment"))))
+    # Lanes, lists and ranks read it: written once.
+    final = tables.written(final.select("profile_id", "job_id", "score", "lanes", "travel"))
     return scoring.lane_quota_order(final, keep=["score", "travel"]).where(F.col("place") <= per_profile).select("profile_id", "job_id", "score", "travel", "place")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import state
+from ..sources import tables
 
 
 def read_listings(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -33,20 +33,20 @@ def rolling_health(events: DataFrame, at: str = "ts") -> DataFrame:
     return counts.agg(F.count_if(level == "ERROR").alias("errors"), F.count_if(level == "CLICK").alias("warnings")).select(F.col("w.start").alias("start"), "source_id", "errors", "warnings")
 
 
-def upsert_each_batch(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str):
-    """Keeps one row per key, the latest by ``order``, in versions of a table in the folder ``table``.
+def upsert_each_batch(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str, buckets: int = 32):
+    """Keeps one row per key, the latest by ``order``, in the table in the folder ``table`` (tables.current reads it).
 
-    A batch reads the version before its own and writes the next under its own number, so that a batch which
-    runs again after a failure gives the same version."""
+    A batch writes its own number as the version of the buckets that it touches, so that a batch which runs again after
+    a failure gives the same."""
+    return (
+        stream.writeStream.foreachBatch(lambda batch, number: tables.upsert(batch, table, keys, order, number, buckets))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{table}/version={number - 1}").unionByName(batch)
-        state.latest(rows, keys, order).select(*batch.columns).write.mode("overwrite").parquet(f"{table}/version={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def newer_than_cursor(stream: DataFrame, cursors: DataFrame, at: str = "published_at") -> DataFrame:
+    """Rows newer than their source's cursor (source_id, cursor), and all without a date or of sources without one."""
+    rows = stream.join(F.broadcast(cursors), "source_id", "left")
+    return rows.where(F.col(at).isNull() | F.col("cursor").isNull() | (F.col(at) > F.col("cursor"))).drop("cursor")
 
 
 class _Misses(StatefulProcessor):

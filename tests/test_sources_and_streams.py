@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import state
 from spindrift.plans.binding import Tables
-from spindrift.sources import landed
+from spindrift.sources import landed, tables
 from spindrift.streaming import ingest
 
 
@@ -59,5 +59,74 @@ def test_streams(spark):
     want = {(r.event_id, r.misses, r.state) for r in state.miss_runs(scan).collect()}
     assert {(r.event_id, r.misses, r.state) for r in spark.read.parquet(f"{folder}/out").collect()} == want
     ingest.upsert_each_batch(stream, f"{folder}/table", ["source_id"], "event_id", f"{folder}/c2").awaitTermination(120)
-    last = {(r.source_id, r.event_id) for r in spark.read.parquet(f"{folder}/table/version=1").collect()}
+    last = {(r.source_id, r.event_id) for r in tables.current(spark, f"{folder}/table", stream.schema).collect()}
     assert last == {(r.source_id, r.e) for r in scan.groupBy("source_id").agg(F.max("event_id").alias("e")).collect()}
+
+
+def landed_stream(spark, batches, schema):
+    """A stream of lists of rows, a micro-batch each."""
+    folder = tempfile.mkdtemp(dir="/tmp", prefix="spark-")
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, schema)
+        text = "\n".join(r[0] for r in frame.select(F.to_json(F.struct("*"))).collect())
+        os.utime(put(folder, f"land/{k}.json", text), (1000 + k, 1000 + k))
+    return folder, ingest.read_listings(spark, f"{folder}/land", schema, 1)
+
+
+def ran(stream, folder, mode="append"):
+    stream.writeStream.format("parquet" if mode == "append" else "memory").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c").outputMode(mode).trigger(availableNow=True).start().awaitTermination(120)
+
+
+def test_stream_without_repeats(spark):
+    rows = [[("a", "1", "h1", "2024-01-01 00:00:00", 1), ("a", "1", "h1", "2024-01-01 01:00:00", 2)], [("a", "1", "h1", "2024-01-01 05:00:00", 3), ("a", "1", "h2", "2024-01-01 06:00:00", 4), ("b", "1", "h1", "2024-01-01 06:00:00", 5)]]
+    folder, stream = landed_stream(spark, rows, "source string, external_id string, hash string, fetched_at string, n int")
+    ran(ingest.without_repeats(stream.withColumn("fetched_at", F.to_timestamp("fetched_at")), ["source", "external_id", "hash"]), folder)
+    got = [r.n for r in spark.read.parquet(f"{folder}/out").collect()]
+    assert sorted(got)[1:] == [4, 5] and sorted(got)[0] in (1, 2)
+
+
+def test_stream_of_weekly_health(spark):
+    """Finished windows hold the counts that a batch over the same days gives."""
+    rows = [[(k, 1 + k % 2, "error" if k % 3 == 0 else "click", f"2024-01-{1 + k:02d} 12:00:00") for k in range(part, part + 10)] for part in (0, 10, 20)]
+    folder, stream = landed_stream(spark, rows, "event_id int, user_id int, event_type string, ts string")
+    ran(ingest.rolling_health(stream.withColumn("ts", F.to_timestamp("ts"))), folder)
+    import datetime as d
+
+    days = {(1 + k % 2, "error" if k % 3 == 0 else "click", d.date(2024, 1, 1 + k)) for k in range(30)}
+    got = {(r.start.date(), r.source_id): (r.errors, r.warnings) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert len(got) > 20
+    for (start, source), counts in got.items():
+        inside = [e for s, e, day in days if s == source and start <= day < start + d.timedelta(days=7)]
+        assert counts == (inside.count("error"), inside.count("click"))
+
+
+def test_stream_behind_cursors(spark):
+    rows = [[(1, 1, "2024-01-01"), (2, 1, "2024-01-03"), (3, 1, None)], [(4, 2, "2020-01-01"), (5, 1, "2024-01-02")]]
+    folder, stream = landed_stream(spark, rows, "n int, source_id int, published_at string")
+    cursors = spark.createDataFrame([(1, "2024-01-02")], "source_id int, cursor string")
+    ran(ingest.newer_than_cursor(stream, cursors), folder)
+    assert sorted(r.n for r in spark.read.parquet(f"{folder}/out").collect()) == [2, 3, 4]
+
+
+def test_upsert_of_versions(spark):
+    folder = tempfile.mkdtemp(dir="/tmp", prefix="spark-") + "/t"
+    make = lambda rows: spark.createDataFrame(rows, "k long, at int, v string")
+    have = lambda: {(r.k, r.v) for r in tables.current(spark, folder, "k long, at int, v string").collect()}
+    tables.upsert(make([(k, 1, "a") for k in range(40)]), folder, ["k"], "at", 0, 4)
+    tables.upsert(make([(3, 2, "b"), (3, 0, "old"), (99, 1, "new")]), folder, ["k"], "at", 1, 4)
+    want = {(k, "a") for k in range(40) if k != 3} | {(3, "b"), (99, "new")}
+    assert have() == want
+    tables.upsert(make([(3, 2, "b"), (3, 0, "old"), (99, 1, "new")]), folder, ["k"], "at", 1, 4)
+    assert have() == want
+    tables.upsert(make([]), folder, ["k"], "at", 2, 4)
+    tables.upsert(make([(3, 3, "c")]), folder, ["k"], "at", 3, 4)
+    assert have() == want - {(3, "b")} | {(3, "c")}
+    assert max(len(v) for v in tables._versions(spark, folder).values()) == 2
+
+
+def test_reports(spark):
+    folder = tempfile.mkdtemp(dir="/tmp", prefix="spark-") + "/r"
+    metrics = spark.createDataFrame([("a", 1, 0.5), ("b", None, 2.0)], "kind string, n int, share double")
+    tables.report(metrics, folder)
+    assert {(r.kind, r.n, r.share) for r in spark.read.schema(metrics.schema).json(folder).collect()} == {("a", 1, 0.5), ("b", None, 2.0)}
+    assert {tuple(r) for r in tables.long_form(metrics, ["kind"]).collect()} == {("a", "n", "1"), ("a", "share", "0.5"), ("b", "n", None), ("b", "share", "2.0")}
