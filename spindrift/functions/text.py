@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-TOKEN = "[0-9a-zåäö]+"
+TOKEN, OTHER = "[0-9a-zåäö]+", "[^0-9a-zåäö]+"
 
 
 def folded(text: Column) -> Column:
@@ -19,7 +19,8 @@ def folded(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct tokens in the order of their first occurrence; null gives an empty array."""
-    return F.array_distinct(F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)))
+    # Cutting at what is no token is faster than finding tokens; it leaves empty strings at the ends.
+    return F.array_remove(F.array_distinct(F.split(folded(F.coalesce(text, F.lit(""))), OTHER)), "")
 
 
 def token_variants(token: Column) -> Column:

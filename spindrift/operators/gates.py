@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text as T
+from ..sources.tables import spread
 
 DAY = 86_400_000_000.0
 
@@ -89,7 +90,7 @@ def language_gate(jobs: DataFrame, languages: DataFrame, text: str = "descriptio
     another language of rule ``pass`` or ``above_b2`` instead."""
     low, names = F.col("_low"), fixed.LANGUAGE_NAMES
     top = T.has_any(low, fixed.NATIVE_MARKERS + fixed.EXCELLENT_MARKERS)
-    parts = jobs.select("job_id", F.posexplode(T.sentences(F.concat_ws(". ", F.coalesce("title", F.lit("")), text))).alias("pos", "sentence")).select("job_id", "pos", F.lower("sentence").alias("_low"))
+    parts = spread(jobs.select("job_id", "title", text)).select("job_id", F.posexplode(T.sentences(F.concat_ws(". ", F.coalesce("title", F.lit("")), text))).alias("pos", "sentence")).select("job_id", "pos", F.lower("sentence").alias("_low"))
     # Sentences that can't decide go before they meet the languages.
     parts = parts.where(T.has_any(low, [n for x in names.values() for n in x]) & T.has_any(low, fixed.LANGUAGE_CONTEXT) & ~T.has_any(low, fixed.NEGATION_MARKERS) & ~T.has_any(low, fixed.OPTIONAL_MARKERS) & (T.has_any(low, fixed.STRONG_MARKERS) | top))
     parts = parts.withColumn("_named", F.array_compact(F.array(*(F.when(T.has_any(low, n), F.lit(code)) for code, n in names.items()))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text as T
+from ..sources.tables import spread, written
 
 
 #: Variants of terms broadcast at most; beyond that they are joined by a shuffle.
@@ -21,18 +22,26 @@ def term_matches(jobs: DataFrame, terms: DataFrame) -> DataFrame:
     title, the location or the whole text, as PLACES says of its field. terms: profile_id, field, term; general
     terms match nothing.
 
-    A job's text is cut into distinct tokens once, each with what it stands in. The terms' variants, a table of
-    the profiles' size, are broadcast if they are few; so no variant that most jobs have is a hot key."""
+    A job's text is cut into distinct tokens once, each with where it stands. Variants are made of the distinct tokens
+    of all jobs, not of each job's, and meet the terms' variants there. What they find, a table of the profiles' size, is
+    broadcast back to the jobs' tokens if it is small; so no token that most jobs have is a hot key."""
     own = T.tokens(F.concat_ws(" ", "title", "employer", "description"))
-    rows = jobs.select("job_id", own.alias("_all"), T.tokens(F.col("title")).alias("_title"), T.tokens(F.col("location")).alias("_location"))
-    tokens = rows.select("job_id", "_title", "_location", F.explode(F.array_union("_all", "_location")).alias("token"), "_all")
-    tokens = tokens.select("job_id", "token", F.array_contains("_title", F.col("token")).alias("in_title"), F.array_contains("_location", F.col("token")).alias("in_location"), F.array_contains("_all", F.col("token")).alias("in_text"))
+    rows = spread(jobs.select("job_id", "title", "employer", "description", "location")).select("job_id", own.alias("_all"), T.tokens(F.col("title")).alias("_title"), T.tokens(F.col("location")).alias("_location"))
+    said = lambda tokens, inside: F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(inside).alias("in_text")))
+    each = rows.select("job_id", "_title", "_location", F.explode(F.concat(said("_all", True), said(F.array_except("_location", "_all"), False))).alias("x"))
+    token = F.col("x.token")
+    tokens = written(each.select("job_id", token.alias("token"), F.array_contains("_title", token).alias("in_title"), F.array_contains("_location", token).alias("in_location"), F.col("x.in_text").alias("in_text")))
     wanted = terms.where(~F.col("term").isin(fixed.GENERIC_TERMS)).select("profile_id", "field", "term", F.explode(T.token_variants(F.col("term"))).alias("variant")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_VARIANTS else wanted
-    each = tokens.withColumn("variant", F.explode(T.token_variants(F.col("token")))).drop("token")
+    known = tokens.select("token").distinct().withColumn("variant", F.explode(T.token_variants(F.col("token"))))
+    found = written(known.join(_small(wanted), "variant").select("token", "profile_id", "field", "term").distinct())
     place = F.coalesce(*(F.when(F.col("field") == f, p) for f, p in PLACES.items()), F.lit("text"))
     stands = F.when(place == "title", F.col("in_title")).when(place == "location", F.col("in_location")).otherwise(F.col("in_text"))
-    return each.join(wanted, "variant").where(stands).select("job_id", "profile_id", "field", "term").distinct()
+    return tokens.join(_small(found), "token").where(stands).select("job_id", "profile_id", "field", "term").distinct()
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table of terms, to be broadcast if it has no more than FEW_VARIANTS rows."""
+    return F.broadcast(table) if table.limit(FEW_VARIANTS + 1).count() <= FEW_VARIANTS else table
 
 
 #: Field: most matches that count, points for each.
