@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import fingerprints, html_extract, langid, lm_score, media, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
 from ._stage import text_batches
 
@@ -15,8 +16,9 @@ TOKENIZERS: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; one in fewer files and row groups than there are cores is dealt over these."""
     text_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
