@@ -76,7 +76,8 @@ def _frequencies(terms: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
 
 def lexicon(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> np.ndarray:
     """Sorted hashes of the terms whose share of all documents lies in [lower, upper]; see above for its bound.
-    In a small corpus it may be empty; fingerprints then take all terms."""
+    In a small corpus it may be empty; fingerprints then take all terms. Null texts have no terms, repeated rows count
+    each, columns other than text are ignored."""
     total = docs.count()
     band = document_frequencies(docs).where(F.col("df").between(lower * total, upper * total))
     terms = band.select("term").toArrow().column("term").to_numpy()

@@ -364,7 +364,7 @@ SCHEMA = "page_id long, url string, text string"
 
 def extract_pages(pages: DataFrame, model: Trees) -> DataFrame:
     """(page_id, url, text): the main text of every whole page. Null or empty html gives an empty text; rows
-    are kept as they are, with null and repeated ids."""
+    are kept as they are, with null and repeated ids; other columns are ignored, whatever their names."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

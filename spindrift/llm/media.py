@@ -237,7 +237,8 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def store_texts(docs: DataFrame, declared: str = UNKNOWN) -> DataFrame:
-    """Texts as a media column: (doc_id, n_bytes, media, declared). Null text is empty; every row is kept."""
+    """Texts as a media column: (doc_id, n_bytes, media, declared). Null text is empty; every row is kept. Columns other than doc_id and
+    text are ignored, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
