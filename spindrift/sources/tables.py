@@ -34,7 +34,7 @@ def spread(df: DataFrame) -> DataFrame:
     """The same rows, dealt over all cores if they come in fewer partitions than there are cores, as those of a small
     file do; for work on each row that outweighs moving it. Large tables have more partitions and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
