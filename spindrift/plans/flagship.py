@@ -30,7 +30,7 @@ def recommendations(t: Tables, per_profile: int = 50) -> DataFrame:
 
     One shuffle by (job, profile) for the matches and one by profile for the ranks; gates are decided per job, before
     they meet the matches, and the text is tokenised once."""
-    jobs = gates.freshness(t.job.where("status = 'active'"), as_of()).where("eligible")
+    jobs = tables.spread(gates.freshness(t.job.where("status = 'active'"), as_of()).where("eligible"))
     matches = scoring.term_matches(jobs, t.profile_term.select("profile_id", F.lit("keyword").alias("field"), "term"))
     counted = scoring.match_scores(matches)
     failed = gates.language_gate(jobs, t.spark.createDataFrame([("en", "reject"), ("fi", "pass")], "code string, rule string")).groupBy("job_id").agg(F.bool_or(F.col("verdict") == "fail").alias("language_failed"), F.bool_or(F.col("verdict") == "caution").alias("language_review"))
