@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import centroids, chat_format, fingerprints, html_extract, langid, lm_score, media, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
+from . import centroids, chat_format, fingerprints, hard_negatives, html_extract, langid, lm_score, media, mixing, ngram_join, secrets, sentencepiece_bpe, toxicity
 from ._stage import text_batches
 
 #: Where the public tokenizers lie; None: where the package public_tokenizers has them.
@@ -87,6 +87,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(table(spark, sf_dir, "conversations"))
 
@@ -104,9 +109,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_fingerprints": op10_fingerprints,
         "op11_centroids": op11_centroids,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_chat_format": op13_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op11_centroids": centroids.ORACLE, "op13_chat_format": chat_format.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op11_centroids": centroids.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_chat_format": chat_format.ORACLE}
