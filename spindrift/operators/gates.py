@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text as T
 from ..sources.tables import spread
+from . import hits
 
 DAY = 86_400_000_000.0
 
@@ -71,13 +72,21 @@ def discovery_terms(terms: DataFrame, keep: int = 80, least: int = 5) -> DataFra
 
 def discovery_pool(jobs: DataFrame, terms: DataFrame) -> DataFrame:
     """(job_id, profile_id): jobs that hold a term of a profile (profile_id, term) as whole tokens in title or
-    description. Token n-grams, as long as any term is, meet the terms in an equi join."""
+    description."""
     phrases = terms.select("profile_id", T.normalized(F.col("term")).alias("phrase")).where("phrase <> ''").distinct()
-    lengths = phrases.agg(F.collect_set(F.size(F.split("phrase", " "))).alias("_lengths"))
-    rows = jobs.select("job_id", F.split(T.normalized(F.concat_ws(" ", "title", "description")), " ").alias("_w")).crossJoin(F.broadcast(lengths))
-    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    grams = rows.select("job_id", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", runs)))).alias("phrase"))
-    return grams.join(phrases, "phrase").select("job_id", "profile_id").distinct()
+    rows = jobs.select("job_id", F.split(T.normalized(F.concat_ws(" ", "title", "description")), " ").alias("words"))
+    return hits.phrases_in(rows, phrases).join(hits.small(phrases), "phrase").select("job_id", "profile_id").distinct()
+
+
+def town_pool(jobs: DataFrame, towns: DataFrame) -> DataFrame:
+    """(job_id, profile_id): jobs whose location holds a town of a profile (profile_id, town) between separators, in
+    whatever case. Distinct locations meet the towns, not jobs."""
+    cut = lambda c: F.split(F.trim(F.lower(c)), r"[\s,/]+")
+    named = towns.select("profile_id", F.array_join(cut(F.col("town")), " ").alias("phrase")).where("phrase <> ''").distinct()
+    places = jobs.select("location").where("location is not null").distinct()
+    found = hits.phrases_in(places.select(F.col("location").alias("job_id"), cut(F.col("location")).alias("words")), named)
+    found = found.join(hits.small(named), "phrase").select(F.col("job_id").alias("location"), "profile_id").distinct()
+    return jobs.select("job_id", "location").join(hits.small(found), "location").select("job_id", "profile_id")
 
 
 def language_gate(jobs: DataFrame, languages: DataFrame, text: str = "description") -> DataFrame:
@@ -158,12 +167,12 @@ def publishable(recs: DataFrame, deterministic_only: bool = False) -> DataFrame:
 def learned_discovery(scored: DataFrame, jobs: DataFrame, phrases: DataFrame) -> DataFrame:
     """scored (job_id, profile_id, pool, lanes) with the lane ``learned_discovery`` for rows that came only through the
     discovery pool and hold one of the profile's learned phrases (profile_id, phrase) as whole tokens."""
-    lists = phrases.select("profile_id", T.normalized(F.col("phrase")).alias("p")).where("p <> ''").groupBy("profile_id").agg(F.collect_set("p").alias("_p"))
-    texts = jobs.select("job_id", T.normalized(F.concat_ws(" ", "title", "employer", "description")).alias("_x"))
-    found = scored.where("pool = 'discovery'").select("job_id", "profile_id").join(lists, "profile_id").join(texts, "job_id")
-    found = found.where(F.exists("_p", lambda p: T.has_phrase(F.col("_x"), p))).select("job_id", "profile_id", F.lit(True).alias("_found")).distinct()
+    named = phrases.select("profile_id", T.normalized(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct()
+    rows = jobs.select("job_id", F.split(T.normalized(F.concat_ws(" ", "title", "employer", "description")), " ").alias("words"))
+    found = hits.phrases_in(rows, named).join(hits.small(named), "phrase").select("job_id", "profile_id", F.lit(True).alias("_found")).distinct()
     rows = scored.join(found, ["job_id", "profile_id"], "left")
-    return rows.withColumn("lanes", F.when(F.col("_found") & ~F.array_contains("lanes", "learned_discovery"), F.array_append("lanes", F.lit("learned_discovery"))).otherwise(F.col("lanes"))).drop("_found")
+    new = (F.col("pool") == "discovery") & F.col("_found") & ~F.array_contains("lanes", "learned_discovery")
+    return rows.withColumn("lanes", F.when(new, F.array_append("lanes", F.lit("learned_discovery"))).otherwise(F.col("lanes"))).drop("_found")
 
 
 def passes_feedback(recs: DataFrame, level: float = 0.75) -> DataFrame:
@@ -179,17 +188,19 @@ def removal_permitted(runs: DataFrame) -> Column:
     return F.col("complete") & F.col("watermark").isNull() & ~F.col("stopped") & (F.col("fetched") > 0) & ~cut
 
 
-def negative_matches(pairs: DataFrame, jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+def negative_matches(pairs: DataFrame, jobs: DataFrame, wanted: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """The pairs (job_id, profile_id, ...) whose job meets what a profile rules out, with ``matches``, sorted. wanted:
     profile_id, kind, value: of kind ``title`` phrases that stand in the title as whole tokens, of kind ``keyword``
-    texts of which any token of four characters and more is part of the whole text."""
-    phrases = wanted.where("kind = 'title'").select("profile_id", "kind", T.normalized(F.col("value")).alias("v")).where("v <> ''")
-    words = wanted.where("kind = 'keyword'").select("profile_id", "kind", F.explode(T.tokens(F.col("value"))).alias("v")).where(F.length("v") >= 4)
-    lists = phrases.union(words).groupBy("profile_id").agg(F.collect_set(F.when(F.col("kind") == "title", F.col("v"))).alias("_p"), F.collect_set(F.when(F.col("kind") == "keyword", F.col("v"))).alias("_w"))
-    texts = jobs.select("job_id", T.normalized(F.col("title")).alias("_t"), T.normalized(F.concat_ws(" ", "title", "employer", "description")).alias("_x"))
-    rows = pairs.join(lists, "profile_id").join(texts, "job_id")
-    found = F.array_union(F.filter("_p", lambda p: T.has_phrase(F.col("_t"), p)), F.filter("_w", lambda w: F.contains(F.col("_x"), w)))
-    return rows.withColumn("matches", F.array_sort(found)).where(F.size("matches") > 0).select(*pairs.columns, "matches")
+    texts of which any token of four characters and more is part of the whole text. tokens: job_tokens(jobs), if there
+    are some already."""
+    phrases = wanted.where("kind = 'title'").select("profile_id", T.normalized(F.col("value")).alias("phrase")).where("phrase <> ''").distinct()
+    words = wanted.where("kind = 'keyword'").select("profile_id", F.explode(T.tokens(F.col("value"))).alias("word")).where(F.length("word") >= hits.LEAST).distinct()
+    titled = hits.phrases_in(jobs.select("job_id", F.split(T.normalized(F.col("title")), " ").alias("words")), phrases)
+    tokens = hits.job_tokens(jobs).where("raw") if tokens is None else tokens.where("raw")
+    said = tokens.join(hits.small(hits.words_within(tokens, words)), "token").select("job_id", "word").distinct()
+    found = titled.join(hits.small(phrases), "phrase").select("job_id", "profile_id", F.col("phrase").alias("m")).union(said.join(hits.small(words), "word").select("job_id", "profile_id", "word"))
+    lists = found.groupBy("job_id", "profile_id").agg(F.array_sort(F.collect_set("m")).alias("matches"))
+    return pairs.join(lists, ["job_id", "profile_id"]).select(*pairs.columns, "matches")
 
 
 def region_subset(rows: DataFrame, codes: list[str], paths: list[str]) -> DataFrame:

@@ -8,40 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text as T
-from ..sources.tables import spread, written
+from ..sources.tables import written
+from .hits import LEAST, job_tokens, small, texts_within, words_within
 
 
-#: Variants of terms broadcast at most; beyond that they are joined by a shuffle.
-FEW_VARIANTS = 1_000_000
 #: Fields of terms and the text of a job that they are matched with.
 PLACES = {"title": "title", "history_title": "title", "learned_title": "title", "history_location": "location", "learned_location": "location", "location": "location"}
 
 
-def term_matches(jobs: DataFrame, terms: DataFrame) -> DataFrame:
+def term_matches(jobs: DataFrame, terms: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """(job_id, profile_id, field, term): a term matches if one of its variants is a variant of a token of the
     title, the location or the whole text, as PLACES says of its field. terms: profile_id, field, term; general
-    terms match nothing.
+    terms match nothing. tokens: job_tokens(jobs), if there are some already.
 
     A job's text is cut into distinct tokens once, each with where it stands. Variants are made of the distinct tokens
     of all jobs, not of each job's, and meet the terms' variants there. What they find, a table of the profiles' size, is
     broadcast back to the jobs' tokens if it is small; so no token that most jobs have is a hot key."""
-    own = T.tokens(F.concat_ws(" ", "title", "employer", "description"))
-    rows = spread(jobs.select("job_id", "title", "employer", "description", "location")).select("job_id", own.alias("_all"), T.tokens(F.col("title")).alias("_title"), T.tokens(F.col("location")).alias("_location"))
-    said = lambda tokens, inside: F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(inside).alias("in_text")))
-    each = rows.select("job_id", "_title", "_location", F.explode(F.concat(said("_all", True), said(F.array_except("_location", "_all"), False))).alias("x"))
-    token = F.col("x.token")
-    tokens = written(each.select("job_id", token.alias("token"), F.array_contains("_title", token).alias("in_title"), F.array_contains("_location", token).alias("in_location"), F.col("x.in_text").alias("in_text")))
+    tokens = (job_tokens(jobs) if tokens is None else tokens).where("in_text or in_location")
     wanted = terms.where(~F.col("term").isin(fixed.GENERIC_TERMS)).select("profile_id", "field", "term", F.explode(T.token_variants(F.col("term"))).alias("variant")).distinct()
     known = tokens.select("token").distinct().withColumn("variant", F.explode(T.token_variants(F.col("token"))))
-    found = written(known.join(_small(wanted), "variant").select("token", "profile_id", "field", "term").distinct())
+    found = written(known.join(small(wanted), "variant").select("token", "profile_id", "field", "term").distinct())
     place = F.coalesce(*(F.when(F.col("field") == f, p) for f, p in PLACES.items()), F.lit("text"))
     stands = F.when(place == "title", F.col("in_title")).when(place == "location", F.col("in_location")).otherwise(F.col("in_text"))
-    return tokens.join(_small(found), "token").where(stands).select("job_id", "profile_id", "field", "term").distinct()
-
-
-def _small(table: DataFrame) -> DataFrame:
-    """A table of terms, to be broadcast if it has no more than FEW_VARIANTS rows."""
-    return F.broadcast(table) if table.limit(FEW_VARIANTS + 1).count() <= FEW_VARIANTS else table
+    return tokens.join(small(found), "token").where(stands).select("job_id", "profile_id", "field", "term").distinct()
 
 
 #: Field: most matches that count, points for each.
@@ -94,45 +83,73 @@ def deterministic_scores(counted: DataFrame, facts: DataFrame, clusters: DataFra
         concerns.alias("concerns"), F.coalesce("lanes", F.array().cast("array<string>")).alias("lanes"))
 
 
-def exclusion_matches(pairs: DataFrame, jobs: DataFrame, exclusions: DataFrame, each: float = 8.0) -> DataFrame:
+def exclusion_matches(pairs: DataFrame, jobs: DataFrame, exclusions: DataFrame, each: float = 8.0, tokens: DataFrame | None = None) -> DataFrame:
     """(job_id, profile_id, exclusion_penalty, matches) of the pairs (job_id, profile_id) that meet what a profile has
-    learned to avoid. exclusions: profile_id, kind (term, employer, sector), value.
+    learned to avoid. exclusions: profile_id, kind (term, employer, sector), value. tokens: job_tokens(jobs), if there
+    are some already.
 
     Tokens of four characters and more of a term count if they are part of the text or a variant of its tokens,
     employers if they are part of the employer, sectors if they are part of the text. Each takes ``each`` points."""
-    tokens = exclusions.where("kind = 'term'").select("profile_id", F.explode(T.tokens(F.col("value"))).alias("v")).where(F.length("v") >= 4)
-    others = exclusions.where("kind <> 'term'").select("profile_id", "kind", F.lower("value").alias("v")).where("v <> ''")
-    lists = tokens.select("profile_id", F.lit("term").alias("kind"), "v").union(others).distinct().groupBy("profile_id", "kind").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    lists = lists.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "vs"))).alias("_by"))
-    of = lambda kind: F.coalesce(F.try_element_at("_by", F.lit(kind)), F.array().cast("array<string>"))
-    texts = jobs.select("job_id", F.lower(F.concat_ws(" ", "title", "employer", "description")).alias("_x"), F.lower(F.coalesce("employer", F.lit(""))).alias("_e"), T.expanded_tokens(F.concat_ws(" ", "title", "employer", "description")).alias("_v"))
-    rows = pairs.select("job_id", "profile_id").join(lists, "profile_id").join(texts, "job_id")
-    found = F.concat(
-        F.filter(of("term"), lambda v: F.contains(F.col("_x"), v) | F.array_contains("_v", v)), F.filter(of("employer"), lambda v: F.contains(F.col("_e"), v)), F.filter(of("sector"), lambda v: F.contains(F.col("_x"), v)))
-    rows = rows.select("job_id", "profile_id", found.alias("found")).where(F.size("found") > 0)
-    return rows.select("job_id", "profile_id", (F.size("found") * each).alias("exclusion_penalty"), F.array_sort(F.array_distinct("found")).alias("matches"))
-
-
-def lane_quota_order(scored: DataFrame, quotas: dict[str, int] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """(profile_id, job_id, place) and the columns ``keep``: lanes in order take their quota of the best rows not yet taken; all other
-    rows follow by score. scored: profile_id, job_id, score, lanes.
-
-    Only the best sum-of-quotas rows of each lane can be taken by it, so these alone are folded per profile;
-    the rest is ranked by a window."""
+    words = exclusions.where("kind = 'term'").select("profile_id", F.explode(T.tokens(F.col("value"))).alias("value")).where(F.length("value") >= LEAST).distinct()
+    others = exclusions.where("kind <> 'term'").select("profile_id", "kind", F.lower("value").alias("value")).where("value <> ''").distinct()
+    firms, sectors = others.where("kind = 'employer'").drop("kind"), others.where("kind = 'sector'").drop("kind")
+    tokens = job_tokens(jobs) if tokens is None else tokens
+    part = words_within(tokens.where("raw"), words.withColumnRenamed("value", "word")).withColumn("whole", F.lit(False))
+    known = tokens.where("in_text").select("token").distinct().withColumn("word", F.explode(T.token_variants(F.col("token"))))
+    same = known.join(small(words.select(F.col("value").alias("word")).distinct()), "word").select("token", "word").withColumn("whole", F.lit(True))
+    held = tokens.join(small(part.union(same).distinct()), "token").where(F.when(F.col("whole"), F.col("in_text")).otherwise(F.col("raw")))
+    employers = jobs.select(F.lower("employer").alias("text")).where("text is not null").distinct()
+    named = texts_within(employers.select(F.col("text").alias("job_id"), "text"), firms).select(F.col("job_id").alias("text"), "value")
+    named = jobs.select("job_id", F.lower("employer").alias("text")).join(small(named), "text").select("job_id", "value")
+    told = texts_within(jobs.select("job_id", F.lower(F.concat_ws(" ", "title", "employer", "description")).alias("text")), sectors)
+    of = lambda kind, found, wanted: found.distinct().join(small(wanted), "value").select("job_id", "profile_id", F.lit(kind).alias("kind"), "value")
+    found = of("term", held.select("job_id", F.col("word").alias("value")), words).union(of("employer", named, firms)).union(of("sector", told, sectors))
+    lists = found.groupBy("job_id", "profile_id").agg((F.count("*") * each).alias("exclusion_penalty"), F.array_sort(F.collect_set("value")).alias("matches"))
+    return pairs.select("job_id", "profile_id").join(lists, ["job_id", "profile_id"])
+
+
+def effective_quotas(overrides: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """(profile_id, lane, quota) of the profiles in overrides (profile_id, lane, quota): known lanes take the quota given,
+    the least one if there are several; ``exploration`` has one at least; null quotas and unknown lanes change nothing."""
+    most = most or fixed.LANE_QUOTAS
+    lanes = F.explode(F.array(*(F.struct(F.lit(k).alias("lane"), F.lit(q).alias("_q")) for k, q in most.items()))).alias("x")
+    given = overrides.groupBy("profile_id", "lane").agg(F.min("quota").alias("_given"))
+    rows = overrides.select("profile_id").distinct().select("profile_id", lanes).select("profile_id", "x.*").join(given, ["profile_id", "lane"], "left")
+    quota = F.coalesce("_given", "_q")
+    return rows.select("profile_id", "lane", F.when(F.col("lane") == "exploration", F.greatest(F.lit(1), quota)).otherwise(quota).cast("int").alias("quota"))
+
+
+def lane_quota_order(scored: DataFrame, quotas: dict[str, int] | None = None, keep: list[str] | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """(profile_id, job_id, place) and the columns ``keep``: lanes in order take their quota of the best rows not yet
+    taken; all other rows follow by score. scored: profile_id, job_id, score, lanes, and unpenalized, by which the lane
+    ``exploration`` takes its rows where it is there and not null. overrides: quotas of profiles, see effective_quotas.
+
+    Only the best rows of each lane, as many as all quotas up to it together, can be taken by it, so these alone are
+    folded per profile; the rest is ranked by a window."""
     quotas = quotas or fixed.LANE_QUOTAS
-    reach = sum(quotas.values())
-    by_score = [F.desc("score"), F.col("job_id")]
-    each = scored.select("profile_id", "job_id", "score", F.explode("lanes").alias("lane")).where(F.col("lane").isin(*quotas))
-    each = each.withColumn("r", F.row_number().over(Window.partitionBy("profile_id", "lane").orderBy(*by_score))).where(F.col("r") <= reach)
+    free = F.coalesce("unpenalized", "score") if "unpenalized" in scored.columns else F.col("score")
+    every = F.array(*(F.struct(F.lit(k).alias("lane"), F.lit(q).alias("quota")) for k, q in quotas.items()))
+    reach, own = sum(quotas.values()), None
+    if overrides is not None:
+        # One row for each profile with quotas of its own, and one number: the most that any profile takes.
+        place = F.array_position(F.array(*map(F.lit, quotas)), F.col("lane"))
+        own = effective_quotas(overrides, quotas).groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "lane", "quota"))).alias("_own"))
+        own = own.select("profile_id", F.transform("_own", lambda x: F.struct(x["lane"].alias("lane"), x["quota"].alias("quota"))).alias("_own"))
+        total = F.aggregate("_own", F.lit(0), lambda s, x: s + F.greatest(F.lit(0), x["quota"]))
+        reach = max(reach, own.agg(F.max(total)).first()[0] or 0)
+    each = scored.select("profile_id", "job_id", "score", free.alias("_free"), F.explode("lanes").alias("lane")).where(F.col("lane").isin(*quotas))
+    by = F.when(F.col("lane") == "exploration", F.col("_free")).otherwise(F.col("score"))
+    each = each.withColumn("r", F.row_number().over(Window.partitionBy("profile_id", "lane").orderBy(by.desc(), F.col("job_id")))).where(F.col("r") <= reach)
     lists = each.groupBy("profile_id", "lane").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "job_id"))), lambda x: x["job_id"]).alias("jobs"))
     lists = lists.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("lane", "jobs"))).alias("by_lane"))
-    steps = F.array(*(F.struct(F.lit(k).alias("lane"), F.lit(q).alias("quota")) for k, q in quotas.items()))
+    lists = lists.withColumn("_steps", every) if own is None else lists.join(small(own), "profile_id", "left").withColumn("_steps", F.coalesce("_own", every))
     none = F.array().cast("array<bigint>")
-    taken = F.aggregate(steps, none, lambda got, s: F.concat(got, F.slice(F.array_except(F.coalesce(F.try_element_at("by_lane", s["lane"]), none), got), F.lit(1), s["quota"])))
+    rest = lambda got, s: F.array_except(F.coalesce(F.try_element_at("by_lane", s["lane"]), none), got)
+    taken = F.aggregate("_steps", none, lambda got, s: F.concat(got, F.slice(rest(got, s), F.lit(1), F.greatest(F.lit(0), s["quota"]))))
     first = lists.select("profile_id", F.posexplode(taken).alias("pos", "job_id"))
     kept = keep or []
     rows = scored.select("profile_id", "job_id", *dict.fromkeys(["score", *kept])).join(first, ["profile_id", "job_id"], "left")
-    place = F.row_number().over(Window.partitionBy("profile_id").orderBy(F.col("pos").asc_nulls_last(), *by_score))
+    place = F.row_number().over(Window.partitionBy("profile_id").orderBy(F.col("pos").asc_nulls_last(), F.desc("score"), F.col("job_id")))
     return rows.select("profile_id", "job_id", *kept, place.alias("place"))
 
 

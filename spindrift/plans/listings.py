@@ -208,13 +208,47 @@ def match_score(t: Tables) -> DataFrame:
     return scored.select("job_id", "profile_id", "keyword_n", "score", F.array_join("lanes", ",").alias("lanes"))
 
 
-@query(f"""with {_SCORED}, r as (select *, row_number() over (partition by profile_id, lane order by score desc, job_id) as rn from scored),
-  o as (select *, case when lane and rn <= 8 then rn else 1000000 end as pos from r)
-  select profile_id, job_id, cast(row_number() over (partition by profile_id order by pos, score desc, job_id) as int) as place from o""")
+#: Quotas that some profiles have of their own: lane, quota, and the remainder of profiles that have it.
+_QUOTAS = [("exploration", 5, 4, 1), ("exploration", 0, 4, 2), ("transferable_duty", 3, 3, 1), ("unknown", 9, 2, 0)]
+
+
+def quota_overrides(t: Tables) -> DataFrame:
+    """(profile_id, lane, quota): what some profiles set themselves."""
+    who = t.profile_term.select("profile_id").distinct()
+    parts = [who.where(F.col("profile_id") % by == left).select("profile_id", F.lit(lane).alias("lane"), F.lit(n).alias("quota")) for lane, n, by, left in _QUOTAS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def _quota(lane: str) -> str:
+    """SQL of a profile's quota of a lane."""
+    least = 1 if lane == "exploration" else 0
+    own = " ".join(f"when profile_id % {by} = {left} then {max(least, n)}" for of, n, by, left in _QUOTAS if of == lane)
+    return f"(case {own} else {fixed.LANE_QUOTAS[lane]} end)" if own else str(fixed.LANE_QUOTAS[lane])
+
+
+def lane_order(rows: str, lanes: dict[str, str]) -> str:
+    """SQL of CTEs that order ``rows`` (profile_id, job_id, score, unpenalized): ``lane_place`` has a row for each, with its
+    place. lanes: lane -> condition, in order. Each lane takes from what the ones before have left."""
+    parts, before = [], "select null::bigint as profile_id, null::bigint as job_id, null::bigint as pos where false"
+    for k, (lane, condition) in enumerate(lanes.items()):
+        by = "unpenalized" if lane == "exploration" else "score"
+        left = f"not exists (select 1 from got{k} g where g.profile_id = f.profile_id and g.job_id = f.job_id)"
+        parts.append(f"got{k} as materialized ({before})")
+        parts.append(f"of{k} as (select f.profile_id, f.job_id, row_number() over (partition by f.profile_id order by f.{by} desc, f.job_id) as r from {rows} f where {condition} and {left})")
+        before = f"select * from got{k} union all select profile_id, job_id, {k} * 1000000 + r from of{k} where r <= {_quota(lane)}"
+    parts.append(f"got as materialized ({before})")
+    parts.append(f"lane_place as (select f.profile_id, f.job_id, row_number() over (partition by f.profile_id order by g.pos nulls last, f.score desc, f.job_id)::int as place from {rows} f left join got g on g.profile_id = f.profile_id and g.job_id = f.job_id)")
+    return ", ".join(parts)
+
+
+@query(f"""with {_SCORED}, b as (select job_id, profile_id, lane, score::double as unpenalized, greatest(0, score - 8 * (job_id % 4))::double as score from scored),
+  {lane_order('b', {'transferable_duty': 'lane', 'exploration': 'lane'})} select profile_id, job_id, place from lane_place""")
 def lane_quota_rank(t: Tables) -> DataFrame:
-    # Only transferable_duty (6) and then exploration (2) hold rows here, and both hold the same ones.
+    # Every fourth row has no penalty; transferable_duty and then exploration hold the same rows.
     scored = scoring.match_scores(scoring.term_matches(t.job, _keywords(t)))
-    return scoring.lane_quota_order(scored)
+    left = F.greatest(F.lit(0), F.col("score") - 8 * (F.col("job_id") % 4))
+    scored = scored.select("profile_id", "job_id", "lanes", F.col("score").cast("double").alias("unpenalized"), left.cast("double").alias("score"))
+    return scoring.lane_quota_order(scored, overrides=quota_overrides(t))
 
 
 @query("""with keyed as (select *, concat_ws('|', """ + ", ".join(_NORM.format(c) for c in ("title", "employer", "location")) + """, strftime(published_at, '%Y-%m-%d')) as k from job),
