@@ -44,18 +44,20 @@ def job_tokens(jobs: DataFrame) -> DataFrame:
     return written(each.select("job_id", token.alias("token"), *(c.alias(k) for k, c in stands.items())))
 
 
-def phrases_in(rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(job_id, phrase): phrases (words joined by single spaces) that stand in rows (job_id, words array) as whole words.
+def phrases_in(rows: DataFrame, phrases: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(job_id, phrase) and the columns ``keep`` of rows: phrases (words joined by single spaces) that stand in rows
+    (job_id, words array) as whole words.
 
     Runs of words, as long as any phrase is, meet the phrases; these are broadcast if they are few, so that no run of a
     text is shuffled that is no phrase."""
     wanted = phrases.select("phrase").where("phrase <> ''").distinct()
     lengths = wanted.agg(F.collect_set(F.size(F.split("phrase", " "))).alias("_lengths"))
-    rows = rows.select("job_id", F.col("words").alias("_w")).crossJoin(F.broadcast(lengths))
+    kept = keep or []
+    rows = rows.select("job_id", *kept, F.col("words").alias("_w")).crossJoin(F.broadcast(lengths))
     none = F.array().cast("array<string>")
     runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(none)
-    grams = rows.select("job_id", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", runs)))).alias("phrase"))
-    return grams.join(small(wanted), "phrase").select("job_id", "phrase")
+    grams = rows.select("job_id", *kept, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", runs)))).alias("phrase"))
+    return grams.join(small(wanted), "phrase").select("job_id", *kept, "phrase")
 
 
 def words_within(tokens: DataFrame, words: DataFrame) -> DataFrame:

@@ -1,22 +1,20 @@
-"""The whole match: pools, term scores, gates, vectors, travel, lane order, ranks per profile."""
+"""The whole match over the driver's tables: their documents as jobs, their benchmark as wishes of profiles."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import gates, ranking, scoring
-from ..sources import tables
+from ..functions import listing as L
+from ..operators import matching
 from .binding import Tables
 
 
-
 def as_of() -> Column:
     """The moment that stands for now."""
     return F.lit("2024-03-20 00:00:00").cast("timestamp_ntz")
 
 
-
 ROUTES = [("Oulu, Finland", 600, 8.0), ("Ylivieska, Finland", 5400, 130.0), ("Kuopio, Finland", 14400, 290.0), ("Helsinki, Finland", 21600, 610.0), ("Kempele, Finland", 1500, 12.0), ("Kuopio, Suomi", 7200, 290.0)]
 
 
@@ -25,27 +23,83 @@ def routes(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(ROUTES, "destination string, duration_s long, km double")
 
 
-def recommendations(t: Tables, per_profile: int = 50) -> DataFrame:
-    """(profile_id, job_id, score, travel, place): the best listings of every profile.
-
-    One shuffle by (job, profile) for the matches and one by profile for the ranks; gates are decided per job, before
-    they meet the matches, and the text is tokenised once."""
-    jobs = tables.spread(gates.freshness(t.job.where("status = 'active'"), as_of()).where("eligible"))
-    matches = scoring.term_matches(jobs, t.profile_term.select("profile_id", F.lit("keyword").alias("field"), "term"))
-    counted = scoring.match_scores(matches)
-    failed = gates.language_gate(jobs, t.spark.createDataFrame([("en", "reject"), ("fi", "pass")], "code string, rule string")).groupBy("job_id").agg(F.bool_or(F.col("verdict") == "fail").alias("language_failed"), F.bool_or(F.col("verdict") == "caution").alias("language_review"))
-    missing = jobs.select("job_id", F.col("location").isNotNull().alias("has_location"), F.size(gates.missing_qualifications(F.lower(F.concat_ws(" ", "title", "employer", "description")))).alias("missing_n"))
-    none = {"negative_n": F.lit(0), "caution_n": F.lit(0), "exclusion_penalty": F.lit(0), "qualification_reject": F.lit(False), "qualification_caution": F.lit(False)}
-    facts = counted.select("job_id", "profile_id").join(missing, "job_id").join(failed, "job_id", "left").withColumns(none)
-    scored = scoring.deterministic_scores(counted, facts)
-    vectors = t.embeddings.select(F.col("vec_id").alias("job_id"), "embedding")
-    # One row: what the first label's vectors have in common.
-    wish = scoring.centroids(t.embeddings.where("label = 0").withColumn("one", F.lit(1)), "one").select("centroid")
-    near = vectors.crossJoin(F.broadcast(wish)).select("job_id", scoring.cosine(F.col("embedding"), F.col("centroid")).alias("vector"))
-    similar = scored.select("job_id", "profile_id").join(near, "job_id").withColumns({"preference": F.lit(None).cast("double"), "anti": F.lit(None).cast("double")})
-    merged = ranking.semantic_merge(scored, similar).where("passes")
-    travel = ranking.travel_scores(jobs, routes(t), "Oulu").select("job_id", F.col("status").alias("travel"), "adjustment")
-    final = merged.join(travel, "job_id").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") + F.col("adjustment"))))
-    # Lanes, lists and ranks read it: written once.
-    final = tables.written(final.select("profile_id", "job_id", "score", "lanes", "travel"))
-    return scoring.lane_quota_order(final, keep=["score", "travel"]).where(F.col("place") <= per_profile).select("profile_id", "job_id", "score", "travel", "place")
+#: What a profile's term is to it, by the slot of the term.
+SLOTS = ["title", "keyword", "history_title", "history_keyword", "learned_title", "learned_keyword", "sector", "keyword", "title", "negative", "caution", "exclusion"]
+TOWNS = ["Oulu", "Ylivieska", "Kuopio"]
+LANGUAGES = [("fi", "pass"), ("en", "reject"), ("sv", "above_b2")]
+CAPS = {"recent": 60, "local": 40, "remote": 50, "discovery": 120}
+REVIEWS, BUDGET, VECTORS = 20, 8, 100
+
+
+def slot() -> Column:
+    return F.get(F.array(*map(F.lit, SLOTS)), ((F.length("term") * 3 + F.col("profile_id")) % len(SLOTS)).cast("int"))
+
+
+def town() -> Column:
+    return F.get(F.array(*map(F.lit, TOWNS)), (F.col("profile_id") % len(TOWNS)).cast("int"))
+
+
+def profiles(t: Tables) -> matching.Profiles:
+    """Profiles of the benchmark: what each of its words is to the profile follows from its length."""
+    from .listings import discovery_terms, quota_overrides
+
+    own = t.profile_term.select("profile_id", slot().alias("field"), "term")
+    ids = t.profile_term.select("profile_id").distinct()
+    of = lambda field: own.where(F.col("field") == field).select("profile_id", F.col("term").alias("value"))
+    says = lambda pattern: F.regexp_extract(F.lower("text"), pattern, 1)
+    texts = t.benchmark.select(F.col("item_id").alias("profile_id"), says("^[^0-9a-zåäö]*([0-9a-zåäö]+ [0-9a-zåäö]+)").alias("first"), says("([0-9a-zåäö]+)[^0-9a-zåäö]*$").alias("last")).distinct()
+    place = lambda field, name, where: ids.where(where).select("profile_id", F.lit(field).alias("field"), name.alias("term"))
+    places = place("location", F.lower(town()), "true").union(place("history_location", F.lit("kuopio"), "profile_id % 2 = 0")).union(place("learned_location", F.lit("helsinki"), "profile_id % 3 = 0"))
+    kind = lambda rows, name: rows.select("profile_id", F.lit(name).alias("kind"), "value")
+    firms = ids.select("profile_id", F.concat(F.lit("EMP"), (F.col("profile_id") % 37).cast("string")).alias("value"))
+    wishes = t.embeddings.select(F.col("vec_id").alias("profile_id"), F.col("embedding").alias("vector")).join(ids, "profile_id")
+    return matching.Profiles(
+        ids=ids, terms=own.where(~F.col("field").isin("negative", "caution", "exclusion")).union(places), towns=ids.select("profile_id", town().alias("town")),
+        phrases=discovery_terms(t).select("profile_id", "term"), learned=texts.select("profile_id", F.col("first").alias("phrase")),
+        negatives=kind(of("negative").where(F.length("value") >= 10), "keyword").union(kind(texts.select("profile_id", F.col("last").alias("value")), "title")),
+        cautions=of("caution"), exclusions=kind(of("exclusion"), "term").union(kind(firms, "employer")).union(kind(texts.select("profile_id", F.col("first").alias("value")), "sector")),
+        quotas=quota_overrides(t), likings=matching.likings(_vectors(t), wishes, t.feedback))
+
+
+def _vectors(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("job_id"), "embedding")
+
+
+def postings(t: Tables) -> DataFrame:
+    """Jobs whose texts say something of qualifications and languages."""
+    from .verdicts import _SAID, _chosen, _demanding
+
+    said = _demanding(t).withColumn("description", F.concat("description", F.lit(" "), _chosen(_SAID)))
+    key = L.identity(title=F.col("title"), employer=F.col("employer"), n_chars=F.col("n_chars"))
+    return said.select("job_id", "status", "title", "employer", "description", "location", "published_at", "expires_at", key.alias("review_key"))
+
+
+def stored(t: Tables) -> DataFrame:
+    """Recommendations of an earlier match; of every fifth the text has changed since its review."""
+    from .verdicts import _chosen, _demanding
+
+    key = L.identity(title=F.col("title"), employer=F.col("employer"), n_chars=F.when(F.col("job_id") % 5 == 0, -1).otherwise(F.col("n_chars")))
+    jobs = _demanding(t).select("job_id", key.alias("review_key"))
+    k = F.col("rec_id")
+    rows = t.rec.select(
+        "profile_id", "job_id", F.col("machine_score").cast("double").alias("score"), (k % 50).cast("int").alias("rank"), F.lit("earlier").alias("rationale"), (k % 5 != 0).alias("active"),
+        F.when(F.col("review_score").isNotNull(), k).alias("evaluation_id"), "action", _chosen([None, "strong", "not_applicable", "fair", "strong"], "rec_id").alias("tier"), "review_score")
+    return rows.join(jobs, "job_id")
+
+
+def recommendations(t: Tables) -> DataFrame:
+    """Every recommendation after the match, see matching.run."""
+    policy = matching.Policy(
+        as_of(), t.spark.createDataFrame(LANGUAGES, "code string, rule string"), _checks(t), routes(t), "Oulu", CAPS, VECTORS, REVIEWS, BUDGET)
+    feedback = t.feedback.select("profile_id", "job_id", "rating", "applied", F.when(F.col("feedback_id") % 7 == 0, "not_relevant").otherwise("other").alias("action"))
+    rows = matching.run(postings(t), profiles(t), _vectors(t), stored(t), feedback, policy)
+    return rows.select(
+        "profile_id", "job_id", "pool", "outcome", "score", "unpenalized", F.array_join("lanes", ",").alias("lanes"), F.array_join("hard_reasons", ",").alias("reasons"), "travel", "place", "near_place", "either_place",
+        "rank", "refresh", "bucket", "review_place", "review", "active", "shown_rank", "shown_near", "shown_either")
+
+
+def _checks(t: Tables) -> DataFrame:
+    from .verdicts import _CHECKS
+
+    lists = ", ".join(f"{c} array<string>" for c in ("title_or_text", "reject", "adjacent", "caution", "required"))
+    return t.spark.createDataFrame(_CHECKS, f"name string, {lists}, never_by_title boolean")

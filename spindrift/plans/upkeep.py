@@ -204,31 +204,3 @@ def _links(t: Tables) -> DataFrame:
 def _families(t: Tables) -> DataFrame:
     rows = [("alpha", "https://alpha.example.org/jobs/%", "%/jobs/job/%", "https://alpha.example.org/jobs/job/"), ("beta", "%", "https://beta.example.org/%", "https://beta.example.org/details/?id=")]
     return t.spark.createDataFrame(rows, "source string, like_ string, unlike string, prefix string")
-
-
-_LANGUAGE = f"{_any('x', fixed.LANGUAGE_NAMES['en'])} and {_any('x', fixed.LANGUAGE_CONTEXT)} and not {_any('x', fixed.NEGATION_MARKERS)} and not {_any('x', fixed.OPTIONAL_MARKERS)} and ({_any('x', fixed.STRONG_MARKERS)} or {_any('x', fixed.NATIVE_MARKERS + fixed.EXCELLENT_MARKERS)}) and not ((contains(x, ' tai ') or contains(x, ' or ')) and {_any('x', fixed.LANGUAGE_NAMES['fi'])})"
-_MISSING = "(" + " or ".join([f"regexp_matches(x, '{'|'.join(p)}')" for p in fixed.QUALIFICATION_PATTERNS.values()] + [f"contains(' ' || {_NORM.format('x')} || ' ', ' {p} ')" for p in fixed.QUALIFICATION_PHRASES]) + ")"
-_SCORE_ORDER = "order by score desc, job_id"
-_PIPELINE = f"""with {_MATCHES}, ok as (select job_id, location, title, employer, description from job where status = 'active' and not coalesce(expires_at < timestamp '2024-03-20', false) and coalesce(date_diff('microsecond', published_at, timestamp '2024-03-20') / 86400000000.0 <= 30, true)),
-  miss as (select job_id from (select job_id, lower(concat_ws(' ', title, employer, description)) as x from ok) where {_MISSING}),
-  lang as (select distinct job_id from (select job_id, lower(trim(unnest(string_split_regex(coalesce(title, '') || '. ' || description, '[.!?\n;]+')))) as x from ok) where {_LANGUAGE}),
-  n as (select job_id, profile_id, count(*) as k from hits join ok using (job_id) group by all),
-  det as (select n.*, greatest(0, least(n.k, 8) * 5 - case when m.job_id is not null then 40 else 0 end)::double as s0, m.job_id is not null as missing, l.job_id is not null as spoken from n left join miss m using (job_id) left join lang l using (job_id)),
-  q as (select list(x order by i) as w from (select i, avg(x) as x from (select unnest(range(64)) as i, unnest(embedding)::double as x from embeddings where label = 0) group by i)),
-  v as (select vec_id as job_id, greatest(0.0, least(1.0, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * w[i])) / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) * list_sum(list_transform(w, lambda x: x * x))))) as v from embeddings, q),
-  sem as (select d.job_id, d.profile_id, k, v, case when v is null then s0 else greatest(s0, round(15 + v * 20, 2)) end as s1, not missing and not spoken and (s0 >= 15 or coalesce(v >= 0.56, false)) as passes, coalesce(v >= 0.56, false) as near from det d left join v using (job_id)),
-  p as (select job_id, list_transform(list_filter(list_transform(string_split(regexp_replace(location, ' / (Etä|Hybridi)$', ''), ','), lambda x: trim(x)), lambda x: x <> 'Suomi'), lambda x: x || ', Finland') as places, location from ok),
-  b as (select job_id, min(duration_s) as t from (select job_id, unnest(places) as destination from p) join {_ROUTES} using (destination) group by job_id),
-  trip as (select p.job_id, case when list_contains(places, 'Oulu, Finland') then 'exact_home_city' when location like '%/ Etä' then 'full_remote' when len(places) = 0 then 'vague' when t is null then 'unknown' when t <= 7200 then 'within_limit' when location like '%/ Hybridi' then 'hybrid' else 'over_limit' end as travel, t from p left join b using (job_id)),
-  fin as (select s.job_id, s.profile_id, near, k >= 2 as duty, travel, greatest(0.0, least(100.0, s1 + case travel when 'exact_home_city' then 12 when 'full_remote' then 15 when 'vague' then -5 when 'unknown' then -5 when 'within_limit' then case when t <= 2700 then 10 when t <= 5400 then 6 else 3 end when 'hybrid' then -8 else -15 end)) as score from sem s join trip using (job_id) where passes),
-  a1 as (select profile_id, job_id, row_number() over (partition by profile_id {_SCORE_ORDER}) as r from fin where near), t1 as (select profile_id, job_id, r from a1 where r <= 8),
-  a2 as (select f.profile_id, f.job_id, row_number() over (partition by f.profile_id order by f.score desc, f.job_id) as r from fin f where duty and not exists (select 1 from t1 where t1.profile_id = f.profile_id and t1.job_id = f.job_id)), t2 as (select profile_id, job_id, 10 + r as r from a2 where r <= 6),
-  u as (select * from t1 union all select * from t2), a3 as (select f.profile_id, f.job_id, row_number() over (partition by f.profile_id order by f.score desc, f.job_id) as r from fin f where (duty or near) and not exists (select 1 from u where u.profile_id = f.profile_id and u.job_id = f.job_id)),
-  w as (select * from u union all select profile_id, job_id, 20 + r from a3 where r <= 2),
-  o as (select f.*, row_number() over (partition by f.profile_id order by w.r nulls last, f.score desc, f.job_id)::int as place from fin f left join w on w.profile_id = f.profile_id and w.job_id = f.job_id)
-  select profile_id, job_id, score, travel, place from o where place <= 50"""
-
-
-@query(_PIPELINE)
-def match_pipeline(t: Tables) -> DataFrame:
-    return flagship.recommendations(t)
