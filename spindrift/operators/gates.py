@@ -111,10 +111,11 @@ def language_gate(jobs: DataFrame, languages: DataFrame, text: str = "descriptio
     return hit.where(~F.coalesce(instead, F.lit(False))).groupBy("job_id", "code").agg(F.min_by(verdict, "pos").alias("verdict"), F.min("pos").alias("pos"))
 
 
-def missing_qualifications(text: Column) -> Column:
-    """Sorted labels of qualifications that a folded text demands."""
+def missing_qualifications(text: Column, plain: Column | None = None) -> Column:
+    """Sorted labels of qualifications that a folded text demands. plain: the text normalised, if it is there already."""
+    plain = T.normalized(text) if plain is None else plain
     hits = [F.when(F.rlike(text, F.lit("|".join(p))), F.lit(label)) for label, p in fixed.QUALIFICATION_PATTERNS.items()]
-    hits += [F.when(T.has_phrase(T.normalized(text), F.lit(p)), F.lit(p)) for p in fixed.QUALIFICATION_PHRASES]
+    hits += [F.when(T.has_phrase(plain, F.lit(p)), F.lit(p)) for p in fixed.QUALIFICATION_PHRASES]
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 

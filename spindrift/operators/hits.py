@@ -55,7 +55,7 @@ def phrases_in(rows: DataFrame, phrases: DataFrame, keep: list[str] | None = Non
     kept = keep or []
     rows = rows.select("job_id", *kept, F.col("words").alias("_w")).crossJoin(F.broadcast(lengths))
     none = F.array().cast("array<string>")
-    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(none)
+    runs = lambda n: F.when(n == 1, F.col("_w")).when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(none)
     grams = rows.select("job_id", *kept, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", runs)))).alias("phrase"))
     return grams.join(small(wanted), "phrase").select("job_id", *kept, "phrase")
 

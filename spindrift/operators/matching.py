@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..sources.tables import written
+from ..functions import listing, text as T
+from ..sources.tables import count_written, dealt, drop_written, spread, written
 from . import gates, hits, ranking, scoring, state, upkeep
 
 PAIR = ["profile_id", "job_id"]
@@ -79,16 +79,17 @@ def job_facts(jobs: DataFrame, policy: Policy) -> DataFrame:
         F.bool_or(F.col("verdict") == "fail").alias("language_failed"), F.bool_or(F.col("verdict") == "caution").alias("language_review"))
     checked = gates.qualification_gate(jobs, policy.checks).groupBy("job_id").agg(
         F.bool_or(F.col("verdict") == "reject").alias("qualification_reject"), F.bool_or(F.col("verdict") == "caution").alias("qualification_caution"))
-    missing = F.size(gates.missing_qualifications(T.normalized(F.concat_ws(" ", "title", "employer", "description"))))
+    missing = F.size(gates.missing_qualifications(F.col("_n"), F.col("_n")))
     has = F.coalesce(F.col("location") != "", F.lit(False))
-    own = gates.freshness(jobs, policy.as_of).select("job_id", has.alias("has_location"), missing.alias("missing_n"), "eligible", "reason")
+    # Normalised once: a column that several expressions read stays one.
+    own = gates.freshness(jobs, policy.as_of).withColumn("_n", T.normalized(F.concat_ws(" ", "title", "employer", "description")))
+    own = own.select("job_id", has.alias("has_location"), missing.alias("missing_n"), "eligible", "reason")
     return own.join(spoken, "job_id", "left").join(checked, "job_id", "left")
 
 
 def scored_pairs(pairs: DataFrame, jobs: DataFrame, profiles: Profiles, vectors: DataFrame, policy: Policy) -> DataFrame:
     """Every pair (profile_id, job_id, pool; null for one that is stored only) with its score of all fields, gates,
-    vectors and travel: score, unpenalized, lanes, passes, hard_eligible, hard_reasons, vector_score, travel,
-    commutable, full_remote.
+    vectors and travel: score, unpenalized, lanes, passes, hard_eligible, hard_reasons, vector_score.
 
     Texts stay on the side of the jobs: they are cut into tokens once, and what is found is joined by id."""
     tokens = hits.job_tokens(jobs)
@@ -108,11 +109,10 @@ def scored_pairs(pairs: DataFrame, jobs: DataFrame, profiles: Profiles, vectors:
         "passes": F.col("passes") & fresh, "hard_eligible": F.col("hard_eligible") & fresh,
         "hard_reasons": F.when(fresh, F.col("hard_reasons")).otherwise(F.array_append("hard_reasons", F.col("reason")))})
     merged = ranking.semantic_merge(scored, _similar(pairs, profiles.likings, vectors, policy.vectors))
-    travel = ranking.travel_scores(jobs, policy.routes, policy.home).select("job_id", F.col("status").alias("travel"), "adjustment", "commutable", "full_remote")
+    travel = ranking.travel_scores(jobs, policy.routes, policy.home).select("job_id", "adjustment")
     merged = merged.join(scored.select(*PAIR, "pool", "hard_reasons"), PAIR).join(travel, "job_id")
     moved = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") + F.col("adjustment"))), 2)
-    return merged.withColumn("score", moved).select(
-        *PAIR, "pool", "score", "unpenalized", "lanes", "passes", "hard_eligible", "hard_reasons", "vector_score", "travel", "commutable", "full_remote")
+    return merged.withColumn("score", moved).select(*PAIR, "pool", "score", "unpenalized", "lanes", "passes", "hard_eligible", "hard_reasons", "vector_score")
 
 
 def _similar(pairs: DataFrame, likings: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
@@ -141,20 +141,26 @@ def likings(vectors: DataFrame, wishes: DataFrame, feedback: DataFrame) -> DataF
 def run(jobs: DataFrame, profiles: Profiles, vectors: DataFrame, stored: DataFrame, feedback: DataFrame, policy: Policy) -> DataFrame:
     """The table of recommendations after a match, a row for each pair that was stored or passes.
 
-    jobs: job_id, status, title, employer, description, location, published_at, expires_at, review_key (what a review of
-    it depends on). vectors: job_id, embedding. stored: profile_id, job_id, score, rank, rationale, active,
-    evaluation_id, action, tier, review_score, review_key. feedback: profile_id, job_id, rating, action, applied.
-
-    Candidates of all pools and all stored pairs are scored once, in one table that every later step reads. Candidates
-    that pass stand in lane order and are upserted; stored rows are held against the new verdict and against the key of
-    their review; of those that may be reviewed each bucket takes its share, and reviews that still hold are not made
-    again; what has a valid review is shown, in the order of reviews."""
-    pairs = candidates(jobs.where("status = 'active'"), profiles, policy.caps).join(stored.select(*PAIR), PAIR, "full").select(*PAIR, "pool")
+    jobs: job_id, status, title, employer, description, location, published_at, expires_at, review_key (what verdict and
+    review of it depend on). vectors: job_id, embedding. stored: profile_id, job_id, score, rank, rationale, active,
+    hard_eligible, evaluation_id, action, tier, review_score, review_key. feedback: profile_id, job_id, rating, action,
+    applied.
+
+    Candidates of all pools are scored, and of the stored pairs those whose key is another now; the others keep the
+    verdict that they had, but for their dates. All is in one table that every later step reads. Candidates that pass
+    stand in lane order and are upserted; of those that may be reviewed each bucket takes its share, and reviews that
+    still hold are not made again; what has a valid review is shown, in the order of reviews."""
+    since, jobs = count_written(), spread(jobs)
+    keys = jobs.select("job_id", F.col("review_key").alias("_key"))
+    changed = stored.join(keys, "job_id").where(~F.col("review_key").eqNullSafe(F.col("_key")))
+    pairs = candidates(jobs.where("status = 'active'"), profiles, policy.caps).join(changed.select(*PAIR), PAIR, "full").select(*PAIR, "pool")
     # Read by every fact, and by the scores: written once.
     pairs = written(pairs)
-    needed = written(jobs.join(pairs.select("job_id").distinct(), "job_id", "left_semi"))
+    needed = written(dealt(jobs.join(pairs.select("job_id").distinct(), "job_id", "left_semi"), "job_id"))
     scored = written(scored_pairs(pairs, needed, profiles, vectors, policy))
-    passing = scored.where("pool is not null and passes")
+    travel = ranking.travel_scores(jobs, policy.routes, policy.home).select("job_id", F.col("status").alias("travel"), "commutable", "full_remote")
+    travel = travel.join(keys, "job_id").join(gates.freshness(jobs, policy.as_of).select("job_id", "eligible", "reason"), "job_id")
+    passing = scored.where("pool is not null and passes").join(travel, "job_id")
     placed = scoring.lane_quota_order(passing, keep=["score", "commutable", "full_remote"], overrides=profiles.quotas)
     near, either = F.col("commutable"), F.col("commutable") | F.col("full_remote")
     along = Window.partitionBy("profile_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -162,17 +168,50 @@ def run(jobs: DataFrame, profiles: Profiles, vectors: DataFrame, stored: DataFra
     placed = placed.select(*PAIR, "score", "place", count(near).alias("near_place"), count(either).alias("either_place"))
     after = upkeep.recommendation_upsert(placed.select(*PAIR, "score", F.col("place").alias("rank"), F.lit("match").alias("rationale")), stored, feedback, activate=False)
     hidden = feedback.where("rating <= 1 or action = 'not_relevant'").select(*PAIR, F.lit(True).alias("hidden")).distinct()
-    told = stored.select(*PAIR, "evaluation_id", "action", "tier", "review_score", F.col("review_key").alias("_had"))
-    rows = after.join(scored.drop("score", "passes", "vector_score"), PAIR, "left").join(placed.drop("score"), PAIR, "left").join(told, PAIR, "left").join(hidden, PAIR, "left")
-    rows = rows.join(needed.select("job_id", F.col("review_key").alias("_key")), "job_id", "left")
-    reviewed, same = F.col("evaluation_id").isNotNull(), F.col("_had").eqNullSafe(F.col("_key"))
-    reason = F.when(~F.coalesce("hard_eligible", F.lit(False)), "hard_reject").when(reviewed & ~same, "changed")
-    rows = rows.withColumns({"refresh": reason, "current": reviewed & same, "hidden": F.coalesce("hidden", F.lit(False))})
+    told = stored.select(*PAIR, "evaluation_id", "action", "tier", "review_score", F.col("review_key").alias("_had"), F.col("hard_eligible").alias("_could"))
+    verdicts = scored.select(*PAIR, "pool", "unpenalized", "lanes", "hard_eligible", "hard_reasons")
+    rows = after.join(verdicts, PAIR, "left").join(placed.drop("score"), PAIR, "left").join(told, PAIR, "left").join(hidden, PAIR, "left").join(travel, "job_id", "left")
+    reviewed, same, fresh = F.col("evaluation_id").isNotNull(), F.col("_had").eqNullSafe(F.col("_key")), F.coalesce("eligible", F.lit(False))
+    kept = F.coalesce("_could", F.lit(False)) & fresh
+    reasons = F.array_compact(F.array(F.when(~F.coalesce("_could", F.lit(False)), "earlier"), F.when(~fresh, F.col("reason"))))
+    rows = rows.withColumns({"hard_eligible": F.coalesce("hard_eligible", kept), "hard_reasons": F.coalesce("hard_reasons", reasons), "current": reviewed & same, "hidden": F.coalesce("hidden", F.lit(False))})
+    rows = rows.withColumn("refresh", F.when(~F.col("hard_eligible"), "hard_reject").when(reviewed & ~same, "changed"))
     rows = written(rows.select(*PAIR, "pool", "outcome", "score", "unpenalized", "lanes", "hard_eligible", "hard_reasons", "travel", "commutable", "full_remote", "place", "near_place", "either_place",
                                "rank", "evaluation_id", "action", "tier", "review_score", "refresh", "current", "hidden"))
+    # The result reads the last table only.
+    drop_written(rows.sparkSession, since, keep=1)
     return rows.join(_reviews(rows, policy), PAIR, "left").join(_shown(rows), PAIR, "left").withColumn("active", F.col("shown_rank").isNotNull())
 
 
+def reconciled(stored: DataFrame, jobs: DataFrame, profiles: Profiles, vectors: DataFrame, policy: Policy, policy_key: str) -> DataFrame:
+    """stored with the verdict that holds now: profile_id, job_id, key, score, hard_eligible, hard_reasons, touched, refresh.
+
+    stored: profile_id, job_id, score, hard_eligible, hard_reasons, key: ``verdict_key`` of what it was made from. jobs: as
+    in run; profiles.ids also has profile_key. Only rows whose key is another now, by job, profile or policy, are scored
+    again; the result is that of scoring all, as a verdict depends on nothing else. ``refresh`` is ``hard_reject`` for what
+    is ruled out, ``changed`` for other touched rows, null where all holds. Rows of jobs or profiles that are gone are
+    ruled out with the reason ``gone``."""
+    expected = F.when(F.col("_job").isNotNull() & F.col("_profile").isNotNull(), verdict_key(F.col("_job"), F.col("_profile"), policy_key))
+    now = jobs.select("job_id", F.col("review_key").alias("_job")), profiles.ids.select("profile_id", F.col("profile_key").alias("_profile"))
+    rows = stored.join(now[0], "job_id", "left").join(hits.small(now[1]), "profile_id", "left").withColumn("_key", expected)
+    rows = written(rows.withColumn("touched", ~F.col("key").eqNullSafe(F.col("_key"))))
+    again = rows.where("touched and _key is not null").select(*PAIR, F.lit(None).cast("string").alias("pool"))
+    needed = written(dealt(jobs.join(again.select("job_id").distinct(), "job_id", "left_semi"), "job_id"))
+    fresh = scored_pairs(again, needed, profiles, vectors, policy).select(*PAIR, F.struct("score", "hard_eligible", "hard_reasons").alias("n"))
+    out = rows.join(fresh, PAIR, "left")
+    gone = F.col("_key").isNull()
+    pick = lambda c: F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c))
+    able = ~gone & pick("hard_eligible")
+    why = F.when(gone, F.array(F.lit("gone"))).otherwise(pick("hard_reasons"))
+    refresh = F.when(~able, "hard_reject").when(F.col("touched"), "changed")
+    return out.select(*PAIR, F.col("_key").alias("key"), pick("score").alias("score"), able.alias("hard_eligible"), why.alias("hard_reasons"), "touched", refresh.alias("refresh"))
+
+
+def verdict_key(job: Column, profile: Column, policy: str) -> Column:
+    """What a verdict was made from."""
+    return listing.identity(job=job, profile=profile, policy=F.lit(policy))
+
+
 def _reviews(rows: DataFrame, policy: Policy) -> DataFrame:
     """(profile_id, job_id, bucket, review_place, review): what is reviewed, by which bucket, and whether a review that
     holds is there (hit), is made (evaluate) or waits (deferred)."""

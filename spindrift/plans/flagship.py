@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import listing as L
 from ..operators import matching
+from ..sources.tables import dealt, written
 from .binding import Tables
 
 
@@ -82,22 +85,46 @@ def stored(t: Tables) -> DataFrame:
     jobs = _demanding(t).select("job_id", key.alias("review_key"))
     k = F.col("rec_id")
     rows = t.rec.select(
-        "profile_id", "job_id", F.col("machine_score").cast("double").alias("score"), (k % 50).cast("int").alias("rank"), F.lit("earlier").alias("rationale"), (k % 5 != 0).alias("active"),
+        "profile_id", "job_id", F.col("machine_score").cast("double").alias("score"), (k % 50).cast("int").alias("rank"), F.lit("earlier").alias("rationale"), (k % 5 != 0).alias("active"), (~F.col("hard_rejected")).alias("hard_eligible"),
         F.when(F.col("review_score").isNotNull(), k).alias("evaluation_id"), "action", _chosen([None, "strong", "not_applicable", "fair", "strong"], "rec_id").alias("tier"), "review_score")
     return rows.join(jobs, "job_id")
 
 
 def recommendations(t: Tables) -> DataFrame:
     """Every recommendation after the match, see matching.run."""
-    policy = matching.Policy(
-        as_of(), t.spark.createDataFrame(LANGUAGES, "code string, rule string"), _checks(t), routes(t), "Oulu", CAPS, VECTORS, REVIEWS, BUDGET)
     feedback = t.feedback.select("profile_id", "job_id", "rating", "applied", F.when(F.col("feedback_id") % 7 == 0, "not_relevant").otherwise("other").alias("action"))
-    rows = matching.run(postings(t), profiles(t), _vectors(t), stored(t), feedback, policy)
+    rows = matching.run(postings(t), profiles(t), _vectors(t), stored(t), feedback, _policy(t))
     return rows.select(
         "profile_id", "job_id", "pool", "outcome", "score", "unpenalized", F.array_join("lanes", ",").alias("lanes"), F.array_join("hard_reasons", ",").alias("reasons"), "travel", "place", "near_place", "either_place",
         "rank", "refresh", "bucket", "review_place", "review", "active", "shown_rank", "shown_near", "shown_either")
 
 
+def _policy(t: Tables, vectors: int = VECTORS) -> matching.Policy:
+    return matching.Policy(as_of(), t.spark.createDataFrame(LANGUAGES, "code string, rule string"), _checks(t), routes(t), "Oulu", CAPS, vectors, REVIEWS, BUDGET)
+
+
+def edited(jobs: DataFrame) -> DataFrame:
+    """The jobs after an edit of every seventh: the title of some names a profession that rules them out, of others the
+    text begins anew."""
+    k = F.col("job_id")
+    title = F.when(k % 14 == 0, F.concat(F.lit("Hammaslääkäri "), "title")).otherwise(F.col("title"))
+    text = F.when(k % 14 == 7, F.concat(F.lit("Kirjasto. "), "description")).otherwise(F.col("description"))
+    key = F.when(k % 7 == 0, F.concat("review_key", F.lit("+"))).otherwise(F.col("review_key"))
+    return jobs.withColumns({"title": title, "description": text, "review_key": key})
+
+
+def reconciled(t: Tables) -> DataFrame:
+    """Verdicts made of the jobs as they were, held against the jobs after an edit."""
+    # No limit on vectors: a verdict must not depend on which other rows are scored with it.
+    policy, who = _policy(t, 1 << 30), profiles(t)
+    who = dataclasses.replace(who, ids=who.ids.withColumn("profile_key", F.concat(F.lit("p"), F.col("profile_id").cast("string"))))
+    before = dealt(postings(t), "job_id")
+    pairs = t.rec.select("profile_id", "job_id", F.lit(None).cast("string").alias("pool"))
+    key = matching.verdict_key(F.col("review_key"), F.col("profile_key"), "v1")
+    kept = matching.scored_pairs(pairs, before, who, _vectors(t), policy).join(before.select("job_id", "review_key"), "job_id").join(who.ids, "profile_id").withColumn("key", key)
+    return matching.reconciled(written(kept), edited(postings(t)), who, _vectors(t), policy, "v1")
+
+
 def _checks(t: Tables) -> DataFrame:
     from .verdicts import _CHECKS
 

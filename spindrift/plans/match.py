@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import scoring
@@ -31,7 +32,7 @@ _POOLS = f"""{_discovery().replace('from job)', 'from posting)')}, live as (sele
     union all select profile_id, job_id, 3 from (select profile_id, job_id, row_number() over (partition by profile_id order by {_NEWEST}) as r from (select distinct profile_id, job_id from x join terms on phrase <> '' and contains(txt, ' ' || phrase || ' ')) join live using (job_id)) where r <= {flagship.CAPS['discovery']}),
   cand as (select profile_id, job_id, min(pool) as pool from pool group by all),
   had as materialized (select r.*, k.review_key as had_key from rec r join (select job_id, sha256(to_json({{'employer': employer, 'n_chars': case when job_id % 5 = 0 then -1 else n_chars end, 'title': title}})) as review_key from posting) k using (job_id)),
-  pairs as materialized (select coalesce(c.profile_id, h.profile_id) as profile_id, coalesce(c.job_id, h.job_id) as job_id, c.pool from cand c full join had h on c.profile_id = h.profile_id and c.job_id = h.job_id)"""
+  pairs as materialized (select coalesce(c.profile_id, h.profile_id) as profile_id, coalesce(c.job_id, h.job_id) as job_id, c.pool from cand c full join (select * from had where job_id % 5 = 0) h on c.profile_id = h.profile_id and c.job_id = h.job_id)"""
 
 _FIELDS = [*scoring.POINTS, *scoring.LOCATIONS]
 _IN_TITLE, _IN_PLACE = "field in ('title', 'history_title', 'learned_title')", "field in ('location', 'history_location', 'learned_location')"
@@ -109,19 +110,19 @@ _SCORED = f"""{_TRIP}, reach as (select job_id, min(duration_s) as s from (selec
         case when learned then 'learned_discovery' end, case when v >= 0.56 then 'semantic_similarity' end, case when v >= 0.56 and title_n = 0 and not (history or duty or sector) then 'exploration' end], lambda x: x is not null) as lanes,
       allowed and eligible and ((whole >= 15) or coalesce(v >= 0.56, false)) as passes, allowed and eligible as hard_eligible,
       list_filter([case when negative then 'negative_match' end, case when missing then 'missing_qualification' end, case when language_failed then 'language_requirement' end, case when rejected then 'qualification' end, case when not eligible then reason end], lambda x: x is not null) as reasons,
-      travel, commutable, full_remote from merged m join moves using (job_id))"""
+      travel, commutable, full_remote, adjustment from merged m join moves using (job_id))"""
 
 _LANE_SQL = {lane: f"list_contains(lanes, '{lane}')" for lane in fixed.LANE_QUOTAS}
 _AFTER = f"""passing as materialized (select * from scored where pool is not null and passes), {lane_order('passing', _LANE_SQL)},
   running as (select l.*, s.score, case when commutable then sum(commutable::int) over w end::bigint as near_place, case when commutable or full_remote then sum((commutable or full_remote)::int) over w end::bigint as either_place
     from lane_place l join scored s on s.profile_id = l.profile_id and s.job_id = l.job_id window w as (partition by l.profile_id order by place rows unbounded preceding)),
   hidden as (select distinct profile_id, job_id from feedback where rating <= 1 or feedback_id % 7 = 0),
-  joined as (select coalesce(n.profile_id, o.profile_id) as profile_id, coalesce(n.job_id, o.job_id) as job_id, n.job_id is not null as new, o.job_id is not null as old, n.score as ns, n.place, n.near_place, n.either_place, o.* exclude (profile_id, job_id)
+  joined as (select coalesce(n.profile_id, o.profile_id) as profile_id, coalesce(n.job_id, o.job_id) as job_id, n.job_id is not null as new, o.job_id is not null as old, n.score as ns, n.place, n.near_place, n.either_place, o.* exclude (profile_id, job_id, commutable, remote)
     from running n full join had o on n.profile_id = o.profile_id and n.job_id = o.job_id),
-  after as materialized (select b.profile_id, b.job_id, s.pool, case when not new then 'left' when old then 'updated' else 'inserted' end as outcome, case when new then ns else machine_score::double end as score, s.unpenalized, s.lanes, s.reasons, s.hard_eligible, s.travel, s.commutable, s.full_remote, b.place, b.near_place, b.either_place,
+  after as materialized (select b.profile_id, b.job_id, s.pool, case when not new then 'left' when old then 'updated' else 'inserted' end as outcome, case when new then ns else machine_score::double end as score, s.unpenalized, s.lanes, coalesce(s.reasons, list_filter([case when hard_rejected then 'earlier' end, case when not v.eligible then v.reason end], lambda x: x is not null)) as reasons, coalesce(s.hard_eligible, not hard_rejected and v.eligible) as hard_eligible, m.travel, m.commutable, m.full_remote, b.place, b.near_place, b.either_place,
       case when not new then (rec_id % 50)::int when old and h.job_id is not null then null else b.place end as rank, case when review_score is not null then rec_id end as evaluation_id, action, {_sql_chosen([None, 'strong', 'not_applicable', 'fair', 'strong'], 'rec_id')} as tier, review_score, h.job_id is not null as hid,
-      review_score is not null and b.job_id % 5 <> 0 as current, case when not s.hard_eligible then 'hard_reject' when review_score is not null and b.job_id % 5 = 0 then 'changed' end as refresh
-    from joined b join scored s on s.profile_id = b.profile_id and s.job_id = b.job_id left join hidden h on h.profile_id = b.profile_id and h.job_id = b.job_id)"""
+      review_score is not null and b.job_id % 5 <> 0 as current, case when not coalesce(s.hard_eligible, not hard_rejected and v.eligible) then 'hard_reject' when review_score is not null and b.job_id % 5 = 0 then 'changed' end as refresh
+    from joined b left join scored s on s.profile_id = b.profile_id and s.job_id = b.job_id join moves m on m.job_id = b.job_id join verdict v on v.job_id = b.job_id left join hidden h on h.profile_id = b.profile_id and h.job_id = b.job_id)"""
 
 _NEAR, _FAR = round(flagship.REVIEWS * 0.4), round(flagship.REVIEWS * 0.2)
 _OPEN = "partition by profile_id order by priority, place"
@@ -145,3 +146,17 @@ _REVIEWED = f"""opened as (select *, case when evaluation_id is null then 0 when
   from after a left join planned p on p.profile_id = a.profile_id and p.job_id = a.job_id left join shown s on s.profile_id = a.profile_id and s.job_id = a.job_id""")
 def match_pipeline(t: Tables) -> DataFrame:
     return flagship.recommendations(t)
+
+
+_EDITED = _POSTING.replace("posting as materialized (select", "unedited as materialized (select", 1).replace("  txt as", """  posting as materialized (select * replace (case when job_id % 14 = 0 then 'Hammaslääkäri ' || title else title end as title,
+    case when job_id % 14 = 7 then 'Kirjasto. ' || description else description end as description) from unedited),
+  txt as""", 1)
+_STORED = "pairs as materialized (select profile_id, job_id, null::int as pool from rec)"
+
+
+@query(f"""with {_EDITED}, {_WISHES}, {_STORED}, {_COUNTS}, {_JOBS}, {_PER_PAIR}, {_DETERMINISTIC}, {_VECTORS.replace(f"r <= {flagship.VECTORS}", "true")}, {_SCORED}
+  select profile_id, job_id, score, hard_eligible, array_to_string(reasons, ',') as reasons, job_id % 7 = 0 as touched, case when not hard_eligible then 'hard_reject' when job_id % 7 = 0 then 'changed' end as refresh from scored""")
+def reconcile_publication(t: Tables) -> DataFrame:
+    """Verdicts after an edit of some jobs, of which only these are scored again; the SQL scores all."""
+    rows = flagship.reconciled(t)
+    return rows.select("profile_id", "job_id", "score", "hard_eligible", F.array_join("hard_reasons", ",").alias("reasons"), "touched", "refresh")

@@ -152,15 +152,6 @@ def enrichment_run_counts(t: Tables) -> DataFrame:
     return upkeep.run_counts(rows, "source_id")
 
 
-@query("""with e as (select rec_id, hard_rejected, sha256(to_json({'action': action, 'score': machine_score})) as stored, sha256(to_json({'action': action, 'score': case when rec_id % 9 = 0 then machine_score + 1 else machine_score end})) as expected from rec)
-  select rec_id, not hard_rejected and stored = expected as compatible, case when hard_rejected then 'hard_reject' when stored <> expected then 'changed' end as reason from e""")
-def reconcile_publication(t: Tables) -> DataFrame:
-    again = F.when(F.col("rec_id") % 9 == 0, F.col("machine_score") + 1).otherwise(F.col("machine_score"))
-    rows = t.rec.select("rec_id", "hard_rejected", L.identity(score=F.col("machine_score"), action=F.col("action")).alias("stored"), L.identity(score=again, action=F.col("action")).alias("expected"))
-    reason = F.when(F.col("hard_rejected"), "hard_reject").when(F.col("stored") != F.col("expected"), "changed")
-    return rows.select("rec_id", reason.isNull().alias("compatible"), reason.alias("reason"))
-
-
 _REVIEW = """with r as (select *, case when review_score is null then 0 when n_of % 3 = 0 then 1 else 2 end as priority, row_number() over (partition by profile_id order by machine_score desc, rec_id) as nationwide from (select rec.*, rec_id as n_of from rec) where not hard_rejected),
   c as (select *, 0 as bucket, row_number() over (partition by profile_id order by priority, nationwide, machine_score desc, rec_id desc) as place from r where commutable),
   f as (select *, 1 as bucket, row_number() over (partition by profile_id order by priority, nationwide, machine_score desc, rec_id desc) as place from r where not commutable and remote),

@@ -23,9 +23,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables that written() has made in this process and that are still there.
+_paths: list[str] = []
+
+
+def count_written() -> int:
+    return len(_paths)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that written() has made after the first ``since``, but for the last ``keep``, once no result
+    reads them any more."""
+    gone = _paths[since : len(_paths) - keep]
+    del _paths[since : len(_paths) - keep]
+    _delete(spark, gone)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder, for a result that is read more than once."""
     path = f"{shared_folder(df.sparkSession)}/spindrift-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -37,6 +54,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows in as many partitions as shuffles have, and as there are cores at least, by these columns: for rows
+    whose work outweighs their size, which adaptive execution would put together."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for x in paths:

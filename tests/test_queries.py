@@ -39,7 +39,7 @@ def test_entry(spark):
     import __spark_entry__
 
     got = __spark_entry__.entry(spark)
-    assert got.columns == ["profile_id", "job_id", "score", "travel", "place"] and got.count() > 0
+    assert {"profile_id", "job_id", "score", "travel", "place", "review", "shown_rank"} <= set(got.columns) and got.count() > 0
     assert set(Q.queries()) <= set(__spark_entry__.queries())
 
 
