@@ -441,7 +441,7 @@ def one_of_each(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR)
 
     All columns stay. Of rows with one id the one with the least text stays; null ids are kept.
     """
-    found = written(similar_components(docs, n, similar).where("doc_id is not null"))
+    found = written(similar_components(docs, n, similar, count=False).where("doc_id is not null"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     single = matching(docs, gone.union(repeated).distinct(), "left_anti", "doc_id")
