@@ -24,7 +24,7 @@ def dedupe_key(rows: DataFrame, normalized: object) -> Column:
 def canonical(rows: DataFrame, key: str, *fields: str) -> DataFrame:
     """Merged row per key whatever the order of arrival: of each field the longest trimmed value, of equally
     long ones the least."""
-    best = lambda c: F.min_by(F.trim(c), F.struct(-F.length(F.trim(c)), F.trim(c)))
+    best = lambda c: F.min_by(F.trim(c), F.struct(-F.coalesce(F.length(F.trim(c)), F.lit(-1)), F.trim(c)))
     return rows.groupBy(key).agg(*(best(F.col(c)).alias(c) for c in fields))
 
 

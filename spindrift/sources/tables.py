@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import state
+from .versions import BUCKET_ROWS, Versions
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,41 +68,14 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def _versions(spark: SparkSession, folder: str) -> dict[int, list[int]]:
-    """Versions of each bucket, from the names of folders."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/bucket=*/version=*")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    out: dict[int, list[int]] = {}
-    for f in files or []:
-        bucket, version = (part.split("=")[1] for part in f.getPath().toString().rsplit("/", 2)[1:])
-        out.setdefault(int(bucket), []).append(int(version))
-    return out
-
-
-def current(spark: SparkSession, folder: str, schema, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """Rows of a table as upsert leaves it: of each bucket the newest version, or the newest ``before`` a number."""
-    found = {b: [v for v in vs if before is None or v < before] for b, vs in _versions(spark, folder).items() if buckets is None or b in buckets}
-    paths = [f"{folder}/bucket={b}/version={max(vs)}" for b, vs in found.items() if vs]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def upsert(incoming: DataFrame, folder: str, keys: list[str], order: str, number: int, buckets: int = 32, keep: int = 2) -> None:
-    """Keeps one row per key, the latest by ``order``, in a table in ``folder``, as its version ``number``.
-
-    Rows lie in buckets by their key; only buckets that the incoming rows touch are read and written anew, from the
-    newest version before ``number``, so that a run which is repeated gives the same. ``keep`` versions of a bucket
-    stay, for readers that have begun with an older one."""
-    spark = incoming.sparkSession
-    rows = incoming.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    touched = [r[0] for r in rows.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    old = current(spark, folder, incoming.schema, number, touched)
-    both = rows.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
-    newest = state.latest(both, ["bucket", *keys], order).select(*incoming.columns, "bucket", F.lit(number).alias("version"))
-    newest.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "version").parquet(folder)
-    for bucket, versions in _versions(spark, folder).items():
-        _delete(spark, [f"{folder}/bucket={bucket}/version={v}" for v in sorted(versions)[:-keep]])
+def current(spark: SparkSession, folder: str, schema, before: int | None = None) -> DataFrame:
+    """Rows of a table as upsert leaves it, in its newest version, or the newest before a number."""
+    return Versions(spark, folder).read("rows", schema, before)
+
+
+def upsert(incoming: DataFrame, folder: str, keys: list[str], order: str, number: int, bucket_rows: int = BUCKET_ROWS, keep: int = 2) -> None:
+    """Keeps one row per key, the latest by ``order``, in a table in ``folder``, as its version ``number``; see Versions."""
+    Versions(incoming.sparkSession, folder, bucket_rows).commit(number, {"rows": (incoming, keys, order)}, keep)
 
 
 def report(metrics: DataFrame, folder: str) -> None:

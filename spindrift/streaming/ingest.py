@@ -33,13 +33,13 @@ def rolling_health(events: DataFrame, at: str = "ts") -> DataFrame:
     return counts.agg(F.count_if(level == "ERROR").alias("errors"), F.count_if(level == "CLICK").alias("warnings")).select(F.col("w.start").alias("start"), "source_id", "errors", "warnings")
 
 
-def upsert_each_batch(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str, buckets: int = 32):
+def upsert_each_batch(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str, bucket_rows: int = tables.BUCKET_ROWS):
     """Keeps one row per key, the latest by ``order``, in the table in the folder ``table`` (tables.current reads it).
 
-    A batch writes its own number as the version of the buckets that it touches, so that a batch which runs again after
-    a failure gives the same."""
+    A batch writes its own number as the version of the table, so that a batch which runs again after a failure gives
+    the same; it touches only the buckets that its keys fall into, and these split as they grow."""
     return (
-        stream.writeStream.foreachBatch(lambda batch, number: tables.upsert(batch, table, keys, order, number, buckets))
+        stream.writeStream.foreachBatch(lambda batch, number: tables.upsert(batch, table, keys, order, number, bucket_rows))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

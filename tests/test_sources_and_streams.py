@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from spindrift.operators import state
 from spindrift.plans.binding import Tables
 from spindrift.sources import landed, tables
+from spindrift.sources.versions import Versions
 from spindrift.streaming import ingest
 
 
@@ -121,7 +122,24 @@ def test_upsert_of_versions(spark):
     tables.upsert(make([]), folder, ["k"], "at", 2, 4)
     tables.upsert(make([(3, 3, "c")]), folder, ["k"], "at", 3, 4)
     assert have() == want - {(3, "b")} | {(3, "c")}
-    assert max(len(v) for v in tables._versions(spark, folder).values()) == 2
+    assert Versions(spark, folder).numbers() == [2, 3] and len(os.listdir(f"{folder}/rows")) <= 12
+
+
+def test_buckets_follow_the_rows(spark):
+    folder = tempfile.mkdtemp(dir="/tmp", prefix="spark-") + "/t"
+    table = Versions(spark, folder, 100)
+    make = lambda a, b, v: spark.range(a, b).select(F.col("id").alias("k"), F.lit(v).alias("v"))
+    table.commit(0, {"rows": (make(0, 150, 0), ["k"], "v")})
+    few = table.manifest()["rows"]
+    table.commit(1, {"rows": (make(100, 1500, 1), ["k"], "v")})
+    many = table.manifest()["rows"]
+    assert 2 <= len(few) <= 8 and len(many) >= 8 * len(few) / 2 and max(b.rows for b in many) <= 100
+    assert sum(b.rows for b in many) == 1500 == table.read("rows", "k long, v int").count()
+    assert table.read("rows", "k long, v int").where("v = 0").count() == 100
+    table.commit(2, {"rows": (make(7, 8, 2), ["k"], "v"), "other": (make(0, 3, 0), ["k"], "v")})
+    kept = {b.path for b in table.manifest()["rows"]} & {b.path for b in many}
+    assert len(kept) == len(many) - 1 and table.read("other", "k long, v int").count() == 3
+    assert table.read("other", "k long, v int", before=2).count() == 0 and table.read("none", "k long").count() == 0
 
 
 def test_reports(spark):
