@@ -657,17 +657,6 @@ def learned_state(t: Tables) -> DataFrame:
     return state.learned_verdicts(net.join(before, ["profile_id", "employer"], "left")).select("profile_id", "employer", F.round("net", 4).alias("net"), "verdict")
 
 
-@query(f"""with w as (select f.profile_id, j.employer, sum({_WEIGHT}) as net from feedback f join job j using (job_id) group by all),
-  r as (select *, row_number() over (partition by profile_id order by round(net, 6) desc, employer) as up, row_number() over (partition by profile_id order by round(net, 6), employer) as down from w)
-  select profile_id, employer, case when up <= 5 then 'boost' else 'exclude' end as list from r where up <= 5 or down <= 3""")
-def learned_lists(t: Tables) -> DataFrame:
-    weighed = scoring.decayed_weights(t.feedback, F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")).join(t.job.select("job_id", "employer"), "job_id")
-    net = weighed.groupBy("profile_id", "employer").agg(F.round(F.sum("weight"), 6).alias("net"))
-    per = Window.partitionBy("profile_id")
-    ranked = net.withColumns({"up": F.row_number().over(per.orderBy(F.desc("net"), "employer")), "down": F.row_number().over(per.orderBy("net", "employer"))})
-    return ranked.where("up <= 5 or down <= 3").select("profile_id", "employer", F.when(F.col("up") <= 5, "boost").otherwise("exclude").alias("list"))
-
-
 @query("""select o.k as job_id, string_agg(o.doc_id::varchar, ',' order by o.published_at desc, o.doc_id) as occurrences, count(*) as n from (select n_chars % 150 as k, doc_id, published_at from listing) o group by o.k""")
 def job_detail_nested(t: Tables) -> DataFrame:
     rows = t.listing.select((F.col("n_chars") % 150).alias("job_id"), "doc_id", "published_at")

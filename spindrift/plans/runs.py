@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import collection
-from ..sources.tables import shared_folder
+from ..functions import fixed
+from ..operators import collection, learning
+from ..sources.tables import shared_folder, written
 from ..sources.versions import Versions
 from .binding import Tables
-from .listings import _NORM
+from .listings import _NORM, _TOKENS, _WEIGHT
 from .registry import query
+from .verdicts import _VARIANTS
 
 
 def _line(*parts: Column) -> Column:
@@ -63,3 +65,83 @@ def collection_batch(t: Tables) -> DataFrame:
         read("runs", collection.RUNS).select(kind("run"), text("batch", "source_id"), _line(*map(c, ["inserted", "updated", "unchanged", "deduplicated", "closed"]))),
     ]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+#: Terms that discovery does without: for all profiles, and those that some profiles have removed.
+_BASELINE = ["oulu", "emp3"]
+_AS_OF = "2024-04-01 00:00:00"
+_TERMS = f"""jt0 as (select job_id, unnest({_TOKENS.format("concat_ws(' ', title, employer, location)")}) as term from job), tt0 as (select job_id, unnest({_TOKENS.format('title')}) as v0 from job), lt0 as (select job_id, unnest({_TOKENS.format('location')}) as v0 from job),
+  tv as (select distinct job_id, variant from ({_VARIANTS.format('job_id', 'tt0')})), lv as (select distinct job_id, variant from ({_VARIANTS.format('job_id', 'lt0')})),
+  job_term as materialized (select t.job_id, t.term, tv.variant is not null as title_like, lv.variant is not null as location_like from jt0 t left join tv on tv.job_id = t.job_id and tv.variant = t.term left join lv on lv.job_id = t.job_id and lv.variant = t.term
+    where t.term not in ('{"','".join(fixed.GENERIC_TERMS)}')),
+  firm_term as (select job_id, lower(trim(employer)) as term, false as title_like, false as location_like from job where trim(employer) <> '')"""
+
+
+def _weights(n: int, of: str, terms: str) -> str:
+    return f"""{of}{n} as materialized (select *, jobs::double / total > 0.30 as frequent from (select profile_id, term, round(sum(w), 6) as net, round(sum(d), 6) as score, count(distinct job_id) as jobs, min(first) as first_seen, bool_or(title_like) as title_like, bool_or(location_like) as location_like
+      from pj{n} join {terms} using (job_id) where heard group by all) join (select profile_id, count(*) as total from fb{n} group by all) using (profile_id))"""
+
+
+def _learned(n: int, where: str) -> str:
+    """SQL of a run: lists<n> and state<n>, from lists<n - 1>."""
+    place = lambda order: f"(row_number() over (partition by profile_id, list order by {order}, term))::int"
+    columns = "profile_id, list, term, net, jobs, first_seen, place"
+    return f"""fb{n} as materialized (select *, {_WEIGHT} as weight from feedback where {where}),
+  pj{n} as (select profile_id, job_id, sum(weight) as w, sum(case when rating >= 4 or applied then weight when rating <= 2 then -abs(weight) else 0 end) as d, bool_or(weight <> 0) as heard, min(created_at::date) as first from fb{n} group by all),
+  {_weights(n, 'tw', 'job_term')}, {_weights(n, 'fw', 'firm_term')},
+  all{n} as materialized (select t.* replace (coalesce(k.first_seen, t.first_seen) as first_seen), x.term is not null as was from tw{n} t left join (select * from lists{n - 1} where list = 'known') k on k.profile_id = t.profile_id and k.term = t.term
+    left join (select * from lists{n - 1} where list = 'exclusion') x on x.profile_id = t.profile_id and x.term = t.term),
+  boost{n} as (select *, case when title_like then 'title' when location_like then 'location' else 'keyword' end as list from all{n} where not frequent and net >= 1.5 and jobs >= 2),
+  lists{n} as materialized (select profile_id, 'known' as list, term, net, jobs, first_seen, null::int as place from all{n} where not frequent
+    union all select {columns} from (select *, {place('net desc')} as place from boost{n}) where place <= case list when 'title' then 20 when 'location' then 10 else 30 end
+    union all select {columns} from (select *, 'exclusion' as list, {place('net')} as place from (select *, 'exclusion' as list from all{n} where not frequent and case when was then net <= -1 else net <= -2 and jobs >= 2 end)) where place <= 40
+    union all select {columns} from (select *, {place('net')} as place from (select *, 'employer' as list from fw{n} where net <= -2 and jobs >= 2))
+    union all select {columns} from (select *, {place('score desc')} as place from (select *, 'discovery' as list from all{n} where score > 0 and term not in ('{"','".join(_BASELINE)}') and term <> 'emp' || profile_id)) where place <= 12),
+  print{n} as (select profile_id, sha256(string_agg(list || ':' || terms, ';' order by list || ':' || terms)) as fingerprint from (select profile_id, list, string_agg(term, ',' order by term) as terms from lists{n} where list <> 'known' group by all) group by profile_id),
+  state{n} as materialized (select p.profile_id, (coalesce(s.version, 0) + (p.fingerprint is distinct from s.fingerprint)::int)::int as version, p.fingerprint, p.feedback, p.fingerprint is distinct from s.fingerprint as changed,
+      (select count(*) from lists{n} l where l.profile_id = p.profile_id and l.list in ('title', 'location', 'keyword') and not exists (select 1 from lists{n - 1} k where k.list = 'known' and k.profile_id = l.profile_id and k.term = l.term)) as added
+    from (select c.profile_id, c.feedback, coalesce(q.fingerprint, sha256('')) as fingerprint from (select profile_id, count(*) as feedback from fb{n} group by all) c left join print{n} q using (profile_id)) p left join state{n - 1} s using (profile_id))"""
+
+
+_NOTHING = """lists0 as (select null::bigint as profile_id, null::varchar as list, null::varchar as term, null::double as net, null::bigint as jobs, null::date as first_seen, null::int as place where false),
+  state0 as (select null::bigint as profile_id, null::int as version, null::varchar as fingerprint where false)"""
+_RUNS = ["feedback_id % 3 <> 0", "true", "true"]
+
+
+def _baseline(t: Tables) -> DataFrame:
+    own = t.feedback.select("profile_id").distinct().select("profile_id", F.concat(F.lit("emp"), F.col("profile_id").cast("string")).alias("term"))
+    return own.union(t.spark.createDataFrame([(None, x) for x in _BASELINE], "profile_id long, term string"))
+
+
+def _learning(t: Tables, runs: list[str]) -> list[tuple[DataFrame, DataFrame]]:
+    """What each of the runs over some feedback gives, each from the one before."""
+    lists, state = t.spark.createDataFrame([], learning.LISTS), t.spark.createDataFrame([], learning.STATE)
+    out = []
+    for where in runs:
+        lists, state = learning.run(t.feedback.where(where), t.job, lists, state, _baseline(t), F.lit(_AS_OF).cast("timestamp_ntz"))
+        lists = written(lists)
+        state = written(state)
+        out.append((lists, state))
+    return out
+
+
+@query(f"with {_TERMS}, {_NOTHING}, {_learned(1, 'true')} select profile_id, list, term, place, round(net, 4) as net, jobs from lists1 where list <> 'known'")
+def learned_lists(t: Tables) -> DataFrame:
+    """The lists of a first run over all feedback, each with its cap."""
+    lists, _ = _learning(t, ["true"])[0]
+    return lists.where("list <> 'known'").select("profile_id", "list", "term", "place", F.round("net", 4).alias("net"), "jobs")
+
+
+@query(f"""with {_TERMS}, {_NOTHING}, {", ".join(_learned(k, where) for k, where in enumerate(_RUNS, 1))}
+  """ + " union all ".join(f"select {k} as run, profile_id, 'list' as kind, list || ':' || term as id, concat_ws('|', strftime(first_seen, '%Y-%m-%d'), place) as value from lists{k} union all select {k}, profile_id, 'state', 'version', concat_ws('|', version, fingerprint, feedback, changed, added) from state{k}" for k in range(1, len(_RUNS) + 1)))
+def learning_run(t: Tables) -> DataFrame:
+    """Three runs in a row: over two thirds of the feedback, over all, and over all again, which changes no version."""
+    parts = []
+    for k, (lists, state) in enumerate(_learning(t, _RUNS), 1):
+        run, who = F.lit(k).alias("run"), F.col("profile_id")
+        parts.append(lists.select(run, who, F.lit("list").alias("kind"), F.concat_ws(":", "list", "term").alias("id"), F.concat_ws("|", F.date_format("first_seen", "yyyy-MM-dd"), F.col("place").cast("string")).alias("value")))
+        parts.append(state.select(run, who, F.lit("state").alias("kind"), F.lit("version").alias("id"), _line(*map(F.col, ["version", "fingerprint", "feedback", "changed", "added"]))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
