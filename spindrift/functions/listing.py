@@ -19,16 +19,36 @@ def stemmed(text: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda x: stem(x)), " ")
 
 
+def cut_sentences(text: Column) -> Column:
+    """Sentences with their end marks, in order, trimmed; none empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def decisive(text: Column, marks: list[str]) -> Column:
+    """The sentences that hold one of the marks."""
+    return F.filter(cut_sentences(text), lambda s: T.has_any(F.lower(s), marks))
+
+
 def excerpt(text: Column, limit: int, marks: list[str]) -> Column:
-    """A text of at most ``limit`` characters as it is; of a longer one the first half of that, and after it,
-    in order, the sentences with one of the marks, chosen from the end while they fit."""
+    """A text of at most ``limit`` characters as it is; of a longer one the first half of that, and right after it, in
+    order, the sentences of the whole text with one of the marks, chosen from the end while they fit; if none is chosen,
+    the first ``limit`` characters."""
     half = limit // 2
-    head = F.substring(text, 1, half)
-    rest = F.filter(F.split(F.substring(text, half + 1, 1 << 30), r"(?<=[.!?])\s+"), lambda s: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(F.lower(s), m)))
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"))
-    step = lambda got, s: F.when(got["used"] + F.length(s) + 1 <= limit - half, F.struct(F.array_prepend(got["kept"], s).alias("kept"), (got["used"] + F.length(s) + 1).alias("used"))).otherwise(got)
-    chosen = F.aggregate(F.reverse(rest), start, step, lambda got: got["kept"])
-    return F.when(F.length(text) <= limit, text).otherwise(F.array_join(F.concat(F.array(head), chosen), " "))
+    fits = lambda got, s: got["used"] + F.length(s) + 1 <= limit - half
+    more = lambda got, s: F.struct(F.array_prepend(got["kept"], s).alias("kept"), (got["used"] + F.length(s) + 1).alias("used"))
+    tail = F.array_join(F.aggregate(F.reverse(decisive(text, marks)), start, lambda got, s: F.when(fits(got, s), more(got, s)).otherwise(got), lambda got: got["kept"]), " ")
+    made = F.substring(F.concat(F.substring(text, 1, half), tail), 1, limit)
+    return F.when(F.length(text) <= limit, text).when(tail == "", F.substring(text, 1, limit)).otherwise(made)
+
+
+def coverage(text: Column, limit: int, marks: list[str]) -> Column:
+    """Struct (decisive, by_head, by_excerpt): how many sentences decide, and how many of them the first ``limit``
+    characters and the excerpt of that length hold whole."""
+    found = decisive(text, marks)
+    counted = lambda whole: F.size(F.filter(found, lambda s: F.contains(whole, s)))
+    return F.struct(F.size(found).alias("decisive"), counted(F.substring(text, 1, limit)).alias("by_head"), counted(excerpt(text, limit, marks)).alias("by_excerpt"))
 
 
 def first_sentences(text: Column, most: int, chars: int) -> Column:
@@ -143,9 +163,3 @@ def model_input(fields: dict[str, Column], chars: int = 4000) -> Column:
     """One JSON text of fields in the order of their names, long ones cut, personal data replaced."""
     clean = [T.without_personal_data(F.substring(c, 1, chars)).alias(k) for k, c in sorted(fields.items())]
     return F.to_json(F.struct(*clean))
-
-
-def allowed_fields(payload: Column, allowed: list[str]) -> Column:
-    """A JSON object with only the allowed keys, compared in lower case without marks, as a map of texts."""
-    keys = F.array(*map(F.lit, allowed))
-    return F.map_filter(F.from_json(payload, "map<string,string>"), lambda k, v: F.array_contains(keys, F.regexp_replace(F.lower(k), "[^a-z0-9]", "")))

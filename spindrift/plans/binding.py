@@ -67,4 +67,6 @@ def duck(sql: str) -> str:
         return sql
     heads = ", ".join(f"{k} as ({v})" for k, v in views.items())
     body = sql.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {heads}, {body[15:]}"
     return f"with {heads}, {body[5:]}" if body[:5].lower() == "with " else f"with {heads} {body}"

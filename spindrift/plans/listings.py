@@ -360,12 +360,6 @@ def status_counts(t: Tables) -> DataFrame:
     return t.job.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""select s.source_id, count(j.job_id) as listings, count(j.job_id) filter (where j.expires_at is null) as no_deadline, count(distinct j.employer) filter (where j.status = 'active') as employers
-  from source_dim s left join job j using (source_id) group by s.source_id""")
-def source_inventory_all(t: Tables) -> DataFrame:
-    return _inventory(t, t.job)
-
-
 def _inventory(t: Tables, jobs: DataFrame) -> DataFrame:
     rows = t.source_dim.select("source_id").join(jobs, "source_id", "left")
     return rows.groupBy("source_id").agg(F.count("job_id").alias("listings"), F.count_if(F.col("job_id").isNotNull() & F.col("expires_at").isNull()).alias("no_deadline"), F.count_distinct(F.when(F.col("status") == "active", F.col("employer"))).alias("employers"))

@@ -36,11 +36,6 @@ def external_id_valid(t: Tables) -> DataFrame:
     return t.pages.select("page_id", (F.rlike(ident, F.lit("^[A-Za-z0-9_-]+$")) & F.length(ident).between(1, 12)).alias("valid"))
 
 
-@query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) + 1 as k, user_id as owner from events")
-def json_merge_all(t: Tables) -> DataFrame:
-    return _merged(t.events)
-
-
 def _merged(events: DataFrame) -> DataFrame:
     old = F.from_json("props", "map<string,bigint>")
     made = F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,bigint>")), lambda k, v: k != "k"), F.create_map(F.lit("k"), F.coalesce(F.try_element_at(old, F.lit("k")), F.lit(0)) + 1, F.lit("owner"), F.col("user_id")))

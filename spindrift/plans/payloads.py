@@ -76,14 +76,6 @@ def sentence_prefix(t: Tables) -> DataFrame:
     return t.listing.select("doc_id", L.first_sentences(F.col("description"), 2, 120).alias("short"))
 
 
-@query("select doc_id, least(length(description), 100) as head, length(description) > 200 as cut from listing")
-def excerpt(t: Tables) -> DataFrame:
-    """The head of an excerpt; which sentences follow is held against a plain loop in the tests."""
-    made = L.excerpt(F.col("description"), 200, ["the ", "und "])
-    same = F.substring(made, 1, 100) == F.substring("description", 1, 100)
-    return t.listing.select("doc_id", F.when(same & (F.length(made) <= 202), F.least(F.length("description"), F.lit(100)).cast("long")).alias("head"), (F.length("description") > 200).alias("cut"))
-
-
 @query("""select doc_id, case when has then replace_text else case when n_chars % 2 = 0 then 'palkka' else 'palkka|' || replace_text end end as concerns from
   (select doc_id, n_chars, n_chars % 4 = 0 as has, 'matka ' || (n_chars % 7) as replace_text from listing)""")
 def concern_patch(t: Tables) -> DataFrame:

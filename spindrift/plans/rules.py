@@ -37,27 +37,8 @@ def comment_sanitize(t: Tables) -> DataFrame:
     return t.listing.select("doc_id", L.without_names(F.col("title"), F.array(F.lit("the"), F.lit("and"), F.lit("of"))).alias("clean"))
 
 
-@query("select event_id, case when json_extract_string(props, '$.k') is not null then 1 else 0 end as n, json_extract_string(props, '$.k') as k from events")
-def key_allowlist_all(t: Tables) -> DataFrame:
-    return _allowed(t.events)
-
-
-def _allowed(events: DataFrame) -> DataFrame:
-    kept = L.allowed_fields(F.concat(F.lit('{"Secret-Key": "x", '), F.substring("props", 2, 1 << 20)), ["k"])
-    return events.select("event_id", kept.alias("m")).select("event_id", F.size("m").alias("n"), F.col("m.k").alias("k"))
-
-
 @query("""select doc_id, length(regexp_replace(regexp_replace(substr(description, 1, 4000), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g')) as n, regexp_replace(regexp_replace(title, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g') as title from listing""")
 def model_input_docs(t: Tables) -> DataFrame:
     made = t.listing.select("doc_id", L.model_input({"title": F.col("title"), "text": F.col("description")}).alias("j"))
     back = F.from_json("j", "text string, title string")
     return made.select("doc_id", back.alias("b")).select("doc_id", F.length("b.text").cast("long").alias("n"), "b.title")
-
-
-@query(f"""with s as (select doc_id, length(trim(s)) as n, {_any('lower(s)', ['the ', 'und '])} as decisive from (select doc_id, unnest(string_split_regex(description, '[.!?\\n;]+')) as s from listing))
-  select doc_id, count(*) filter (where decisive) as decisive, count(*) filter (where n > 0) as sentences from s group by doc_id""")
-def excerpt_coverage(t: Tables) -> DataFrame:
-    rows = t.listing.select("doc_id", F.explode(F.split("description", r"[.!?\n;]+")).alias("s"))
-    return rows.groupBy("doc_id").agg(F.count_if(T.has_any(F.lower("s"), ["the ", "und "])).alias("decisive"), F.count_if(F.length(F.trim("s")) > 0).alias("sentences"))
-
-

@@ -27,5 +27,5 @@ def test_pool_of_all_profiles(spark):
     some = t.job.where("job_id < 12")
     terms = [(r.profile_id, r.term) for r in Q.queries()["discovery_terms"](spark, t.folder).collect()]
     want = loop([(r.job_id, r.title, r.description) for r in some.collect()], terms)
-    got = {(r.job_id, r.profile_id) for r in Q.queries()["pool_discovery_terms"](spark, t.folder).where("job_id < 12").collect()}
+    got = {(r.job_id, r.profile_id) for r in Q.queries()["pool_discovery"](spark, t.folder).where("job_id < 12").collect()}
     assert got == want and {p for _, p in got} - {0, 1, 2}

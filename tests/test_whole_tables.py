@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 ZONE = ZoneInfo("Europe/Helsinki")
 
 
-@pytest.mark.parametrize("name", ["key_allowlist_all", "json_merge_all", "date_coerce_all", "next_weekday_departure_all"])
+@pytest.mark.parametrize("name", ["key_allowlist", "json_merge", "date_coerce", "next_weekday_departure"])
 def test_every_event(spark, name):
     t = Tables(spark, SF)
     assert QUERIES[name](t).select("event_id").distinct().count() == t.events.count()
@@ -20,7 +20,7 @@ def test_every_event(spark, name):
 
 def test_every_job(spark):
     t = Tables(spark, SF)
-    assert QUERIES["source_inventory_all"](t).groupBy().sum("listings").first()[0] == t.job.count()
+    assert QUERIES["source_inventory"](t).groupBy().sum("listings").first()[0] == t.job.count()
 
 
 def test_dates_of_a_year(spark):
@@ -28,8 +28,8 @@ def test_dates_of_a_year(spark):
     t = Tables(spark, SF)
     t._made["events"] = spark.createDataFrame([(k, x) for k, x in enumerate(at)], "event_id long, ts timestamp_ntz")
     plain = lambda local: local.astimezone(UTC).replace(tzinfo=None)
-    got = {r.event_id: r["at"] for r in QUERIES["date_coerce_all"](t).collect()}
-    left = {r.event_id: r.leave for r in QUERIES["next_weekday_departure_all"](t).collect()}
+    got = {r.event_id: r["at"] for r in QUERIES["date_coerce"](t).collect()}
+    left = {r.event_id: r.leave for r in QUERIES["next_weekday_departure"](t).collect()}
     for k, x in enumerate(at):
         day = plain(datetime(x.year, x.month, x.day, tzinfo=ZONE))
         assert got[k] == (day if k % 4 == 0 else x if k % 4 == 1 else None), x
