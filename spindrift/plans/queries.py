@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lifecycle, listings, match, more, payloads, rules, runs, texts, upkeep, verdicts  # noqa: F401
+from . import feeds, lifecycle, listings, match, more, payloads, rules, runs, texts, upkeep, verdicts  # noqa: F401
 from .binding import Tables
 from .registry import QUERIES, SQL
 

@@ -16,23 +16,59 @@ def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(name.alias("source_name"), F.try_parse_json("value").alias("payload"), "file")
 
 
+def rfc_date(value: Column) -> Column:
+    """A date of mail and feeds (``Mon, 04 Mar 2024 08:00:00 +0200``) in UTC; without a zone it is UTC; null if it is none."""
+    plain = F.trim(F.regexp_replace(value, r"^\s*\w+,\s*", ""))
+    zoned = F.regexp_replace(F.regexp_replace(plain, r"\s+(GMT|UTC?|Z)$", " +0000"), r"(\d{2}:\d{2}:\d{2})$", "$1 +0000")
+    return F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss xx"))
+
+
+def _elements(xml: Column, tag: str) -> Column:
+    """All elements of a name in a text, as texts."""
+    return F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), F.lit(0))
+
+
+_MODE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+
+
+def feed_items(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of feeds (source, xml): (source, job_id, title, link, published_at) of those whose link has a job id, with a
+    null date if it can't be read; and (source, item) of those that are no XML. A broken item takes no other with it."""
+    each = feeds.select("source", F.explode(_elements(F.col("xml"), "item")).alias("item"))
+    read = each.withColumn("x", F.from_xml("item", "title string, link string, pubDate string, _bad string", _MODE))
+    job = F.regexp_extract(F.coalesce("x.link", F.lit("")), r"jobID:(\d+)", 1)
+    clean = lambda c: F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    good = read.where("x._bad is null").select("source", job.alias("job_id"), clean(F.col("x.title")).alias("title"), clean(F.col("x.link")).alias("link"), rfc_date(F.col("x.pubDate")).alias("published_at"))
+    return good.where("job_id <> ''"), read.where("x._bad is not null").select("source", "item")
+
+
+def sitemap_entries(files: DataFrame, part: str = "/tyopaikka/", watermark: Column | None = None) -> DataFrame:
+    """(external_id, url, lastmod) of sitemaps (xml): entries whose address has ``part`` and a valid id at its end, of those
+    with one id the newest, a dated one before one without; newer than the watermark, or without a date."""
+    each = files.select(F.explode(_elements(F.col("xml"), "url")).alias("entry"))
+    read = each.select(F.from_xml("entry", "loc string, lastmod string, _bad string", _MODE).alias("x")).where("x._bad is null")
+    rows = read.select(F.trim("x.loc").alias("url"), F.try_to_timestamp(F.trim("x.lastmod")).alias("lastmod")).where(F.contains("url", F.lit(part)))
+    rows = rows.withColumn("external_id", F.regexp_extract("url", r"([A-Za-z0-9_-]+)/?$", 1)).where("external_id <> ''")
+    best = F.struct(F.col("lastmod").isNotNull(), "lastmod", "url")
+    rows = rows.groupBy("external_id").agg(F.max_by("url", best).alias("url"), F.max("lastmod").alias("lastmod"))
+    return rows if watermark is None else rows.where(F.col("lastmod").isNull() | (F.col("lastmod") > watermark))
+
+
+def is_sitemap(xml: Column) -> Column:
+    """Whether a landed file is a sitemap at all; a page that says an error must not be read as an empty one."""
+    return F.contains(F.coalesce(xml, F.lit("")), F.lit("<urlset"))
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, title, link, published_at) of feed items that have a job id; a date that can't be read is null."""
-    items = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
-    job = F.regexp_extract(F.coalesce("description", F.lit("")), r"jobID:(\d+)", 1)
-    plain = F.regexp_replace(F.regexp_replace("pubDate", r"^\w+,\s*", ""), r"\s*(GMT|[+-]\d{4})$", "")
-    at = F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss"))
-    return items.select(job.alias("job_id"), "title", "link", at.alias("published_at")).where("job_id <> ''")
+    """(job_id, title, link, published_at) of the items of feed files."""
+    files = spark.read.text(path, wholetext=True).select(F.lit(None).cast("string").alias("source"), F.col("value").alias("xml"))
+    return feed_items(files)[0].drop("source")
 
 
 def read_sitemap(spark: SparkSession, path: str, part: str = "/tyopaikka/", watermark: str | None = None) -> DataFrame:
-    """(external_id, url, lastmod): entries of listings newer than the watermark, undated ones too; of several
-    with one id the newest."""
-    rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
-    rows = rows.where(F.contains("loc", F.lit(part))).select(F.regexp_extract("loc", r"([^/]+)/?$", 1).alias("external_id"), F.col("loc").alias("url"), F.try_to_timestamp("lastmod").alias("lastmod"))
-    if watermark:
-        rows = rows.where(F.col("lastmod").isNull() | (F.col("lastmod") > F.lit(watermark).cast("timestamp")))
-    return rows.groupBy("external_id").agg(F.max_by("url", F.struct(F.col("lastmod"), F.col("url"))).alias("url"), F.max("lastmod").alias("lastmod"))
+    """(external_id, url, lastmod): entries of sitemap files."""
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"))
+    return sitemap_entries(files, part, F.lit(watermark).cast("timestamp") if watermark else None)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

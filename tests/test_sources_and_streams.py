@@ -29,7 +29,7 @@ def test_payloads(spark):
 
 def test_feed_and_sitemap(spark):
     folder = tempfile.mkdtemp(dir="/tmp", prefix="spark-")
-    feed = put(folder, "feed.xml", "<rss><channel><item><title>A</title><link>l</link><description>jobID:12</description><pubDate>Mon, 04 Mar 2024 08:00:00 +0200</pubDate></item><item><title>B</title><description>none</description></item><item><title>C</title><description>jobID:13</description><pubDate>odd</pubDate></item></channel></rss>")
+    feed = put(folder, "feed.xml", "<rss><channel><item><title>A</title><link>l/jobID:12/</link><pubDate>Mon, 04 Mar 2024 08:00:00 +0200</pubDate></item><item><title>B</title><description>none</description></item><item><title>C</title><link>jobID:13</link><pubDate>odd</pubDate></item></channel></rss>")
     assert {(r.job_id, r.title, r.published_at is None) for r in landed.read_feed(spark, feed).collect()} == {("12", "A", False), ("13", "C", True)}
     site = put(folder, "site.xml", "<urlset><url><loc>https://x/tyopaikka/a-1</loc><lastmod>2024-01-02</lastmod></url><url><loc>https://x/tyopaikka/a-1/</loc><lastmod>2024-01-05</lastmod></url><url><loc>https://x/other</loc></url><url><loc>https://x/tyopaikka/b-2</loc></url></urlset>")
     assert {(r.external_id, r.url) for r in landed.read_sitemap(spark, site, watermark="2024-01-03").collect()} == {("a-1", "https://x/tyopaikka/a-1/"), ("b-2", "https://x/tyopaikka/b-2")}
