@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import collection, learning
+from ..operators import collection, enrichment, learning
 from ..sources.tables import shared_folder, written
 from ..sources.versions import Versions
 from .binding import Tables
@@ -145,3 +145,56 @@ def learning_run(t: Tables) -> DataFrame:
     for part in parts[1:]:
         out = out.union(part)
     return out
+
+
+_SHORT, _CLAIMS = 300, 120
+
+
+def _enriching(n: int) -> str:
+    """SQL of batch n: queue<n>, texts<n> and what was tried, from batch n - 1; its moment is 13:00 plus n hours."""
+    now = f"(timestamp '2024-03-20 13:00:00' + interval {n} hour)"
+    return f"""jobs{n} as materialized (select job_id, {"status = 'active'" if n == 1 else "status = 'active' and job_id % 10 <> 1"} as active, case when job_id % 2 = 0 then 'static' else 'detail' end as enricher, {"'h' || (n_chars % 9)" if n == 1 else "case when job_id % 6 = 0 then 'g' else 'h' end || (n_chars % 9)"} as hash,
+      coalesce(t.description, substr(j.description, 1, (n_chars % 700)::int)) as description, t.description is not null as enriched from job j left join texts{n - 1} t using (job_id)),
+  new{n} as materialized (select job_id, enricher, hash, 'queued' as status, 0 as attempts, {now} as next_at from jobs{n} j where active and length(trim(description)) < {_SHORT} and not exists (select 1 from queue{n - 1} q where q.job_id = j.job_id and q.enricher = j.enricher and q.hash = j.hash)),
+  open{n} as materialized (select q.* replace (case when not active then 'cancelled' else q.status end as status) from (select job_id, enricher, hash, status, attempts, next_at from queue{n - 1} where status in ('queued', 'retry') union all select * from new{n}) q join jobs{n} j using (job_id)),
+  due{n} as (select *, attempts + 1 as attempt, (job_id + {n}) % 5 as kind from open{n} where status <> 'cancelled' and next_at <= {now} order by next_at, job_id, enricher, hash limit {_CLAIMS}),
+  tried{n} as materialized (select d.*, case kind when 0 then 'skipped' when 1 then 'failed' else 'completed' end as ended, kind > 1 and j.hash = d.hash and not enriched and length(j.description) < {_SHORT} as applied from due{n} d join jobs{n} j using (job_id)),
+  queue{n} as materialized (select job_id, enricher, hash, case when ended <> 'failed' then 'completed' when attempt < 3 then 'retry' else 'failed' end as status, attempt as attempts, case when ended = 'failed' and attempt < 3 then {now} + interval 30 minute else next_at end as next_at, {n} as batch from tried{n}
+    union all select o.job_id, o.enricher, o.hash, o.status, o.attempts, o.next_at, {n} from open{n} o where not exists (select 1 from tried{n} t where t.job_id = o.job_id and t.enricher = o.enricher and t.hash = o.hash)
+    union all select * from queue{n - 1} where status not in ('queued', 'retry')),
+  texts{n} as materialized (select job_id, repeat('e', 350) || job_id as description from tried{n} where applied union all select * from texts{n - 1} p where not exists (select 1 from tried{n} t where t.job_id = p.job_id and applied))"""
+
+
+_ENRICHED = f"""texts0 as (select null::bigint as job_id, null::varchar as description where false), queue0 as (select null::bigint as job_id, null::varchar as enricher, null::varchar as hash, null::varchar as status, null::int as attempts, null::timestamp as next_at, null::int as batch where false),
+  {", ".join(_enriching(n) for n in (1, 2, 3))}"""
+
+
+@query(f"""with {_ENRICHED} select 'text' as kind, job_id::varchar as id, md5(description) as value from texts3
+  union all select 'queue', concat_ws('/', job_id, enricher, hash), concat_ws('|', status, attempts, strftime(next_at, '%H:%M'), batch) from queue3
+  """ + " ".join(f"""union all select 'attempt', concat_ws('/', job_id, enricher, hash, {n}), concat_ws('|', attempt, ended) from tried{n}
+  union all select 'run', '{n}', concat_ws('|', (case when count(*) filter (where ended = 'failed') > 0 then 'failed' else 'completed' end), (select count(*) from new{n}), count(*) filter (where ended <> 'failed'), count(*) filter (where applied), count(*) filter (where ended = 'failed'), (select count(*) from open{n} where status = 'cancelled')) from tried{n}""" for n in (1, 2, 3)))
+def enrichment_batch(t: Tables) -> DataFrame:
+    """The state after three batches an hour apart, of which the last runs twice: some inputs change and some listings go
+    after the first; of the rows tried some have no result, some fail, some results are for an older input."""
+    k, n = F.col("job_id"), F.col("n_chars")
+    text = lambda c: c.cast("string")
+    enricher = F.when(k % 2 == 0, "static").otherwise("detail").alias("enricher")
+    versions = Versions(t.spark, f"{shared_folder(t.spark)}/enrichment-{uuid.uuid4().hex}")
+    for batch in (1, 2, 3, 3):
+        letter = F.lit("h") if batch == 1 else F.when(k % 6 == 0, "g").otherwise("h")
+        active = (F.col("status") == "active") & (F.lit(batch == 1) | (k % 10 != 1))
+        jobs = t.job.select("job_id", active.alias("active"), enricher, F.concat(letter, text(n % 9)).alias("hash"), F.substring("description", F.lit(1), (n % 700).cast("int")).alias("description"))
+        kind = (k + batch) % 5
+        every = t.job.select("job_id", enricher, F.explode(F.array(F.concat(F.lit("h"), text(n % 9)), F.concat(F.lit("g"), text(n % 9)))).alias("hash"))
+        results = every.where(kind != 0).select(
+            "job_id", "enricher", "hash", F.when(kind > 1, F.concat(F.repeat(F.lit("e"), 350), text(k))).alias("text"), (k % 9).cast("int").alias("confidence"), F.when(kind == 1, "no answer").alias("error"))
+        now = F.lit(f"2024-03-20 {13 + batch}:00:00").cast("timestamp_ntz")
+        enrichment.enrich(versions, batch, jobs, results, now, _SHORT, _CLAIMS)
+    c = F.col
+    row = lambda rows, kind, ids, *cs: rows.select(F.lit(kind).alias("kind"), F.concat_ws("/", *(text(c(i)) for i in ids)).alias("id"), _line(*cs))
+    parts = [
+        row(versions.read("texts", enrichment.TEXTS), "text", ["job_id"], F.md5("description")),
+        row(versions.read("queue", enrichment.QUEUE), "queue", enrichment.KEY, c("status"), c("attempts"), F.date_format("next_at", "HH:mm"), c("batch")),
+        row(versions.read("attempts", enrichment.ATTEMPTS), "attempt", [*enrichment.KEY, "batch"], c("attempt"), c("status")),
+        row(versions.read("runs", enrichment.RUNS), "run", ["batch"], *map(c, ["status", "queued", "processed", "applied", "failed", "cancelled"]))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
