@@ -233,3 +233,20 @@ def due(rows: DataFrame, now: Column, most: int) -> DataFrame:
     """Rows (status, next_at, attempts) to be tried: waiting for a retry, tried fewer than ``most`` times, without a next
     time or with one that has come."""
     return rows.where((F.col("status") == "retry") & (F.col("attempts") < most) & (F.col("next_at").isNull() | (F.col("next_at") <= now)))
+
+
+def split_provenance(states: DataFrame, occurrences: DataFrame, enrichments: DataFrame) -> DataFrame:
+    """The migration of packed provenances to references: (job_id, kind, occurrence, enrichment).
+
+    states: job_id, provenance as ``source:<source_id>`` or ``enriched:<enricher>:<hash>``. The first refers to the
+    occurrence (occurrence, job_id, source_id, seen) of the job in that source that was seen last, the second to the
+    enrichment (enrichment, job_id, enricher, hash, created) that was made last; rows without a date come first, and of
+    equal ones the larger id counts. What refers to nothing, or says something else, goes."""
+    last = lambda rows, of, at, *by: rows.groupBy("job_id", *by).agg(F.max_by(of, F.struct(F.col(at).isNotNull(), at, of)).alias(of))
+    part = lambda k: F.split_part("provenance", F.lit(":"), F.lit(k))
+    rows = states.select("job_id", part(1).alias("kind"), F.expr("try_cast(split_part(provenance, ':', 2) as long)").alias("source_id"), part(2).alias("enricher"), part(3).alias("hash"))
+    seen = last(occurrences.withColumn("source_id", F.col("source_id").cast("long")), "occurrence", "seen", "source_id")
+    sources = rows.where("kind = 'source'").join(seen, ["job_id", "source_id"])
+    made = rows.where("kind = 'enriched'").join(last(enrichments, "enrichment", "created", "enricher", "hash"), ["job_id", "enricher", "hash"])
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    return sources.select("job_id", "kind", F.col("occurrence").cast("long").alias("occurrence"), none("enrichment")).unionByName(made.select("job_id", "kind", none("occurrence"), F.col("enrichment").cast("long").alias("enrichment")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, listing as L, text as T
-from ..operators import gates, scoring, state
+from ..operators import gates, scoring, state, upkeep
 from . import flagship
 from .binding import Tables
 from .listings import _NORM, _any
@@ -108,3 +108,23 @@ def cohort_reset(t: Tables) -> DataFrame:
     cohort = t.rec.where("review_score is not null").orderBy(F.desc("machine_score"), "rec_id").limit(30).select("rec_id", F.lit(True).alias("picked"))
     rows = t.rec.join(cohort, "rec_id", "left")
     return rows.groupBy("profile_id").agg(F.count_if(F.col("review_score").isNotNull() & F.col("picked").isNull()).alias("remaining"), F.count_if("picked").alias("reset"))
+
+
+_PACKED = """s as (select doc_id as job_id, case doc_id % 5 when 0 then 'source:' || source_id when 1 then 'source:' || (source_id + 1) when 2 then 'enriched:static:h' || (n_chars % 3) when 3 then 'enriched:other:h1' end as provenance from listing),
+  o as (select doc_id * 10 + i as occurrence, doc_id as job_id, source_id + i % 2 as source_id, case when i <> 1 then published_at + to_days(i) end as seen from listing, (select unnest(range(4))::int as i)),
+  e as (select doc_id * 10 + i as enrichment, doc_id as job_id, case when i = 2 then 'other' else 'static' end as enricher, 'h' || (i % 2) as hash, case when i <> 3 then published_at end as created from listing, (select unnest(range(5))::int as i))"""
+
+
+@query(f"""with {_PACKED}, f as (select job_id, source_id, arg_max(occurrence, (seen is not null, seen, occurrence)) as occurrence from o group by all), g as (select job_id, enricher, hash, arg_max(enrichment, (created is not null, created, enrichment)) as enrichment from e group by all)
+  select s.job_id, 'source' as kind, f.occurrence, null::bigint as enrichment from s join f on f.job_id = s.job_id and s.provenance = 'source:' || f.source_id
+  union all select s.job_id, 'enriched', null, g.enrichment from s join g on g.job_id = s.job_id and s.provenance = 'enriched:' || g.enricher || ':' || g.hash""")
+def provenance_split(t: Tables) -> DataFrame:
+    """The migration of packed provenances: to the occurrence seen last or the enrichment made last; the rest goes."""
+    k, text = F.col("doc_id"), lambda c: c.cast("string")
+    packed = F.when(k % 5 == 0, F.concat(F.lit("source:"), text(F.col("source_id")))).when(k % 5 == 1, F.concat(F.lit("source:"), text(F.col("source_id") + 1)))
+    packed = packed.when(k % 5 == 2, F.concat(F.lit("enriched:static:h"), text(F.col("n_chars") % 3))).when(k % 5 == 3, "enriched:other:h1")
+    each = lambda n: t.listing.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    i = F.col("i")
+    seen = each(4).select((k * 10 + i).alias("occurrence"), k.alias("job_id"), (F.col("source_id") + i % 2).alias("source_id"), F.when(i != 1, F.col("published_at") + F.make_dt_interval(i)).alias("seen"))
+    made = each(5).select((k * 10 + i).alias("enrichment"), k.alias("job_id"), F.when(i == 2, "other").otherwise("static").alias("enricher"), F.concat(F.lit("h"), text(i % 2)).alias("hash"), F.when(i != 3, F.col("published_at")).alias("created"))
+    return upkeep.split_provenance(t.listing.select(k.alias("job_id"), packed.alias("provenance")), seen, made)
