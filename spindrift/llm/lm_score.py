@@ -234,6 +234,13 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return unique, np.bincount(at, np.concatenate([np.zeros(0, np.int64), *counts]), len(unique)).astype(np.int64)
 
 
+def _parts(batches: int) -> tuple[int, int]:
+    """Buckets of words, and bits of the segments of pairs, for so many batches: as many as keep what all batches ask of
+    one below some 40 MB. A batch puts out a row for each bucket and segment that it asks of, at least one word or pair a
+    row, so rows never outgrow what is asked, which follows the text."""
+    return max(8, batches // 16), max(SEGMENT_BITS, math.ceil(math.log2(max(1, batches / 8))))
+
+
 def _batch_asks(batch: int, table: pa.Table, buckets: int, segment_bits: int) -> pa.Table:
     """The distinct tokens and pairs of a batch of documents and their counts in its training documents."""
     words_, pairs_ = ([], []), ([], [])
@@ -250,7 +257,7 @@ def _batch_asks(batch: int, table: pa.Table, buckets: int, segment_bits: int) ->
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     unique, n = unique[order], n[order].astype(np.uint32)
-    rows = [(batch, False, k, unique[a:b].tobytes(), None, None, n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+    rows = [(batch, False, k, unique[a:b].tobytes(), None, None, n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
     unique, n = _summed(*pairs_)
     there, at = np.unique((unique >> U64(32)).astype(np.int64), return_index=True)
     short, n = (unique & U64(0xFFFFFFFF)).astype(np.uint32), n.astype(np.uint32)
@@ -298,8 +305,7 @@ def score_documents(docs: DataFrame, held_out: Column, pair_weight: float = PAIR
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("train", ~F.col("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("n")).first()
     batches = max(1, math.ceil(size["chars"] / BATCH_CHARS))
-    buckets = max(4, batches)
-    segment_bits = max(SEGMENT_BITS, math.ceil(math.log2(2 * batches)))
+    buckets, segment_bits = _parts(batches)
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
     asked = dealt.groupBy("batch").applyInArrow(lambda key, table: _batch_asks(key[0].as_py(), table, buckets, segment_bits), ASKED)
     replies = written(asked.groupBy("pairs", "bucket").applyInArrow(lambda key, table: _reply(key[0].as_py(), key[1].as_py(), table), REPLIED))

@@ -309,3 +309,21 @@ def test_viterbi_of_many_languages():
     scores = np.full((2, 300), -50.0, np.float32)
     scores[0, 299] = scores[1, 1] = 0
     assert langid.viterbi(scores, np.array([0, 2]), 2.0).tolist() == [299, 1]
+
+
+def test_lm_score_rows_follow_the_text():
+    """What a batch puts out, as there are more batches: no empty rows, hardly more for a hundred times as many."""
+    import pyarrow as pa
+
+    from spindrift.llm import lm_score as L
+
+    words = [f"w{k * 7919 % 5003}" for k in range(20_000)]
+    table = pa.table({"doc_id": list(range(200)), "text": [" ".join(words[k * 100 : k * 100 + 100]) for k in range(200)], "train": [True] * 200})
+    made = {}
+    for batches in (10, 1000, 100_000):
+        out = L._batch_asks(0, table, *L._parts(batches))
+        made[batches] = out.num_rows
+        for r in out.to_pylist():
+            assert (r["once"] or r["more"] or r["tokens"]) if r["pairs"] else r["tokens"]
+    asked = 5003 + 1 + 20_000 + 200
+    assert made[1000] <= 1.5 * made[10] and made[100_000] <= asked
