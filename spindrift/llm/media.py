@@ -10,6 +10,8 @@ Payloads are stored as 8-bit samples in a RIFF/WAVE container and read back from
 from __future__ import annotations
 
 import hashlib
+import bisect
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,7 +33,26 @@ MAGIC = [
 ]
 
 
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+#: Bytes of a compressed stream that are read at once.
+PIECE = 1 << 16
+
+
+class Marks:
+    """Where the end marks of a value stand: each kind is looked for once, however many beginnings ask for it."""
+
+    def __init__(self, value: bytes):
+        self.value, self.found = value, {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from ``at`` on, or -1."""
+        if mark not in self.found:
+            self.found[mark] = [m.start() for m in re.finditer(re.escape(mark), self.value)]
+        places = self.found[mark]
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+
+def _riff(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     """Chunks must follow each other up to the stated length; audio needs a format before its samples."""
     if at + 12 > len(b):
         return None
@@ -50,7 +71,7 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     return ("image/webp", end - at) if form == b"WEBP" and seen and seen[0] in (b"VP8 ", b"VP8L", b"VP8X") else None
 
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
+def _png(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     pos, first = at + 8, True
     while pos + 12 <= len(b):
         n, name = struct.unpack_from(">I4s", b, pos)
@@ -64,7 +85,7 @@ def _png(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     pos = at + 2
     while pos + 4 <= len(b) and b[pos] == 0xFF:
         kind, n = b[pos + 1], struct.unpack_from(">H", b, pos + 2)[0]
@@ -72,12 +93,12 @@ def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
             return None
         pos += 2 + n
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
+            end = marks.after(b"\xff\xd9", pos)
             return ("image/jpeg", end + 2 - at) if end >= 0 else None
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 14 > len(b):
         return None
     flags = b[at + 10]
@@ -101,40 +122,42 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
+def _pdf(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if not b[at + 5 : at + 6].isdigit():
         return None
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    end = marks.after(b"%%EOF", at)
+    return ("application/pdf", end + 5 - at) if 0 <= marks.after(b"startxref", at) < end else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    end = marks.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, begin, note = struct.unpack_from("<IIH", b, end + 12)
     return ("application/zip", end + 22 + note - at) if begin + size == end - at and end + 22 + note <= len(b) else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    reader = zlib.decompressobj(31)
+    reader, pos = zlib.decompressobj(31), at
     try:
-        piece = b[at:]
-        while piece and not reader.eof:
-            reader.decompress(piece, 1 << 20)
-            piece = reader.unconsumed_tail
+        while pos < len(b) and not reader.eof:
+            piece = b[pos : pos + PIECE]
+            pos += len(piece)
+            while piece and not reader.eof:
+                reader.decompress(piece, 1 << 20)
+                piece = reader.unconsumed_tail
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(reader.unused_data)) if reader.eof else None
+    return ("application/gzip", pos - at - len(reader.unused_data)) if reader.eof else None
 
 
-def _flac(b: bytes, at: int) -> tuple[str, int] | None:
+def _flac(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     return ("audio/flac", len(b) - at) if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else None
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
+def _ogg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     pos = at
     while b[pos : pos + 4] == b"OggS" and pos + 27 <= len(b) and b[pos + 4] == 0:
         n = b[pos + 26]
@@ -145,14 +168,14 @@ def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
     return ("audio/ogg", pos - at) if pos > at else None
 
 
-def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
+def _bmp(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 26 > len(b):
         return None
     size, spare, begin, header = struct.unpack_from("<IIII", b, at + 2)
     return ("image/bmp", size) if spare == 0 and header in (12, 40, 108, 124) and 14 + header <= begin <= size and at + size <= len(b) else None
 
 
-def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
+def _mp4(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     pos = at
     while pos + 8 <= len(b):
         n, name = struct.unpack_from(">I4s", b, pos)
@@ -183,12 +206,12 @@ def sniff(value: bytes, declared: str = UNKNOWN) -> tuple[str, list[tuple[int, i
     The declared type stays if nothing valid begins at 0. What lies inside a valid container that starts
     the value is carved too; media inside carved media are not carved again. b"" keeps its declared type.
     """
-    kind, carved, covered = declared, [], 0
+    kind, carved, covered, marks = declared, [], 0, Marks(value)
     for end, (back, name) in _automaton().iter(value.decode("latin-1")):
         at = end - back
         if at < 0 or 0 < at < covered or at == 0 and kind != declared:
             continue
-        if found := CHECKS[name](value, at):
+        if found := CHECKS[name](value, at, marks):
             if at == 0:
                 kind = found[0]
             else:
