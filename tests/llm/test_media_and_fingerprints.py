@@ -1,7 +1,10 @@
 import gzip
 import hashlib
+import math
 import struct
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -40,6 +43,48 @@ def test_round_trip(docs):
     assert len({r.feature for r in got if texts[r.doc_id] == "Hellö"}) == 1
 
 
+def test_end_marks_are_looked_for_once():
+    """Repeated magic bytes, with and without an end mark far behind them: time follows the length."""
+
+    def seconds(value):
+        began = time.process_time()
+        media.sniff(value)
+        return time.process_time() - began
+
+    for unit, tail in ((b"%PDF-1", b""), (b"PK\3\4", b""), (b"%PDF-1", b"%%EOF"), (b"PK\3\4", b"PK\5\6" + b"\1" * 18), (b"\xff\xd8\xff\xda\0\2", b""), (b"GIF89a", b""), (b"RIFF", b"")):
+        small, large = seconds(unit * 20_000 + tail), seconds(unit * 200_000 + tail)
+        assert large < 40 * max(small, 0.02), unit
+
+
+def test_ends_of_found_media():
+    pdf = b"%PDF-1.4 text startxref 9 %%EOF"
+    assert media.sniff(pdf) == ("application/pdf", []) and media.sniff(b"%PDF-1.4 %%EOF startxref")[0] == media.UNKNOWN
+    assert media.sniff(b"ab" + pdf + b"cd" + pdf)[1] == [(2, len(pdf), "application/pdf"), (4 + len(pdf), len(pdf), "application/pdf")]
+    empty_zip = b"PK\3\4" + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 0, 0, 0, 4, 0)
+    assert media.sniff(empty_zip)[0] == "application/zip"
+    big = gzip.compress(bytes(300_000)) + b"behind"
+    assert media.sniff(b"x" + big)[1] == [(1, len(big) - 6, "application/gzip")]
+
+
+def test_feature_by_hand(docs):
+    rows = [(1, "Hellö and some words"), (2, ""), (3, "a" * 64), (4, "zebra " * 500)]
+    got = {r.doc_id: r.feature for r in media.inspect_media(media.store_texts(docs(rows))).collect()}
+    for i, text in rows:
+        x = list(media.padded(text))
+        mean = sum(x) / len(x)
+        dev = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x))
+        cross = sum((a > mean) != (b > mean) for a, b in zip(x, x[1:], strict=False))
+        bits = -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values())
+        have = dict(f.split("=") for f in got[i].split(";")[1:])
+        assert (int(have["peak"]), int(have["cross"]), have["carved"]) == (max(x), cross, "")
+        assert all(abs(float(have[k]) - v) < 1e-3 for k, v in (("mean", mean), ("dev", dev), ("bits", bits)))
+
+
+def test_no_media(docs):
+    none = docs([(1, "a")]).where("doc_id > 1")
+    assert media.inspect_media(media.store_texts(none)).collect() == []
+
+
 def brute(table):
     """Rows in the order of ids, equal ids in that of a hash of their texts."""
     rows = table.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) tie").collect()
