@@ -45,7 +45,7 @@ class Trees:
 
 
 def _classes(x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    cuts, out = [], np.zeros(x.shape, np.int64)
+    cuts, out = [], np.zeros(x.shape, np.int64, order="F")
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         if len(values) > CLASSES:

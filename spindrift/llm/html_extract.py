@@ -14,7 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from ._text import column
 from ._trees import Trees, boosted_trees
 
 #: Pages sampled for training at most, and pages laid out from their blocks.
-SAMPLE, LAYOUTS = 100, 240
+SAMPLE, LAYOUTS = 100, 360
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe select".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -39,7 +39,7 @@ KINDS = {
 }
 _KIND = {t: k for k, (_, tags) in enumerate(KINDS.items()) for t in tags.split()}
 BAD_WORDS = [
-    ("ad", "ads advert advertisement advertising adbox banner sponsor sponsored promo promotion"), ("menu", "nav navigation navbar menu breadcrumb breadcrumbs toc pagination pager tabs"), ("side", "sidebar side aside related recommended widget rail teaser"),
+    ("ad", "ad ads advert advertisement advertising adbox banner sponsor sponsored promo promotion"), ("menu", "nav navigation navbar menu breadcrumb breadcrumbs toc pagination pager tabs"), ("side", "sidebar side aside related recommended widget rail teaser"),
     ("foot", "footer foot copyright legal colophon"), ("head", "header masthead topbar branding logo"), ("comment", "comment comments reply replies discussion disqus respond"), ("notice", "notice cookie cookies consent popup modal alert gdpr newsletter subscribe signup overlay paywall"),
     ("share", "share social sharing follow tags meta byline"), ("form", "form search login contact"),
 ]
@@ -85,12 +85,17 @@ class Tree:
         known: dict[tuple[str, str], tuple[int, int]] = {}
         stack, block, at = [0], 0, 0
         tags, parents, flags, labels = self.tag, self.parent, self.flags, self.label
-        is_open: Counter[str] = Counter()
+        # Where in the stack the open elements of each kind stand, so that none is looked for one by one.
+        spots: dict[str, list[int]] = defaultdict(list)
 
         def close(k: int) -> None:
-            is_open.subtract(tags[x] for x in stack[k:])
+            for x in stack[k:]:
+                spots[tags[x]].pop()
             del stack[k:]
 
+        def last(kinds: tuple[str, ...]) -> int:
+            return max((spots[k][-1] for k in kinds if spots[k]), default=0)
+
         pos = 0
         while True:
             m = _OPEN.search(page, pos)
@@ -114,25 +119,16 @@ class Tree:
             if m[2]:
                 if name in BLOCK:
                     block += 1
-                if is_open[name]:
-                    close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == name))
+                if spots[name]:
+                    close(spots[name][-1])
                 continue
             if name in BLOCK:
                 block += 1
-                if "p" in (tags[x] for x in stack[-4:]):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tags[stack[k]] == "p":
-                            close(k)
-                            break
-                        if tags[stack[k]] in ("button", "td", "th", "table"):
-                            break
-                if name in ENDS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tags[stack[k]] in ENDS[name]:
-                            close(k)
-                            break
-                        if tags[stack[k]] in ("ul", "ol", "dl", "table"):
-                            break
+                # An open paragraph ends unless it lies further out than a few inline elements or beyond a cell.
+                if (at_p := last(("p",))) >= max(1, len(stack) - 4) and at_p > last(("button", "td", "th", "table")):
+                    close(at_p)
+                if name in ENDS and (at_end := last(ENDS[name])) > last(("ul", "ol", "dl", "table")):
+                    close(at_end)
             if name == "br":
                 self.pieces.append((stack[-1], block, " "))
                 continue
@@ -155,8 +151,8 @@ class Tree:
                     return
                 at = pos = end
                 continue
+            spots[name].append(len(stack))
             stack.append(len(tags) - 1)
-            is_open[name] += 1
 
 
 def _flags(rest: str) -> tuple[int, int]:
@@ -226,7 +222,7 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     bits = (flags[:, None] >> np.arange(len(BAD_WORDS) + 1)) & 1
     x = np.column_stack([
         kind, kind[above], depth, np.log1p(text), np.log1p(own), text / whole, links / np.maximum(text, 1), tags / np.maximum(text, 1), np.log1p(tags), np.log1p(paras), place, place / count, count,
-        np.log1p(mean[above]), text / np.maximum(text[above], 1), links[above] / np.maximum(text[above], 1), up_bad, up_good, up_bad[above], up_good[above], up_kind, *(kind == k for k in range(len(KINDS))), bits, bits[above],
+        np.log1p(mean[above]), text / np.maximum(text[above], 1), links[above] / np.maximum(text[above], 1), up_bad, up_good, up_bad[above], up_good[above], up_kind, *(kind == k for k in range(len(KINDS))), *(kind[above] == k for k in range(len(KINDS))), bits, bits[above],
     ]).astype(float)
     return x, parent, depth, page
 
@@ -282,7 +278,8 @@ def extract(pages: list[str], model: Trees) -> list[str]:
 
 
 def laid_out(blocks: list[str], n: int = LAYOUTS, seed: int = 3) -> list[str]:
-    """Pages with data-label="1" on the article's element and "0" on what is not part of it."""
+    """Pages with data-label="1" on the article's element and "0" on what is not part of it. Some have no landmark: the
+    article lies in a plain element among others, or its blocks stand in the body one by one."""
     r = random.Random(seed)
     blocks = blocks or ["Some words that stand in for a text."]
     block = lambda: r.choice(blocks)
@@ -298,6 +295,17 @@ def laid_out(blocks: list[str], n: int = LAYOUTS, seed: int = 3) -> list[str]:
         lambda: wrap(["div"], word("ad"), sentence()), lambda: wrap(["div"], word("ad"), f"<p>{sentence()}</p><a href=x>{short()}</a>"), lambda: wrap(["div", "section", "ol"], word("comment"), "".join(f"<div><b>{short()}</b><p>{sentence()}</p></div>" for _ in range(r.randint(1, 6)))),
         lambda: wrap(["div"], word("notice"), f"<p>{sentence()}</p><button>{short()}</button>"), lambda: f'<form data-label="0"><label>{short()}</label><input><p>{short()}</p><button>{short()}</button></form>', lambda: wrap(["div", "ul"], word("share"), links(r.randint(2, 5))), lambda: wrap(["div"], word("form"), f"<form><input><button>{short()}</button></form>"),
     ]
+    # Without words in class or id: lists of links, a line of small print, a name.
+    plain = [
+        lambda: f'<div data-label="0"><ul>{links(r.randint(2, 8))}</ul></div>', lambda: f'<ul data-label="0">{links(r.randint(2, 8))}</ul>', lambda: f'<div data-label="0">{" | ".join(f"<a href=x>{short()}</a>" for _ in range(r.randint(1, 6)))}</div>',
+        lambda: f'<div data-label="0">&copy; {short()}</div>', lambda: f'<div data-label="0">{short()}</div>', lambda: f'<div data-label="0"><a href="/">{short()}</a></div>',
+    ]
+
+    def table() -> str:
+        wide, begin = r.randint(1, 4), r.choice(["<tr>", "<tr>", ""])
+        row = lambda tag: begin + "".join(f"<{tag}>{r.choice([short, short, sentence])()}</{tag}>" for _ in range(wide)) + begin.replace("<", "</")
+        return "<table>" + (row("th") if r.random() < 0.5 else "") + "".join(row("td") for _ in range(r.randint(1, 6))) + "</table>"
+
     out = []
     for _ in range(n):
         parts = [f"<{h}>{short()}</{h}>"] if (h := r.choice(["h1", "h1", "h2", "p"])) else []
@@ -312,17 +320,25 @@ def laid_out(blocks: list[str], n: int = LAYOUTS, seed: int = 3) -> list[str]:
                 parts.append(f"<h2>{short()}</h2>")
             elif kind < 0.27:
                 parts.append(f"<blockquote><p>{sentence()}</p></blockquote>")
-            elif kind < 0.32:
+            elif kind < 0.37:
                 cut = len(p) // 2
                 parts.append(f'<p>{p[:cut]}<a href="x">{short()}</a>{p[cut:]}</p>')
-            elif kind < 0.36:
+            elif kind < 0.41:
                 parts.append(f"<pre>{sentence()}</pre>")
-            elif kind < 0.42:
+            elif kind < 0.47:
                 cut = len(p) // 2
                 parts.append(f"<p>{p[:cut]}<em><i>{short()}</i> {r.choice('+-=')} <i>{short()}</i></em>{p[cut:]}</p>")
+            elif kind < 0.53:
+                parts.append(table())
+            elif kind < 0.57:
+                parts.append("<dl>" + "".join(f"<dt>{short()}</dt><dd>{r.choice([short, sentence])()}</dd>" for _ in range(r.randint(1, 5))) + "</dl>")
+            elif kind < 0.60:
+                parts.append(f'<figure><img src="x"><figcaption>{sentence()}</figcaption></figure>')
+            elif kind < 0.65:
+                parts.append(r.choice(["<div><p>{}</p></div>", "<section><p>{}</p></section>", "<div>{}</div>"]).format(p))
             else:
                 parts.append(f"<p>{p}</p>")
-        for _ in range(r.choice([0, 0, 0, 1, 2])):
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
             parts.insert(r.randint(1, len(parts)), r.choice(noise)())
         tag, words = r.choice([("article", None), ("article", None), ("article", "post"), ("main", None), ("div", "content"), ("div", "article"), ("section", "story"), ("div", "entry"), ("div", "post-body")])
         name = f' class="{words}"' if words else ""
@@ -330,8 +346,17 @@ def laid_out(blocks: list[str], n: int = LAYOUTS, seed: int = 3) -> list[str]:
         if r.random() < 0.3:
             outer = r.choice(["main", "div"])
             body = f"<{outer}>{body}</{outer}>"
-        before = "".join(r.choice(noise)() for _ in range(r.randint(0, 4)))
-        after = "".join(r.choice(noise)() for _ in range(r.randint(0, 4)))
+        around, shell = noise, r.random()
+        if shell < 0.3:
+            around = r.choice([noise, plain, plain])
+            if shell < 0.15:
+                # A line of text in an element of no kind, straight in the body, may be a notice as well: not drawn.
+                parts = [re.sub(r"^<div>([^<]*)</div>$", r"<p>\1</p>", x) for x in parts]
+                body = "".join(x if 'data-label="0"' in x.split(">", 1)[0] else re.sub(r"^<(\w+)", r'<\1 data-label="1"', x) for x in parts)
+            else:
+                body = f'<div data-label="1">{"".join(parts)}</div>'
+        before = "".join(r.choice(around)() for _ in range(r.randint(0, 4)))
+        after = "".join(r.choice(around)() for _ in range(r.randint(0, 4)))
         out.append(f"<!DOCTYPE html><html><head><title>{short()}</title></head><body>{before}{body}{after}" + r.choice(["</body></html>", ""]))
     return out
 
@@ -345,7 +370,7 @@ def train_on(pages: list[str], layouts: int = LAYOUTS) -> Trees:
                 blocks.append(text.strip())
     trees = [Tree(p) for p in laid_out(blocks[:2000], layouts)]
     x, *_ = features(trees)
-    return boosted_trees(x, np.array([v for t in trees for v in t.label]), rounds=30, depth=4)
+    return boosted_trees(x, np.array([v for t in trees for v in t.label]), rounds=30, depth=5)
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, longest: int = 50_000) -> Trees:

@@ -9,8 +9,8 @@ Payloads are stored as 8-bit samples in a RIFF/WAVE container and read back from
 
 from __future__ import annotations
 
-import hashlib
 import bisect
+import hashlib
 import re
 import struct
 import zlib

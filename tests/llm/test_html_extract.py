@@ -8,7 +8,7 @@ from spindrift.llm import html_extract as H
 @pytest.fixture(scope="module")
 def model():
     pages = [f"<article><p>{' '.join(f'word{i}{k}' for k in range(30))}</p></article>" for i in range(40)]
-    return H.train_on(pages, 160)
+    return H.train_on(pages)
 
 
 CASES = [
@@ -18,6 +18,14 @@ CASES = [
     ("<article><p title=it's>Hello don't lose this text of the page.</p><p>x <math><mi>a</mi> = <mi>b</mi></math> y > z</p></article>", "Hello don't lose this text of the page. x a = b y > z"),
     ("<article><p data-x='a > b' title = \"it's\">Quoted values may hold a &gt; sign.</p></article>", "Quoted values may hold a > sign."),
     ("<article><p>Words before<!-- a > b --> and <!x>behind</p></article>", "Words before and behind"),
+    ("<article><h1>Letters</h1><p>First some words about the letters.</p><table><td>Alpha is one</td><td>Beta is two</td></table><p>Then some more words follow.</p></article>", "Letters First some words about the letters. Alpha is one Beta is two Then some more words follow."),
+    ("<article><p>First some words about the letters.</p><table><tr><th>Name</th><th>Place</th></tr><tr><td>Alpha</td><td>One</td></tr></table></article>", "First some words about the letters. Name Place Alpha One"),
+    ("<article><p>First some words about the letters.</p><dl><dt>Alpha</dt><dd>The first of all</dd></dl></article>", "First some words about the letters. Alpha The first of all"),
+    ('<article><p>Words before an advert stand here and there.</p><div class="ad">Buy this now</div><p>Words behind the advert stand here too.</p></article>', "Words before an advert stand here and there. Words behind the advert stand here too."),
+    ('<article><p>Words before an advert stand here and there.</p><div class="ad-slot">Buy this now</div><p>Words behind the advert stand here too.</p></article>', "Words before an advert stand here and there. Words behind the advert stand here too."),
+    ('<article><p>Words before a notice stand here and there.</p><div class="notice"><p>We use cookies</p><button>Fine</button></div><p>Words behind the notice stand here too.</p></article>', "Words before a notice stand here and there. Words behind the notice stand here too."),
+    ("<html><body><div><a href=a>Home</a> <a href=b>News</a></div><div><h1>A title</h1><p>The first paragraph of a text that has no landmark at all.</p><p>The second one follows it and is as long as the first.</p></div><div>&copy; Someone</div></body></html>", "A title The first paragraph of a text that has no landmark at all. The second one follows it and is as long as the first."),
+    ("<html><body><h1>A title</h1><p>The first paragraph of a text that stands in the body.</p><p>The second one follows it and is as long as the first.</p></body></html>", "A title The first paragraph of a text that stands in the body. The second one follows it and is as long as the first."),
     ("", ""), ("no markup < at all", ""), ("<nav><a>only</a></nav>", ""),
 ]
 
@@ -27,7 +35,7 @@ def test_cases(model, page, text):
     assert H.extract([page], model) == [text]
 
 
-@pytest.mark.parametrize("part", ['<a "', "<a ='", "<!x", "<!-- ", "</x>", "<script>", "</script", "<div>", "<div></p>", "<a b=", "<p x='>", "<<", "<li><b>"])
+@pytest.mark.parametrize("part", ['<a "', "<a ='", "<!x", "<!-- ", "</x>", "<script>", "</script", "<div>", "<div></p>", "<a b=", "<p x='>", "<<", "<li><b>", "<p><i>"])
 def test_scanning_is_linear(part):
     import time
 
@@ -40,6 +48,40 @@ def test_scanning_is_linear(part):
     assert took[1] < 0.5 or took[1] < 60 * took[0]
 
 
+@pytest.mark.parametrize("lead, part", [("", "<li></li>"), ("<li><ul>", "<li></li>"), ("<table>", "<td></td>"), ("<p>", "<p></p>")])
+def test_deep_pages_are_linear(lead, part):
+    import time
+
+    took = []
+    for n in (1_000, 16_000):
+        began = time.perf_counter()
+        H.Tree(lead + "<div>" * n + part * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 0.5 or took[1] < 60 * took[0]
+
+
+def test_decoding_is_the_best_labelling():
+    """All labellings of small trees in which nothing inside a dropped element is kept, and nothing inside the article a container."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(1, 8))
+        parent = np.array([-1] + [int(rng.integers(0, k)) for k in range(1, n)])
+        depth = np.zeros(n, int)
+        for k in range(1, n):
+            depth[k] = depth[parent[k]] + 1
+        p = rng.random(n)
+        worth = lambda s: sum(np.log(p[k] if x == "k" else 1 - p[k]) for k, x in enumerate(s))  # noqa: B023, E731
+        may = {"d": "d", "k": "kd", "c": "kdc"}
+        good = [s for s in itertools.product("kdc", repeat=n) if all(s[k] in may[s[parent[k]]] for k in range(1, n))]
+        best = max(worth(s) for s in good)
+        got = H.decode(p, parent, depth)
+        assert np.isclose(np.where(got, np.log(p), np.log1p(-p)).sum(), best)
+
+
 def test_no_pages(spark, model):
     empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
     assert H.extract_pages(empty, model).collect() == [] and H.train(empty) is not None
