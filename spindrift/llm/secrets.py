@@ -31,14 +31,18 @@ from ._trees import Trees, random_forest
 FINDINGS = 6000
 #: Words of the dictionary at most, the commonest of the corpus, and the letters that one has at least.
 WORDS, LETTERS = 50_000, 4
-#: Known forms of credentials (public formats).
+#: Known forms of credentials (public formats). Each is looked for in time that follows the length of the text: a user name ends
+#: at the first sign that none may hold, a password or key where the next one begins, and the parts of a token are measured
+#: once, where its run of characters begins.
+_B64 = "[0-9A-Za-z_-]"
 FORMS = [
     ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), ("github", r"\bgh[pousr]_[0-9A-Za-z]{36}\b"), ("slack", r"\bxox[abprs]-[0-9A-Za-z-]{10,}"),
-    ("google_key", r"\bAIza[0-9A-Za-z_-]{35}"), ("jwt", r"\beyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}"),
-    ("url_password", r"(?<=://)[^\s:/@?#]{1,64}:[^\s/@?#]{3,}+(?=@[0-9A-Za-z])"),
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[^-]{20,}-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
+    ("google_key", r"\bAIza[0-9A-Za-z_-]{35}"),
+    ("jwt", rf"(?<!{_B64})(?={_B64}{{13,}}+\.eyJ{_B64}{{10,}}+\.{_B64}{{10}})(?:{_B64}*?-)??eyJ{_B64}{{10,}}+\.eyJ{_B64}{{10,}}+\.{_B64}{{10,}}"),
+    ("url_password", r"(?<=://)[^\s:/@?#]++:(?:(?!://)[^\s@]){3,}+(?=@[0-9A-Za-z])"),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?!-----)[\s\S]){20,}+-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
 ]
-CUES = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "client_secret", "bearer"]
+CUES = ["token", "secret", "password", "passw0rd", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "client_secret", "bearer"]
 CALM = ["sha256", "md5", "commit", "checksum", "integrity hash", "version id", "uuid", "digest"]
 #: Words that stand in for a dictionary where no corpus has been read.
 COMMON = ["the", "ing", "ion", "ent", "and", "tion", "ter", "est", "ers", "ati", "hat", "ate", "all", "ver", "his", "con", "res", "pro", "com", "per", "int", "our", "man", "ment", "ine", "one", "ous", "ther", "sch", "ein", "eau", "que", "pass", "word", "name", "user", "test", "key", "data", "file", "image", "index", "page"]
@@ -161,11 +165,19 @@ def drawn_findings(n: int = FINDINGS, seed: int = 7, vocabulary: frozenset[str]
         cue = r.choice(("password", "passwd", "pwd") if made in (secret[8], secret[9]) else CUES)
         if positive and r.random() < 0.06:
             lead = r.choice(["postgres", "mysql", "https", "amqp"]) + "://"
-            value = word() + ":" + value.replace("/", "x").replace("@", "x").replace("?", "x").replace("#", "x") + "@host1"
+            value = word() * r.choice([1, 1, 1, 8]) + ":" + value.replace("@", r.choice("x/#?")) + "@host1"
+        elif positive and r.random() < 0.02:
+            lead = words(r.randint(0, 3)) + "\n"
+            kind = r.choice(["", "RSA ", "EC "])
+            value = f"-----BEGIN {kind}PRIVATE KEY-----\n{pick(wide + '+/', r.randint(40, 400))}\n-----END {kind}PRIVATE KEY-----"
         elif positive and made in (secret[8], secret[9]):
             lead = r.choice([f'{cue} = "', f"{cue}: ", f'"{cue}": "', f"{cue}=", f"export {cue.upper()}="])
         elif positive:
             lead = r.choice([f'{cue} = "', f"{cue}: ", f'"{cue}": "', f"{cue}=", f"export {cue.upper()}=", words(2) + f' {cue} = "', "Authorization: Bearer ", words(3) + " "])
+        elif r.random() < 0.06:
+            # A port and a path with an address behind it look like a user and a password.
+            lead = r.choice(["http", "https"]) + "://"
+            value = f"{r.choice(['www.', ''])}{word()}.{r.choice(['com', 'org', 'net'])}:{r.choice([80, 443, 8000, 8080, 8443, 3000])}/{word()}{r.choice(['/', '?q=', '#', '?mail='])}{word()}@{word()}.com"
         elif r.random() < 0.25:
             # A checksum has a secret's form but not its neighbours.
             value = pick(hexes, r.choice([32, 40, 64]))
