@@ -64,19 +64,28 @@ def normalize_cards(t: Tables) -> DataFrame:
     return landed.card_listings(cards).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
-_LONG = "A description of this listing, &quot;long&quot; enough &amp; plain."
 _HEAD = [
-    f"<meta name=\"description\" content=\"{_LONG}\">", f"<meta content='{_LONG} og' property='og:description'><meta name='description' content='short'>", f"<meta property=\"twitter:description\" content=\"{_LONG} t\">", f"<span itemprop=\"description\"><b>{_LONG}</b> i</span>",
-    f"<div class=\"x job-description\"> {_LONG}\n <i>d</i> </div>", "<meta name='description' content='short'>", "",
+    ("page_id % 3 <> 0 and page_id % 2 = 0", "<meta name=\"description\" content=\" {x} \">"), ("page_id % 3 <> 0 and page_id % 2 = 1", "<meta content='{x}' name='description'>"),
+    ("page_id % 5 <> 0", "<meta content='{x} &lt;og&gt;' property='og:description'>"), ("page_id % 7 <> 0", "<meta property=\"twitter:description\" content=\"{x} &amp; {x}\">"),
+    ("page_id % 11 <> 0", "<span itemprop=\"description\"><b>{x}</b> i</span>"), ("page_id % 13 <> 0", "<div class=\"x job-description\"> {x}\n <i>d</i> and all that is said\tof it </div>"),
 ]
-_PLAIN = 'A description of this listing, "long" enough & plain.'
-_FOUND = [_PLAIN, f"{_PLAIN} og", f"{_PLAIN} t", _PLAIN, f"{_PLAIN} d", None, None]
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_META = "nullif(" + _DECODED.format("trim(regexp_extract({}, '^[^\"'']+'))") + ", '')"
+_BLOCK = _DECODED.format(r"trim(regexp_replace({}, '\s+', ' ', 'g'))")
 
 
-@query(f"select page_id, {_sql_chosen(_FOUND, 'page_id')} as description from pages")
+@query(f"""with h as (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as x from pages),
+  c as (select page_id, unnest([case when page_id % 3 <> 0 then {_META.format('x')} end, case when page_id % 5 <> 0 then {_META.format("x || ' &lt;og&gt;'")} end, case when page_id % 7 <> 0 then {_META.format("x || ' &amp; ' || x")} end,
+    case when page_id % 11 <> 0 then {_BLOCK.format('x')} end, case when page_id % 13 <> 0 then {_BLOCK.format("x || ' d and all that is said of it'")} end]) as text, unnest(range(5)) as place from h)
+  select page_id, arg_min(text, place) filter (where length(text) >= 40) as description from c group by page_id""")
 def html_description(t: Tables) -> DataFrame:
-    """Descriptions from the heads of pages; the driver's pages have none of their own, so each is given one."""
-    return t.pages.select("page_id", landed.static_description(F.concat(_chosen(_HEAD, "page_id"), "html")).alias("description"))
+    """Descriptions from the heads of pages; the driver's pages have none of their own, so their titles stand for them,
+    in some of the places where one may be."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    head = F.concat(*(F.when(F.expr(where), F.replace(F.lit(text), F.lit("{x}"), title)).otherwise("") for where, text in _HEAD))
+    # A row each: the page is put together before the patterns read it many times.
+    pages = t.pages.select("page_id", F.explode(F.array(F.concat(head, "html"))).alias("html"))
+    return pages.select("page_id", landed.static_description(F.col("html")).alias("description"))
 
 
 @query("""select doc_id, md5(replace(replace(regexp_replace(regexp_replace(description, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()-]{6,}[0-9]', '[phone]', 'g'), 'thand', '[secret]'), 'ertible', '[secret]')) as clean from listing""")

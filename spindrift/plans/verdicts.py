@@ -26,6 +26,19 @@ def _sql_chosen(values: list[str | None], by: str = "n_chars") -> str:
     return f"([{quoted}])[({by} % {len(values)}) + 1]"
 
 
+def _filled(text: F.Column, **parts: F.Column) -> F.Column:
+    """A text with each ``{name}`` replaced by the column of that name."""
+    for name, part in parts.items():
+        text = F.replace(text, F.lit("{" + name + "}"), part)
+    return text
+
+
+def _sql_filled(text: str, **parts: str) -> str:
+    for name, part in parts.items():
+        text = f"replace({text}, '{{{name}}}', {part})"
+    return text
+
+
 # --- dates -----------------------------------------------------------------------------------------------------
 
 _DATED = f"""select job_id, case when job_id % 17 <> 0 then published_at end as published_at, case when job_id % 2 = 0 then published_at + interval 1 day end as first_seen_at, expires_at,
@@ -146,10 +159,14 @@ def stemmed_phrase_match(t: Tables) -> DataFrame:
 
 # --- places ----------------------------------------------------------------------------------------------------
 
+#: Ways of writing a location; {a}, {b} and {c} are the first words of a listing's title, which stand for its towns.
 _LOCATIONS = [
-    "Oulu", "Helsinki / Etä", "Helsinki / Hybridi", "Suomi", "Ylivieska", "Helsinki, Kuopio, Oulu", None, " ", "Etätyö.", "Oulu / Etä", "täysin etänä", "Kuopio, mahdollisuus etätyöhön / Etä", "Ylivieska / Hybridi", "Suomi, Ylivieska", "Turku, etä", "fully remote (EU)", "etätyöntekijä, Turku", "Kuopio, Finland", "Nurmes", "Oulu, Kempele, Oulu",
+    "{a}", "{a} / Etä", "{a} / Hybridi", "Suomi", "Oulu", "{a}, {b}, Oulu", None, " ", "Etätyö.", "Oulu / Etä", "täysin etänä", "{a}, mahdollisuus etätyöhön / Etä", "Ylivieska / Hybridi", "Suomi, {b}", "Turku, etä",
+    "fully remote ({a})", "etätyöntekijä, {a}", "{b}, Finland", "Nurmes", "{c}, Kempele, {c}", "{a}, {b}, {c}", "{b}, {c} / Hybridi", "Kuopio, Finland",
 ]
-_PLACED = f"select job_id, {_sql_chosen(_LOCATIONS)} as location from job"
+_WORD = "[A-Za-zÅÄÖåäö]+"
+_TOWNS = f"""(select job_id, n_chars, coalesce(w[1], '') as a, coalesce(w[2], '') as b, coalesce(w[3], '') as c from (select job_id, n_chars, regexp_extract_all(title, '{_WORD}') as w from job) as worded) as towns"""
+_PLACED = f"select job_id, {_sql_filled(_sql_chosen(_LOCATIONS), a='a', b='b', c='c')} as location from {_TOWNS}"
 _REMOTE = f"""(not ({_any('low', fixed.WEAK_REMOTE)} or contains(low, '/ hybridi')) and trim(low) <> '' and (trim(trim(low), '.') in ({', '.join(repr(x) for x in fixed.WHOLLY_REMOTE)}) or contains(low, '/ etä') or ends_with(low, ' etä')
   or regexp_matches(low, '(^|[^a-zåäö])etätyö([^a-zåäö]|$)|(^|[^a-z])fully remote([^a-z]|$)|(^|[^a-z])100\\s*%\\s*remote([^a-z]|$)|(^|[^a-zåäö])täysin etänä([^a-zåäö]|$)')))"""
 # First the location up to its mode, then its parts with the country, vague ones left out.
@@ -161,8 +178,15 @@ _PLACES = f"""d as (select job_id, location, coalesce(location, '') as loc, lowe
   p as (select *, list_filter(every, lambda x, i: list_position(every, x) = i) as places from q)"""
 
 
+def _towns(t: Tables) -> DataFrame:
+    words = F.regexp_extract_all("title", F.lit(_WORD), F.lit(0))
+    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit("")).alias("abc"[i])
+    return t.job.select("job_id", "n_chars", word(0), word(1), word(2))
+
+
 def _placed(t: Tables) -> DataFrame:
-    return t.job.select("job_id", _chosen(_LOCATIONS).alias("location"))
+    """Listings with a location that is written in one of many ways around words of their own."""
+    return _towns(t).select("job_id", _filled(_chosen(_LOCATIONS), a=F.col("a"), b=F.col("b"), c=F.col("c")).alias("location"))
 
 
 @query(f"with {_PLACES} select job_id, remote as full_remote from p")
@@ -189,27 +213,45 @@ def work_mode_suffix(t: Tables) -> DataFrame:
     return t.listing.select("doc_id", T.with_work_mode(location, _chosen([None, "Etä", "Hybridi"])).alias("location"))
 
 
-_ADDRESSES = ["Jalkatie 2, Oulu, Finland", "Oulu", "Katu 1, 90100", "Kuopio, Finland"]
+_ADDRESSES = ["Jalkatie 2, {a}, Finland", "{a}", "{b} 1, 90100", "{c}, Finland", " , {b}"]
 
 
-@query(f"""with {_PLACES}, a as (select p.*, string_split({_sql_chosen(_ADDRESSES, 'job_id')}, ',') as parts from p)
+@query(f"""with {_PLACES}, a as (select job_id, list_filter(list_transform(string_split({_sql_filled(_sql_chosen(_ADDRESSES, 'job_id'), a='a', b='b', c='c')}, ','), lambda x: trim(x)), lambda x: x <> '') as parts from {_TOWNS})
   select job_id, coalesce(trim(split_part(split_part(low, '/', 1), ',', 1)) = 'oulu' and location is not null, false) as home, list_contains(places, 'Oulu, Finland') as has_home,
-    coalesce(list_filter(list_transform(parts, lambda x: trim(x)), lambda x: not regexp_matches(x, '[0-9]'))[1], trim(parts[1])) as origin from a""")
+    coalesce(list_filter(parts, lambda x: not regexp_matches(x, '[0-9]'))[1], parts[1]) as origin from p join a using (job_id)""")
 def home_city_flags(t: Tables) -> DataFrame:
     place = F.col("location")
-    return _placed(t).select(
-        "job_id", F.coalesce(P.city_name(place) == "oulu", F.lit(False)).alias("home"), F.array_contains(P.destinations(place), P.destination(F.lit("Oulu"))).alias("has_home"), P.origin_city(_chosen(_ADDRESSES, "job_id")).alias("origin"))
+    words = {x: F.col(x) for x in "abc"}
+    rows = _towns(t).select("job_id", _filled(_chosen(_LOCATIONS), **words).alias("location"), _filled(_chosen(_ADDRESSES, "job_id"), **words).alias("address"))
+    home, inside = F.coalesce(P.city_name(place) == "oulu", F.lit(False)), F.array_contains(P.destinations(place), P.destination(F.lit("Oulu")))
+    return rows.select("job_id", home.alias("home"), inside.alias("has_home"), P.origin_city(F.col("address")).alias("origin"))
 
 
 _ROUTES = "(values ('Oulu, Finland', 600, 8.0), ('Ylivieska, Finland', 5400, 130.0), ('Kuopio, Finland', 14400, 290.0), ('Helsinki, Finland', 21600, 610.0), ('Kempele, Finland', 1500, 12.0), ('Kuopio, Suomi', 7200, 290.0)) as r(destination, duration_s, km)"
 
 
-@query(f"with {_PLACES} select job_id, arg_min(destination, duration_s) as destination, min(duration_s)::bigint as duration_s from (select job_id, unnest(places) as destination from p) join {_ROUTES} using (destination) group by job_id")
+# Towns with a route and those whose look-up failed: a town's distance is the length of the shortest text that starts with it.
+_ROADS = f"""met as (select a || ', Finland' as destination, (min(n_chars) % 300 * 60)::bigint as duration_s, min(job_id) as met from {_TOWNS} where a <> '' group by a),
+  roads as (select destination, duration_s from met where met % 4 <> 0 union all select destination, duration_s from {_ROUTES}),
+  lost as (select destination from met where met % 8 = 0 union all select 'Nurmes, Finland'),
+  e as (select job_id, unnest(places) as destination, generate_subscripts(places, 1) as pos from p),
+  near as (select e.job_id, destination, duration_s from e join roads using (destination) qualify row_number() over (partition by job_id order by duration_s, pos) = 1)"""
+
+
+def _roads(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Routes (destination, duration_s, km) to towns, and destination of failed look-ups, from the listings themselves."""
+    met = _towns(t).where("a <> ''").groupBy("a").agg(F.min("n_chars").alias("n"), F.min("job_id").alias("met"))
+    met = met.select(F.concat("a", F.lit(", Finland")).alias("destination"), (F.col("n") % 300 * 60).cast("long").alias("duration_s"), "met")
+    known = met.where("met % 4 <> 0").select("destination", "duration_s", F.lit(1.0).alias("km")).union(flagship.routes(t))
+    return known, met.where("met % 8 = 0").select("destination").union(t.spark.createDataFrame([("Nurmes, Finland",)], "destination string"))
+
+
+@query(f"with {_PLACES}, {_ROADS} select job_id, destination, duration_s from near")
 def best_route(t: Tables) -> DataFrame:
-    return ranking.best_routes(_placed(t), flagship.routes(t)).select("job_id", "destination", "duration_s")
+    return ranking.best_routes(_placed(t), _roads(t)[0]).select("job_id", "destination", "duration_s")
 
 
-@query(f"""with {_PLACES}, e as (select job_id, unnest(places) as destination from p), b as (select job_id, min(duration_s)::bigint as s from e join {_ROUTES} using (destination) group by job_id), f as (select distinct job_id from e where destination = 'Nurmes, Finland'),
+@query(f"""with {_PLACES}, {_ROADS}, b as (select job_id, duration_s as s from near), f as (select distinct job_id from e join lost using (destination)),
   k as (select p.job_id, remote, s, case when location is not null and trim(split_part(split_part(low, '/', 1), ',', 1)) = 'oulu' then 'exact_home_city' when list_contains(places, 'Oulu, Finland') then 'contains_home_city' when remote then 'full_remote'
     when len(places) = 0 then 'vague' when s is null and f.job_id is not null then 'transit_unrouteable' when s is null then 'transit_unknown' when s <= 7200 then 'transit_within_limit' when contains(low, '/ hybridi') then 'transit_over_limit_hybrid' else 'transit_over_limit' end as reason
     from p left join b using (job_id) left join f using (job_id))
@@ -217,40 +259,68 @@ def best_route(t: Tables) -> DataFrame:
     case when reason in ('exact_home_city', 'contains_home_city') then 12 when reason = 'full_remote' then 15 when reason in ('vague', 'transit_unrouteable', 'transit_unknown') then -5 when reason = 'transit_within_limit' then case when s <= 2700 then 10 when s <= 5400 then 6 else 3 end when reason = 'transit_over_limit_hybrid' then -8 else -15 end as adjustment,
     reason in ('exact_home_city', 'contains_home_city', 'transit_within_limit') as commutable, remote and reason in ('exact_home_city', 'contains_home_city', 'full_remote') as full_remote, case when reason in ('transit_within_limit', 'transit_over_limit', 'transit_over_limit_hybrid') then s end as duration_s from k""")
 def travel_assessment(t: Tables) -> DataFrame:
-    failed = t.spark.createDataFrame([("Nurmes, Finland",)], "destination string")
-    return ranking.travel_scores(_placed(t), flagship.routes(t), "Oulu", 120, "Jalkatie 2, Oulu, Finland", failed).drop("km")
+    routes, failed = _roads(t)
+    return ranking.travel_scores(_placed(t), routes, "Oulu", 120, "Jalkatie 2, Oulu, Finland", failed).drop("km")
 
 
 # --- addresses -------------------------------------------------------------------------------------------------
 
+#: Ways in which an address goes wrong or stays right: {u} is a page's address, {s}, {h}, {H} and {p} its scheme, host, host
+#: in capitals and rest, {ip} an address in numbers that follows from the row, {l} as many letters as make it too long or not.
 _URLS = [
-    None, "  ", "javascript:alert(1)", "https://user:pw@example.org/x", "http://localhost/a", "https://10.1.2.3/a", "https://a.internal/x", "https:///nohost", "https://exa mple.org/", "https://example.org:99999/x", "ftp://example.org/x", "https://example.org/jobs/1/", " https://Jobs.Example.ORG./jobs/2 ", "https://evil-example.org/jobs/3",
-    "https://example.org/other", "https://[::1]/x", "https://192.168.0.1:8080/", "https://172.32.0.1/x", "https://example.org/jobs?x=1#y", "http://-bad.example.org/", "https://example.org/\tx", "data:text/html,x", "https://example.org/" + "x" * 2100,
+    None, "  ", "javascript:{h}", "{s}://user:pw@{h}{p}", "{s}://localhost{p}", "{s}://{ip}{p}", "{s}://a.{h}.internal{p}", "{s}:///{h}", "{s}://{h} x{p}", "{s}://{h}:99999{p}", "ftp://{h}{p}", "{s}://{h}{p}/", " {s}://{H}.{p} ", "{s}://evil-{h}{p}",
+    "{s}://{h}:8080{p}", "{s}://[::1]{p}", "{s}://{ip}:8080{p}", "{s}://{ip}.{p}", "{s}://{h}?x={p}", "{s}://-bad.{h}{p}", "{s}://{h}/\t{p}", "data:text/html,{h}", "{s}://{h}/{l}", "{u}", "\t{u}\n", "{s}://@{h}:{p}", "{s}://[2600::1]{p}", "{s}://[fe80::1]:x{p}",
+    "{s}://[{h}{p}", "{u}", "{s}://{ip}{p}",
 ]
-#: Where each of _URLS ends by the rules, for any source and for one that allows example.org below /jobs/.
-_ANY = ["missing", "missing", "non_http_scheme", "embedded_credentials", "private_host", "private_host", "private_host", "malformed", "malformed", "malformed", "non_http_scheme", None, None, None, None, "private_host", "private_host", None, None, "malformed", "control_characters", "non_http_scheme", "too_long"]
-_OWN = [*_ANY[:11], None, None, "unexpected_host", "unexpected_path", "private_host", "private_host", "unexpected_host", None, "malformed", "control_characters", "non_http_scheme", "too_long"]
-
-
-@query(f"""select page_id, case when page_id % 5 = 4 then 'unknown_source' else coalesce(case when page_id % 5 = 3 then coalesce({_sql_chosen(_ANY, 'page_id')}, 'unexpected_host') when page_id % 5 = 2 then {_sql_chosen(_ANY, 'page_id')} else {_sql_chosen(_OWN, 'page_id')} end, 'ok') end as reason from pages""")
+_FIRSTS, _SECONDS, _THIRDS = ["10", "127", "0", "169", "172", "192", "198", "203", "100", "8", "224", "240"], ["0", "16", "31", "32", "64", "127", "128", "168", "18", "20", "51", "254", "1"], ["0", "2", "100", "113", "7"]
+_IP = f"concat_ws('.', {_sql_chosen(_FIRSTS, 'page_id')}, {_sql_chosen(_SECONDS, 'length(url)')}, {_sql_chosen(_THIRDS, '(page_id // 3)')}, length(url) % 256)"
+_SPACE = " \t\n\r"
+_PARTED = "select page_id, url, regexp_extract(url, '^([a-z]+)://([^/?#]*)(.*)$', 1) as s, regexp_extract(url, '^([a-z]+)://([^/?#]*)(.*)$', 2) as h, regexp_extract(url, '^([a-z]+)://([^/?#]*)(.*)$', 3) as p from pages"
+_MADE = _sql_filled(_sql_chosen(_URLS, "page_id"), u="url", s="s", h="h", H="upper(h)", p="p", ip=_IP, l="repeat('x', (2000 + page_id % 40)::int)")
+_OCTETS = """(o[1] in (0, 10, 127) or o[1] = 100 and o[2] between 64 and 127 or o[1] = 169 and o[2] = 254 or o[1] = 172 and o[2] between 16 and 31 or o[1] = 192 and (o[2] = 168 or o[2] = 0 and o[3] in (0, 2))
+    or o[1] = 198 and (o[2] in (18, 19) or o[2] = 51 and o[3] = 100) or o[1] = 203 and o[2] = 0 and o[3] = 113 or o[1] >= 240)"""
+# The rules of addresses, stated on their parts: first the place behind the user, then host and port, then the host's labels.
+_JUDGED = rf"""cut as (select page_id, trim({_MADE}, '{_SPACE}') as u from ({_PARTED}) as parted),
+  net as (select *, regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) as net, string_split(net, '@')[-1] as place, left(net, length(net) - length(place)) as login, contains(net, '[') <> contains(net, ']') as unclosed from cut),
+  hosted as (select *, rtrim(lower(case when starts_with(place, '[') then split_part(substr(place, 2), ']', 1) else split_part(place, ':', 1) end), '.') as host, string_split(host, '.') as labels,
+    case when starts_with(place, '[') then substr(split_part(place, ']', 2), 2) when contains(place, ':') then substr(place, strpos(place, ':') + 1) else '' end as port,
+    '/' || regexp_extract(substr(u, strpos(u, ':') + 3 + length(net)), '^/?([^?#]*)', 1) as path from net),
+  shaped as (select *, case when regexp_full_match(host, '\d+\.\d+\.\d+\.\d+') then list_transform(labels, lambda x: try_cast(x as int)) end as o, len(list_filter(labels, lambda x: not regexp_full_match(x, '[a-z0-9]([a-z0-9-]*[a-z0-9])?'))) as odd from hosted),
+  judged as (select *, case when coalesce(u, '') = '' then 'missing' when length(u) > 2048 then 'too_long' when regexp_matches(u, '[\x00-\x1f\x7f]') then 'control_characters' when unclosed or not regexp_full_match(port, '\d*') or coalesce(try_cast(port as int), 0) > 65535 then 'malformed'
+      when lower(split_part(u, ':', 1)) not in ('http', 'https') then 'non_http_scheme' when login not in ('', '@', ':@') then 'embedded_credentials' when host = '' then 'malformed'
+      when labels[-1] in ('localhost', 'local', 'internal', 'localdomain') and (len(labels) > 1 or host = 'localhost') or coalesce({_OCTETS}, false) or contains(host, ':') and (host in ('::', '::1') or regexp_matches(host, '^(fc|fd|fe8|fe9|fea|feb|2001:db8|::ffff:)')) then 'private_host'
+      when odd > 0 then 'malformed' end as reason from shaped)"""
+
+
+def _addresses(t: Tables) -> DataFrame:
+    """Pages with their addresses, most of them spoilt in one way or another."""
+    part = lambda i: F.regexp_extract("url", "^([a-z]+)://([^/?#]*)(.*)$", i)
+    rows = t.pages.select("page_id", "url", part(1).alias("s"), part(2).alias("h"), part(3).alias("p"), F.length("url").alias("n"), F.expr("page_id div 3").alias("k"))
+    ip = F.concat_ws(".", _chosen(_FIRSTS, "page_id"), _chosen(_SECONDS, "n"), _chosen(_THIRDS, "k"), (F.col("n") % 256).cast("string"))
+    made = _filled(_chosen(_URLS, "page_id"), u=F.col("url"), s=F.col("s"), h=F.col("h"), H=F.upper("h"), p=F.col("p"), ip=ip, l=F.repeat(F.lit("x"), (2000 + F.col("page_id") % 40).cast("int")))
+    # A row each: the addresses are made before the rules read them many times.
+    return rows.select("page_id", F.explode(F.array(made)).alias("url"))
+
+
+@query(rf"""with {_JUDGED}, ruled as (select *, page_id % 5 as k, case when k = 0 then host = 'example.org' or ends_with(host, '.example.org') when k = 1 then host = 'example.net' or ends_with(host, '.example.net') else k = 2 end as own,
+    case when k = 0 then path in ('/de', '/fr/1') or starts_with(path, '/de/') or starts_with(path, '/fr/1') when k = 1 then starts_with(path, '/e') else true end as below from judged)
+  select page_id, case when k = 4 then 'unknown_source' else coalesce(reason, case when not own then 'unexpected_host' when not below then 'unexpected_path' end, 'ok') end as reason from ruled""")
 def url_policy(t: Tables) -> DataFrame:
     """Pages' addresses by the policies of their sources: some hosts and paths, every host, no host, no policy."""
-    policies = t.spark.createDataFrame([(0, ["example.org"], ["/jobs/"]), (1, [".Example.org"], ["jobs"]), (2, None, None), (3, [], None)], "source_id long, hosts array<string>, paths array<string>")
-    rows = t.pages.select("page_id", (F.col("page_id") % 5).alias("source_id"), _chosen(_URLS, "page_id").alias("url")).join(F.broadcast(policies.withColumn("known", F.lit(True))), "source_id", "left")
+    policies = t.spark.createDataFrame([(0, ["example.org"], ["/de/", "/fr/1"]), (1, [".Example.net"], ["e"]), (2, None, None), (3, [], None)], "source_id long, hosts array<string>, paths array<string>")
+    rows = _addresses(t).withColumn("source_id", F.col("page_id") % 5).join(F.broadcast(policies.withColumn("known", F.lit(True))), "source_id", "left")
     reason = F.when(F.col("known").isNull(), "unknown_source").otherwise(F.coalesce(links.rejection(F.col("url"), F.col("hosts"), F.col("paths")), F.lit("ok")))
     return rows.select("page_id", reason.alias("reason"))
 
 
-@query(f"select page_id, coalesce({_sql_chosen(_ANY, 'page_id')}, 'ok') as problem from pages")
+@query(f"with {_JUDGED} select page_id, coalesce(reason, 'ok') as problem from judged")
 def url_problems(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.coalesce(links.rejection(_chosen(_URLS, "page_id")), F.lit("ok")).alias("problem"))
+    return _addresses(t).select("page_id", F.coalesce(links.rejection(F.col("url")), F.lit("ok")).alias("problem"))
 
 
-@query(f"""with u as (select page_id, page_id % 2 as own, url, {_sql_chosen(_URLS, 'page_id')} as odd, {_sql_chosen(_ANY, 'page_id')} as reason from pages)
-  select page_id, case when own = 1 then nullif(rtrim(trim(url), '/'), '') when reason is null then nullif(rtrim(trim(odd), '/'), '') end as link from u""")
+@query(f"with {_JUDGED} select page_id, case when reason is null then nullif(rtrim(u, '/'), '') end as link from judged")
 def link_normalize(t: Tables) -> DataFrame:
-    url = F.when(F.col("page_id") % 2 == 1, F.col("url")).otherwise(_chosen(_URLS, "page_id"))
-    return t.pages.select("page_id", links.safe_link(url).alias("link"))
+    return _addresses(t).select("page_id", links.safe_link(F.col("url")).alias("link"))
 
 
 # --- identities ------------------------------------------------------------------------------------------------
@@ -386,23 +456,24 @@ _STRONG = [x for x in fixed.LEADERSHIP_TERMS if x != "koordinaattori"]
 _RUNG = "list_has_any(list_concat(shown, tm, km), {})"
 
 
-@query(f"""with b as (select job_id, {_sql_chosen(_HEADS, 'job_id')} as title, {_sql_chosen(_FIRMS)} as employer, case when {_sql_chosen(_TITLED)} is null then [] else [{_sql_chosen(_TITLED)}] end as tm, case when {_sql_chosen(_WORDED, 'job_id')} is null then [] else [{_sql_chosen(_WORDED, 'job_id')}] end as km, n_chars % 3 = 0 as hidden from job),
+@query(f"""with b as (select job_id, {_sql_chosen(_HEADS, 'job_id')} || ' ' || title as title, concat_ws(' ', {_sql_chosen(_FIRMS)}, employer) as employer, case when {_sql_chosen(_TITLED)} is null then [] else [{_sql_chosen(_TITLED)}] end as tm, case when {_sql_chosen(_WORDED, 'job_id')} is null then [] else [{_sql_chosen(_WORDED, 'job_id')}] end as km, n_chars % 3 = 0 as hidden from job),
   s as (select *, lower(title) as low, string_split_regex(replace(lower(concat_ws(' ', title, employer)), '-', ' '), '\\s+') as shown from b)
   select job_id, hidden, case when {_any('low', fixed.LIBRARY_TERMS)} or list_has_any(tm, {_list(fixed.LIBRARY_TERMS)}) then '{fixed.CATEGORIES['library']}' when {_any('low', _STRONG)} or list_has_any(tm, {_list(_STRONG)}) then '{fixed.CATEGORIES['leadership']}'
     when {_RUNG.format(_list(fixed.MUSIC_TERMS))} then '{fixed.CATEGORIES['music']}' when {_RUNG.format(_list(fixed.GUIDANCE_TERMS))} then '{fixed.CATEGORIES['guidance']}' when {_RUNG.format(_list(fixed.CULTURE_TERMS))} then '{fixed.CATEGORIES['culture']}'
     when {_RUNG.format(_list(fixed.LEADERSHIP_TERMS))} then '{fixed.CATEGORIES['leadership']}' when {_RUNG.format(_list(fixed.LIBRARY_TERMS))} then '{fixed.CATEGORIES['library']}' when hidden then '{fixed.CATEGORIES['hidden']}' else '{fixed.CATEGORIES['other']}' end as category from s""")
 def category_case(t: Tables) -> DataFrame:
     one = lambda c: F.when(c.isNotNull(), F.array(c))
-    made = L.category(_chosen(_HEADS, "job_id"), _chosen(_FIRMS), one(_chosen(_TITLED)), one(_chosen(_WORDED, "job_id")), F.lit(None).cast("array<string>"), F.col("n_chars") % 3 == 0)
+    title, employer = F.concat(_chosen(_HEADS, "job_id"), F.lit(" "), "title"), F.concat_ws(" ", _chosen(_FIRMS), "employer")
+    made = L.category(title, employer, one(_chosen(_TITLED)), one(_chosen(_WORDED, "job_id")), F.lit(None).cast("array<string>"), F.col("n_chars") % 3 == 0)
     return t.job.select("job_id", made.alias("c")).select("job_id", "c.category", "c.hidden")
 
 
-@query("""with p as (select rec_id, rec_id % 3 = 0 as ready, case when rec_id % 5 <> 4 then rec_id % 5 < 3 end as allowed, ([null, ' ', 'some'])[(rec_id % 7 % 3) + 1] as provider from rec)
-  select rec_id, case when ready then 'hosted' when allowed = false or coalesce(trim(provider), '') = '' then 'deterministic_only' else 'unavailable' end as mode from p""")
+@query("""select rec_id, case when machine_score >= 60 then 'hosted' when action = 'skip' or case when commutable then '' when remote then ' ' else coalesce(trim(lane), '') end in ('', ' ') then 'deterministic_only' else 'unavailable' end as mode from rec""")
 def publication_mode(t: Tables) -> DataFrame:
-    k = F.col("rec_id")
-    provider = F.get(F.array(F.lit(None).cast("string"), F.lit(" "), F.lit("some")), (k % 7 % 3).cast("int"))
-    return t.rec.select("rec_id", L.publication_mode(k % 3 == 0, F.when(k % 5 != 4, k % 5 < 3), provider).alias("mode"))
+    """A provider is ready for good scores, forbidden for what is skipped and unknown for the undecided; its name is the lane."""
+    provider = F.when(F.col("remote"), " ").when(~F.col("commutable"), F.col("lane"))
+    allowed = F.when(F.col("action") != "consider", F.col("action") == "apply")
+    return t.rec.select("rec_id", L.publication_mode(F.col("machine_score") >= 60, allowed, provider).alias("mode"))
 
 
 _REC = """select rec_id, profile_id, job_id, action, review_score, ([null, 'strong', 'generic_customer_service_only', 'not_applicable', 'fair', 'strong'])[(rec_id % 6) + 1] as tier, case when rec_id % 9 <> 8 then not hard_rejected end as hard_eligible,

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.functions import text as T
+from spindrift.functions import links, text as T
 from spindrift.operators import gates, scoring, state
 
 
@@ -93,3 +93,15 @@ def test_stems_do_not_depend_on_their_place(spark):
     from spindrift.functions import listing as L
 
     assert one(spark, L.stemmed(F.col("t")), t="a b c d e f opettajan") == "a b c d e f opettaja"
+
+
+@pytest.mark.parametrize(
+    "url, reason",
+    [
+        ("\t https://example.org/x\n", None), ("https://example.org/a\tb", "control_characters"), ("https://[::1]:x/", "malformed"), ("https://[::1]:99999/", "malformed"), ("https://[::1]:80/", "private_host"), ("https://[example.org/", "malformed"),
+        ("https://example.org]/", "malformed"), ("https://example.org:/x", None), ("https://@example.org/", None), ("https://240.1.2.3/", "private_host"), ("https://172.32.0.1/", None), ("\n", "missing"), (None, "missing"),
+    ],
+)
+def test_addresses(spark, url, reason):
+    assert one(spark, links.rejection(F.col("u")), u=url) == reason
+    assert one(spark, links.safe_link(F.col("u")), u=url) == (None if reason else url.strip().rstrip("/"))
