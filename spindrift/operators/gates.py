@@ -74,17 +74,17 @@ def discovery_pool(jobs: DataFrame, terms: DataFrame) -> DataFrame:
     """(job_id, profile_id): jobs that hold a term of a profile (profile_id, term) as whole tokens in title or
     description."""
     phrases = terms.select("profile_id", T.normalized(F.col("term")).alias("phrase")).where("phrase <> ''").distinct()
-    rows = jobs.select("job_id", F.split(T.normalized(F.concat_ws(" ", "title", "description")), " ").alias("words"))
+    rows = jobs.select("job_id", T.normalized(F.concat_ws(" ", "title", "description")).alias("text"))
     return hits.phrases_in(rows, phrases).join(hits.small(phrases), "phrase").select("job_id", "profile_id").distinct()
 
 
 def town_pool(jobs: DataFrame, towns: DataFrame) -> DataFrame:
     """(job_id, profile_id): jobs whose location holds a town of a profile (profile_id, town) between separators, in
     whatever case. Distinct locations meet the towns, not jobs."""
-    cut = lambda c: F.split(F.trim(F.lower(c)), r"[\s,/]+")
-    named = towns.select("profile_id", F.array_join(cut(F.col("town")), " ").alias("phrase")).where("phrase <> ''").distinct()
+    cut = lambda c: F.array_join(F.split(F.trim(F.lower(c)), r"[\s,/]+"), " ")
+    named = towns.select("profile_id", cut(F.col("town")).alias("phrase")).where("phrase <> ''").distinct()
     places = jobs.select("location").where("location is not null").distinct()
-    found = hits.phrases_in(places.select(F.col("location").alias("job_id"), cut(F.col("location")).alias("words")), named)
+    found = hits.phrases_in(places.select(F.col("location").alias("job_id"), cut(F.col("location")).alias("text")), named)
     found = found.join(hits.small(named), "phrase").select(F.col("job_id").alias("location"), "profile_id").distinct()
     return jobs.select("job_id", "location").join(hits.small(found), "location").select("job_id", "profile_id")
 
@@ -99,7 +99,7 @@ def language_gate(jobs: DataFrame, languages: DataFrame, text: str = "descriptio
     another language of rule ``pass`` or ``above_b2`` instead."""
     low, names = F.col("_low"), fixed.LANGUAGE_NAMES
     top = T.has_any(low, fixed.NATIVE_MARKERS + fixed.EXCELLENT_MARKERS)
-    parts = spread(jobs.select("job_id", "title", text)).select("job_id", F.posexplode(T.sentences(F.concat_ws(". ", F.coalesce("title", F.lit("")), text))).alias("pos", "sentence")).select("job_id", "pos", F.lower("sentence").alias("_low"))
+    parts = spread(jobs.select("job_id", "title", text)).select("job_id", F.posexplode_outer(T.sentences(F.concat_ws(". ", F.coalesce("title", F.lit("")), text))).alias("pos", "sentence")).select("job_id", "pos", F.lower("sentence").alias("_low"))
     # Sentences that can't decide go before they meet the languages.
     parts = parts.where(T.has_any(low, [n for x in names.values() for n in x]) & T.has_any(low, fixed.LANGUAGE_CONTEXT) & ~T.has_any(low, fixed.NEGATION_MARKERS) & ~T.has_any(low, fixed.OPTIONAL_MARKERS) & (T.has_any(low, fixed.STRONG_MARKERS) | top))
     parts = parts.withColumn("_named", F.array_compact(F.array(*(F.when(T.has_any(low, n), F.lit(code)) for code, n in names.items()))))
@@ -121,7 +121,14 @@ def missing_qualifications(text: Column, plain: Column | None = None) -> Column:
 
 def softened(text: Column, phrase: Column) -> Column:
     """Whether the first sentence that holds a phrase is negated or optional; false if none holds it."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[.!?\n]")
+    return _softened(_sentences(text), phrase)
+
+
+def _sentences(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[.!?\n]")
+
+
+def _softened(parts: Column, phrase: Column) -> Column:
     first = F.get(F.filter(parts, lambda s: F.contains(s, F.lower(phrase))), F.lit(0))
     return F.coalesce(T.has_any(first, fixed.DEMAND_NEGATED + fixed.DEMAND_OPTIONAL), F.lit(False))
 
@@ -138,17 +145,22 @@ def qualification_gate(jobs: DataFrame, checks: DataFrame) -> DataFrame:
     from ..functions.listing import stemmed
 
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    rows = jobs.select("job_id", pad(stemmed(F.coalesce("title", F.lit("")))).alias("_t"), pad(stemmed(F.concat_ws(". ", "title", "description"))).alias("_x"), F.concat_ws(". ", "title", "description").alias("_raw"))
-    rows = rows.crossJoin(F.broadcast(checks))
-    within = lambda where, phrases: F.filter(phrases, lambda p: F.contains(F.col(where), pad(stemmed(p))))
-    rows = rows.select("job_id", "name", "never_by_title", "_raw", within("_t", F.col("title_or_text")).alias("titled"), within("_x", F.col("title_or_text")).alias("told"), within("_x", F.col("reject")).alias("named"), within("_t", F.col("adjacent")).alias("near"), within("_x", F.col("caution")).alias("careful"), within("_x", F.col("required")).alias("asked"))
+    whole, lists = F.concat_ws(". ", "title", "description"), ["title_or_text", "reject", "adjacent", "caution", "required"]
+    rows = jobs.select("job_id", pad(stemmed(F.coalesce("title", F.lit("")))).alias("_t"), pad(stemmed(whole)).alias("_x"), _sentences(whole).alias("_said"))
+    # Phrases are stemmed before they meet the jobs.
+    stems = [F.transform(c, lambda p: F.struct(p.alias("p"), pad(stemmed(p)).alias("s"))).alias(c) for c in lists]
+    rows = rows.crossJoin(F.broadcast(checks.select("name", "never_by_title", *stems)))
+    within = lambda where, phrases: F.transform(F.filter(phrases, lambda x: F.contains(F.col(where), x["s"])), lambda x: x["p"])
+    rows = rows.select("job_id", "name", "never_by_title", "_said", within("_t", "title_or_text").alias("titled"), within("_x", "title_or_text").alias("told"), within("_x", "reject").alias("named"), within("_t", "adjacent").alias("near"), within("_x", "caution").alias("careful"), within("_x", "required").alias("asked"))
     some = lambda c: F.size(c) > 0
-    hard = F.filter("named", lambda p: ~softened(F.col("_raw"), p))
+    soft = lambda p: _softened(F.col("_said"), p)
+    hard = F.filter("named", lambda p: ~soft(p))
     verdict = (
-        F.when(some("titled"), "reject").when(some("told"), F.when(softened(F.col("_raw"), F.get("told", F.lit(0))), "caution").otherwise("reject"))
+        F.when(some("titled"), "reject").when(some("told"), F.when(soft(F.get("told", F.lit(0))), "caution").otherwise("reject"))
         .when(some(hard), F.when(some("near"), "caution").otherwise("reject")).when(some("named"), "caution")
         .when(F.col("never_by_title"), F.when(some("careful"), "caution")).when(some("asked"), "caution"))
-    return rows.select("job_id", "name", verdict.alias("verdict")).where("verdict is not null")
+    # A row each: a filter on the verdict itself would be carried below the stems and make them anew for every use.
+    return rows.select("job_id", "name", F.explode_outer(F.array(verdict)).alias("verdict")).where("verdict is not null")
 
 
 def publishable(recs: DataFrame, deterministic_only: bool = False) -> DataFrame:
@@ -169,7 +181,7 @@ def learned_discovery(scored: DataFrame, jobs: DataFrame, phrases: DataFrame) ->
     """scored (job_id, profile_id, pool, lanes) with the lane ``learned_discovery`` for rows that came only through the
     discovery pool and hold one of the profile's learned phrases (profile_id, phrase) as whole tokens."""
     named = phrases.select("profile_id", T.normalized(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct()
-    rows = jobs.select("job_id", F.split(T.normalized(F.concat_ws(" ", "title", "employer", "description")), " ").alias("words"))
+    rows = jobs.select("job_id", T.normalized(F.concat_ws(" ", "title", "employer", "description")).alias("text"))
     found = hits.phrases_in(rows, named).join(hits.small(named), "phrase").select("job_id", "profile_id", F.lit(True).alias("_found")).distinct()
     rows = scored.join(found, ["job_id", "profile_id"], "left")
     new = (F.col("pool") == "discovery") & F.col("_found") & ~F.array_contains("lanes", "learned_discovery")
@@ -196,7 +208,7 @@ def negative_matches(pairs: DataFrame, jobs: DataFrame, wanted: DataFrame, token
     are some already."""
     phrases = wanted.where("kind = 'title'").select("profile_id", T.normalized(F.col("value")).alias("phrase")).where("phrase <> ''").distinct()
     words = wanted.where("kind = 'keyword'").select("profile_id", F.explode(T.tokens(F.col("value"))).alias("word")).where(F.length("word") >= hits.LEAST).distinct()
-    titled = hits.phrases_in(jobs.select("job_id", F.split(T.normalized(F.col("title")), " ").alias("words")), phrases)
+    titled = hits.phrases_in(jobs.select("job_id", T.normalized(F.col("title")).alias("text")), phrases)
     tokens = hits.job_tokens(jobs).where("raw") if tokens is None else tokens.where("raw")
     said = tokens.join(hits.small(hits.words_within(tokens, words)), "token").select("job_id", "word").distinct()
     found = titled.join(hits.small(phrases), "phrase").select("job_id", "profile_id", F.col("phrase").alias("m")).union(said.join(hits.small(words), "word").select("job_id", "profile_id", "word"))

@@ -19,9 +19,13 @@ GROUP = 500
 LEAST = 4
 
 
+def is_small(table: DataFrame) -> bool:
+    return table.limit(FEW + 1).count() <= FEW
+
+
 def small(table: DataFrame) -> DataFrame:
     """A table of terms, to be broadcast if it has no more than FEW rows."""
-    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+    return F.broadcast(table) if is_small(table) else table
 
 
 def job_tokens(jobs: DataFrame) -> DataFrame:
@@ -38,7 +42,8 @@ def job_tokens(jobs: DataFrame) -> DataFrame:
     own = F.transform("_all", lambda x: F.struct(x.alias("token"), F.lit(True).alias("in_text"), kept(x).alias("raw")))
     broken = F.coalesce(F.array_except("_raw", "_all"), F.array().cast("array<string>"))
     places = F.array_except(F.array_except("_place", "_all"), broken)
-    each = rows.select("job_id", "_title", "_place", F.explode(F.concat(own, said(places, False, False), said(broken, False, True))).alias("x"))
+    # explode_outer: explode would have its whole array made a second time, for a filter on its size.
+    each = rows.select("job_id", "_title", "_place", F.explode_outer(F.concat(own, said(places, False, False), said(broken, False, True))).alias("x")).where("x is not null")
     token, inside = F.col("x.token"), F.col("x.in_text")
     stands = {"in_title": inside & F.array_contains("_title", token), "in_location": F.array_contains("_place", token), "in_text": inside, "raw": F.col("x.raw")}
     return written(each.select("job_id", token.alias("token"), *(c.alias(k) for k, c in stands.items())))
@@ -46,18 +51,20 @@ def job_tokens(jobs: DataFrame) -> DataFrame:
 
 def phrases_in(rows: DataFrame, phrases: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(job_id, phrase) and the columns ``keep`` of rows: phrases (words joined by single spaces) that stand in rows
-    (job_id, words array) as whole words.
-
-    Runs of words, as long as any phrase is, meet the phrases; these are broadcast if they are few, so that no run of a
-    text is shuffled that is no phrase."""
-    wanted = phrases.select("phrase").where("phrase <> ''").distinct()
-    lengths = wanted.agg(F.collect_set(F.size(F.split("phrase", " "))).alias("_lengths"))
-    kept = keep or []
-    rows = rows.select("job_id", *kept, F.col("words").alias("_w")).crossJoin(F.broadcast(lengths))
-    none = F.array().cast("array<string>")
-    runs = lambda n: F.when(n == 1, F.col("_w")).when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(none)
-    grams = rows.select("job_id", *kept, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", runs)))).alias("phrase"))
-    return grams.join(small(wanted), "phrase").select("job_id", *kept, "phrase")
+    (job_id, text: words joined by single spaces) as whole words. job_id is unique in rows.
+
+    A text's distinct words meet the longest word of each phrase; the text is searched for those phrases alone whose
+    longest word it has. Phrases are broadcast if they are few, so that no word of a text is shuffled."""
+    wanted, kept = phrases.select("phrase").where("phrase <> ''").distinct(), keep or []
+    longest = F.array_max(F.transform(F.split("phrase", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = wanted.withColumn("_word", longest)
+    texts = rows.select("job_id", *kept, F.concat(F.lit(" "), "text", F.lit(" ")).alias("_t"), F.array_distinct(F.split("text", " ")).alias("_ws"))
+    there = (F.col("phrase") == F.col("_word")) | F.contains(F.col("_t"), F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    if is_small(wanted):
+        found = texts.select("job_id", *kept, "_t", F.explode_outer("_ws").alias("_word")).join(F.broadcast(wanted), "_word")
+    else:
+        found = texts.select("job_id", F.explode_outer("_ws").alias("_word")).join(wanted, "_word").join(texts.drop("_ws"), "job_id")
+    return found.where(there).select("job_id", *kept, "phrase")
 
 
 def words_within(tokens: DataFrame, words: DataFrame) -> DataFrame:
@@ -73,11 +80,28 @@ def words_within(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return cut.join(small(wanted), "word").select("token", "word")
 
 
-def texts_within(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """(job_id, value): values that are part of the text of rows (job_id, text), wherever they begin. A text is searched
-    for GROUP values at a time where it lies."""
+def texts_within(rows: DataFrame, values: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(job_id, value): values that are part of the text of rows (job_id, text), wherever they begin. job_id is unique.
+
+    tokens: job_id, token: the words of each text in lower case, if there are some already; then a text, which must be in
+    lower case, is searched only for values of whose longest word it has a part. Values without a word of LEAST characters
+    are searched for in every text, GROUP at a time where it lies."""
     wanted = values.select("value").where("value <> ''").distinct()
+    if tokens is None:
+        return _searched(rows, wanted)
+    longest = F.array_max(F.transform(F.split("value", T.OTHER), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = wanted.withColumn("word", longest)
+    worded, others = keyed.where(F.length("word") >= LEAST), keyed.where(F.length("word") < LEAST)
+    held = small(words_within(tokens, worded).join(small(worded), "word").select("token", "word", "value"))
+    met = tokens.join(held, "token").select("job_id", "word", "value").distinct()
+    sure = met.where("value = word").select("job_id", "value")
+    told = met.where("value <> word").join(rows, "job_id").where(F.contains("text", F.col("value"))).select("job_id", "value")
+    return sure.union(told).union(_searched(rows, others.select("value")))
+
+
+def _searched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     groups = math.ceil(wanted.count() / GROUP)
     lists = wanted.groupBy(F.pmod(F.xxhash64("value"), F.lit(max(1, groups))).alias("_g")).agg(F.collect_list("value").alias("_vs"))
     found = rows.select("job_id", "text").crossJoin(F.broadcast(lists)).select("job_id", F.filter("_vs", lambda v: F.contains(F.col("text"), v)).alias("_f"))
-    return found.select("job_id", F.explode("_f").alias("value"))
+    # explode_outer: explode would search a second time, for a filter on the size of what is found.
+    return found.select("job_id", F.explode_outer("_f").alias("value")).where("value is not null")

@@ -62,8 +62,8 @@ def candidates(jobs: DataFrame, profiles: Profiles, caps: dict[str, int]) -> Dat
     near = gates.town_pool(first(jobs.select("job_id", "location", "published_at"), caps["local"], "location"), profiles.towns)
     near = first(near.join(jobs.select("job_id", "published_at"), "job_id"), caps["local"], "profile_id")
     named = profiles.phrases.select("profile_id", T.normalized(F.col("term")).alias("phrase")).where("phrase <> ''").distinct()
-    words = F.split(T.normalized(F.concat_ws(" ", "title", "description")), " ").alias("words")
-    found = first(hits.phrases_in(jobs.select("job_id", "published_at", words), named, ["published_at"]), caps["discovery"], "phrase")
+    text = T.normalized(F.concat_ws(" ", "title", "description")).alias("text")
+    found = first(hits.phrases_in(jobs.select("job_id", "published_at", text), named, ["published_at"]), caps["discovery"], "phrase")
     found = first(found.join(hits.small(named), "phrase").select("profile_id", "job_id", "published_at").distinct(), caps["discovery"], "profile_id")
     parts = [every(jobs, "recent"), near, every(gates.remote_pool(jobs), "remote"), found]
     rows = parts[0].select(*PAIR, F.lit(0).alias("pool"))
@@ -96,7 +96,7 @@ def scored_pairs(pairs: DataFrame, jobs: DataFrame, profiles: Profiles, vectors:
     matches = scoring.term_matches(jobs, profiles.terms, tokens).join(pairs.select(*PAIR), PAIR, "left_semi")
     negative = gates.negative_matches(pairs.select(*PAIR), jobs, profiles.negatives, tokens).select(*PAIR, F.size("matches").alias("negative_n"))
     whole = T.normalized(F.concat_ws(" ", "title", "employer", "description"))
-    caution = hits.texts_within(jobs.select("job_id", whole.alias("text")), profiles.cautions).join(profiles.cautions.distinct(), "value")
+    caution = hits.texts_within(jobs.select("job_id", whole.alias("text")), profiles.cautions, tokens.where("raw")).join(profiles.cautions.distinct(), "value")
     caution = caution.groupBy(*PAIR).agg(F.count("*").alias("caution_n"))
     avoided = scoring.exclusion_matches(pairs, jobs, profiles.exclusions, tokens=tokens).select(*PAIR, "exclusion_penalty")
     facts = pairs.join(job_facts(jobs, policy), "job_id").join(negative, PAIR, "left").join(caution, PAIR, "left").join(avoided, PAIR, "left")

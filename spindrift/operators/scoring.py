@@ -101,7 +101,7 @@ def exclusion_matches(pairs: DataFrame, jobs: DataFrame, exclusions: DataFrame,
     employers = jobs.select(F.lower("employer").alias("text")).where("text is not null").distinct()
     named = texts_within(employers.select(F.col("text").alias("job_id"), "text"), firms).select(F.col("job_id").alias("text"), "value")
     named = jobs.select("job_id", F.lower("employer").alias("text")).join(small(named), "text").select("job_id", "value")
-    told = texts_within(jobs.select("job_id", F.lower(F.concat_ws(" ", "title", "employer", "description")).alias("text")), sectors)
+    told = texts_within(jobs.select("job_id", F.lower(F.concat_ws(" ", "title", "employer", "description")).alias("text")), sectors, tokens.where("raw"))
     of = lambda kind, found, wanted: found.distinct().join(small(wanted), "value").select("job_id", "profile_id", F.lit(kind).alias("kind"), "value")
     found = of("term", held.select("job_id", F.col("word").alias("value")), words).union(of("employer", named, firms)).union(of("sector", told, sectors))
     lists = found.groupBy("job_id", "profile_id").agg((F.count("*") * each).alias("exclusion_penalty"), F.array_sort(F.collect_set("value")).alias("matches"))
