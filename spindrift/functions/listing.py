@@ -53,9 +53,11 @@ def coverage(text: Column, limit: int, marks: list[str]) -> Column:
 
 def first_sentences(text: Column, most: int, chars: int) -> Column:
     """The first ``most`` sentences with their end marks, cut at a word within ``chars`` characters."""
-    parts = F.slice(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]"), F.lit(0)), lambda s: F.trim(s)), 1, most)
+    # Trimmed of every kind of space, as the SQL does; line ends stay.
+    parts = F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]"), F.lit(0)), 1, most), lambda s: F.regexp_replace(s, r"^\p{Zs}+|\p{Zs}+\z", ""))
     joined = F.array_join(parts, " ")
-    cut = F.regexp_replace(F.substring(joined, 1, chars), r"\s+\S*$", "")
+    # \z, not $, which also stands before a line end at the end; \s would hold the vertical tab.
+    cut = F.regexp_replace(F.substring(joined, 1, chars), r"[ \t\n\f\r]+[^ \t\n\f\r]*\z", "")
     return F.when(F.length(joined) <= chars, joined).otherwise(F.concat(cut, F.lit(".")))
 
 

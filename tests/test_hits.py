@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from spindrift.functions import text as T
+from spindrift.functions import listing as L, text as T
 from spindrift.operators import gates, hits
 
 
@@ -41,3 +41,12 @@ def test_texts_are_cut_once(spark):
     assert plan(hits.phrases_in(words, spark.createDataFrame([("of the",)], "phrase string"))).count("array_distinct") == 1
     checks = spark.createDataFrame([("driver", [], [], [], ["ajokortti"], [], True)], "name string, title_or_text array<string>, reject array<string>, adjacent array<string>, caution array<string>, required array<string>, never_by_title boolean")
     assert [tuple(r) for r in gates.qualification_gate(jobs, checks).collect()] == [(1, "driver", "caution")]
+
+
+def test_sentences_cut_at_line_ends(spark):
+    texts = ["one two three\nfour five six.", "one two\r three four.", "one two\u2028 three four.", "one\vtwo three four.", "one two \n\nthree. Four five", "short. two. three.", "one\u00a0two.\u00a0 \u3000three four.", ""]
+    for n in range(5, 16):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.first_sentences(F.col("t"), 2, n).alias("s")).collect()
+        for r in got:
+            whole = " ".join(x.strip(" \u00a0\u3000") for x in re.findall("[^.!?]+[.!?]", r.t)[:2])
+            assert r.s == (whole if len(whole) <= n else re.sub(r"[ \t\n\f\r]+[^ \t\n\f\r]*\Z", "", whole[:n], count=1) + "."), (n, r)
