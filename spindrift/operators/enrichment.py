@@ -39,9 +39,10 @@ def enrich(versions: Versions, number: int, jobs: DataFrame, results: DataFrame,
     claimed = rows.where(open_ & (F.col("next_at") <= now)).orderBy("next_at", *KEY).limit(limit)
     told = written(claimed.withColumn("attempts", F.col("attempts") + 1).join(results.withColumn("_told", F.lit(True)), KEY, "left"))
     current = now_jobs.select("job_id", F.col("hash"), F.length(F.coalesce("description", F.lit(""))).alias("length"), F.col("_text").isNotNull().alias("enriched"), F.col("_sure").alias("old_confidence"))
-    given = told.where("text is not null and error is null").select("job_id", F.col("hash").alias("result_hash"), "confidence")
-    outcome = state.enrichment_outcomes(current.join(given.select("job_id"), "job_id", "left_semi"), given, threshold)
-    tried = told.join(outcome, "job_id", "left")
+    given = told.where("text is not null and error is null").select("job_id", "enricher", F.col("hash").alias("result_hash"), "confidence")
+    # A job may be claimed for its old and its new input at once, so an outcome belongs to a row, not to a job.
+    outcome = state.enrichment_outcomes(current.join(given.select("job_id"), "job_id", "left_semi"), given, threshold, "enricher", "result_hash")
+    tried = told.join(outcome.withColumnRenamed("result_hash", "hash"), KEY, "left")
     ended = F.when(F.col("error").isNotNull(), "failed").when(F.col("text").isNull(), "skipped").otherwise("completed")
     tried = written(tried.withColumn("ended", ended))
     failed = F.col("ended") == "failed"

@@ -69,14 +69,15 @@ def ranks_within(rows: DataFrame, by: str, flags: dict[str, Column], *order: Col
     return rows
 
 
-def enrichment_outcomes(now: DataFrame, results: DataFrame, short: int) -> DataFrame:
+def enrichment_outcomes(now: DataFrame, results: DataFrame, short: int, *kept: str) -> DataFrame:
     """(job_id, outcome) of enrichment results: a result counts if it was made for the present input; it
-    replaces text shorter than ``short`` and enriched text of no higher confidence."""
+    replaces text shorter than ``short`` and enriched text of no higher confidence. kept: columns of results that tell
+    several of one job apart, put out as well."""
     rows = now.join(results, "job_id", "left")
     outcome = (
         F.when(F.col("result_hash").isNull(), "none").when(F.col("result_hash") != F.col("hash"), "stale").when(F.col("enriched") & (F.col("confidence") < F.col("old_confidence")), "kept")
         .when(~F.col("enriched") & (F.col("length") >= short), "kept").otherwise("applied"))
-    return rows.select("job_id", outcome.alias("outcome"))
+    return rows.select("job_id", *kept, outcome.alias("outcome"))
 
 
 def queue_transitions(queue: DataFrame, stale_before: Column, most: int = 3) -> DataFrame:

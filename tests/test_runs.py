@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import fixed, privacy
-from spindrift.operators import gates, hits, learning, scoring
+from spindrift.operators import enrichment, gates, hits, learning, scoring
 from spindrift.sources.versions import Versions
 
 JOB = "job_id long, title string, employer string, description string, location string"
@@ -116,3 +116,16 @@ def test_keys_below(spark):
     assert got[:5] == ['{"skills":[{"x":[{"y":null}]}]}', None, None, None, '{"objective":"a@b.fi","location":{"home_city":"é"}}']
     assert got[5] is None or "zip" not in got[5]
     assert [r.o for r in frame.select("k", privacy.outbound(None)(F.col("p")).alias("o")).orderBy("k").collect()][1] == "[1]"
+
+
+def test_two_inputs_of_a_job_claimed_at_once(spark):
+    table = Versions(spark, tempfile.mkdtemp(dir="/tmp", prefix="spark-") + "/v")
+    for batch, letter in ((1, "a"), (2, "b")):
+        jobs = spark.createDataFrame([(1, True, "static", letter, "short"), (2, True, "static", "a", "short")], "job_id long, active boolean, enricher string, hash string, description string")
+        results = [(1, "static", "a", "old", 9, "no" if batch == 1 else None), (1, "static", "b", "new", 1, None), (2, "static", "a", "text", 1, None)]
+        results = spark.createDataFrame(results, "job_id long, enricher string, hash string, text string, confidence int, error string")
+        enrichment.enrich(table, batch, jobs, results, F.lit(f"2024-03-20 {13 + batch}:00:00").cast("timestamp_ntz"), 300, 100)
+    run = next(r for r in table.read("runs", enrichment.RUNS).collect() if r.batch == 2)
+    assert (run.processed, run.applied, run.failed) == (2, 1, 0)
+    got = {r.job_id: (r.description, r.confidence, r.hash) for r in table.read("texts", enrichment.TEXTS).collect()}
+    assert got == {1: ("new", 1, "b"), 2: ("text", 1, "a")}
