@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import collection, enrichment, learning
-from ..sources.tables import shared_folder, written
+from ..sources.tables import shared_folder
 from ..sources.versions import Versions
 from .binding import Tables
 from .listings import _NORM, _TOKENS, _WEIGHT
@@ -116,11 +116,9 @@ def _baseline(t: Tables) -> DataFrame:
 def _learning(t: Tables, runs: list[str]) -> list[tuple[DataFrame, DataFrame]]:
     """What each of the runs over some feedback gives, each from the one before."""
     lists, state = t.spark.createDataFrame([], learning.LISTS), t.spark.createDataFrame([], learning.STATE)
-    out = []
+    out, terms = [], learning.terms_of(t.job)
     for where in runs:
-        lists, state = learning.run(t.feedback.where(where), t.job, lists, state, _baseline(t), F.lit(_AS_OF).cast("timestamp_ntz"))
-        lists = written(lists)
-        state = written(state)
+        lists, state = learning.run(t.feedback.where(where), t.job, lists, state, _baseline(t), F.lit(_AS_OF).cast("timestamp_ntz"), terms=terms)
         out.append((lists, state))
     return out
 

@@ -129,3 +129,30 @@ def test_two_inputs_of_a_job_claimed_at_once(spark):
     assert (run.processed, run.applied, run.failed) == (2, 1, 0)
     got = {r.job_id: (r.description, r.confidence, r.hash) for r in table.read("texts", enrichment.TEXTS).collect()}
     assert got == {1: ("new", 1, "b"), 2: ("text", 1, "a")}
+
+
+def test_weights_of_jobs_that_come_twice_and_of_suggestions(spark):
+    day = datetime.datetime(2024, 3, 1)
+    jobs = spark.createDataFrame([(1, "kokki", "A", "Oulu"), (1, "kokki", "A", "Oulu"), (2, "kokki", "B", "Oulu")], "job_id long, title string, employer string, location string")
+    said = spark.createDataFrame([(1, 1, 5, False, day), (1, 1, 5, False, day), (1, 2, 5, False, day), (1, 9, 3, False, day)], "profile_id long, job_id long, rating int, applied boolean, created_at timestamp_ntz")
+    own, firms = learning.terms_of(jobs)
+    limits = learning.Limits()
+    per = learning.heard(said, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"), limits)
+    got = {r.term: (r.net, r.jobs, r.title_like) for r in learning.term_weights(per, own, limits).collect()}
+    assert got == {"kokki": (5.0, 2, True), "oulu": (5.0, 2, False), "a": (4.0, 1, False), "b": (1.0, 1, False)}
+    assert {r.term: (r.net, r.jobs) for r in learning.term_weights(per, firms, limits).collect()} == {"a": (4.0, 1), "b": (1.0, 1)}
+    more = spark.createDataFrame([(1, 1, "kokki", 0.5), (1, 9, "uusi", 0.25), (1, 1, "uusi", 0.25), (2, 1, "x", 1.0)], "profile_id long, job_id long, term string, delta double")
+    got = {r.term: (r.net, r.jobs) for r in learning.term_weights(per, own, limits, more).collect()}
+    assert got == {"kokki": (5.5, 2), "oulu": (5.0, 2), "a": (4.0, 1), "b": (1.0, 1), "uusi": (0.5, 2)}
+
+
+def test_learning_makes_terms_and_weights_once(spark):
+    """Variants are made before the explode, jobs are counted without a distinct, and nothing is made again for the state."""
+    jobs = spark.createDataFrame([(1, "kokki oulu", "A", "Oulu")], "job_id long, title string, employer string, location string")
+    said = spark.createDataFrame([(1, 1, 5, False, datetime.datetime(2024, 3, 1))], "profile_id long, job_id long, rating int, applied boolean, created_at timestamp_ntz")
+    base = spark.createDataFrame([], "profile_id long, term string")
+    lists, state = learning.run(said, jobs, spark.createDataFrame([], learning.LISTS), spark.createDataFrame([], learning.STATE), base, F.lit("2024-03-02 00:00:00").cast("timestamp_ntz"))
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert all(x not in plan(rows) for rows in (lists, state) for x in ("Join", "Aggregate", "Window"))
+    text = plan(learning.job_terms(jobs))
+    assert "Generate" in text and "lambda" not in text[: text.index("Generate")]
