@@ -9,6 +9,7 @@ written again, after a failure or twice, is made from the one before it and come
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import uuid
@@ -20,6 +21,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of a bucket beyond which it is split; bits by which it is split at most in one version.
 BUCKET_ROWS, MOST_BITS = 2_000_000, 10
+#: Rows that one task writes, about; a bucket of more is written by several, as rows may hold whole texts.
+TASK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -44,8 +47,8 @@ def _file_system(spark: SparkSession, path: str):
 class Versions:
     """The tables in one folder. A table is known by its name from the first version on that has rows of it."""
 
-    def __init__(self, spark: SparkSession, folder: str, bucket_rows: int = BUCKET_ROWS):
-        self.spark, self.folder, self.bucket_rows = spark, folder.rstrip("/"), bucket_rows
+    def __init__(self, spark: SparkSession, folder: str, bucket_rows: int = BUCKET_ROWS, task_rows: int = TASK_ROWS):
+        self.spark, self.folder, self.bucket_rows, self.task_rows = spark, folder.rstrip("/"), bucket_rows, task_rows
 
     def numbers(self) -> list[int]:
         """Versions that are there."""
@@ -92,16 +95,23 @@ class Versions:
         if not counts:
             return buckets
         # A bucket that may become too large is split by as many bits as bring its parts to half of what is allowed.
+        # A bucket's rows are dealt to tasks by another hash of their key: ``tasks`` has how many each takes.
         after: list[Bucket] = []
+        tasks: list[int] = []
         for k, n in counts.items():
             b = buckets[k]
             more = 0 if b.rows + n <= self.bucket_rows else min(MOST_BITS, math.ceil(math.log2(2 * (b.rows + n) / self.bucket_rows)))
             after += [Bucket(b.bits + more, b.value | part << b.bits, 0, None) for part in range(1 << more)]
+            tasks += [max(1, math.ceil((b.rows + n) / (1 << more) / self.task_rows))] * (1 << more)
         both = rows.unionByName(self._rows([buckets[k] for k in counts], rows.schema))
         others = [c for c in rows.columns if c not in keys]
-        last = both.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(order, *others)).alias("_row")).select(*keys, "_row.*") if others else both.distinct()
+        last = both.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_order"), *others)).alias("_row")).select(*keys, "_row.*") if others else both.distinct()
         path = f"{self.folder}/{name}/{number}-{uuid.uuid4().hex}"
-        self._placed(last.select(*rows.columns), after, keys).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        ends = list(itertools.accumulate(tasks))
+        shares = self.spark.createDataFrame([(k, end - n, n) for k, (end, n) in enumerate(zip(ends, tasks))], "_bucket int, _first int, _tasks int")
+        task = F.col("_first") + F.pmod(F.xxhash64(F.lit("task"), *keys), F.col("_tasks")).cast("int")
+        dealt = self._placed(last.select(*rows.columns), after, keys).join(F.broadcast(shares), "_bucket").withColumn("_task", task)
+        dealt.repartitionById(ends[-1], F.col("_task")).drop("_first", "_tasks", "_task").write.partitionBy("_bucket").parquet(path)
         written = {r["_bucket"]: r["count"] for r in self.spark.read.parquet(path).groupBy("_bucket").count().collect()}
         new = [Bucket(b.bits, b.value, written.get(k, 0), f"{path}/_bucket={k}" if k in written else None) for k, b in enumerate(after)]
         return [b for k, b in enumerate(buckets) if k not in counts] + new

@@ -156,3 +156,16 @@ def test_learning_makes_terms_and_weights_once(spark):
     assert all(x not in plan(rows) for rows in (lists, state) for x in ("Join", "Aggregate", "Window"))
     text = plan(learning.job_terms(jobs))
     assert "Generate" in text and "lambda" not in text[: text.index("Generate")]
+
+
+def test_a_bucket_is_written_by_several_tasks(spark):
+    folder = tempfile.mkdtemp(dir="/tmp", prefix="spark-") + "/v"
+    table = Versions(spark, folder, bucket_rows=600, task_rows=50)
+    rows = lambda first, end, v: spark.range(first, end).select(F.col("id").alias("k"), F.lit(v).alias("v"), F.repeat(F.lit("x"), F.col("id").cast("int") % 7).alias("text"))
+    table.commit(1, {"a": (rows(0, 500, 1), ["k"], "v")})
+    files = lambda n: table.read("a", "k long, v int, text string", n).groupBy(F.input_file_name()).count().collect()
+    assert len(files(2)) == 10 and max(r["count"] for r in files(2)) < 100
+    table.commit(2, {"a": (rows(400, 1500, 2), ["k"], "v")})
+    assert len(table.manifest()["a"]) > 1 and max(r["count"] for r in files(3)) < 100
+    got = {r.k: (r.v, r.text) for r in table.read("a", "k long, v int, text string").collect()}
+    assert got == {k: (1 if k < 400 else 2, "x" * (k % 7)) for k in range(1500)}
