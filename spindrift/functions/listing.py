@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,36 +21,43 @@ def stemmed(text: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda x: stem(x)), " ")
 
 
-def cut_sentences(text: Column) -> Column:
-    """Sentences with their end marks, in order, trimmed; none empty."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is used: Spark makes array functions anew at every place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def decisive(text: Column, marks: list[str]) -> Column:
-    """The sentences that hold one of the marks."""
-    return F.filter(cut_sentences(text), lambda s: T.has_any(F.lower(s), marks))
+    """The sentences that hold one of the marks, with their end marks, in order, trimmed."""
+    # The space is looked for first, then what stands in front of it; only sentences with a mark are trimmed.
+    parts = F.split(F.coalesce(text, F.lit("")), r"\s(?<=[.!?]\s)\s*")
+    return F.transform(F.filter(parts, lambda s: T.has_any(F.lower(s), marks)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
 
 
 def excerpt(text: Column, limit: int, marks: list[str]) -> Column:
     """A text of at most ``limit`` characters as it is; of a longer one the first half of that, and right after it, in
     order, the sentences of the whole text with one of the marks, chosen from the end while they fit; if none is chosen,
     the first ``limit`` characters."""
+    return F.when(F.length(text) <= limit, text).otherwise(_bound(decisive(text, marks), lambda found: _shortened(text, limit, found)))
+
+
+def _shortened(text: Column, limit: int, found: Column) -> Column:
+    """The excerpt of a text that is longer than ``limit``, from its decisive sentences."""
     half = limit // 2
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"))
     fits = lambda got, s: got["used"] + F.length(s) + 1 <= limit - half
     more = lambda got, s: F.struct(F.array_prepend(got["kept"], s).alias("kept"), (got["used"] + F.length(s) + 1).alias("used"))
-    tail = F.array_join(F.aggregate(F.reverse(decisive(text, marks)), start, lambda got, s: F.when(fits(got, s), more(got, s)).otherwise(got), lambda got: got["kept"]), " ")
-    made = F.substring(F.concat(F.substring(text, 1, half), tail), 1, limit)
-    return F.when(F.length(text) <= limit, text).when(tail == "", F.substring(text, 1, limit)).otherwise(made)
+    kept = F.aggregate(F.reverse(found), start, lambda got, s: F.when(fits(got, s), more(got, s)).otherwise(got), lambda got: got["kept"])
+    made = lambda tail: F.substring(F.concat(F.substring(text, 1, half), tail), 1, limit)
+    return _bound(F.array_join(kept, " "), lambda tail: F.when(tail == "", F.substring(text, 1, limit)).otherwise(made(tail)))
 
 
 def coverage(text: Column, limit: int, marks: list[str]) -> Column:
     """Struct (decisive, by_head, by_excerpt): how many sentences decide, and how many of them the first ``limit``
     characters and the excerpt of that length hold whole."""
-    found = decisive(text, marks)
-    counted = lambda whole: F.size(F.filter(found, lambda s: F.contains(whole, s)))
-    return F.struct(F.size(found).alias("decisive"), counted(F.substring(text, 1, limit)).alias("by_head"), counted(excerpt(text, limit, marks)).alias("by_excerpt"))
+    held = lambda found, whole: _bound(whole, lambda w: F.size(F.filter(found, lambda s: F.contains(w, s))))
+    short = lambda found: F.when(F.length(text) <= limit, text).otherwise(_shortened(text, limit, found))
+    return _bound(decisive(text, marks), lambda found: F.struct(
+        F.size(found).alias("decisive"), held(found, F.substring(text, 1, limit)).alias("by_head"), held(found, short(found)).alias("by_excerpt")))
 
 
 def first_sentences(text: Column, most: int, chars: int) -> Column:

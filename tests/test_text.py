@@ -105,3 +105,14 @@ def test_stems_do_not_depend_on_their_place(spark):
 def test_addresses(spark, url, reason):
     assert one(spark, links.rejection(F.col("u")), u=url) == reason
     assert one(spark, links.safe_link(F.col("u")), u=url) == (None if reason else url.strip().rstrip("/"))
+
+
+def test_decisive_sentences_are_made_once(spark):
+    from spindrift.functions import listing as L
+
+    text = " Ensin.  Tutkinto vaaditaan! \t\nMuuta. required\n. Ei." + "x" * 60 + ". Licence? "
+    row = spark.createDataFrame([(text,)], "t string").select(L.coverage(F.col("t"), 60, ["vaadit", "required", "licence"]).alias("c"), L.decisive(F.col("t"), ["vaadit", "required", "licence"]).alias("d"))
+    got = row.first()
+    assert got.d == ["Tutkinto vaaditaan!", "required\n.", "Licence?"] and tuple(got.c) == (3, 2, 3)
+    plan = spark.range(1).select(L.coverage(F.col("id").cast("string"), 60, ["vaadit"]).alias("c")).select("c.*")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE") == 1
