@@ -44,6 +44,7 @@ class PrefixTable:
         self.silent = {i for i in every if model.is_control(i)}
         self.unknown = model.unk_id()
         self.ids = {self.texts[i]: i for i in every if i not in self.bytes and i not in self.silent and i != self.unknown and not model.is_unused(i)}
+        self.decimals = {p: str(i) for p, i in self.ids.items()}
         self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.left: dict[str, list[tuple[str, float]]] = {}
@@ -133,6 +134,13 @@ class PrefixTable:
         if "\n" in stretch and "\n" not in self.ids and self.byte_ids:
             ids = [i for x in re.split("(\n)", stretch) if x for i in self._stretch(x)]
         else:
+            # Tokens of the vocabulary decode to themselves, so only other characters need the ids themselves.
+            table, out, end, decimals = self.last_tokens(stretch), [], len(stretch), self.decimals
+            while end and (piece := table[end]) is not None:
+                out.append(decimals[piece])
+                end -= len(piece)
+            if not end:
+                return ",".join(out[::-1]), stretch[1:]
             ids = self._stretch(stretch)
         return ",".join(map(str, ids)), self._marked(ids)[1:]
 

@@ -40,3 +40,9 @@ def test_documents(docs):
         ids = S.model(PATH).encode("Two words")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(b"Two words").hexdigest()
+
+
+def test_known_stretches_are_not_decoded(monkeypatch):
+    table = S.PrefixTable(PATH)
+    monkeypatch.setattr(table, "_marked", None)
+    assert table.listed_and_decoded("Two words of it") == (",".join(map(str, table.encode("Two words of it"))), "Two words of it")
