@@ -58,9 +58,10 @@ def collection_batch(t: Tables) -> DataFrame:
     text = lambda *cs: F.concat_ws("/", *(F.col(c).cast("string") for c in cs)).alias("id")
     kind = lambda k: F.lit(k).alias("kind")
     c = F.col
+    jobs = collection.described(read("jobs", collection.JOBS), read("texts", collection.TEXTS), digest=F.md5("description"))
     parts = [
         read("occurrences", collection.OCCURRENCES).select(kind("occurrence"), text("source_id", "external_id"), _line(c("job_id"), c("closed"), c("batch"))),
-        read("jobs", collection.JOBS).select(kind("job"), text("job_id"), _line(c("status"), c("batch"), c("title"), c("employer"), c("location"), F.md5("description"))),
+        jobs.select(kind("job"), text("job_id"), _line(c("status"), c("batch"), c("title"), c("employer"), c("location"), c("digest"))),
         read("sources", collection.SOURCES).select(kind("source"), text("source_id"), _line(F.date_format("watermark", "yyyy-MM-dd"), c("batch"))),
         read("runs", collection.RUNS).select(kind("run"), text("batch", "source_id"), _line(*map(c, ["inserted", "updated", "unchanged", "deduplicated", "closed"]))),
     ]

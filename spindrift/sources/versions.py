@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 BUCKET_ROWS, MOST_BITS = 2_000_000, 10
 #: Rows that one task writes, about; a bucket of more is written by several, as rows may hold whole texts.
 TASK_ROWS = 20_000
+#: Parts of a table that rows are only added to, beyond which they are written together.
+MOST_PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -71,11 +73,27 @@ class Versions:
         paths = [b.path for b in buckets if b.path and b.rows]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def commit(self, number: int, changes: dict[str, tuple[DataFrame, list[str], str]], keep: int = 2) -> None:
+    def add(self, name: str, rows: DataFrame, number: int, alive: DataFrame) -> list[Bucket]:
+        """Writes rows with keys that a table does not have yet, so that nothing of it is written again; ``commit`` of the same
+        version names the parts that are returned. When there are MOST_PARTS, they are written together, then without the
+        rows that match none in ``alive``, a table of keys."""
+        parts = self.manifest(before=number).get(name, [])
+        if len(parts) >= MOST_PARTS:
+            rows, parts = rows.unionByName(self._rows(parts, rows.schema).join(alive, alive.columns, "left_semi")), []
+        path = f"{self.folder}/{name}/{number}-{uuid.uuid4().hex}/rows"
+        rows.write.parquet(path)
+        part = Bucket(0, len(parts), self.spark.read.schema(rows.schema).parquet(path).count(), path)
+        return [*parts, part] if part.rows else parts
+
+    def rows(self, parts: list[Bucket], schema: StructType | str) -> DataFrame:
+        """The rows of parts that ``add`` has written."""
+        return self._rows(parts, schema)
+
+    def commit(self, number: int, changes: dict[str, tuple[DataFrame, list[str], str]], keep: int = 2, added: dict[str, list[Bucket]] | None = None) -> None:
         """Writes version ``number``. changes: name -> (rows, keys, order): of each key the row that is last by ``order``
         stays, of incoming rows and those of the version before; rows equal in ``order`` by all their columns. Incoming
-        rows are read twice, so what costs much to make is better written before. The newest ``keep`` versions stay, with the files that they name."""
-        tables = self.manifest(before=number)
+        rows are read twice, so what costs much to make is better written before. added: name -> parts, see ``add``. The newest ``keep`` versions stay, with the files that they name."""
+        tables = self.manifest(before=number) | (added or {})
         for name, (rows, keys, order) in changes.items():
             tables[name] = self._merged(name, tables.get(name) or [Bucket(0, 0, 0, None)], rows, keys, order, number)
         text = json.dumps({name: [[b.bits, b.value, b.rows, b.path] for b in buckets] for name, buckets in tables.items()})

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import fixed, privacy
-from spindrift.operators import enrichment, gates, hits, learning, scoring
+from spindrift.operators import collection, enrichment, gates, hits, learning, scoring
+from spindrift.sources import versions
 from spindrift.sources.versions import Versions
 
 JOB = "job_id long, title string, employer string, description string, location string"
@@ -169,3 +170,33 @@ def test_a_bucket_is_written_by_several_tasks(spark):
     assert len(table.manifest()["a"]) > 1 and max(r["count"] for r in files(3)) < 100
     got = {r.k: (r.v, r.text) for r in table.read("a", "k long, v int, text string").collect()}
     assert got == {k: (1 if k < 400 else 2, "x" * (k % 7)) for k in range(1500)}
+
+
+def test_collected_texts_are_kept_once(spark):
+    """Of every description one copy, rows without it, and a job's is the longest of its open occurrences, of equally long ones the least."""
+    table = Versions(spark, tempfile.mkdtemp(dir="/tmp", prefix="spark-") + "/v")
+    day, long = datetime.datetime(2024, 3, 1), "x" * 5000
+    land = lambda rows: spark.createDataFrame([(*r[:3], day, "Kokki", "A", "Oulu", r[3]) for r in rows], "seq long, source_id int, external_id string, published_at timestamp_ntz, title string, employer string, location string, description string")
+    whole = lambda *ids: spark.createDataFrame([(i,) for i in ids], "source_id int")
+    first = [(1, 1, "a", " bb "), (2, 2, "a", "ab"), (3, 3, "a", "ba"), (4, 4, "a", None), (5, 1, "b", long), (6, 1, "c", long)]
+    collection.collect(table, 1, land(first), whole(1, 2, 3, 4))
+    of = lambda n=None: {r.job_id: (r.status, r.d) for r in collection.described(table.read("jobs", collection.JOBS, n), table.read("texts", collection.TEXTS, n), d=F.col("description")).collect()}
+    texts = lambda n=None: sorted(r.description for r in table.read("texts", collection.TEXTS, n).collect())
+    assert of() == {1: ("active", "ab"), 5: ("active", long), 6: ("active", long)} and texts() == sorted([" bb ", "ab", "ba", long])
+    assert "description" not in collection.OCCURRENCES and "description" not in collection.JOBS
+    # Source 2's does not come again, source 3 has another text, and one is there by its text already.
+    for _ in range(2):
+        collection.collect(table, 2, land([(7, 1, "a", " bb "), (8, 3, "a", "bbb"), (9, 1, "b", "ab"), (10, 1, "c", long)]), whole(1, 2, 3))
+        assert of(3) == {1: ("active", "bbb"), 5: ("active", "ab"), 6: ("active", long)} and texts(3) == sorted([*texts(2), "bbb"])
+    assert [b.path for b in table.manifest(2)["texts"]] == [b.path for b in table.manifest(3)["texts"]][:1]
+
+
+def test_parts_are_written_together(spark, monkeypatch):
+    monkeypatch.setattr(versions, "MOST_PARTS", 3)
+    table = Versions(spark, tempfile.mkdtemp(dir="/tmp", prefix="spark-") + "/v")
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k long")
+    for n in range(1, 6):
+        table.commit(n, {}, added={"a": table.add("a", keys(n), n, keys(2, 3, 4))})
+        got = sorted(r.k for r in table.read("a", "k long").collect())
+        assert got == ([*range(1, n + 1)] if n < 4 else [*range(2, n + 1)]) and len(table.manifest()["a"]) == (n if n < 4 else n - 3)
+    assert table.add("a", keys().where("false"), 6, keys()) == table.manifest()["a"]
