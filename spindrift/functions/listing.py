@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,6 +22,16 @@ def stemmed(text: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda x: stem(x)), " ")
 
 
+def stemmed_runs(text: Column, begins: list[str]) -> Column:
+    """stemmed() of those runs of tokens alone that begin with one of some stems, with bars between runs. As a stem is how
+    its token begins, a phrase of these stems stands in it just where it stands in stemmed()."""
+    if not begins:
+        return F.lit("")
+    first = f"(?={'|'.join(map(re.escape, begins))})"
+    runs = F.regexp_extract_all(F.lower(text), F.lit(f"{first}(?<!{T.TOKEN[:-1]}){T.TOKEN}(?:{T.OTHER}{first}{T.TOKEN})*"), F.lit(0))
+    return F.array_join(F.transform(runs, stemmed), " | ")
+
+
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is made once, however often it is used: Spark makes array functions anew at every place."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

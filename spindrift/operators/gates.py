@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +116,8 @@ def language_gate(jobs: DataFrame, languages: DataFrame, text: str = "descriptio
 def missing_qualifications(text: Column, plain: Column | None = None) -> Column:
     """Sorted labels of qualifications that a folded text demands. plain: the text normalised, if it is there already."""
     plain = T.normalized(text) if plain is None else plain
-    hits = [F.when(F.rlike(text, F.lit("|".join(p))), F.lit(label)) for label, p in fixed.QUALIFICATION_PATTERNS.items()]
+    some = lambda marks: reduce(Column.__or__, (F.contains(text, F.lit(m)) for m in marks))
+    hits = [F.when(some(fixed.QUALIFICATION_MARKS[label]) & F.rlike(text, F.lit("|".join(p))), F.lit(label)) for label, p in fixed.QUALIFICATION_PATTERNS.items()]
     hits += [F.when(T.has_phrase(plain, F.lit(p)), F.lit(p)) for p in fixed.QUALIFICATION_PHRASES]
     return F.array_sort(F.array_compact(F.array(*hits)))
 
@@ -142,11 +145,14 @@ def qualification_gate(jobs: DataFrame, checks: DataFrame) -> DataFrame:
     adjacent role makes a rejection a caution. Then, with never_by_title, a phrase of ``caution`` cautions, and
     without it one of ``required``. Phrases match as stems. The checks are a few rows, so the join is with a small
     side."""
-    from ..functions.listing import stemmed
+    from ..functions.listing import stemmed, stemmed_runs
 
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     whole, lists = F.concat_ws(". ", "title", "description"), ["title_or_text", "reject", "adjacent", "caution", "required"]
-    rows = jobs.select("job_id", pad(stemmed(F.coalesce("title", F.lit("")))).alias("_t"), pad(stemmed(whole)).alias("_x"), _sentences(whole).alias("_said"))
+    # Of the texts only the words that begin as a phrase's do are stemmed; the phrases are a few.
+    begins = checks.select(F.explode(F.concat(*lists)).alias("p")).select(F.explode(F.split(stemmed(F.col("p")), " ")).alias("s")).where("s <> ''").distinct()
+    begins = sorted(r["s"] for r in begins.collect())
+    rows = jobs.select("job_id", pad(stemmed_runs(F.coalesce("title", F.lit("")), begins)).alias("_t"), pad(stemmed_runs(whole, begins)).alias("_x"), _sentences(whole).alias("_said"))
     # Phrases are stemmed before they meet the jobs.
     stems = [F.transform(c, lambda p: F.struct(p.alias("p"), pad(stemmed(p)).alias("s"))).alias(c) for c in lists]
     rows = rows.crossJoin(F.broadcast(checks.select("name", "never_by_title", *stems)))
@@ -201,16 +207,16 @@ def removal_permitted(runs: DataFrame) -> Column:
     return F.col("complete") & F.col("watermark").isNull() & ~F.col("stopped") & (F.col("fetched") > 0) & ~cut
 
 
-def negative_matches(pairs: DataFrame, jobs: DataFrame, wanted: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def negative_matches(pairs: DataFrame, jobs: DataFrame, wanted: DataFrame, tokens: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """The pairs (job_id, profile_id, ...) whose job meets what a profile rules out, with ``matches``, sorted. wanted:
     profile_id, kind, value: of kind ``title`` phrases that stand in the title as whole tokens, of kind ``keyword``
     texts of which any token of four characters and more is part of the whole text. tokens: job_tokens(jobs), if there
-    are some already."""
+    are some already; known: distinct_tokens of them."""
     phrases = wanted.where("kind = 'title'").select("profile_id", T.normalized(F.col("value")).alias("phrase")).where("phrase <> ''").distinct()
     words = wanted.where("kind = 'keyword'").select("profile_id", F.explode(T.tokens(F.col("value"))).alias("word")).where(F.length("word") >= hits.LEAST).distinct()
     titled = hits.phrases_in(jobs.select("job_id", T.normalized(F.col("title")).alias("text")), phrases)
     tokens = hits.job_tokens(jobs).where("raw") if tokens is None else tokens.where("raw")
-    said = tokens.join(hits.small(hits.words_within(tokens, words)), "token").select("job_id", "word").distinct()
+    said = tokens.join(hits.small(hits.words_within(tokens, words, None if known is None else known.where("raw"))), "token").select("job_id", "word").distinct()
     found = titled.join(hits.small(phrases), "phrase").select("job_id", "profile_id", F.col("phrase").alias("m")).union(said.join(hits.small(words), "word").select("job_id", "profile_id", "word"))
     lists = found.groupBy("job_id", "profile_id").agg(F.array_sort(F.collect_set("m")).alias("matches"))
     return pairs.join(lists, ["job_id", "profile_id"]).select(*pairs.columns, "matches")

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import fixed, text as T
 from ..sources.tables import spread, written
 
 #: Rows of a table of terms that are broadcast at most; beyond that they are joined by a shuffle.
@@ -37,16 +37,17 @@ def job_tokens(jobs: DataFrame) -> DataFrame:
     rows = spread(jobs.select("job_id", "title", "employer", "description", "location"))
     pieces = F.when(F.contains(F.lower(whole), sharp), F.array_remove(F.array_distinct(F.split(F.lower(whole), T.OTHER)), ""))
     rows = rows.select("job_id", T.tokens(whole).alias("_all"), T.tokens(F.col("title")).alias("_title"), T.tokens(F.col("location")).alias("_place"), pieces.alias("_raw"))
-    said = lambda tokens, inside, raw: F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(inside).alias("in_text"), F.lit(raw).alias("raw")))
-    kept = lambda x: F.col("_raw").isNull() | ~F.contains(x, F.lit("ss")) | F.array_contains("_raw", x)
-    own = F.transform("_all", lambda x: F.struct(x.alias("token"), F.lit(True).alias("in_text"), kept(x).alias("raw")))
     broken = F.coalesce(F.array_except("_raw", "_all"), F.array().cast("array<string>"))
     places = F.array_except(F.array_except("_place", "_all"), broken)
-    # explode_outer: explode would have its whole array made a second time, for a filter on its size.
-    each = rows.select("job_id", "_title", "_place", F.explode_outer(F.concat(own, said(places, False, False), said(broken, False, True))).alias("x")).where("x is not null")
-    token, inside = F.col("x.token"), F.col("x.in_text")
-    stands = {"in_title": inside & F.array_contains("_title", token), "in_location": F.array_contains("_place", token), "in_text": inside, "raw": F.col("x.raw")}
-    return written(each.select("job_id", token.alias("token"), *(c.alias(k) for k, c in stands.items())))
+    # Those of the whole text, of the location alone, the broken ones; what holds of each is told after the explode, where it
+    # is generated code. posexplode_outer: posexplode would have its whole array made a second time, for a filter on its size.
+    rows = rows.select("job_id", "_title", "_place", "_raw", F.size("_all").alias("_n"), F.concat("_all", places, broken).alias("_each"))
+    each = rows.select("job_id", "_title", "_place", "_raw", "_n", F.posexplode_outer("_each").alias("_pos", "token")).where("token is not null")
+    token, inside = F.col("token"), F.col("_pos") < F.col("_n")
+    whole_word = F.col("_raw").isNull() | ~F.contains(token, F.lit("ss")) | F.array_contains("_raw", token)
+    raw = F.when(inside, whole_word).otherwise(F.coalesce(F.array_contains("_raw", token), F.lit(False)))
+    stands = {"in_title": inside & F.array_contains("_title", token), "in_location": F.array_contains("_place", token), "in_text": inside, "raw": raw}
+    return written(each.select("job_id", "token", *(c.alias(k) for k, c in stands.items())))
 
 
 def phrases_in(rows: DataFrame, phrases: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -67,41 +68,70 @@ def phrases_in(rows: DataFrame, phrases: DataFrame, keep: list[str] | None = Non
     return found.where(there).select("job_id", *kept, "phrase")
 
 
-def words_within(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, word): words of LEAST characters and more that are part of tokens. tokens: token; words: word.
+def distinct_tokens(tokens: DataFrame) -> DataFrame:
+    """(token, raw, in_text, in_location) of job_tokens, each token once with what holds of it in any job, written once."""
+    return written(tokens.groupBy("token").agg(*(F.bool_or(c).alias(c) for c in ("raw", "in_text", "in_location"))))
+
+
+def only_met(tokens: DataFrame, known: DataFrame, words: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of tokens (job_tokens) and known (distinct_tokens) of those tokens alone that have a part in words (word) or
+    one of variants (variant), written once. What looks for none but these finds the same in them."""
+    alike = variants_of(known, variants).join(small(variants), "variant")
+    held = small(written(words_within(tokens, words, known).select("token").union(alike.select("token")).distinct()))
+    return written(tokens.join(held, "token", "left_semi")), written(known.join(held, "token", "left_semi"))
 
-    Of each distinct token the parts that are as long as some word meet the words."""
-    wanted = words.select("word").where(F.length("word") >= LEAST).distinct()
-    lengths = wanted.agg(F.collect_set(F.length("word")).alias("_lengths"))
-    each = tokens.select("token").distinct().crossJoin(F.broadcast(lengths))
-    none = F.array().cast("array<string>")
-    parts = lambda n: F.when(F.length("token") >= n, F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substr(F.col("token"), i, n))).otherwise(none)
-    cut = each.select("token", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", parts)))).alias("word"))
-    return cut.join(small(wanted), "word").select("token", "word")
+
+def words_within(tokens: DataFrame, words: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(token, word): words of LEAST characters and more that are part of tokens, written once. tokens: token; words: word.
+    known: the distinct tokens, if there are some already.
+
+    Of each distinct token the parts of LEAST characters meet the beginnings of the words; the words that are met are
+    then looked for."""
+    wanted = words.select("word").where(F.length("word") >= LEAST).distinct().withColumn("_part", F.substring("word", 1, LEAST))
+    each = (tokens.select("token").distinct() if known is None else known.select("token")).where(F.length("token") >= LEAST)
+    parts = F.array_distinct(F.regexp_extract_all("token", F.lit(rf"(?s)(?=(.{{{LEAST}}}))"), F.lit(1)))
+    # explode_outer: explode would have its whole array made a second time, for a filter on its size.
+    met = each.select("token", F.explode_outer(parts).alias("_part")).join(small(wanted), "_part")
+    return written(met.where(F.contains("token", F.col("word"))).select("token", "word"))
 
 
-def texts_within(rows: DataFrame, values: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def texts_within(rows: DataFrame, values: DataFrame, tokens: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(job_id, value): values that are part of the text of rows (job_id, text), wherever they begin. job_id is unique.
 
-    tokens: job_id, token: the words of each text in lower case, if there are some already; then a text, which must be in
-    lower case, is searched only for values of whose longest word it has a part. Values without a word of LEAST characters
-    are searched for in every text, GROUP at a time where it lies."""
+    tokens: job_id, token: the words of each text in lower case, if there are some already, and known: the distinct ones of
+    these; then a text, which must be in lower case, is searched only for values of whose longest word it has a part.
+    Values without a word of LEAST characters are searched for in every text, GROUP at a time where it lies."""
     wanted = values.select("value").where("value <> ''").distinct()
     if tokens is None:
         return _searched(rows, wanted)
     longest = F.array_max(F.transform(F.split("value", T.OTHER), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = wanted.withColumn("word", longest)
+    keyed = written(wanted.withColumn("word", longest))
     worded, others = keyed.where(F.length("word") >= LEAST), keyed.where(F.length("word") < LEAST)
-    held = small(words_within(tokens, worded).join(small(worded), "word").select("token", "word", "value"))
-    met = tokens.join(held, "token").select("job_id", "word", "value").distinct()
-    sure = met.where("value = word").select("job_id", "value")
-    told = met.where("value <> word").join(rows, "job_id").where(F.contains("text", F.col("value"))).select("job_id", "value")
-    return sure.union(told).union(_searched(rows, others.select("value")))
+    held = written(words_within(tokens, worded, known).join(small(worded), "word").select("token", "word", "value"))
+    met = tokens.join(small(held), "token").select("job_id", "word", "value").distinct()
+    found = met.where("value = word").select("job_id", "value").union(_searched(rows, others.select("value")))
+    if held.where("value <> word").isEmpty():
+        return found
+    # Texts are made of those rows alone that have a part of such a value.
+    met = written(met.where("value <> word").select("job_id", "value"))
+    texts = rows.join(small(met.select("job_id").distinct()), "job_id", "left_semi")
+    return found.union(texts.join(small(met), "job_id").where(F.contains("text", F.col("value"))).select("job_id", "value"))
+
+
+def variants_of(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(token, variant) of the distinct tokens in known, of all that may have one of the variants in wanted (variant): a
+    variant is how its token begins, or its base form in the table of these."""
+    start = lambda c: F.substring(c, 1, LEAST).alias("_start")
+    starts = wanted.select(start("variant"), F.lit(True).alias("_met")).distinct()
+    may = known.select("token", start("token")).join(small(starts), "_start", "left").where(F.col("_met") | F.col("token").isin(*fixed.LEMMAS))
+    return may.select("token", F.explode_outer(T.token_variants(F.col("token"))).alias("variant"))
 
 
 def _searched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     groups = math.ceil(wanted.count() / GROUP)
-    lists = wanted.groupBy(F.pmod(F.xxhash64("value"), F.lit(max(1, groups))).alias("_g")).agg(F.collect_list("value").alias("_vs"))
+    if not groups:
+        return rows.where("false").select("job_id", F.lit("").alias("value"))
+    lists = wanted.groupBy(F.pmod(F.xxhash64("value"), F.lit(groups)).alias("_g")).agg(F.collect_list("value").alias("_vs"))
     found = rows.select("job_id", "text").crossJoin(F.broadcast(lists)).select("job_id", F.filter("_vs", lambda v: F.contains(F.col("text"), v)).alias("_f"))
     # explode_outer: explode would search a second time, for a filter on the size of what is found.
     return found.select("job_id", F.explode_outer("_f").alias("value")).where("value is not null")

@@ -3,12 +3,13 @@ reviews and the set that is shown."""
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import listing, text as T
+from ..functions import fixed, listing, text as T
 from ..sources.tables import count_written, dealt, drop_written, spread, written
 from . import gates, hits, ranking, scoring, state, upkeep
 
@@ -81,8 +82,10 @@ def job_facts(jobs: DataFrame, policy: Policy) -> DataFrame:
         F.bool_or(F.col("verdict") == "reject").alias("qualification_reject"), F.bool_or(F.col("verdict") == "caution").alias("qualification_caution"))
     missing = F.size(gates.missing_qualifications(F.col("_n"), F.col("_n")))
     has = F.coalesce(F.col("location") != "", F.lit(False))
-    # Normalised once: a column that several expressions read stays one.
-    own = gates.freshness(jobs, policy.as_of).withColumn("_n", T.normalized(F.concat_ws(" ", "title", "employer", "description")))
+    # Normalised once, as a column that several expressions read stays one, and only where a mark of a qualification stands.
+    whole = F.concat_ws(" ", "title", "employer", "description")
+    marked = T.has_any(F.lower(whole), [m for marks in fixed.QUALIFICATION_MARKS.values() for m in marks] + [p.split()[-1] for p in fixed.QUALIFICATION_PHRASES])
+    own = gates.freshness(jobs, policy.as_of).withColumn("_n", F.when(marked, T.normalized(whole)).otherwise(F.lit("")))
     own = own.select("job_id", has.alias("has_location"), missing.alias("missing_n"), "eligible", "reason")
     return own.join(spoken, "job_id", "left").join(checked, "job_id", "left")
 
@@ -91,19 +94,24 @@ def scored_pairs(pairs: DataFrame, jobs: DataFrame, profiles: Profiles, vectors:
     """Every pair (profile_id, job_id, pool; null for one that is stored only) with its score of all fields, gates,
     vectors and travel: score, unpenalized, lanes, passes, hard_eligible, hard_reasons, vector_score.
 
-    Texts stay on the side of the jobs: they are cut into tokens once, and what is found is joined by id."""
+    Texts stay on the side of the jobs: they are cut into tokens once, and what is found is joined by id. What profiles
+    without a pair look for is not looked for."""
+    profiles = _asking(profiles, pairs)
     tokens = hits.job_tokens(jobs)
-    matches = scoring.term_matches(jobs, profiles.terms, tokens).join(pairs.select(*PAIR), PAIR, "left_semi")
-    negative = gates.negative_matches(pairs.select(*PAIR), jobs, profiles.negatives, tokens).select(*PAIR, F.size("matches").alias("negative_n"))
+    tokens, known = hits.only_met(tokens, hits.distinct_tokens(tokens), *_words(profiles))
+    matches = scoring.term_matches(jobs, profiles.terms, tokens, known).join(pairs.select(*PAIR), PAIR, "left_semi")
+    negative = gates.negative_matches(pairs.select(*PAIR), jobs, profiles.negatives, tokens, known).select(*PAIR, F.size("matches").alias("negative_n"))
     whole = T.normalized(F.concat_ws(" ", "title", "employer", "description"))
-    caution = hits.texts_within(jobs.select("job_id", whole.alias("text")), profiles.cautions, tokens.where("raw")).join(profiles.cautions.distinct(), "value")
+    caution = hits.texts_within(jobs.select("job_id", whole.alias("text")), profiles.cautions, tokens.where("raw"), known.where("raw")).join(hits.small(profiles.cautions.distinct()), "value")
     caution = caution.groupBy(*PAIR).agg(F.count("*").alias("caution_n"))
-    avoided = scoring.exclusion_matches(pairs, jobs, profiles.exclusions, tokens=tokens).select(*PAIR, "exclusion_penalty")
+    avoided = scoring.exclusion_matches(pairs, jobs, profiles.exclusions, tokens=tokens, known=known).select(*PAIR, "exclusion_penalty")
     facts = pairs.join(job_facts(jobs, policy), "job_id").join(negative, PAIR, "left").join(caution, PAIR, "left").join(avoided, PAIR, "left")
     facts = written(facts)
     scored = scoring.deterministic_scores(scoring.match_scores(matches), facts)
     scored = scored.join(facts.select(*PAIR, "pool", "eligible", "reason"), PAIR)
-    scored = gates.learned_discovery(scored, jobs, profiles.learned)
+    # Only what came through the discovery pool can have been learned.
+    found = jobs.join(pairs.where("pool = 'discovery'").select("job_id").distinct(), "job_id", "left_semi")
+    scored = gates.learned_discovery(scored, found, profiles.learned)
     fresh = F.col("eligible")
     scored = scored.withColumns({
         "passes": F.col("passes") & fresh, "hard_eligible": F.col("hard_eligible") & fresh,
@@ -115,6 +123,22 @@ def scored_pairs(pairs: DataFrame, jobs: DataFrame, profiles: Profiles, vectors:
     return merged.withColumn("score", moved).select(*PAIR, "pool", "score", "unpenalized", "lanes", "passes", "hard_eligible", "hard_reasons", "vector_score")
 
 
+def _asking(profiles: Profiles, pairs: DataFrame) -> Profiles:
+    """What the profiles of some pairs look for."""
+    ids = hits.small(written(pairs.select("profile_id").distinct()))
+    of = lambda table: table.join(ids, "profile_id", "left_semi")
+    return dataclasses.replace(profiles, **{k: of(getattr(profiles, k)) for k in ("terms", "learned", "negatives", "cautions", "exclusions", "likings")})
+
+
+def _words(profiles: Profiles) -> tuple[DataFrame, DataFrame]:
+    """(word) of all that profiles look for as parts of tokens, and (variant) of all that they look for as such."""
+    wished = profiles.negatives.where("kind = 'keyword'").select("value").union(profiles.cautions.select("value")).union(profiles.exclusions.where("kind <> 'employer'").select("value")).distinct()
+    pieces = F.array_union(T.tokens(F.col("value")), F.array_union(F.split("value", T.OTHER), F.split(F.lower("value"), T.OTHER)))
+    words = written(wished.select(F.explode_outer(pieces).alias("word")).where("word <> ''").distinct())
+    terms = profiles.terms.select(F.explode_outer(T.token_variants(F.col("term"))).alias("variant")).where("variant is not null")
+    return words, written(terms.union(words).distinct())
+
+
 def _similar(pairs: DataFrame, likings: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
     """(job_id, profile_id, vector, preference, anti) of the ``most`` nearest jobs of each profile."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text as T
 from ..sources.tables import written
-from .hits import LEAST, job_tokens, small, texts_within, words_within
+from .hits import LEAST, distinct_tokens, job_tokens, small, texts_within, variants_of, words_within
 
 
 #: Fields of terms and the text of a job that they are matched with.
 PLACES = {"title": "title", "history_title": "title", "learned_title": "title", "history_location": "location", "learned_location": "location", "location": "location"}
 
 
-def term_matches(jobs: DataFrame, terms: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def term_matches(jobs: DataFrame, terms: DataFrame, tokens: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(job_id, profile_id, field, term): a term matches if one of its variants is a variant of a token of the
     title, the location or the whole text, as PLACES says of its field. terms: profile_id, field, term; general
-    terms match nothing. tokens: job_tokens(jobs), if there are some already.
+    terms match nothing. tokens: job_tokens(jobs), if there are some already; known: distinct_tokens of them.
 
     A job's text is cut into distinct tokens once, each with where it stands. Variants are made of the distinct tokens
     of all jobs, not of each job's, and meet the terms' variants there. What they find, a table of the profiles' size, is
     broadcast back to the jobs' tokens if it is small; so no token that most jobs have is a hot key."""
     tokens = (job_tokens(jobs) if tokens is None else tokens).where("in_text or in_location")
     wanted = terms.where(~F.col("term").isin(fixed.GENERIC_TERMS)).select("profile_id", "field", "term", F.explode(T.token_variants(F.col("term"))).alias("variant")).distinct()
-    known = tokens.select("token").distinct().withColumn("variant", F.explode(T.token_variants(F.col("token"))))
-    found = written(known.join(small(wanted), "variant").select("token", "profile_id", "field", "term").distinct())
+    known = tokens.select("token").distinct() if known is None else known.where("in_text or in_location").select("token")
+    wanted = written(wanted)
+    found = written(variants_of(known, wanted).join(small(wanted), "variant").select("token", "profile_id", "field", "term").distinct())
     place = F.coalesce(*(F.when(F.col("field") == f, p) for f, p in PLACES.items()), F.lit("text"))
     stands = F.when(place == "title", F.col("in_title")).when(place == "location", F.col("in_location")).otherwise(F.col("in_text"))
     return tokens.join(small(found), "token").where(stands).select("job_id", "profile_id", "field", "term").distinct()
@@ -83,10 +84,10 @@ def deterministic_scores(counted: DataFrame, facts: DataFrame, clusters: DataFra
         concerns.alias("concerns"), F.coalesce("lanes", F.array().cast("array<string>")).alias("lanes"))
 
 
-def exclusion_matches(pairs: DataFrame, jobs: DataFrame, exclusions: DataFrame, each: float = 8.0, tokens: DataFrame | None = None) -> DataFrame:
+def exclusion_matches(pairs: DataFrame, jobs: DataFrame, exclusions: DataFrame, each: float = 8.0, tokens: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(job_id, profile_id, exclusion_penalty, matches) of the pairs (job_id, profile_id) that meet what a profile has
     learned to avoid. exclusions: profile_id, kind (term, employer, sector), value. tokens: job_tokens(jobs), if there
-    are some already.
+    are some already; known: distinct_tokens of them.
 
     Tokens of four characters and more of a term count if they are part of the text or a variant of its tokens,
     employers if they are part of the employer, sectors if they are part of the text. Each takes ``each`` points."""
@@ -94,14 +95,15 @@ def exclusion_matches(pairs: DataFrame, jobs: DataFrame, exclusions: DataFrame,
     others = exclusions.where("kind <> 'term'").select("profile_id", "kind", F.lower("value").alias("value")).where("value <> ''").distinct()
     firms, sectors = others.where("kind = 'employer'").drop("kind"), others.where("kind = 'sector'").drop("kind")
     tokens = job_tokens(jobs) if tokens is None else tokens
-    part = words_within(tokens.where("raw"), words.withColumnRenamed("value", "word")).withColumn("whole", F.lit(False))
-    known = tokens.where("in_text").select("token").distinct().withColumn("word", F.explode(T.token_variants(F.col("token"))))
-    same = known.join(small(words.select(F.col("value").alias("word")).distinct()), "word").select("token", "word").withColumn("whole", F.lit(True))
-    held = tokens.join(small(part.union(same).distinct()), "token").where(F.when(F.col("whole"), F.col("in_text")).otherwise(F.col("raw")))
+    known = distinct_tokens(tokens) if known is None else known
+    part = words_within(tokens, words.withColumnRenamed("value", "word"), known.where("raw")).select("token", "word", F.lit(False).alias("whole"))
+    alike = written(words.select(F.col("value").alias("variant")).distinct())
+    same = variants_of(known.where("in_text"), alike).join(small(alike), "variant").select("token", F.col("variant").alias("word"), F.lit(True).alias("whole"))
+    held = tokens.join(small(written(part.union(same).distinct())), "token").where(F.when(F.col("whole"), F.col("in_text")).otherwise(F.col("raw")))
     employers = jobs.select(F.lower("employer").alias("text")).where("text is not null").distinct()
     named = texts_within(employers.select(F.col("text").alias("job_id"), "text"), firms).select(F.col("job_id").alias("text"), "value")
     named = jobs.select("job_id", F.lower("employer").alias("text")).join(small(named), "text").select("job_id", "value")
-    told = texts_within(jobs.select("job_id", F.lower(F.concat_ws(" ", "title", "employer", "description")).alias("text")), sectors, tokens.where("raw"))
+    told = texts_within(jobs.select("job_id", F.lower(F.concat_ws(" ", "title", "employer", "description")).alias("text")), sectors, tokens.where("raw"), known.where("raw"))
     of = lambda kind, found, wanted: found.distinct().join(small(wanted), "value").select("job_id", "profile_id", F.lit(kind).alias("kind"), "value")
     found = of("term", held.select("job_id", F.col("word").alias("value")), words).union(of("employer", named, firms)).union(of("sector", told, sectors))
     lists = found.groupBy("job_id", "profile_id").agg((F.count("*") * each).alias("exclusion_penalty"), F.array_sort(F.collect_set("value")).alias("matches"))

@@ -118,7 +118,8 @@ def reconciled(t: Tables) -> DataFrame:
     # No limit on vectors: a verdict must not depend on which other rows are scored with it.
     policy, who = _policy(t, 1 << 30), profiles(t)
     who = dataclasses.replace(who, ids=who.ids.withColumn("profile_key", F.concat(F.lit("p"), F.col("profile_id").cast("string"))))
-    before = dealt(postings(t), "job_id")
+    # Read by every step: written once.
+    before = written(dealt(postings(t), "job_id"))
     pairs = t.rec.select("profile_id", "job_id", F.lit(None).cast("string").alias("pool"))
     key = matching.verdict_key(F.col("review_key"), F.col("profile_key"), "v1")
     kept = matching.scored_pairs(pairs, before, who, _vectors(t), policy).join(before.select("job_id", "review_key"), "job_id").join(who.ids, "profile_id").withColumn("key", key)
