@@ -27,7 +27,7 @@ def stemmed_runs(text: Column, begins: list[str]) -> Column:
     its token begins, a phrase of these stems stands in it just where it stands in stemmed()."""
     if not begins:
         return F.lit("")
-    first = f"(?={'|'.join(map(re.escape, begins))})"
+    first = f"(?={T.either(begins)})"
     runs = F.regexp_extract_all(F.lower(text), F.lit(f"{first}(?<!{T.TOKEN[:-1]}){T.TOKEN}(?:{T.OTHER}{first}{T.TOKEN})*"), F.lit(0))
     return F.array_join(F.transform(runs, stemmed), " | ")
 

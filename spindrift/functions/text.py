@@ -51,10 +51,21 @@ def has_phrase(text: Column, phrase: Column) -> Column:
     return (phrase != "") & F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
+def either(marks: list[str]) -> str:
+    """A pattern that finds any of the marks. They are grouped by their first letter, as Java tries one after another at
+    every place of a text."""
+    by: dict[str, list[str]] = {}
+    for m in marks:
+        by.setdefault(m[:1], []).append(re.escape(m[1:]))
+    if "" in by or not by:
+        return "" if by else "(?!)"
+    return f"(?=[{''.join(map(re.escape, by))}])(?:{'|'.join(f'{re.escape(c)}(?:{"|".join(rest)})' for c, rest in by.items())})"
+
+
 def has_any(text: Column, marks: list[str]) -> Column:
     """Whether any of the marks is part of a text: one pattern, so that the text is made once and the test stays in
     generated code."""
-    return F.rlike(text, F.lit("|".join(map(re.escape, marks))))
+    return F.rlike(text, F.lit(either(marks)))
 
 
 def first_mark(text: Column, marks: list[str]) -> Column:

@@ -116,3 +116,12 @@ def test_decisive_sentences_are_made_once(spark):
     assert got.d == ["Tutkinto vaaditaan!", "required\n.", "Licence?"] and tuple(got.c) == (3, 2, 3)
     plan = spark.range(1).select(L.coverage(F.col("id").cast("string"), 60, ["vaadit"]).alias("c")).select("c.*")._jdf.queryExecution().analyzed().toString()
     assert plan.count("RLIKE") == 1
+
+
+def test_any_of_some_marks(spark):
+    marks = ["a+b", "a", "(x", "-", "^z", "å]", "\\d", "ß ", "𝒳y", "]"]
+    texts = ["", "b", "xa", "(x)", "x", "z-", "^z", "z", "å", "å]", "d", "\\d", "ß", "ß ", "𝒳", "𝒳y", "]", "&&", "[" ]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for some in [marks, marks[2:], ["(x", "&&"], ["b", "bb", "z"], [""], ["x", ""], []]:
+        got = [r[0] for r in frame.select(T.has_any(F.col("t"), some)).collect()]
+        assert got == [any(m in t for m in some) for t in texts], some
